@@ -222,3 +222,47 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     sc.addPyFile(str(archive))
     sc._siltstone_shipped = True
+
+
+# -------------------------------------------------------- exchange of hashes
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash, by its upper bits."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def bucket_rows(hashes: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, [bytes of hashes, bytes of each of values]) for the buckets that occur."""
+    if not len(hashes):
+        return
+    bucket = bucket_of(hashes, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [x[order] for x in (hashes, *values)]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+        yield int(bucket[lo]), [c[lo:hi].tobytes() for c in columns]
+
+
+# ------------------------------------------------------ connected components
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of edges (a, b); label: the smallest node that it
+    reaches. Large-star and small-star rounds turn each component into one star; each
+    round joins minima back to edges, so that no neighbourhood is collected."""
+    spark = edges.sparkSession
+    pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    star, before = materialize(pairs), None
+    while True:
+        now = star.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if now == before or now[0] == 0:
+            break
+        before = now
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop_table(star)
+        star = new
+    return star.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, sharding
+from . import langid, media, ngram_join, sharding
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_payload_images(_table(spark, sf_dir, "documents"), tiles=False).withColumnRenamed("dhash", "feature")
+
+
+@_query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
