@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, ngram_join, sharding
+from . import chat, langid, media, ngram_join, sharding
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op9_chat_snapshots"] = chat.FORMAT_SQL
