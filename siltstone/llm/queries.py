@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, ngram_join, sharding
+from . import chat, decontam, langid, media, ngram_join, sharding, substring
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_chat_snapshots"] = chat.FORMAT_SQL
+
+
+@_query
+def op1_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_runs(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
