@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_groups, materialize, mix64, text_buffer, words
-from .ngram_join import text_keys
+from .ngram_join import BROADCAST_KEYS, text_keys
 
 MASKS = ("11111", "111011", "110111")
 VERIFY_WORDS = 13
@@ -112,8 +112,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_item, matched): one row for each document and
-    item that overlap, at the alignment with the most equal words."""
+    """(doc_id, k1, k2, item_id, start_word, n_item, matched): one row for each document
+    and item that overlap, at the alignment with the most equal words; k1, k2 stand for
+    the text."""
     spark = docs.sparkSession
     form = lambda df, key: df.select(F.col(key).cast("long").alias("id"), *text_keys(), F.encode("text", "UTF-8").alias("t"))
     items = materialize(form(benchmark, "item_id").mapInArrow(lambda it: _scan(it, None), _ROW))
@@ -135,4 +136,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = pairs.mapInArrow(_verify, "k1 long, k2 int, item_id long, start_word int, n_item int, matched int")
     best = found.groupBy("k1", "k2", "item_id").agg(F.max(F.struct(F.col("matched"), (-F.col("start_word")).alias("s"), F.col("n_item"))).alias("b"))
     rows = held.select(F.col("id").alias("doc_id"), "k1", "k2").join(best, ["k1", "k2"])
-    return rows.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.n_item").alias("n_item"), F.col("b.matched").alias("matched"))
+    return rows.select("doc_id", "k1", "k2", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.n_item").alias("n_item"), F.col("b.matched").alias("matched"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that overlap with no item, with their own columns."""
+    found = materialize(overlaps(docs, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    k1, k2 = text_keys()
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import KERNEL_BYTES, doc_groups, text_buffer
 
@@ -167,21 +168,21 @@ def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ("doc_id"
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     inner = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, inner, strict=True)], F.when(has_letter(F.col(text)), F.encode(F.col(text), "UTF-8")).alias("_t"))
-    schema = ", ".join([*[f"{a} {rows.schema[a].dataType.simpleString()}" for a in inner], "lang_pred string", "score double", "bits_per_byte double"])
+    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, inner, strict=True)], has_letter(F.col(text)).alias("_ok"), *([] if text in keep else [F.col(text).alias("_t")]))
+    at = keep.index(text) if text in keep else len(inner) + 1
+    schema = StructType([StructField(a, docs.schema[c].dataType) for c, a in zip(keep, inner, strict=True)]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            column = batch.column(len(inner))
-            buf, offs = text_buffer(column)
-            bits = np.zeros((len(column), max(1, len(m.langs))))
+            buf, offs = text_buffer(batch.column(at))
+            bits = np.zeros((batch.num_rows, max(1, len(m.langs))))
             for lo, hi in doc_groups(offs) if m.langs else ():
                 bits[lo:hi] = m.bits(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             best = bits.argmin(1)
             least = bits[np.arange(len(bits)), best]
             sure = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
-            none = np.asarray(column.is_null()) | (not m.langs)
+            none = ~batch.column(len(inner)).to_numpy(zero_copy_only=False) | (not m.langs)
             names = pa.array([*(m.langs or [""]), UNDETERMINED]).take(pa.array(np.where(none, max(1, len(m.langs)), best)))
             rate = least / np.maximum(np.diff(offs), 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], names, pa.array(np.where(none, 0.0, np.round(sure, 9))), pa.array(np.where(none, 0.0, np.round(rate, 6)))], [*inner, "lang_pred", "score", "bits_per_byte"])

@@ -246,7 +246,8 @@ def jaccard_links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document, and k1, k2, which stand for
+    its text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
@@ -274,4 +275,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = of.join(least, "c").select("k1", "k2", F.col("component_id").alias("found"))
     classes = texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class"))
     rows = counted.filter(F.col("n").isNotNull()).select("doc_id", "k1", "k2", "n")
-    return rows.join(classes, ["k1", "k2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
+    return rows.join(classes, ["k1", "k2"]).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class, that of the smallest id, with its own columns. Rows
+    without an id go if their class has one, and else stay once for each text."""
+    found = materialize(near_duplicates(docs))
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "k1", "k2").distinct()
+    again = found.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("doc_id", "k1", "k2")
+    k1, k2 = text_keys()
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return rows.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (k1 == F.col("_k1")) & (k2 == F.col("_k2")), how)
+
+    kept = matched(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    twice = matched(kept, again, "left_semi").withColumns({"_k1": k1, "_k2": k2}).dropDuplicates(["doc_id", "_k1", "_k2"]).drop("_k1", "_k2")
+    return matched(kept, again, "left_anti").unionByName(twice)

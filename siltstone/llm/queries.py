@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, ngram_join, sharding, substring
+from . import chat, decontam, langid, media, mixing, ngram_join, sharding, substring
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
 @_query
@@ -66,4 +66,10 @@ def op1_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
+@_query
+def op4_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"))
+    return out.withColumn("p", F.round("p", 9)).drop("u")
