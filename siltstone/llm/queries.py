@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, ngram_join, sharding, substring
+from . import chat, decontam, langid, media, mixing, ngram_join, sharding, substring, suffix
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.withColumn("p", F.round("p", 9)).drop("u")
+
+
+@_query
+def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
