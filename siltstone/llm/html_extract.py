@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 500
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+#: Log-odds that a part of the main text must have against it to be cut out.
+CUT_COST = 3.0
 
 # Element names by how HTML treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,21 +320,22 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 def decode(logit: np.ndarray, parent: list[int], weight: np.ndarray) -> np.ndarray:
     """Which nodes are inside, by the best labelling of the tree: outside may turn
-    inside, inside may turn cut out, cut out stays."""
+    inside, inside may turn cut out at a cost, cut out stays."""
     n = len(parent)
+    cost = CUT_COST
     yes, no = (-np.logaddexp(0, -logit) * weight).tolist(), (-np.logaddexp(0, logit) * weight).tolist()
     best = [[o, i, o] for i, o in zip(yes, no, strict=True)]  # outside, inside, cut out
     for k in range(n - 1, 0, -1):
         out, inside, cut = best[k]
         up = best[parent[k]]
         up[0] += max(out, inside)
-        up[1] += max(inside, cut)
+        up[1] += max(inside, cut - cost)
         up[2] += cut
     state = [0] * n
     state[0] = 1 if best[0][1] > best[0][0] else 0
     for k in range(1, n):
         above, (out, inside, cut) = state[parent[k]], best[k]
-        state[k] = 2 if above == 2 else (1 if inside >= cut else 2) if above == 1 else (1 if inside > out else 0)
+        state[k] = 2 if above == 2 else (1 if inside >= cut - cost else 2) if above == 1 else (1 if inside > out else 0)
     return np.array(state) == 1
 
 
