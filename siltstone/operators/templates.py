@@ -136,7 +136,7 @@ def compliance_cases(g: Graph, industry: str, limit: int = 15) -> DataFrame:
 
 def compliance_articles(g: Graph, industry: str, limit: int = 30) -> DataFrame:
     """Articles of standards and regulations for which a path to the industry exists."""
-    regs = g.expand(g.match("Industry", F.col("props")["name_zh"] == industry, "i"), "i", ["APPLIES_TO_INDUSTRY"], "reg", ["Standard", "Regulation"], "both").select("reg").distinct()
+    regs = g.expand(g.match("Industry", F.col("props")["name_zh"] == industry, "i"), "i", ["APPLIES_TO_INDUSTRY"], "reg", ["Standard", "Regulation"], "both").withColumn("rid", F.col("reg.id")).dropDuplicates(["rid"]).select("reg")
     rows = g.expand(regs, "reg", ["CONTAINS_ARTICLE"], "a", ["Article"]).orderBy("a.seq").limit(limit)
     return rows.select(p("a", "article_no").alias("article_no"), p("a", "themes").alias("themes"), p("a", "penalty").alias("penalty"))
 

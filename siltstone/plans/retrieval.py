@@ -83,7 +83,7 @@ def _template_nodes(g: Graph, name: str, p: dict | None, limit: int) -> DataFram
     if p is None:
         return None
     if name == "list_articles_about_pollutant":
-        return templates.articles_about_pollutant(g, p["pollutant"]).select("a.id", "a.label", "a.props", "a.seq").distinct().limit(limit)
+        return templates.articles_about_pollutant(g, p["pollutant"]).select("a.id", "a.label", "a.props", "a.seq").dropDuplicates(["id"]).limit(limit)
     if name == "lookup_article_content":
         return templates.article_content(g, p["article_no"], p["doc_keyword"]).select("a.id", "a.label", "a.props", "a.seq").limit(limit)
     return None
