@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Patterns of the intents, of the template rules and of parameters.
 INTENTS = {
     "list_pollutants_by_standard": [r"(GB|HJ|DB)\s*\d+", r"标准.*?(限值|浓度|排放)", r"排放限值"],
@@ -104,7 +106,7 @@ def text_to_query(questions: DataFrame, model=None) -> DataFrame:
     missing = rows.filter("template is null").select("qid", "text")
     answers = missing.mapInPandas(lambda frames: (f.assign(answer=[model(t) for t in f["text"]])[["qid", "answer"]] for f in frames), "qid long, answer string")
     joined = rows.join(answers, "qid", "left")
-    clean = F.nullif(F.trim(F.regexp_replace("answer", r"```(?:cypher)?", "")), F.lit(""))
+    clean = F.nullif(strip(F.regexp_replace("answer", r"```(?:cypher)?", "")), F.lit(""))
     return joined.select("qid", F.when(F.col("template").isNotNull(), "template").when(clean.isNotNull(), "model").otherwise("fallback").alias("method"), F.coalesce("template", clean, F.lit("MATCH (n) RETURN n LIMIT 10")).alias("template"))
 
 
