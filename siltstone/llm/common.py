@@ -3,11 +3,13 @@ text buffers as numpy arrays, rolling hashes and word positions."""
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels handle at once; a longer document is handled alone.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 18
 _OWN_DIR: list[str] = []
 
 
@@ -54,6 +56,17 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added until no given name clashes."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def utf8_crc32(col: Column) -> Column:
     return F.crc32(F.encode(col, "UTF-8"))
 
@@ -154,6 +167,18 @@ class Rolling:
         return (self.sums[k:] - self.sums[:-k]) * self.inverse[:n]
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans in rising order; equal bytes, equal hashes. Works on KERNEL_BYTES
+    at once, or on one longer span."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + KERNEL_BYTES, side="right")))
+        at = int(start[i])
+        out[i:j] = Rolling(buf[at : int(end[j - 1])]).spans(start[i:j] - at, end[i:j] - at)
+        i = j
+    return out
+
+
 # --------------------------------------------------------------------- words
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -176,7 +201,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = mix64(Rolling(_LOWER[buf]).spans(start, end))
+    hashes = mix64(span_hashes(_LOWER[buf], start, end))
     return start, end, hashes, np.searchsorted(start, offs)
 
 
@@ -210,8 +235,28 @@ def distinct_sorted(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
 
 # ------------------------------------------------------------------- workers
 
+#: Rows of an Arrow batch: texts are long, so batches of Spark's default of 10,000 hold
+#: tens of MB, twice over on either side of the pipe.
+BATCH_ROWS = 2000
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; the worker, which lives on, gives its free memory back after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each Spark context."""
+    """Give the executors' Python workers this package, once for each Spark context, and
+    the session smaller Arrow batches, if it has the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_siltstone_shipped", False):
         return

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_groups, materialize, mix64, text_buffer, words
+from .common import doc_groups, lean, materialize, mix64, text_buffer, words
 from .ngram_join import BROADCAST_KEYS, text_keys
 
 MASKS = ("11111", "111011", "110111")
@@ -117,13 +117,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the text."""
     spark = docs.sparkSession
     form = lambda df, key: df.select(F.col(key).cast("long").alias("id"), *text_keys(), F.encode("text", "UTF-8").alias("t"))
-    items = materialize(form(benchmark, "item_id").mapInArrow(lambda it: _scan(it, None), _ROW))
+    items = materialize(form(benchmark, "item_id").mapInArrow(lean(lambda it: _scan(it, None)), _ROW))
     item_seeds = items.select("id", "k1", "k2", F.explode(F.arrays_zip("h", "p")).alias("s")).select(F.col("id").alias("item_id"), F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.col("s.h").alias("h"), F.col("s.p").alias("ip")).distinct()
     bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in item_seeds.select("h").coalesce(4).mapInArrow(_bit_table, "bits binary").collect():
+    for r in item_seeds.select("h").coalesce(4).mapInArrow(lean(_bit_table), "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)
     table = spark.sparkContext.broadcast(bits)
-    held = materialize(form(docs, "doc_id").mapInArrow(lambda it: _scan(it, np.unpackbits(table.value).astype(bool)), _ROW))
+    held = materialize(form(docs, "doc_id").mapInArrow(lean(lambda it: _scan(it, np.unpackbits(table.value).astype(bool))), _ROW))
     texts = held.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.first("h").alias("h"), F.first("p").alias("p"))
     hits = texts.select("k1", "k2", F.explode(F.arrays_zip("h", "p")).alias("s")).select("k1", "k2", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     lines = hits.join(item_seeds, "h").select("k1", "k2", "item_id", "i1", "i2", (F.col("p") - F.col("ip")).alias("line")).distinct()
@@ -133,7 +133,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start, skip = F.greatest("line", F.lit(0)), F.greatest(-F.col("line"), F.lit(0))
     size = F.least(F.size("item") - skip, F.size("words") - start)
     pairs = both.select("k1", "k2", "item_id", start.cast("int").alias("start_word"), F.size("item").alias("n_item"), F.slice("words", start + 1, size).alias("a"), F.slice("item", skip + 1, size).alias("b"))
-    found = pairs.mapInArrow(_verify, "k1 long, k2 int, item_id long, start_word int, n_item int, matched int")
+    found = pairs.mapInArrow(lean(_verify), "k1 long, k2 int, item_id long, start_word int, n_item int, matched int")
     best = found.groupBy("k1", "k2", "item_id").agg(F.max(F.struct(F.col("matched"), (-F.col("start_word")).alias("s"), F.col("n_item"))).alias("b"))
     rows = held.select(F.col("id").alias("doc_id"), "k1", "k2").join(best, ["k1", "k2"])
     return rows.select("doc_id", "k1", "k2", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.n_item").alias("n_item"), F.col("b.matched").alias("matched"))
@@ -141,6 +141,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, with their own columns."""
-    found = materialize(overlaps(docs, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
-    k1, k2 = text_keys()
-    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    found = materialize(overlaps(docs, benchmark).select("k1", "k2").distinct())
+    text = F.coalesce(docs["text"], F.lit(""))
+    held = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    return docs.join(held, (F.xxhash64(text) == found["k1"]) & (F.hash(text) == found["k2"]), "left_anti")

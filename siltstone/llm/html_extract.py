@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TRAIN_PAGES = 500
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 #: Log-odds that a part of the main text must have against it to be cut out.
-CUT_COST = 3.0
+CUT_COST = 4.0
 
 # Element names by how HTML treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -434,7 +436,7 @@ def training_page(rng: random.Random) -> str:
             elif kind < 0.78:
                 out.append(f"<h2>{words(rng.randint(1, 6))}</h2>")
             elif kind < 0.84:
-                out.append("<ul>" + "".join(f"<li>{rich(rng.randint(2, 25))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{rich(rng.randint(1, 25))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
             elif kind < 0.88:
                 out.append(f"<blockquote>{rich(rng.randint(5, 40))}</blockquote>")
             elif kind < 0.91:
@@ -479,4 +481,4 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
                 out = main_texts(part.column("html").to_pylist(), held.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(texts), "page_id long, url string, text string, n_chars long")

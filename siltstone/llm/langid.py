@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import KERNEL_BYTES, doc_groups, text_buffer
+from .common import KERNEL_BYTES, doc_groups, lean, text_buffer
 
 MAX_ORDER = 3
 TRAIN_BYTES = 600_000
@@ -162,9 +162,10 @@ def has_letter(col: Column) -> Column:
     return F.coalesce(col.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: tuple[str, ...] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
     """The `keep` columns of docs with lang_pred, score (0 to 1: the language's share of
-    the probability that all languages give the text) and bits_per_byte."""
+    the probability that all languages give the text) and bits_per_byte, under the
+    names `out`."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     inner = [f"_k{i}" for i in range(len(keep))]
@@ -187,8 +188,8 @@ def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ("doc_id"
             rate = least / np.maximum(np.diff(offs), 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], names, pa.array(np.where(none, 0.0, np.round(sure, 9))), pa.array(np.where(none, 0.0, np.round(rate, 6)))], [*inner, "lang_pred", "score", "bits_per_byte"])
 
-    out = rows.mapInArrow(score, schema)
-    return out.select(*[F.col(a).alias(c) for c, a in zip(keep, inner, strict=True)], "lang_pred", "score", "bits_per_byte")
+    told = rows.mapInArrow(lean(score), schema)
+    return told.select(*[F.col(a).alias(c) for c, a in zip((*keep, *out), (*inner, "lang_pred", "score", "bits_per_byte"), strict=True)])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WIDTH = 64
 TILE = 16
 
@@ -177,7 +179,7 @@ def text_payload_images(docs: DataFrame, tiles: bool = True) -> DataFrame:
                     out, size, done = [[] for _ in out], 0, k + 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
-    return rows.mapInArrow(images, schema)
+    return rows.mapInArrow(lean(images), schema)
 
 
 def _batch(ids: pa.Array, columns: list[list], schema: str) -> pa.RecordBatch:

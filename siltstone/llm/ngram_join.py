@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_rows, components, distinct_sorted, doc_groups, materialize, shingles, shuffle_parts, text_buffer, text_or_empty, words
+from .common import bucket_rows, components, distinct_sorted, doc_groups, fresh, lean, materialize, mix64, shingles, shuffle_parts, text_buffer, text_or_empty, words
 
 WORDS = 5
 #: A token in more sets than this is frequent.
@@ -96,11 +96,12 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         none = pa.nulls(len(k1), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(spread), batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int32)), pa.array(shared.astype(np.int32)), none, none], _names(_DEALT))
         first = np.append(True, t[1:] != t[:-1]) if len(t) else np.zeros(0, bool)
-        rows = list(bucket_rows(t[first], buckets, np.where(much > 1, 0, k)[first]))
+        # prefixes hold small hashes: mixed again, they spread over the buckets
+        rows = list(bucket_rows(mix64(t[first]), buckets, t[first], np.where(much > 1, 0, k)[first]))
         if rows:
             b, blobs = zip(*rows, strict=True)
             null = [pa.nulls(len(b), x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *null, pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], _names(_DEALT))
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *null, pa.array([x[1] for x in blobs], pa.binary()), pa.array([x[2] for x in blobs], pa.binary())], _names(_DEALT))
 
 
 def _names(schema: str) -> list[str]:
@@ -242,7 +243,7 @@ def jaccard_links(sets: DataFrame) -> DataFrame:
     dealt = member.join(blocks, "unit").select("unit", "s", "tokens", b.alias("b"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
     dealt = dealt.select("unit", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "s", "b", "tokens")
     parts = shuffle_parts(spark, volume, BLOCK_BYTES)
-    return dealt.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify, "a long, b long")
+    return dealt.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(lean(_verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,19 +253,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), text_or_empty().alias("text"))
-    dealt = keyed.select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lambda it: _deal(it, buckets), _DEALT)
-    counted = materialize(dealt.repartition(parts, "bucket").mapInArrow(_count_shared, "doc_id long, k1 long, k2 int, n int, shared int"))
+    dealt = keyed.select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(lambda it: _deal(it, buckets)), _DEALT)
+    counted = materialize(dealt.repartition(parts, "bucket").mapInArrow(lean(_count_shared), "doc_id long, k1 long, k2 int, n int, shared int"))
 
     texts = counted.filter(F.col("n").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     shared = counted.groupBy("k1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
     need = F.floor((F.floor((F.col("n") * 8 + 9) / 10) + 15) / 16)
-    alive = materialize(shared.filter((F.col("n") > 1) & (F.col("shared") >= need)).select("k1"))
+    alive = materialize(shared.filter((F.col("n") > 0) & (F.col("shared") >= need)).select("k1"))
     few = alive.count() <= BROADCAST_KEYS
     left = keyed.join(F.broadcast(alive) if few else alive, "k1", "left_semi")
     reps = texts.join(alive, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("doc_id"))
     # one row of each text: that of its smallest id
     once = left.join(F.broadcast(reps) if few else reps, (left["k1"] == reps["k1"]) & (left["k2"] == reps["k2"]) & left["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
-    named = materialize(once.select("k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(_to_sets, "k1 long, k2 int, s long, n int, tokens array<bigint>"))
+    named = materialize(once.select("k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(_to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>"))
     sets = materialize(named.groupBy("s", "n").agg(F.first("tokens").alias("tokens")))
     links = components(jaccard_links(sets))
 
@@ -284,15 +285,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = materialize(near_duplicates(docs))
     gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "k1", "k2").distinct()
     again = found.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("doc_id", "k1", "k2")
-    k1, k2 = text_keys()
 
     def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
-        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        return rows.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (k1 == F.col("_k1")) & (k2 == F.col("_k2")), how)
+        keys = materialize(keys)
+        held = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return rows.join(held, rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (k1 == keys["k1"]) & (k2 == keys["k2"]), how)
 
+    k1, k2 = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.hash(F.coalesce(docs["text"], F.lit(""))))
     kept = matched(docs, gone, "left_anti")
     if again.isEmpty():
         return kept
-    twice = matched(kept, again, "left_semi").withColumns({"_k1": k1, "_k2": k2}).dropDuplicates(["doc_id", "_k1", "_k2"]).drop("_k1", "_k2")
+    a, b = fresh(docs.columns, "k1", "k2")
+    twice = matched(kept, again, "left_semi").withColumns({a: k1, b: k2}).dropDuplicates(["doc_id", a, b]).drop(a, b)
     return matched(kept, again, "left_anti").unionByName(twice)

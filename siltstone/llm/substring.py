@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_rows, doc_groups, mix64, text_buffer
+from .common import bucket_rows, doc_groups, lean, mix64, text_buffer
 
 WINDOW = 16
 MASK_BITS = 5
@@ -112,7 +112,7 @@ def _chunk_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         for lo, hi in doc_groups(offs):
             own, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             starts, coffs = chunk_edges(own, at)
-            ends = np.append(starts[1:], len(own))
+            ends = np.append(starts[1:], len(own))[: len(starts)]
             doc = np.repeat(np.arange(hi - lo), np.diff(coffs))
             digest = _digests(own, starts, ends)
             parts.append((digest[:, 0], digest[:, 1], ids[lo:hi][doc], starts - at[doc], (ends - starts).astype(np.int32)))
@@ -174,9 +174,9 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
-    blobs = rows.mapInArrow(lambda it: _chunk_blobs(it, buckets), _BLOBS)
-    again = blobs.repartition(parts, "bucket").mapInArrow(lambda it: _repeats(it, buckets), _BLOBS)
-    return again.repartition(parts, "bucket").mapInArrow(lambda it: _runs(it, min_run), "doc_id long, start long, n_bytes long")
+    blobs = rows.mapInArrow(lean(lambda it: _chunk_blobs(it, buckets)), _BLOBS)
+    again = blobs.repartition(parts, "bucket").mapInArrow(lean(lambda it: _repeats(it, buckets)), _BLOBS)
+    return again.repartition(parts, "bucket").mapInArrow(lean(lambda it: _runs(it, min_run)), "doc_id long, start long, n_bytes long")
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -197,4 +197,4 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore") if text is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.string())], ["doc_id", "text", "kept_text"])
 
-    return joined.mapInArrow(cut, "doc_id long, text string, kept_text string")
+    return joined.mapInArrow(lean(cut), "doc_id long, text string, kept_text string")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, binary_column, bucket_rows, doc_groups, materialize, mix64, text_buffer, text_or_empty
+from .common import Rolling, binary_column, bucket_rows, doc_groups, lean, materialize, mix64, span_hashes, text_buffer, text_or_empty
 from .ngram_join import _runs as distinct_runs
 from .ngram_join import text_keys
 from .substring import NULL_ID, doc_ids
@@ -43,7 +43,7 @@ GRAM = 32
 SHARDS = 4
 #: Bytes of contexts merged at once; one anchor's contexts stay together.
 MERGE_BYTES = 1 << 20
-_SEGMENT = 1 << 19
+_SEGMENT = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
@@ -77,7 +77,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))
         head = np.flatnonzero(first)
         tail = np.append(head[1:], len(start)) - 1
-        parts.append((h[place[head]], doc[head], start[head], start[tail], lo + place[head] - start[head]))
+        # minimal hashes are small ones: mixed again, they spread over the buckets
+        parts.append((mix64(h[place[head]] + np.uint64(GRAM)), doc[head], start[head], start[tail], lo + place[head] - start[head]))
     if not parts:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -260,14 +261,20 @@ _KINDS = {"h": np.uint64, "doc": np.int64, "start": np.int64, "rel": np.int16, "
 
 
 def _take_spans(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    total = np.cumsum(size)
-    return data[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+    """The bytes of all spans, one after the other; indices of some MB at once."""
+    total = np.append(0, np.cumsum(size))
+    out, i = np.empty(total[-1], np.uint8), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + _SEGMENT, side="right")) - 1)
+        out[total[i] : total[j]] = data[np.repeat(at[i:j] - total[i:j], size[i:j]) + np.arange(total[i], total[j])]
+        i = j
+    return out
 
 
 def _earliest(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of equal contexts, which stand earliest (one of them) and which are later."""
     offs = np.append(0, np.cumsum(c["size"]))
-    digest = mix64(Rolling(c["data"]).spans(offs[:-1], offs[1:]) + c["rel"].astype(np.int64).view(np.uint64))
+    digest = mix64(span_hashes(c["data"], offs[:-1], offs[1:]) + c["rel"].astype(np.int64).view(np.uint64))
     order = np.lexsort((c["start"], c["doc"], digest, c["h"]))
     h, g, d, s = c["h"][order], digest[order], c["doc"][order], c["start"][order]
     first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.zeros(0, bool)
@@ -309,7 +316,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         buf, offs = text_buffer(batch.column(1))
         known, koffs = text_buffer(batch.column(2))
         known, koffs = known.view(np.uint64), koffs // 8
-        for lo, hi in doc_groups(offs, 8 << 20):
+        for lo, hi in doc_groups(offs, 1 << 20):
             own, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             h, doc, start, last, rel = anchors(own, at)
             pair = np.stack([h, doc.astype(np.uint64)], 1)
@@ -414,15 +421,15 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *text_keys(), F.encode(text_or_empty(), "UTF-8").alias("t"))
-    pairs = keyed.filter(F.octet_length("t") >= LENGTH).select("k1", "t").mapInArrow(lambda it: _pairs(it, buckets), _PAIR)
-    found = pairs.repartition(parts, "bucket").mapInArrow(lambda it: _find_pairs(it, buckets), _PAIR)
-    texts = materialize(found.repartition(parts, "bucket").mapInArrow(_by_text, "k1 long, hashes binary"))
+    pairs = keyed.filter(F.octet_length("t") >= LENGTH).select("k1", "t").mapInArrow(lean(lambda it: _pairs(it, buckets)), _PAIR)
+    found = pairs.repartition(parts, "bucket").mapInArrow(lean(lambda it: _find_pairs(it, buckets)), _PAIR)
+    texts = materialize(found.repartition(parts, "bucket").mapInArrow(lean(_by_text), "k1 long, hashes binary"))
     narrow = materialize(keyed.select("id", "k1", "k2", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")))
     reps = narrow.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     wanted = reps.join(texts, "k1").select("k1", "k2", F.col("rep").alias("id"), "hashes")
     held = keyed.join(wanted, ["k1", "k2", "id"]).select("id", "t", "hashes")
-    ranges = held.mapInArrow(lambda it: _contexts(it, buckets), _CONTEXT).repartition(parts, "bucket").mapInArrow(lambda it: _merge(it, buckets), _CONTEXT)
-    spans = materialize(ranges.repartition(parts, "bucket").mapInArrow(_spans, "id long, spans binary"))
+    ranges = held.mapInArrow(lean(lambda it: _contexts(it, buckets)), _CONTEXT).repartition(parts, "bucket").mapInArrow(lean(lambda it: _merge(it, buckets)), _CONTEXT)
+    spans = materialize(ranges.repartition(parts, "bucket").mapInArrow(lean(_spans), "id long, spans binary"))
     return narrow, reps, spans
 
 
@@ -431,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     narrow, reps, spans = removed_spans(docs)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *text_keys(), F.encode(text_or_empty(), "UTF-8").alias("t"))
     cut = reps.join(spans, reps["rep"] == spans["id"]).select("k1", "k2", "id", "spans")
-    changed = materialize(keyed.join(cut, ["k1", "k2", "id"]).select("k1", "k2", "t", "spans").mapInArrow(_kept, "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string")).distinct()
+    changed = materialize(keyed.join(cut, ["k1", "k2", "id"]).select("k1", "k2", "t", "spans").mapInArrow(lean(_kept), "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string")).distinct()
     rows = narrow.join(reps, ["k1", "k2"]).join(changed, ["k1", "k2"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
