@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, langid, mixing, ngram_join, sharding
-from siltstone.llm.common import materialize, ship
+from siltstone.llm.common import fresh, materialize, ship
 
 #: Below this share of the probability a language is a guess between two.
 MIN_SCORE = 0.5
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents of no determined language. The others keep their columns."""
     ship(spark)
     model = langid.fit_ppm(langid.training_texts(docs.filter(~langid.held_out(F.col("doc_id")))))
-    told = langid.identify(docs, model, tuple(docs.columns))
-    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score, rate = fresh(docs.columns, "lang_pred", "score", "bits_per_byte")
+    told = langid.identify(docs, model, tuple(docs.columns), out=(lang, score, rate))
+    return told.filter((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
