@@ -86,91 +86,106 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 # ------------------------------------------------- merging of BWTs in one task
 
+_PACK = 7
+
+
 def suffix_array(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Suffixes of the strings, each with an end mark that is smaller than any byte and
-    than later strings' marks; places count end marks (string j's is at offs[j+1] + j)."""
+    """Suffixes of the strings in order, each with an end mark below any byte; equal ones
+    stand by string. Places count end marks (string j's is at offs[j+1] + j)."""
     m = len(offs) - 1
-    text = np.zeros(len(data) + m, np.int64)
+    n = len(data) + m
     ends = offs[1:] + np.arange(m)
-    body = np.ones(len(text), bool)
+    body = np.ones(n, bool)
     body[ends] = False
-    text[body] = data.astype(np.int64) + m
-    text[ends] = np.arange(m)
-    rank, step = text, 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        low = np.full(len(rank), -1, np.int64)
+    text = np.zeros(n + _PACK, np.int64)
+    text[:n][body] = data.astype(np.int64) + 1
+    left = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n)  # symbols before the end mark
+    key = np.zeros(n, np.int64)
+    for j in range(_PACK):
+        key = (key << 9) | np.where(left >= j, text[j : n + j], 0)
+    step, longest = _PACK, int(left.max()) + 1
+    while step < longest:
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(False, np.diff(key[order]) != 0))
+        low = np.full(n, -1, np.int64)
         low[:-step] = rank[step:]
-        key = rank * (len(rank) + m + 257) + low + 1
-        order = np.argsort(key, kind="stable")
-        rise = np.append(False, key[order][1:] != key[order][:-1])
-        rank = np.empty_like(key)
-        rank[order] = np.cumsum(rise)
+        low[left < step] = -1  # the string has ended
+        key = rank * (n + 1) + low + 1
         step *= 2
-        if rank[order[-1]] == len(rank) - 1:
-            return order
+    return np.argsort(key, kind="stable")
 
 
-def transform(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, BWT symbols) of a shard: byte + 1, or 0 before a string's begin.
-    UTF-8 has no byte 255, so symbols fit 8 bits."""
+def transform(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, BWT, step) of a shard. BWT symbols are byte + 1, or 0 before a
+    string's begin (UTF-8 has no byte 255); step is the row of the suffix that is longer
+    by that symbol."""
     m = len(offs) - 1
     order = suffix_array(data, offs)
-    body = np.ones(len(data) + m, bool)
+    n = len(order)
+    body = np.ones(n, bool)
     body[offs[1:] + np.arange(m)] = False
-    symbols = np.zeros(len(data) + m, np.uint8)
+    symbols = np.zeros(n, np.uint8)
     symbols[body] = data + 1
-    before = np.concatenate([[0], symbols[:-1]]).astype(np.uint8)
+    before = np.append(np.uint8(0), symbols[:-1])
     before[offs[:-1] + np.arange(m)] = 0
-    return order, before[order]
-
-
-def merge_intervals(bwts: list[np.ndarray], strings: list[int], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave (shard of each merged suffix) and, for each, the number of its
-    block: suffixes with `rounds` equal symbols share one."""
-    shard = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
-    marks = np.repeat(np.arange(len(bwts), dtype=np.uint8), strings)
-    block = np.zeros(len(shard), np.int32)
-    symbol = np.empty(len(shard), np.uint8)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    return order, before[order], row[np.maximum(order - 1, 0)]
+
+
+def merge_intervals(bwts: list[np.ndarray], steps: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the concatenated shards that share their first `rounds` symbols with
+    another row, in merged order, and the number of each one's interval.
+
+    The interleave begins shard by shard, all in one block. A round deals the rows, in
+    their order so far, by the symbol before them, stably, and moves each to the suffix
+    that is longer by it: the order then holds for one symbol more, and a block ends
+    where symbols or earlier blocks differ. A row alone in its block has its place, as
+    has all that it is stepped to: it takes no part in later rounds."""
+    base = np.append(0, np.cumsum([len(b) for b in bwts]))
+    bwt = np.concatenate(bwts)
+    step = np.concatenate([s + np.int32(o) for s, o in zip(steps, base, strict=False)])
+    row, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
     for _ in range(rounds):
-        for k, bwt in enumerate(bwts):
-            symbol[shard == k] = bwt
+        symbol = bwt[row]
+        inside = symbol > 0  # an end mark is like no other
+        if not inside.all():
+            row, block, symbol = row[inside], block[inside], symbol[inside]
         order = np.argsort(symbol, kind="stable")
-        dealt, old = symbol[order], block[order]
-        edge = np.empty(len(shard), bool)
-        edge[0] = False
-        edge[1:] = (dealt[1:] != dealt[:-1]) | (old[1:] != old[:-1])
-        edge[1 : len(marks) + 1] = True  # end marks all differ
-        block = np.cumsum(edge, dtype=np.int32)
-        shard = shard[order]
-        shard[: len(marks)] = marks
-    return shard, block
+        symbol, block, row = symbol[order], block[order], step[row[order]]
+        edge = np.ones(len(row) + 1, bool)
+        edge[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        several = ~(edge[:-1] & edge[1:])
+        row, block = row[several], np.cumsum(edge[:-1], dtype=np.int32)[several]
+        if not len(row):
+            break
+    return row, block
 
 
 def equal_windows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """For each place of the strings, the number of the interval of its LENGTH bytes;
-    -1 where the string ends before."""
+    """For each place of the strings, the number of the interval of its LENGTH bytes; -1
+    where these stand nowhere else, or the string ends before."""
     m = len(offs) - 1
     out = np.full(len(data), -1, np.int64)
     if m == 0:
         return out
     cuts = np.unique(np.searchsorted(offs, np.linspace(0, offs[-1], SHARDS + 1)[1:-1]).clip(1, m))
     bounds = [0, *[int(c) for c in cuts if c < m], m]
-    orders, bwts, places = [], [], []
+    bwts, steps, places = [], [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         o = offs[a : b + 1] - offs[a]
-        order, bwt = transform(data[offs[a] : offs[b]], o)
+        order, bwt, step = transform(data[offs[a] : offs[b]], o)
         place = np.full(len(order), -1, np.int64)
         body = np.ones(len(order), bool)
         body[o[1:] + np.arange(b - a)] = False
         place[body] = offs[a] + np.arange(offs[b] - offs[a])
-        orders.append(order)
         bwts.append(bwt)
-        places.append(place)
-    shard, block = merge_intervals(bwts, [b - a for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    for k, (order, place) in enumerate(zip(orders, places, strict=True)):
-        at, number = place[order], block[shard == k]
-        out[at[at >= 0]] = number[at >= 0]
+        steps.append(step)
+        places.append(place[order])
+    row, block = merge_intervals(bwts, steps)
+    at = np.concatenate(places)[row]
+    out[at[at >= 0]] = block[at >= 0]
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(data))
     out[left < LENGTH] = -1
     return out

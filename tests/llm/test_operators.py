@@ -428,15 +428,25 @@ def test_merged_transforms_group_equal_windows(monkeypatch):
         strings += [b"a" * 140, b"", b"ab" * 70]
         data, offs = np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(x) for x in strings]))
         number, by = suffix.equal_windows(data, offs), {}
+        many = collections.Counter(x[o : o + 100] for x in strings for o in range(len(x) - 99))
         for j, x in enumerate(strings):
             for o in range(len(x)):
-                n = number[offs[j] + o]
-                assert (n >= 0) == (o + 100 <= len(x))
+                n, window = number[offs[j] + o], x[o : o + 100]
+                assert (n >= 0) == (len(window) == 100 and many[window] > 1)
                 if n >= 0:
-                    assert by.setdefault(x[o : o + 100], n) == n
+                    assert by.setdefault(window, n) == n
         assert len(set(by.values())) == len(by)
 
 
+def test_suffix_arrays():
+    rng = random.Random(6)
+    for _ in range(30):
+        strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 30]))) for _ in range(rng.randint(1, 8))]
+        data, offs = np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(x) for x in strings]))
+        want = sorted((tuple(c + 1 for c in x[o:]) + (0, j), int(offs[j]) + j + o) for j, x in enumerate(strings) for o in range(len(x) + 1))
+        assert suffix.suffix_array(data, offs).tolist() == [at for _, at in want]
+
+
 # -------------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, docs, none, sf):
