@@ -8,8 +8,9 @@ look at nearby bytes only, so that an insertion shifts no cut behind its neighbo
 and all are whole-array operations.
 
 Chunks are compared by 128-bit digest. The occurrence with the smallest (doc_id, start)
-is the original; all others repeat it. Runs of adjacent repeated chunks of MIN_RUN bytes
-or more are reported: shorter ones are common phrases. Each batch of documents resolves
+is the original; all others repeat it. Every run of adjacent repeated chunks is reported
+with its length: short ones may be common phrases, or whole short documents; a caller who
+wants long runs only filters by n_bytes, or gives min_run. Each batch of documents resolves
 its own repeats first and sends one occurrence of a digest on, so a line that a third
 of all documents have is one entry for each batch.
 
@@ -34,7 +35,8 @@ from .common import bucket_rows, doc_groups, lean, mix64, text_buffer
 WINDOW = 16
 MASK_BITS = 5
 MIN_CHUNK, MAX_CHUNK = 16, 256
-MIN_RUN = 96
+#: Every run is reported.
+MIN_RUN = 1
 #: Sorts before every id; stands for a null one.
 NULL_ID = -(2**63)
 
@@ -170,7 +172,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, start, n_bytes): byte ranges of documents that repeat chunks which stand
-    earlier (in a smaller doc_id, or earlier in the same document)."""
+    earlier (in a smaller doc_id, or earlier in the same document), of min_run bytes or more."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))

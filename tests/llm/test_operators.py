@@ -94,6 +94,24 @@ def test_substring_dedup(docs, corpus, none):
     assert kept[1]["kept_text"] == "" and kept[-7]["kept_text"] == kept[-7]["text"] and kept[2]["kept_text"] is None
 
 
+def test_short_repeats_are_reported(spark):
+    rng = random.Random(21)
+    short = ["By be in tothedouou and, oninly.", "x", "A line of some forty bytes, no more yet."]
+    passages = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 4))) for _ in range(51)) for _ in range(60)]
+    texts = [f"{prose(rng, 20)} {p} {prose(rng, 20)}" for p in passages]
+    again = [f"{prose(rng, 25)} {p} {prose(rng, 15)}" for p in passages]
+    rows = [*enumerate([*short, *texts]), *[(1000 + k, t) for k, t in enumerate([*short, *again])]]
+    spans = collections.defaultdict(list)
+    for r in substring.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans[r["doc_id"]].append((r["start"], r["start"] + r["n_bytes"]))
+    assert [spans[1000 + k] for k in range(3)] == [[(0, len(t))] for t in short] and not spans.keys() & {0, 1, 2}
+    hit = 0
+    for k, (p, t) in enumerate(zip(passages, again, strict=True)):
+        at = t.encode().index(p.encode())
+        hit += any(a < at + len(p) and b > at for a, b in spans[1003 + k])
+    assert hit >= 55, hit
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     text = prose(rng, 900).encode()
