@@ -1,11 +1,11 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the last 16 bytes: h = (h << 1) + gear[byte], kept to 16 bits. A
-byte with MASK_BITS zero bits at the top of h is a candidate cut; it cuts if no other
-candidate lies within the MIN_CHUNK bytes before it and none of the document's first
-bytes are nearer. Chunks over MAX_CHUNK are cut every MAX_CHUNK bytes. All these rules
-look at nearby bytes only, so that an insertion shifts no cut behind its neighbourhood,
-and all are whole-array operations.
+byte with MASK_BITS zero bits at the top of h is a candidate cut; it cuts if the last cut
+and the document's start are at least MIN_CHUNK bytes away. Chunks over MAX_CHUNK are cut
+at the smallest hash, the first of equals, of those that leave MIN_CHUNK bytes on either
+side. An insertion may shift the cuts behind it up to the next MIN_CHUNK bytes without a
+candidate, or, in a stretch without candidates, until both forms meet in one smallest hash.
 
 Chunks are compared by 128-bit digest. The occurrence with the smallest (doc_id, start)
 is the original; all others repeat it. Every run of adjacent repeated chunks is reported
@@ -59,17 +59,24 @@ def chunk_edges(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    cut = np.flatnonzero(gear_hashes(buf) >> np.uint32(WINDOW - MASK_BITS) == 0) + 1  # a chunk may start here
+    h = gear_hashes(buf)
+    cut = np.flatnonzero(h >> np.uint32(WINDOW - MASK_BITS) == 0) + 1  # a chunk may start here
     begin = offs[:-1][np.diff(offs) > 0]
-    doc = np.searchsorted(begin, cut, side="right") - 1
-    cut, doc = cut[(cut - begin[doc] >= WINDOW) & (cut < n)], doc[(cut - begin[doc] >= WINDOW) & (cut < n)]
-    far = np.ones(len(cut), bool)
-    far[1:] = (np.diff(cut) >= MIN_CHUNK) | (doc[1:] != doc[:-1])
-    starts = np.union1d(begin, cut[far])
-    length = np.diff(np.append(starts, n))
-    pieces = (length + MAX_CHUNK - 1) // MAX_CHUNK
-    more = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(starts, pieces) + more * MAX_CHUNK
+    cut = cut[(cut - begin[np.searchsorted(begin, cut, side="right") - 1] >= WINDOW) & (cut < n)]
+    far, last = [], -MIN_CHUNK
+    for at in cut.tolist():
+        if at - last >= MIN_CHUNK:
+            far.append(at)
+            last = at
+    starts = np.union1d(begin, np.array(far, np.int64))
+    ends = np.append(starts[1:], n)
+    long, forced = ends - starts > MAX_CHUNK, []
+    for at, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        while end - at > MAX_CHUNK:
+            first = at + MIN_CHUNK
+            at = first + int(h[first - 1 : min(at + MAX_CHUNK, end - MIN_CHUNK)].argmin())
+            forced.append(at)
+    starts = np.union1d(starts, np.array(forced, np.int64))
     return starts, np.searchsorted(starts, offs)
 
 

@@ -119,6 +119,24 @@ def test_chunks_resist_insertions():
     assert len(cut(text) - cut(text[:2000] + b"new words here " + text[2000:])) <= 3
 
 
+def test_repetitive_passages_are_cut_by_content():
+    rng = random.Random(8)
+    def cut(b):
+        edges = [*substring.chunk_edges(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].tolist(), len(b)]
+        sizes = np.diff(edges)
+        assert sizes.max() <= substring.MAX_CHUNK and (sizes[:-1] >= substring.MIN_CHUNK).all()
+        return list(itertools.pairwise(edges))
+    lost = 0
+    for _ in range(150):
+        unit = prose(rng, rng.randint(1, 6)) + " "
+        passage = (unit * 600)[: 700].encode()
+        a, b = (prose(rng, rng.randint(20, 60)).encode() + passage + prose(rng, 30).encode() for _ in range(2))
+        have = {a[x:y] for x, y in cut(a)}
+        at = b.index(passage)
+        lost += sum(y - x for x, y in cut(b) if b[x:y] in have and at <= x and y <= at + 700) < 300
+    assert lost <= 1, lost
+
+
 # ------------------------------------------------------------------------- op2
 
 def test_html_held_out_pages_and_forms(spark):
