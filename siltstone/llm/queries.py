@@ -43,7 +43,8 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_payload_images(_table(spark, sf_dir, "documents"), tiles=False).withColumnRenamed("dhash", "feature")
+    """With the NPY tile of each image as the last column."""
+    return media.text_payload_images(_table(spark, sf_dir, "documents")).drop("media").withColumnRenamed("dhash", "feature")
 
 
 @_query

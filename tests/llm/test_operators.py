@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing colu
 
 import collections
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -340,6 +341,18 @@ def test_media_columns(docs, none):
     assert media.text_payload_images(none).count() == 0
 
 
+def test_media_query_writes_tiles(spark, sf):
+    got = {r["doc_id"]: r for r in QUERIES["op7_media_columns"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) > 0
+    for r in docs:
+        image = media.decode_image(media.text_image((r["text"] or "").encode()))
+        tile = np.load(io.BytesIO(got[r["doc_id"]]["tile"]))
+        edge = lambda n: np.arange(media.TILE + 1) * n / media.TILE
+        share = [np.clip(np.minimum(edge(n)[1:, None], np.arange(1, n + 1)) - np.maximum(edge(n)[:-1, None], np.arange(n)), 0, None) * media.TILE / n for n in image.shape]
+        assert tile.dtype == np.uint8 and np.abs(share[0] @ image @ share[1].T - tile).max() <= 0.5 + 1e-6
+
+
 # ------------------------------------------------------------------------- op8
 
 def word_set(text):
