@@ -2,8 +2,9 @@
 
 A seed is a fixed mask over consecutive words that keeps five of them and ignores the
 others; MASKS holds the plain one and two with a gap, which together hit every stretch
-of 13 words with at most two words replaced (tests enumerate this). Seeds of benchmark
-items and of documents are joined by hash. Each hit gives an alignment (document, item,
+of 13 words with at most two words replaced. Items of under FULL_FROM words have, besides,
+seeds by LIGHT_MASKS, which keep four words: together all masks hit every overlap that the
+rule below allows, for items of any length (tests enumerate this). Seeds of benchmark items and of documents are joined by hash. Each hit gives an alignment (document, item,
 offset); the words of both along it are compared, and the pair counts as an overlap if
 some window of min(item length, VERIFY_WORDS) words has at least SIMILARITY of them equal.
 
@@ -29,6 +30,9 @@ from .common import doc_groups, lean, materialize, mix64, text_buffer, words
 from .ngram_join import BROADCAST_KEYS, text_keys
 
 MASKS = ("11111", "111011", "110111")
+#: For short items; documents have these seeds only if some item has.
+LIGHT_MASKS = ("1111", "10111", "11011", "11101")
+LEAST_WORDS, FULL_FROM = 5, 12
 VERIFY_WORDS = 13
 SIMILARITY = 0.8
 BLOOM_BITS = 1 << 24
@@ -39,7 +43,8 @@ def seeds(hashes: np.ndarray, woffs: np.ndarray, masks: tuple[str, ...] = MASKS)
     doc = np.repeat(np.arange(len(woffs) - 1), np.diff(woffs))
     place = np.arange(len(hashes)) - woffs[doc]
     out = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
+        number = (MASKS + LIGHT_MASKS).index(mask)
         n = max(0, len(hashes) - len(mask) + 1)
         value = np.full(n, 1000 + number, np.uint64)
         for j, c in enumerate(mask):
@@ -62,14 +67,22 @@ def _lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
 _ROW = "id long, k1 long, k2 int, words array<long>, h array<long>, p array<int>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Words and seeds of each text; with a bit table, seeds that pass it, and only the
-    texts that have some."""
+def _item_seeds(hashes: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds by MASKS, and by LIGHT_MASKS those of short items."""
+    h, p, doc = seeds(hashes, woffs, LIGHT_MASKS)
+    size = np.diff(woffs)[doc]
+    short = (size >= LEAST_WORDS) & (size < FULL_FROM)
+    return tuple(np.concatenate([x, y[short]]) for x, y in zip(seeds(hashes, woffs), (h, p, doc), strict=True))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, masks: tuple[str, ...] = MASKS) -> Iterator[pa.RecordBatch]:
+    """Words and seeds of each item; with a bit table, of each document those by `masks`
+    that pass it, and only the documents that have some."""
     for batch in batches:
         buf, offs = text_buffer(batch.column(3))
         for lo, hi in doc_groups(offs):
             _, _, hashes, woffs = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            h, p, doc = seeds(hashes, woffs)
+            h, p, doc = _item_seeds(hashes, woffs) if table is None else seeds(hashes, woffs, masks)
             if table is not None:
                 a, b = _probes(h)
                 ok = table[a] & table[b]
@@ -123,7 +136,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in item_seeds.select("h").coalesce(4).mapInArrow(lean(_bit_table), "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)
     table = spark.sparkContext.broadcast(bits)
-    held = materialize(form(docs, "doc_id").mapInArrow(lean(lambda it: _scan(it, np.unpackbits(table.value).astype(bool))), _ROW))
+    masks = MASKS + LIGHT_MASKS if items.filter(F.size("words") < FULL_FROM).limit(1).count() else MASKS
+    held = materialize(form(docs, "doc_id").mapInArrow(lean(lambda it: _scan(it, np.unpackbits(table.value).astype(bool), masks)), _ROW))
     texts = held.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.first("h").alias("h"), F.first("p").alias("p"))
     hits = texts.select("k1", "k2", F.explode(F.arrays_zip("h", "p")).alias("s")).select("k1", "k2", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     lines = hits.join(item_seeds, "h").select("k1", "k2", "item_id", "i1", "i2", (F.col("p") - F.col("ip")).alias("line")).distinct()

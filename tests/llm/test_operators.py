@@ -284,6 +284,24 @@ def test_decontamination_against_brute_force(spark, docs, corpus, none):
     assert clean.columns == SCHEMA.replace(",", "").split(" ")[::2] and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_short_items_match_with_any_words_replaced(spark):
+    rng = random.Random(15)
+    rows, items, want = [], [], {}
+    for n in range(5, 14):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for many in range(n // 5 + 2):
+            for gone in itertools.combinations(range(n), many):
+                words = ["zz" if k in gone else w for k, w in enumerate(item)]
+                rows.append((len(rows), " ".join([prose(rng, 6), *words, prose(rng, 6)])))
+                if n - many >= decontam.SIMILARITY * n:
+                    want[rows[-1][0], n] = n - many
+    items.append((4, "w4x0 w4x1 w4x2 w4x3"))
+    rows.append((len(rows), items[-1][1]))
+    found = decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in found.collect()} == want
+
+
 # ------------------------------------------------------------------------- op6
 
 @pytest.mark.parametrize("shards", [16, 5])
