@@ -12,8 +12,10 @@ trees of all languages are merged in one trie whose nodes carry a row of costs f
 each byte and language, so that scoring is a walk of MAX_ORDER table look-ups, done for
 a megabyte of text at a time.
 
-The classifier is fitted on a bounded sample: whole texts, at most TRAIN_BYTES for each
-language, chosen by hash. Texts longer than that are not trained on, but all are scored.
+The classifier is fitted on a bounded sample: whole distinct texts, at most TRAIN_BYTES for
+each language, those of the lowest hashes. Texts longer than that are not trained on, but
+all are scored. The trie holds at most MAX_CONTEXTS contexts that were seen twice: each
+language ranks its own by count, and the best ranks of all languages stay.
 
 Edge cases: a null text or one without a letter is `und` with score 0; with no training
 rows every text is `und`; an empty table gives an empty result; extra columns stay out.
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import KERNEL_BYTES, doc_groups, lean, text_buffer
+from .common import KERNEL_BYTES, doc_groups, drop_table, lean, materialize, text_buffer
 
 MAX_ORDER = 3
 TRAIN_BYTES = 600_000
@@ -101,16 +103,23 @@ def fit_ppm(texts: dict[str, list[bytes]], max_order: int = MAX_ORDER, max_conte
     classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8 if seen.sum() < 256 else np.uint16)
     n = int(classes.max()) + 1 if len(langs) else 1
     counts = {(lang, d): np.unique(_grams(*bufs[lang], d + 1), return_counts=True) for lang in langs for d in range(max_order + 1)}
-    # contexts of each depth by their count over all languages; a suffix counts at least as much
+    # contexts of each depth by their best rank among the counts of a language; a suffix counts at least as much
     found = []
+    own = {key: np.unique(code >> np.uint64(8), return_inverse=True) for key, (code, _) in counts.items()}
+    own = {key: (ctx, np.bincount(at, counts[key][1], len(ctx))) for key, (ctx, at) in own.items()}
+    order = {lang: np.sort(np.concatenate([own[lang, d][1] for d in range(1, max_order + 1)] or [np.zeros(0)])) for lang in langs}
     for d in range(1, max_order + 1):
-        code = np.concatenate([counts[lang, d][0] >> np.uint64(8) for lang in langs] or [np.zeros(0, np.uint64)])
-        much = np.concatenate([counts[lang, d][1] for lang in langs] or [np.zeros(0, np.int64)])
+        code = np.concatenate([own[lang, d][0] for lang in langs] or [np.zeros(0, np.uint64)])
+        much = np.concatenate([own[lang, d][1] for lang in langs] or [np.zeros(0)])
+        rank = np.concatenate([len(order[lang]) - np.searchsorted(order[lang], own[lang, d][1]) for lang in langs] or [np.zeros(0, np.int64)])
         ctx, at = np.unique(code, return_inverse=True)
-        found.append((ctx, np.bincount(at, much, len(ctx))))
-    every = np.sort(np.concatenate([x[1] for x in found] or [np.zeros(0)]))[::-1]
-    least = every[max_contexts] + 1 if len(every) > max_contexts else 2
-    levels = [np.zeros(1, np.uint64)] + [ctx[much >= least] for ctx, much in found]
+        best = np.full(len(ctx), np.iinfo(np.int64).max)
+        np.minimum.at(best, at, rank)
+        again = np.bincount(at, much, len(ctx)) >= 2
+        found.append((ctx[again], best[again]))
+    every = np.sort(np.concatenate([x[1] for x in found] or [np.zeros(0, np.int64)]))
+    least = every[max_contexts] if len(every) > max_contexts else np.iinfo(np.int64).max
+    levels = [np.zeros(1, np.uint64)] + [ctx[best < least] for ctx, best in found]
     first = [0, *np.cumsum([len(x) for x in levels])[:-1].tolist()]
     total = first[-1] + len(levels[-1])
     child = np.repeat(np.arange(total, dtype=np.int32), n)
@@ -139,16 +148,27 @@ def fit_ppm(texts: dict[str, list[bytes]], max_order: int = MAX_ORDER, max_conte
 
 def training_texts(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
     """Whole texts of rows (text, lang), at most about train_bytes for each language,
-    in the order of a hash of the text."""
+    in the order of a hash of the text. Copies count once."""
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     size = F.octet_length("text")
     rows = rows.filter(size.between(1, train_bytes))
-    share = {r["lang"]: min(1.0, 2.0 * train_bytes / r["b"]) for r in rows.groupBy("lang").agg(F.sum(size).alias("b")).collect()}
-    if not share:
-        return {}
     u = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    part = F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(p))])
-    sample = rows.filter(u < part[F.col("lang")]).select("lang", F.encode("text", "UTF-8").alias("t"), u.alias("u")).distinct()
+    # copies are one; the full hash and the size stand for a text
+    texts = materialize(rows.select("lang", F.xxhash64("text").alias("h"), size.alias("b"), u.alias("u")).distinct())
+    whole = {r["lang"]: r["b"] for r in texts.groupBy("lang").agg(F.sum("b").alias("b")).collect()}
+    if not whole:
+        drop_table(texts)
+        return {}
+    share = {lang: min(1.0, 2.0 * train_bytes / b) for lang, b in whole.items()}
+    below = lambda: F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(p))])[F.col("lang")]
+    while True:  # few long texts may leave a draw short
+        drawn = {r["lang"]: r["b"] for r in texts.filter(F.col("u") < below()).groupBy("lang").agg(F.sum("b").alias("b")).collect()}
+        short = [lang for lang, b in whole.items() if share[lang] < 1.0 and drawn.get(lang, 0) < train_bytes]
+        if not short:
+            break
+        share |= {lang: min(1.0, 2 * share[lang]) for lang in short}
+    drop_table(texts)
+    sample = rows.filter(u < below()).select("lang", F.encode("text", "UTF-8").alias("t"), u.alias("u")).distinct()
     out: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["u"], r["t"])):

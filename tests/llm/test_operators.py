@@ -225,6 +225,27 @@ def test_ppm_costs_and_accuracy(spark, docs, none, sf):
     assert langid.predict_documents(none).count() == 0
 
 
+def test_training_counts_copies_once(spark):
+    rng = random.Random(33)
+    few, copy = [prose(rng, 40) for _ in range(6)], prose(rng, 40)
+    rows = spark.createDataFrame([*((t, "aa") for t in few), *((prose(rng, 40), "bb") for _ in range(6))], "text string, lang string")
+    many = spark.range(20_000).select(F.lit(copy).alias("text"), F.lit("aa").alias("lang"))
+    got = langid.training_texts(rows.unionByName(many), 5_000)
+    assert {x.decode() for x in got["aa"]} == {*few, copy} and len(got["bb"]) == 6
+
+
+def test_small_languages_keep_their_contexts():
+    rng = random.Random(34)
+    large = ["".join(rng.choice("abcdefghijklm") for _ in range(40_000)).encode()]
+    small = [("".join(rng.choice(["nopq", "rstu", "vwxy"]) for _ in range(60))).encode()]
+    model = langid.fit_ppm({"large": large, "small": small}, max_contexts=400)
+    assert model.first[-1] + 1 <= len(model.child) // model.n_classes <= 401
+    alone = langid.fit_ppm({"small": small})
+    text = np.frombuffer(small[0], np.uint8)
+    bits = model.bits(text, np.array([0, len(text)]))[0]
+    assert bits[1] == pytest.approx(alone.bits(text, np.array([0, len(text)]))[0, 0], rel=0.02) and bits[1] < bits[0]
+
+
 # ------------------------------------------------------------------------- op4
 
 def test_mixing_meets_margins_and_both_paths_agree(docs, none):
