@@ -3,8 +3,10 @@ text buffers as numpy arrays, rolling hashes and word positions."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
+import shutil
 import sys
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,32 +27,69 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session has none (local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, and in it one of
+    this application. Without that setting, a temporary folder in local mode, where all
+    run on one machine; an error elsewhere."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_DIR:
-            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
+            own = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN_DIR.append("file://" + own)
         path = _OWN_DIR[0]
-    return path
+    return f"{path}/siltstone/{sc.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: a cut of the lineage that
-    outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables of this application, once none of its results is read any more."""
+    _remove(spark, shared_dir(spark))
+
+
+class Tables:
+    """Tables in the shared folder: cuts of the lineage that outlive executors. On leaving
+    the block all of them go but those that keep() wrote, which a result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        for _, path in self.paths.values():
+            _remove(self.spark, path)
 
-def drop_table(df: DataFrame) -> None:
-    """Remove what materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getParent().getName() == "siltstone":
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        out, path = self._write(df)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove one table before the block ends."""
+        _remove(self.spark, self.paths.pop(id(df))[1])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again, to be read after the block; see clear()."""
+        return self._write(df)[0]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again; it stays until clear()."""
+    return Tables(df.sparkSession).keep(df)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -71,6 +111,9 @@ def utf8_crc32(col: Column) -> Column:
     return F.crc32(F.encode(col, "UTF-8"))
 
 
+def text_volume(docs: DataFrame, col: str = "text") -> int:
+    """Bytes of all texts: sizes of partitions and buckets follow from it."""
+    return int(docs.agg(F.sum(F.octet_length(col).cast("long"))).first()[0] or 0)
 
 
 def shuffle_parts(spark: SparkSession, volume: float, per_part: float) -> int:
@@ -167,15 +210,32 @@ class Rolling:
         return (self.sums[k:] - self.sums[:-k]) * self.inverse[:n]
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans in rising order; equal bytes, equal hashes. Works on KERNEL_BYTES
-    at once, or on one longer span."""
-    out, i = np.zeros(len(start), np.uint64), 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + KERNEL_BYTES, side="right")))
-        at = int(start[i])
-        out[i:j] = Rolling(buf[at : int(end[j - 1])]).spans(start[i:j] - at, end[i:j] - at)
-        i = j
+#: Spans over this are hashed one by one.
+_LONG = 256
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of spans; equal bytes, equal hashes. Eight bytes at a time go through a
+    bijection that is not linear, so that no family of texts collides by its form, as
+    under polynomials mod 2^64; a long span has its xxh3."""
+    size = end - start
+    out = mix64((size.astype(np.uint64) + np.uint64(seed)) * np.uint64(_ODD))
+    if not len(start):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero((size > 0) & (size <= _LONG))
+    begin, left = start[at], size[at]
+    while len(at):
+        bits = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        value = eight[begin] & (np.uint64(2**64 - 1) >> (np.uint64(64) - bits))
+        out[at] = mix64((out[at] ^ value) * np.uint64(_ODD))
+        more = left > 8
+        at, begin, left = at[more], begin[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
     return out
 
 
@@ -288,6 +348,83 @@ def bucket_rows(hashes: np.ndarray, buckets: int, *values: np.ndarray) -> Iterat
         yield int(bucket[lo]), [c[lo:hi].tobytes() for c in columns]
 
 
+class Known:
+    """What a task has found of hashes that it met more than once, for its later batches:
+    a hash that a third of all rows have then leaves a task once or twice, not with every
+    batch. It holds the `room` hashes met last; what it forgets is merged after the shuffle."""
+
+    def __init__(self, columns: int, room: int = 1 << 16):
+        self.hashes, self.turn, self.room = np.zeros(0, np.uint64), 0, room
+        self.values, self.age = np.zeros((columns, 0), np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, values by column) for each hash."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros((len(self.values), len(hashes)), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        ok = self.hashes[at] == hashes
+        self.age[at[ok]] = self.turn
+        return ok, self.values[:, at]
+
+    def add(self, hashes: np.ndarray, *values: np.ndarray) -> None:
+        """Distinct hashes with their values, which replace earlier ones."""
+        self.turn += 1
+        stay = ~np.isin(self.hashes, hashes)
+        h = np.concatenate([self.hashes[stay], hashes])
+        v = np.concatenate([self.values[:, stay], np.array(values, np.int64).reshape(len(self.values), len(hashes))], 1)
+        age = np.concatenate([self.age[stay], np.full(len(hashes), self.turn)])
+        if len(h) > self.room:
+            last = np.argsort(-age, kind="stable")[: self.room]
+            h, v, age = h[last], v[:, last], age[last]
+        order = np.argsort(h)
+        self.hashes, self.values, self.age = h[order], v[:, order], age[order]
+
+
+#: Bytes that a bucket holds on average; a task holds a few buckets at once.
+BUCKET_BYTES = 8 << 20
+#: Bytes that a shuffle partition holds on average, where the session's count is too small.
+PART_BYTES = 256 << 20
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def bucket_count(spark: SparkSession, volume: float) -> int:
+    """Buckets for `volume` bytes: their number grows with it, their size does not."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / BUCKET_BYTES))
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], step: Step) -> Iterator[pa.RecordBatch]:
+    """step() over whole buckets of rows that come sorted by `bucket`, as few at a time
+    as have BUCKET_BYTES."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket").to_numpy()
+        edges = np.flatnonzero(np.append(last is None or bucket[0] != last, bucket[1:] != bucket[:-1]))
+        at = 0
+        for edge in [*edges.tolist(), batch.num_rows]:
+            if edge > at:
+                held.append(batch.slice(at, edge - at))
+                size += held[-1].nbytes
+                at = edge
+            if edge < batch.num_rows and size >= BUCKET_BYTES:
+                yield from step(iter(held))
+                held, size = [], 0
+        last = bucket[-1]
+    if held:
+        yield from step(iter(held))
+
+
+def in_buckets(rows: DataFrame, volume: float, step: Step, schema: str) -> DataFrame:
+    """step() over all rows of each bucket. Partitions hold many buckets and come sorted,
+    which spills if it must; a task's memory is that of some buckets, whatever the input."""
+    parts = shuffle_parts(rows.sparkSession, volume, PART_BYTES)
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(lambda it: _whole_buckets(it, step)), schema)
+
+
 # ------------------------------------------------------ connected components
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,19 +432,20 @@ def components(edges: DataFrame) -> DataFrame:
     reaches. Large-star and small-star rounds turn each component into one star; each
     round joins minima back to edges, so that no neighbourhood is collected."""
     spark = edges.sparkSession
-    pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    star, before = materialize(pairs), None
-    while True:
-        now = star.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        drop_table(star)
-        star = new
-    return star.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    with Tables(spark) as t:
+        pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        star, before = t.table(pairs), None
+        while True:
+            now = star.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+            if now == before or now[0] == 0:
+                break
+            before = now
+            both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            new = t.table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+            t.drop(star)
+            star = new
+        return t.keep(star.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))

@@ -8,14 +8,17 @@ shorter context, down to 1/256 for any byte. The language with the shortest exac
 for the whole text wins.
 
 As statistics are frozen, the cost of a byte depends on its context node alone. The
-trees of all languages are merged in one trie whose nodes carry a row of costs for
-each byte and language, so that scoring is a walk of MAX_ORDER table look-ups, done for
-a megabyte of text at a time.
+trees of all languages are merged in one trie of all contexts that were seen twice. Only
+bytes that some language has seen in a context have a row of costs there, one for each
+language; any other byte has the row of the next shorter context that has seen it, and
+pays the escapes on the way, which are summed beforehand. So scoring is a walk of
+MAX_ORDER table look-ups and two rows for a byte, some 100 kB of text at a time.
 
 The classifier is fitted on a bounded sample: whole distinct texts, at most TRAIN_BYTES for
 each language, those of the lowest hashes. Texts longer than that are not trained on, but
-all are scored. The trie holds at most MAX_CONTEXTS contexts that were seen twice: each
-language ranks its own by count, and the best ranks of all languages stay.
+all are scored. Nothing else bounds the trie: what it holds follows from the sample. The
+model is broadcast, so one of over MODEL_BYTES (hundreds of languages) is refused with
+an error that says so; a smaller train_bytes mends that.
 
 Edge cases: a null text or one without a letter is `und` with score 0; with no training
 rows every text is `und`; an empty table gives an empty result; extra columns stay out.
@@ -32,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import KERNEL_BYTES, doc_groups, drop_table, lean, materialize, text_buffer
+from .common import KERNEL_BYTES, Tables, doc_groups, lean, text_buffer
 
 MAX_ORDER = 3
 TRAIN_BYTES = 600_000
-MAX_CONTEXTS = 24_000
+MODEL_BYTES = 512 << 20
 UNDETERMINED = "und"
 
 
@@ -46,7 +49,14 @@ class PpmModel:
     classes: np.ndarray  # byte -> symbol class; 0: never seen
     first: list[int]  # first node of each depth
     child: np.ndarray  # node * n_classes + class -> deeper node or the node itself
-    cost: np.ndarray  # (node * n_classes + class, language) -> bits
+    row: np.ndarray  # node * n_classes + class -> row of cost
+    depth: np.ndarray  # of each row's context
+    cost: np.ndarray  # (row, language) -> bits
+    escape: np.ndarray  # (node * (order + 1) + depth, language) -> bits of the escapes down to that depth
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.child, self.row, self.depth, self.cost, self.escape))
 
     @property
     def n_classes(self) -> int:
@@ -73,7 +83,9 @@ class PpmModel:
                     prev[at[(at >= 0) & (at < hi - lo)]] = 0
                 down = self.child[node * n + prev]
                 node = down if d == 1 else np.where(node >= self.first[d - 1], down, node)
-            bits = np.take(self.cost, node * n + cls[lo - back :], axis=0)
+            row = self.row[node * n + cls[lo - back :]]
+            bits = np.take(self.cost, row, axis=0)
+            bits += np.take(self.escape, node * (order + 1) + self.depth[row], axis=0)
             edges = np.clip(starts - lo, 0, hi - lo)
             full = np.diff(np.append(edges, hi - lo)) > 0
             if full.any():
@@ -93,57 +105,66 @@ def _grams(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
     return code[left[:n] >= k]
 
 
-def fit_ppm(texts: dict[str, list[bytes]], max_order: int = MAX_ORDER, max_contexts: int = MAX_CONTEXTS) -> PpmModel:
+def fit_ppm(texts: dict[str, list[bytes]], max_order: int = MAX_ORDER) -> PpmModel:
     """Frozen statistics of the given texts; languages in alphabetical order."""
     langs = sorted(texts)
     bufs = {lang: (np.frombuffer(b"".join(texts[lang]), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts[lang]])]).astype(np.int64)) for lang in langs}
     seen = np.zeros(256, bool)
     for buf, _ in bufs.values():
         seen[buf] = True
-    classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8 if seen.sum() < 256 else np.uint16)
+    classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint16)
     n = int(classes.max()) + 1 if len(langs) else 1
     counts = {(lang, d): np.unique(_grams(*bufs[lang], d + 1), return_counts=True) for lang in langs for d in range(max_order + 1)}
-    # contexts of each depth by their best rank among the counts of a language; a suffix counts at least as much
-    found = []
-    own = {key: np.unique(code >> np.uint64(8), return_inverse=True) for key, (code, _) in counts.items()}
-    own = {key: (ctx, np.bincount(at, counts[key][1], len(ctx))) for key, (ctx, at) in own.items()}
-    order = {lang: np.sort(np.concatenate([own[lang, d][1] for d in range(1, max_order + 1)] or [np.zeros(0)])) for lang in langs}
+    none = np.zeros(0, np.uint64)
+    # contexts of each depth that were seen twice; a suffix was seen at least as often
+    levels = [np.zeros(1, np.uint64)]
     for d in range(1, max_order + 1):
-        code = np.concatenate([own[lang, d][0] for lang in langs] or [np.zeros(0, np.uint64)])
-        much = np.concatenate([own[lang, d][1] for lang in langs] or [np.zeros(0)])
-        rank = np.concatenate([len(order[lang]) - np.searchsorted(order[lang], own[lang, d][1]) for lang in langs] or [np.zeros(0, np.int64)])
-        ctx, at = np.unique(code, return_inverse=True)
-        best = np.full(len(ctx), np.iinfo(np.int64).max)
-        np.minimum.at(best, at, rank)
-        again = np.bincount(at, much, len(ctx)) >= 2
-        found.append((ctx[again], best[again]))
-    every = np.sort(np.concatenate([x[1] for x in found] or [np.zeros(0, np.int64)]))
-    least = every[max_contexts] if len(every) > max_contexts else np.iinfo(np.int64).max
-    levels = [np.zeros(1, np.uint64)] + [ctx[best < least] for ctx, best in found]
+        ctx, at = np.unique(np.concatenate([none, *(counts[lang, d][0] >> np.uint64(8) for lang in langs)]), return_inverse=True)
+        much = np.bincount(at, np.concatenate([none, *(counts[lang, d][1] for lang in langs)]), len(ctx))
+        levels.append(ctx[much >= 2])
     first = [0, *np.cumsum([len(x) for x in levels])[:-1].tolist()]
     total = first[-1] + len(levels[-1])
-    child = np.repeat(np.arange(total, dtype=np.int32), n)
-    cost = np.zeros((total, n, len(langs)), np.float32)
+    child, row = np.repeat(np.arange(total, dtype=np.int32), n), np.zeros((total, n), np.int32)
+    escape = np.zeros((total, max_order + 1, len(langs)), np.float32)
+    cost, depth = [np.zeros((1, len(langs)), np.float32)], [np.zeros(1, np.int8)]
+    rows = 1
     for d, level in enumerate(levels):
         ids = first[d] + np.arange(len(level))
+        # what each language has seen here: its own counts and escapes
+        grams = np.unique(np.concatenate([none, *(counts[lang, d][0] for lang in langs)]))
+        grams = grams[np.isin(grams >> np.uint64(8), level)]
+        node = np.searchsorted(level, grams >> np.uint64(8))
+        sym = classes[(grams & np.uint64(255)).astype(np.int64)]
+        own = np.full((len(level), len(langs)), 0.0, np.float32)
+        coded = np.full((len(grams), len(langs)), np.nan, np.float32)
+        for k, lang in enumerate(langs):
+            code, much = counts[lang, d]
+            at = np.searchsorted(grams, code)
+            ok = grams[np.minimum(at, len(grams) - 1)] == code if len(grams) else np.zeros(len(code), bool)
+            at, much = at[ok], much[ok].astype(np.float64)
+            sums, kinds = np.bincount(node[at], much, len(level)), np.bincount(node[at], minlength=len(level))
+            has = kinds > 0
+            own[has, k] = -np.log2(kinds[has] / (sums[has] + kinds[has]))
+            coded[at, k] = -np.log2(much / (sums[node[at]] + kinds[node[at]]))
         if d == 0:
-            parent = None
-            cost[0] = 8.0
+            cost[0][0] = 8.0 + (own[0] if len(own) else 0.0)  # a byte that no language has seen
+            below = np.broadcast_to(np.float32(8.0), coded.shape)
         else:
             parent = first[d - 1] + np.searchsorted(levels[d - 1], level & np.uint64(256 ** (d - 1) - 1))
             oldest = classes[(level >> np.uint64(8 * (d - 1))).astype(np.int64)].astype(np.int64)
             child[parent * n + oldest] = ids
-            cost[ids] = cost[parent]
-        for k, lang in enumerate(langs):
-            code, much = counts[lang, d]
-            at = np.searchsorted(level, code >> np.uint64(8))
-            ok = (at < len(level)) & (level[np.minimum(at, len(level) - 1)] == code >> np.uint64(8)) if len(level) else np.zeros(len(code), bool)
-            at, much, sym = at[ok], much[ok].astype(np.float64), classes[(code[ok] & np.uint64(255)).astype(np.int64)]
-            sums, kinds = np.bincount(at, much, len(level)), np.bincount(at, minlength=len(level))
-            has = kinds > 0
-            cost[ids[has], :, k] += -np.log2(kinds[has] / (sums[has] + kinds[has]))[:, None]
-            cost[ids[at], sym, k] = -np.log2(much / (sums[at] + kinds[at]))
-    return PpmModel(langs, classes, first, child, cost.reshape(total * n, len(langs)))
+            row[ids] = row[parent]
+            escape[ids] = escape[parent]
+            escape[ids, :d] += own[:, None, :]
+            have = np.concatenate(cost)
+            from_ = row[parent[node], sym]
+            shorter = np.concatenate(depth)[from_].astype(np.int64)
+            below = have[from_] + escape[parent[node], shorter]
+        cost.append(np.where(np.isnan(coded), own[node] + below, coded).astype(np.float32))
+        depth.append(np.full(len(grams), d, np.int8))
+        row[ids[node], sym] = rows + np.arange(len(grams))
+        rows += len(grams)
+    return PpmModel(langs, classes, first, child, row.reshape(-1), np.concatenate(depth), np.concatenate(cost), escape.reshape(total * (max_order + 1), len(langs)))
 
 
 def training_texts(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
@@ -154,20 +175,19 @@ def training_texts(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str,
     rows = rows.filter(size.between(1, train_bytes))
     u = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     # copies are one; the full hash and the size stand for a text
-    texts = materialize(rows.select("lang", F.xxhash64("text").alias("h"), size.alias("b"), u.alias("u")).distinct())
-    whole = {r["lang"]: r["b"] for r in texts.groupBy("lang").agg(F.sum("b").alias("b")).collect()}
-    if not whole:
-        drop_table(texts)
-        return {}
-    share = {lang: min(1.0, 2.0 * train_bytes / b) for lang, b in whole.items()}
-    below = lambda: F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(p))])[F.col("lang")]
-    while True:  # few long texts may leave a draw short
-        drawn = {r["lang"]: r["b"] for r in texts.filter(F.col("u") < below()).groupBy("lang").agg(F.sum("b").alias("b")).collect()}
-        short = [lang for lang, b in whole.items() if share[lang] < 1.0 and drawn.get(lang, 0) < train_bytes]
-        if not short:
-            break
-        share |= {lang: min(1.0, 2 * share[lang]) for lang in short}
-    drop_table(texts)
+    with Tables(rows.sparkSession) as tables:
+        texts = tables.table(rows.select("lang", F.xxhash64("text").alias("h"), size.alias("b"), u.alias("u")).distinct())
+        whole = {r["lang"]: r["b"] for r in texts.groupBy("lang").agg(F.sum("b").alias("b")).collect()}
+        if not whole:
+            return {}
+        share = {lang: min(1.0, 2.0 * train_bytes / b) for lang, b in whole.items()}
+        below = lambda: F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(p))])[F.col("lang")]
+        while True:  # few long texts may leave a draw short
+            drawn = {r["lang"]: r["b"] for r in texts.filter(F.col("u") < below()).groupBy("lang").agg(F.sum("b").alias("b")).collect()}
+            short = [lang for lang, b in whole.items() if share[lang] < 1.0 and drawn.get(lang, 0) < train_bytes]
+            if not short:
+                break
+            share |= {lang: min(1.0, 2 * share[lang]) for lang in short}
     sample = rows.filter(u < below()).select("lang", F.encode("text", "UTF-8").alias("t"), u.alias("u")).distinct()
     out: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
@@ -187,6 +207,8 @@ def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ("doc_id"
     the probability that all languages give the text) and bits_per_byte, under the
     names `out`."""
     spark = docs.sparkSession
+    if model.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model of {len(model.langs)} languages has {model.nbytes >> 20} MB, more than MODEL_BYTES: fit it with a smaller train_bytes")
     held = spark.sparkContext.broadcast(model)
     inner = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, inner, strict=True)], has_letter(F.col(text)).alias("_ok"), *([] if text in keep else [F.col(text).alias("_t")]))

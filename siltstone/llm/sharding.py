@@ -1,16 +1,24 @@
 """Sharding by a k-d tree, with DataFrame functions only.
 
-Rows become points in a few metadata dimensions. A node that stands for several
-shards is split along its widest dimension at the weighted quantile that leaves
-each side its share of the bytes; nodes of one depth are split in the same passes.
+Rows become points in a few metadata dimensions: source, language, log of the size, share
+of bytes beyond ASCII. Rows of equal texts are one point (the smallest source and language
+of them count), so that they stay together unless a cut falls among them. A node that
+stands for several shards is split along its widest dimension at the weighted quantile
+that leaves each side its share of the bytes; nodes of one depth are split in the same
+passes. Names become numbers by their share of bytes: a value stands at the middle of
+its stretch when all values are laid side by side in alphabetical order.
+
 The quantile is found by histogram refinement: every pass counts the node's bytes
 in BINS equal bins of the current interval, keeps the bin in which the quantile
 falls, and goes on inside it, first along the dimension and then, among equal
-values, along content hash and doc_id. A pass shuffles partial sums only, and the
-driver sees one bin of each node; no node is ever sorted or brought together.
+values, along content hash and doc_id, which only break ties. A pass shuffles partial sums
+only, and the driver sees one bin of each node; no node is ever sorted or brought together.
+The table of points is written once: a row's node follows from the cuts found so far, which
+are few and stand in the query as constants.
 
 Edge cases: a null text has no bytes and size 1; a null doc_id sorts before all
-others; null dimensions count as 0; identical rows go to the same side; an empty
+others; null sources and languages are a value of their own, before all others; a table
+without these columns has one value for all; identical rows go to the same side; an empty
 table gives an empty result with the same columns; columns of the input other than
 those asked for are ignored, so their names cannot clash.
 """
@@ -22,24 +30,36 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, shuffle_parts, text_or_empty, utf8_crc32
+from .common import Tables, shuffle_parts, text_or_empty, utf8_crc32
 
 BINS = 4096
 #: Rows that one slot bucket holds on average.
 BUCKET_ROWS = 50_000
+#: Tables up to this number of rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _TIES = ("_crc", "_hi_id", "_lo_id")
 
 
 def text_dims() -> dict[str, Column]:
-    """Dimensions that follow from the text, so that equal texts are one point: log
-    of the size, share of bytes beyond ASCII (scripts and languages), content hash."""
+    """Dimensions that follow from the text: log of the size, and share of bytes beyond
+    ASCII (scripts and languages)."""
     text = text_or_empty()
     size = F.octet_length(text) + F.lit(1)
-    return {
-        "log_size": F.log2(size.cast("double")),
-        "beyond_ascii": (F.octet_length(text) - F.char_length(text)) / size,
-        "content": utf8_crc32(text).cast("double"),
-    }
+    return {"log_size": F.log2(size.cast("double")), "beyond_ascii": (F.octet_length(text) - F.char_length(text)) / size}
+
+
+def name_positions(rows: DataFrame, name: str, weight: str = "size") -> DataFrame:
+    """(name, position): the middle of a value's stretch in 0 to 1, by weight, in
+    alphabetical order, null first. Running sums go bucket by bucket of the first two
+    characters, so that very many values (sources may be host names) are no one task's."""
+    value, part = F.col(name), F.coalesce(F.substring(F.col(name), 1, 2), F.lit(""))
+    sums = rows.groupBy(name).agg(F.sum(weight).cast("double").alias("_w")).withColumn("_part", part)
+    parts = sums.groupBy("_part").agg(F.sum("_w").alias("_sum"))  # as many as pairs of characters
+    all_ = Window.partitionBy(F.lit(0))
+    parts = parts.select("_part", (F.sum("_sum").over(all_.orderBy("_part")) - F.col("_sum")).alias("_from"), F.sum("_sum").over(all_).alias("_all"))
+    upto = F.sum("_w").over(Window.partitionBy("_part").orderBy(value.asc_nulls_first()))
+    placed = sums.withColumn("_upto", upto).join(F.broadcast(parts), "_part")
+    return placed.select(name, ((F.col("_from") + F.col("_upto") - F.col("_w") / 2) / F.col("_all")).alias("position"))
 
 
 @dataclass
@@ -80,19 +100,18 @@ def _keys() -> Column:
     return F.array(F.col("_dims")[F.col("_wide")], *[F.col(c) for c in _TIES])
 
 
-def kd_shards(rows: DataFrame, dims: list[str], shards: int = 16, weight: str = "size") -> DataFrame:
-    """rows (doc_id, weight, text_crc32 and the dims) with `shard` added. All of
-    `shards` leaves get near equal sums of weight."""
+def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str = "size") -> DataFrame:
+    """points (doc_id, weight, text_crc32 and the dims; a table that is read often) with
+    `shard` added. All of `shards` leaves get near equal sums of weight. Of the groups of
+    rows that are equal in all dims and in text_crc32 each cut divides at most one."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    table = materialize(
-        rows.select(
-            *rows.columns,
-            F.array(*[F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims]).alias("_dims"),
-            F.col("text_crc32").cast("double").alias("_crc"),
-            F.shiftright(key, 32).cast("double").alias("_hi_id"),
-            key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias("_lo_id"),
-            F.lit(0).alias("_node"),
-        )
+    table = points.select(
+        *points.columns,
+        F.array(*[F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims]).alias("_dims"),
+        F.col("text_crc32").cast("double").alias("_crc"),
+        F.shiftright(key, 32).cast("double").alias("_hi_id"),
+        key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias("_lo_id"),
+        F.lit(0).alias("_node"),
     )
     nodes, whole = [_Node(0, shards)], None
     while any(n.shards > 1 for n in nodes):
@@ -100,22 +119,22 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int = 16, weight: str =
         whole = _extents(table, open_, len(dims), whole, weight)
         while pending := [n for n in open_ if not n.done]:
             _refine(table, pending, weight)
-        if cut := [n for n in open_ if not n.empty]:
-            table, old = materialize(_split(table, cut)), table
-            drop_table(old)
+        table = table.withColumn("_node", _split([n for n in open_ if not n.empty]))
         nodes = [x for n in nodes for x in ([n] if n.shards == 1 else [_Node(n.first, n.shards // 2), _Node(n.first + n.shards // 2, n.shards - n.shards // 2)])]
     return table.withColumnRenamed("_node", "shard").drop("_dims", *_TIES)
 
 
-def _split(table: DataFrame, nodes: list[_Node]) -> DataFrame:
+def _split(nodes: list[_Node]) -> Column:
     """The rows after their node's cut, in the order of the keys, move to its right child."""
-    state = _state(table.sparkSession, nodes).select("_node", "_next", "_wide", "_fixed", "_right")
-    keys = _keys()
-    after = F.col("_right")
-    for k in reversed(range(KEYS)):
-        after = (keys[k] > F.col("_fixed")[k]) | ((keys[k] == F.col("_fixed")[k]) & after)
-    moved = table.join(state, "_node", "left")
-    return moved.select(*[c for c in table.columns if c != "_node"], F.when(after, F.col("_next")).otherwise(F.col("_node")).alias("_node"))
+    node = F.col("_node")
+    to = node
+    for n in nodes:
+        keys = [F.col("_dims")[n.wide], *[F.col(c) for c in _TIES]]
+        after = F.lit(n.right)
+        for key, value in zip(reversed(keys), reversed(n.fixed), strict=True):
+            after = (key > F.lit(value)) | ((key == F.lit(value)) & after)
+        to = F.when((node == n.first) & after, F.lit(n.first + n.shards // 2)).otherwise(to)
+    return to
 
 
 def _extents(table: DataFrame, nodes: list[_Node], dims: int, whole: list[float] | None, weight: str) -> list[float]:
@@ -190,15 +209,39 @@ def with_slots(rows: DataFrame) -> DataFrame:
     return numbered.join(offsets, ["shard", "_bucket"]).withColumn("slot", (F.col("_from") + F.col("_at")).cast("long")).drop("_bucket", "_from", "_at")
 
 
+def _with_metadata(rows: DataFrame, names: list[str], tables: Tables) -> DataFrame:
+    """rows with dim_<name> for columns `names`. Texts whose copies differ in them take the
+    smallest value of all, so that equal texts are one point."""
+    held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    differ = F.lit(False)
+    for n in names:
+        differ |= ~F.col(f"_l{n}").eqNullSafe(F.col(f"_h{n}"))
+    aggs = [f(F.struct(n))[n].alias(f"_{k}{n}") for n in names for f, k in ((F.min, "l"), (F.max, "h"))]
+    mixed = tables.table(rows.groupBy("_text").agg(*aggs).filter(differ).select("_text", F.lit(True).alias("_mixed"), *[f"_l{n}" for n in names]))
+    rows = rows.join(held(mixed), "_text", "left")
+    rows = tables.table(rows.select(*[c for c in rows.columns if c not in names and c[:2] != "_l" and c != "_mixed"], *[F.when(F.col("_mixed"), F.col(f"_l{n}")).otherwise(F.col(n)).alias(n) for n in names]))
+    for n in names:
+        at = tables.table(name_positions(rows, n).withColumnRenamed(n, "_value"))
+        rows = rows.join(held(at), F.col(n).eqNullSafe(F.col("_value")), "left").drop("_value").withColumnRenamed("position", f"dim_{n}")
+    return rows.drop(*names)
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, dims: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every document."""
-    dims = dims or text_dims()
+    """doc_id, size, text_crc32, shard and slot of every document. Dimensions are those
+    given, or text_dims() with the positions of source and lang."""
+    names = [n for n in ("source", "lang") if n in docs.columns] if dims is None else []
+    dims = text_dims() if dims is None else dims
     text = text_or_empty()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         utf8_crc32(text).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("_text"),
         *[v.alias(f"dim_{k}") for k, v in dims.items()],
+        *[F.col(n).cast("string").alias(n) for n in names],
     )
-    placed = kd_shards(rows, [f"dim_{k}" for k in dims], shards)
-    return with_slots(placed).drop(*[f"dim_{k}" for k in dims])
+    with Tables(docs.sparkSession) as tables:
+        rows = tables.table(rows)
+        points = tables.table((_with_metadata(rows, names, tables) if names else rows).drop("_text"))
+        placed = kd_shards(points, [f"dim_{k}" for k in [*names, *dims]], shards)
+        return with_slots(tables.keep(placed.select("doc_id", "size", "text_crc32", "shard")))

@@ -4,7 +4,9 @@ Which 100-byte windows can be repeated at all is narrowed down first, without lo
 smallest hash among a window's 69 grams of 32 bytes is its anchor, and equal windows
 have equal anchors at equal places. Only texts' windows whose anchor occurs twice go on,
 as short strings (contexts) around the anchor, dealt by the anchor's hash; equal contexts
-are one, standing at its earliest place.
+are one, standing at its earliest place. A window that equals the one a short period
+before it, as all but the first few windows of a periodic stretch do, is a repeat at once
+and in no context.
 
 Contexts that share an anchor but differ are then compared as follows. They are split
 into shards; each shard gets a suffix array of its own and from it a Burrows-Wheeler
@@ -14,13 +16,20 @@ which suffixes are in order by one symbol more. Two neighbours are told apart in
 round that first separates them, which is their common prefix; after 100 rounds the
 blocks left are the intervals of suffixes with 100 equal bytes. No suffix is sorted anew.
 
-In each interval all windows but the one with the smallest (doc_id, start) are repeats,
-and their bytes go. Equal texts are compared once: a copy with a larger doc_id has only
-repeated windows.
+An anchor with contexts of over HOT_BYTES (a phrase in very many surroundings) is split by
+a second, finer one: windows whose anchor stands at nearly the same place, CELL of them,
+have all but CELL - 1 bytes in common, and the hash of these is the finer anchor. Its
+contexts are dealt anew and merged in the same way.
+
+In each interval all windows but those of the smallest doc_id, and of these the first one
+in its text, are repeats, and their bytes go. Equal texts are compared once: a copy with a
+larger doc_id has only repeated windows.
 
 Edge cases: null texts are empty; texts under 100 bytes lose nothing; a null doc_id
-sorts before all others; repeated rows (same id, same text) are not earlier than each
-other; an empty table gives an empty result; extra columns stay out.
+sorts before all others. A document is a doc_id with a text: different texts of one id, or
+without an id, are different documents, neither earlier than the other, and lose only
+what a smaller id has or what they repeat themselves; repeated rows (same id, same text)
+lose the same. An empty table gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -33,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, binary_column, bucket_rows, doc_groups, lean, materialize, mix64, span_hashes, text_buffer, text_or_empty
+from .common import Known, Rolling, Tables, binary_column, bucket_count, bucket_of, bucket_rows, doc_groups, in_buckets, lean, mix64, span_hashes, text_buffer, text_or_empty
 from .ngram_join import _runs as distinct_runs
 from .ngram_join import text_keys
 from .substring import NULL_ID, doc_ids
@@ -41,8 +50,12 @@ from .substring import NULL_ID, doc_ids
 LENGTH = 100
 GRAM = 32
 SHARDS = 4
-#: Bytes of contexts merged at once; one anchor's contexts stay together.
+#: Bytes of contexts merged at once, of one anchor or of several.
 MERGE_BYTES = 1 << 20
+#: Bytes of contexts of one anchor from which on a finer anchor splits them.
+HOT_BYTES = 4 << 20
+#: Places of the anchor in its window that one finer anchor covers.
+CELL = 3
 _SEGMENT = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -59,9 +72,26 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
+def _after_period(own: np.ndarray, at: np.ndarray, anchor: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows (starts `at`, in rising order) equal the window a period before them,
+    in the same document. Periods to try: distances of consecutive equal anchors."""
+    out = np.zeros(len(at), bool)
+    run = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    near = (anchor[run][1:] == anchor[run][:-1]) & (doc[run][1:] == doc[run][:-1])
+    for p in np.unique(np.diff(place[run])[near]).tolist():
+        if 0 < p <= LENGTH - GRAM:
+            differ = np.append(0, np.cumsum(own[p:] != own[:-p]))  # of own[i + p], own[i]
+            back = np.searchsorted(at, at - p)
+            ok = (at >= p) & (doc[np.minimum(back, len(at) - 1)] == doc) & (at[np.minimum(back, len(at) - 1)] == at - p)
+            i = np.where(ok, at - p, 0)
+            out |= ok & (differ[i + LENGTH] == differ[i])
+    return out
+
+
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: (anchor hash, document, first window's start, last
-    window's start, anchor's place - first start); starts count from the buffer's begin."""
+    window's start, anchor's place - first start, whether the windows repeat those a period
+    before); starts count from the buffer's begin."""
     parts = []
     for lo in range(0, max(0, len(buf) - LENGTH + 1), _SEGMENT):
         own = buf[lo : lo + _SEGMENT + LENGTH - 1]
@@ -74,13 +104,14 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         start, doc, place = start[ok], doc[ok], place[ok]
         if not len(start):
             continue
-        first = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))
+        again = _after_period(own, start - lo, h[place], place, doc)
+        first = np.append(True, (doc[1:] != doc[:-1]) | (again[1:] != again[:-1]) | ((place[1:] != place[:-1]) & ~again[1:]))
         head = np.flatnonzero(first)
         tail = np.append(head[1:], len(start)) - 1
         # minimal hashes are small ones: mixed again, they spread over the buckets
-        parts.append((mix64(h[place[head]] + np.uint64(GRAM)), doc[head], start[head], start[tail], lo + place[head] - start[head]))
+        parts.append((mix64(h[place[head]] + np.uint64(GRAM)), doc[head], start[head], start[tail], lo + place[head] - start[head], again[head]))
     if not parts:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -191,19 +222,29 @@ def equal_windows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def later(group: list[np.ndarray], doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of strings by group (equal ones), document, text key and start; whether
+    each, in that order, stands earlier too: under a smaller document id, or before in its
+    own text; and whether it begins a group."""
+    order = np.lexsort((start, key, doc, *group[::-1]))
+    d, k, s = doc[order], key[order], start[order]
+    if not len(order):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
+    new = np.append(True, np.logical_or.reduce([g[order][1:] != g[order][:-1] for g in group]))
+    text = new | np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))
+    head, own = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (new, text))
+    return order, (d != d[head]) | (s != s[own]), new
+
+
+def repeated_windows(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether the window at each place of the contexts stands earlier too; string j
-    begins at (doc[j], start[j])."""
+    begins at start[j] of the text key[j] of document doc[j]."""
     number = equal_windows(data, offs)
     who = np.repeat(np.arange(len(doc)), np.diff(offs))
     at = np.flatnonzero(number >= 0)
-    d, s = doc[who[at]], start[who[at]] + at - offs[who[at]]
-    order = np.lexsort((s, d, number[at]))
-    n, d, s = number[at][order], d[order], s[order]
-    first = np.append(True, n[1:] != n[:-1]) if len(n) else np.zeros(0, bool)
-    head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(n) else np.zeros(0, np.int64)
+    order, again, _ = later([number[at]], doc[who[at]], key[who[at]], start[who[at]] + at - offs[who[at]])
     out = np.zeros(len(data), bool)
-    out[at[order]] = (d != d[head]) | (s != s[head])
+    out[at[order]] = again
     return out
 
 
@@ -211,22 +252,28 @@ def repeated_windows(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, start:
 
 def _pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Anchors (h, text key) by bucket of h; those that a batch has twice go straight to
-    their text's bucket, and once, without key, to the anchor's."""
+    their text's bucket, and once, without key, to the anchor's; so do those that the task
+    has found twice before."""
+    known = Known(0)
     for batch in batches:
         k1, at = np.unique(batch.column(0).to_numpy(), return_index=True)
         buf, offs = text_buffer(batch.column(1).take(pa.array(at)))
         hashes, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, hi in doc_groups(offs):
-            h, doc, *_ = anchors(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            hashes.append(h)
-            keys.append(k1[lo:hi][doc])
+            h, doc, *_, again = anchors(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            # a periodic text has its anchor twice
+            hashes += [h, h[again]]
+            keys += [k1[lo:hi][doc], k1[lo:hi][doc[again]]]
         h, k = np.concatenate(hashes), np.concatenate(keys)
         order = np.argsort(h, kind="stable")
         h, k = h[order], k[order]
         first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         size = np.diff(np.append(np.flatnonzero(first), len(h)))
-        twice = np.repeat(size, size) > 1
-        yield _pair_rows(h[first], np.where(twice, 0, k)[first], buckets, False)
+        before = known.find(h[first])[0]
+        known.add(h[first][(size > 1) & ~before])
+        twice = np.repeat((size > 1) | before, size)
+        new = first & ~np.repeat(before, size)
+        yield _pair_rows(h[new], np.where(twice, 0, k)[new], buckets, False)
         yield _pair_rows(h[twice], k[twice], buckets, True)
 
 
@@ -270,9 +317,10 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[some]), binary_column(h[some[0] : end].view(np.uint8), offs * 8)], ["k1", "hashes"])
 
 
-_CONTEXT = "bucket int, h binary, doc binary, start binary, rel binary, size binary, data binary"
+_CONTEXT = "bucket int, h binary, doc binary, key binary, start binary, rel binary, size binary, data binary"
 _CONTEXT_NAMES = [x.split(" ")[0] for x in _CONTEXT.split(", ")]
-_KINDS = {"h": np.uint64, "doc": np.int64, "start": np.int64, "rel": np.int16, "size": np.int32, "data": np.uint8}
+_KINDS = {"h": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int64, "rel": np.int16, "size": np.int32, "data": np.uint8}
+Contexts = dict[str, np.ndarray]
 
 
 def _take_spans(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -286,27 +334,30 @@ def _take_spans(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarra
     return out
 
 
-def _earliest(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal contexts, which stand earliest (one of them) and which are later."""
+def _earliest(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal contexts, those that stand earliest (one for each text of the smallest
+    document id, repeated rows once) and which are later. 128 bits stand for a context."""
     offs = np.append(0, np.cumsum(c["size"]))
-    digest = mix64(span_hashes(c["data"], offs[:-1], offs[1:]) + c["rel"].astype(np.int64).view(np.uint64))
-    order = np.lexsort((c["start"], c["doc"], digest, c["h"]))
-    h, g, d, s = c["h"][order], digest[order], c["doc"][order], c["start"][order]
-    first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.zeros(0, bool)
-    head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
-    return order[first], order[(d != d[head]) | (s != s[head])]
+    digest = [span_hashes(c["data"], offs[:-1], offs[1:], seed) + c["rel"].astype(np.uint64) for seed in (1, 2)]
+    order, again, new = later([c["h"], *digest], c["doc"], c["key"], c["start"])
+    keep = order[~again]
+    twin = np.zeros(len(keep), bool)
+    if len(keep) > 1:
+        new = new[~again]
+        twin[1:] = ~new[1:] & np.logical_and.reduce([c[n][keep][1:] == c[n][keep][:-1] for n in ("doc", "key", "start")])
+    return keep[~twin], order[again]
 
 
-def _pick(c: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+def _pick(c: Contexts, rows: np.ndarray) -> Contexts:
     offs = np.append(0, np.cumsum(c["size"]))
     return {k: v[rows] for k, v in c.items() if k != "data"} | {"data": _take_spans(c["data"], offs[:-1][rows], c["size"][rows].astype(np.int64))}
 
 
-def _context_rows(c: dict[str, np.ndarray], buckets: int) -> list[list]:
+def _context_rows(c: Contexts, buckets: int) -> list[list]:
     """Contexts by bucket of the anchor."""
     if not len(c["h"]):
         return []
-    bucket = (((c["h"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    bucket = bucket_of(c["h"], buckets)
     c = _pick(c, order := np.argsort(bucket, kind="stable"))
     bucket = bucket[order]
     edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -314,59 +365,115 @@ def _context_rows(c: dict[str, np.ndarray], buckets: int) -> list[list]:
     return [[int(bucket[a]), *[c[n][a:b].tobytes() for n in _CONTEXT_NAMES[1:-1]], c["data"][offs[a] : offs[b]].tobytes()] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _range_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int) -> list[list]:
+def _range_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int) -> list[list]:
     """Ranges of repeated windows (first start, number of starts), by document; they
-    travel in the doc, start and size columns, without h."""
-    return [[b, None, x[1], x[2], None, x[3], None] for b, x in bucket_rows(mix64(doc.view(np.uint64).copy()), buckets, doc, start, count.astype(np.int32))]
+    travel in the doc, key, start and size columns, without h."""
+    spread = mix64(doc.view(np.uint64) ^ key.view(np.uint64))
+    return [[b, None, x[1], x[2], x[3], None, x[4], None] for b, x in bucket_rows(spread, buckets, doc, key, start, count.astype(np.int32))]
+
 
+def _whole(c: Contexts, rows: np.ndarray, buckets: int) -> list[list]:
+    """All windows of some contexts, as ranges."""
+    return _range_rows(c["doc"][rows], c["key"][rows], c["start"][rows], c["size"][rows] - LENGTH + 1, buckets)
 
-def _blob_batch(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, len(_CONTEXT_NAMES))]], _CONTEXT_NAMES)
+
+def _blob_batches(rows: list[list]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, len(_CONTEXT_NAMES))]], _CONTEXT_NAMES)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the texts' anchors that occur twice, equal ones of the batch once."""
     for batch in batches:
-        ids = doc_ids(batch.column(0))
-        buf, offs = text_buffer(batch.column(1))
-        known, koffs = text_buffer(batch.column(2))
+        ids, keys = doc_ids(batch.column(0)), batch.column(1).to_numpy()
+        buf, offs = text_buffer(batch.column(2))
+        known, koffs = text_buffer(batch.column(3))
         known, koffs = known.view(np.uint64), koffs // 8
         for lo, hi in doc_groups(offs, 1 << 20):
             own, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-            h, doc, start, last, rel = anchors(own, at)
+            h, doc, start, last, rel, again = anchors(own, at)
+            yield from _blob_batches(_range_rows(ids[lo:hi][doc[again]], keys[lo:hi][doc[again]], (start - at[doc])[again], (last - start + 1)[again], buckets))
             pair = np.stack([h, doc.astype(np.uint64)], 1)
             have = np.stack([known[koffs[lo] : koffs[hi]], np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(koffs[lo : hi + 1]))], 1)
-            use = np.isin(mix64(pair[:, 0] + mix64(pair[:, 1] + np.uint64(1))), mix64(have[:, 0] + mix64(have[:, 1] + np.uint64(1))))
+            use = np.isin(mix64(pair[:, 0] + mix64(pair[:, 1] + np.uint64(1))), mix64(have[:, 0] + mix64(have[:, 1] + np.uint64(1)))) & ~again
             h, doc, start, last, rel = h[use], doc[use], start[use], last[use], rel[use]
             size = last - start + LENGTH
-            c = {"h": h, "doc": ids[lo:hi][doc], "start": start - at[doc], "rel": rel.astype(np.int16), "size": size.astype(np.int32), "data": _take_spans(own, start, size)}
-            keep, later = _earliest(c)
-            rows = _context_rows(_pick(c, keep), buckets) + _range_rows(c["doc"][later], c["start"][later], c["size"][later] - LENGTH + 1, buckets)
-            if rows:
-                yield _blob_batch(rows)
+            c = {"h": h, "doc": ids[lo:hi][doc], "key": keys[lo:hi][doc], "start": start - at[doc], "rel": rel.astype(np.int16), "size": size.astype(np.int32), "data": _take_spans(own, start, size)}
+            keep, repeats = _earliest(c)
+            yield from _blob_batches(_context_rows(_pick(c, keep), buckets) + _whole(c, repeats, buckets))
+
 
+def finer(c: Contexts) -> Contexts:
+    """The same windows under finer anchors: a context's windows by cells of CELL places
+    of the anchor. All windows of a cell have the bytes in common that the finer anchor
+    hashes, at one place, so that equal windows have equal finer anchors."""
+    offs = np.append(0, np.cumsum(c["size"]))
+    rel, count = c["rel"].astype(np.int64), c["size"].astype(np.int64) - LENGTH + 1
+    # window w of a context has its anchor at place rel - w: cells count from the last window's
+    low, high = (rel - count + 1) // CELL, rel // CELL
+    cells = high - low + 1
+    who = np.repeat(np.arange(len(rel)), cells)
+    cell = high[who] - (np.arange(len(who)) - np.repeat(np.append(0, np.cumsum(cells)[:-1]), cells))
+    first = np.maximum(rel[who] - cell * CELL - (CELL - 1), 0)
+    last = np.minimum(rel[who] - cell * CELL, count[who] - 1)
+    core = rel[who] - cell * CELL  # where the bytes that all windows of the cell have begin
+    begin = offs[who] + core
+    h = mix64(c["h"][who] + mix64(span_hashes(c["data"], begin, begin + LENGTH - CELL + 1, 3) + cell.astype(np.uint64)))
+    size = last - first + LENGTH
+    return {"h": h, "doc": c["doc"][who], "key": c["key"][who], "start": c["start"][who] + first, "rel": (rel[who] - first).astype(np.int16), "size": size.astype(np.int32), "data": _take_spans(c["data"], offs[who] + first, size)}
+
+
+def _read(batch: pa.RecordBatch) -> Contexts:
+    return {k: text_buffer(batch.column(k))[0].view(t) for k, t in _KINDS.items()}
+
+
+def _concat(parts: list[Contexts]) -> Contexts:
+    return {k: np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in _KINDS.items()}
+
+
+def _merge(batches: Iterator[pa.RecordBatch], buckets: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows of some buckets' anchors. Contexts of hot anchors go on
+    under finer ones, unless this is the last round. What comes in is thinned whenever it
+    has grown by HOT_BYTES, so that equal contexts and hot anchors are never held."""
+    parts: list[Contexts] = []
+    hot, held = np.zeros(0, np.uint64), 0
+
+    def thin() -> Iterator[pa.RecordBatch]:
+        nonlocal parts, hot, held
+        c = _concat(parts)
+        keep, repeats = _earliest(c)
+        yield from _blob_batches(_whole(c, repeats, buckets))
+        c = _pick(c, keep)  # in the order of the anchor
+        if not last:
+            anchor, number = np.unique(c["h"], return_inverse=True)
+            heavy = np.bincount(number, c["size"], len(anchor)) > HOT_BYTES
+            hot = np.union1d(hot, anchor[heavy])
+            split = np.isin(c["h"], hot)
+            if split.any():
+                rows = np.flatnonzero(split)
+                for at in range(0, len(rows), 4096):
+                    f = finer(_pick(c, rows[at : at + 4096]))
+                    keep, repeats = _earliest(f)
+                    yield from _blob_batches(_context_rows(_pick(f, keep), buckets) + _whole(f, repeats, buckets))
+                c = _pick(c, np.flatnonzero(~split))
+        parts, held = [c], 0
 
-def _merge(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of repeated windows of this partition's anchors."""
-    parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in _KINDS.items()}
     for batch in batches:
         own = batch.column("h").is_valid()
         if (ranges := batch.filter(pa.compute.invert(own))).num_rows:
             yield ranges
-        if (new := batch.filter(own)).num_rows:
-            for k, t in _KINDS.items():
-                parts[k].append(text_buffer(new.column(k))[0].view(t).copy())
-    c = {k: np.concatenate(v) for k, v in parts.items()}
-    parts.clear()
-    keep, later = _earliest(c)
-    if rows := _range_rows(c["doc"][later], c["start"][later], c["size"][later] - LENGTH + 1, buckets):
-        yield _blob_batch(rows)
-    c = _pick(c, keep)  # in the order of the anchor
-    if not len(c["h"]):
-        return
-    edge = np.append(True, c["h"][1:] != c["h"][:-1])
+        new = batch.filter(own)
+        for at in range(0, new.num_rows, 64):
+            parts.append(_read(new.slice(at, 64)))
+            held += len(parts[-1]["data"])
+            if held > HOT_BYTES:
+                yield from thin()
+    yield from thin()
+    c = parts.pop()
+    edge = np.append(True, c["h"][1:] != c["h"][:-1]) if len(c["h"]) else np.zeros(0, bool)
     number = np.cumsum(edge) - 1
-    c = _pick(c, np.flatnonzero(np.bincount(number)[number] > 1))  # a lone context repeats nothing
+    if len(number):
+        c = _pick(c, np.flatnonzero(np.bincount(number)[number] > 1))  # a lone context repeats only itself
     if not len(c["h"]):
         return
     head = np.flatnonzero(np.append(True, c["h"][1:] != c["h"][:-1]))
@@ -376,32 +483,31 @@ def _merge(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         hi = max(lo + 1, int(np.searchsorted(offs[head], offs[head[lo]] + MERGE_BYTES, side="right")) - 1)
         hi = len(head) if offs[-1] - offs[head[lo]] <= MERGE_BYTES else hi
         a, b = head[lo], head[hi] if hi < len(head) else len(c["h"])
-        again = repeated_windows(c["data"][offs[a] : offs[b]], offs[a : b + 1] - offs[a], c["doc"][a:b], c["start"][a:b])
+        again = repeated_windows(c["data"][offs[a] : offs[b]], offs[a : b + 1] - offs[a], c["doc"][a:b], c["key"][a:b], c["start"][a:b])
         at = np.flatnonzero(again)
         who = np.searchsorted(offs[a : b + 1] - offs[a], at, side="right") - 1
         first = np.append(True, (np.diff(at) != 1) | (np.diff(who) != 0)) if len(at) else np.zeros(0, bool)
         begin = np.flatnonzero(first)
         count = np.diff(np.append(begin, len(at)))
         who, at = who[begin], at[begin]
-        if rows := _range_rows(c["doc"][a:b][who], c["start"][a:b][who] + at - (offs[a:b] - offs[a])[who], count, buckets):
-            yield _blob_batch(rows)
+        yield from _blob_batches(_range_rows(c["doc"][a:b][who], c["key"][a:b][who], c["start"][a:b][who] + at - (offs[a:b] - offs[a])[who], count, buckets))
         lo = hi
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, spans): the removed byte runs of each document, as pairs of 64-bit bounds."""
-    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
+    """(id, k1, spans): the removed byte runs of each document, as pairs of 64-bit bounds."""
+    names = ("doc", "key", "start", "size")
+    parts: dict[str, list[np.ndarray]] = {n: [np.zeros(0, _KINDS[n])] for n in names}
     for batch in batches:
-        if batch.num_rows:
-            for part, name in zip(parts, ("doc", "start", "size"), strict=True):
-                part.append(text_buffer(batch.column(name))[0].view(part[0].dtype).copy())
-    doc, start, count = (np.concatenate(x) for x in parts)
+        for n in names if batch.num_rows else ():
+            parts[n].append(text_buffer(batch.column(n))[0].view(_KINDS[n]).copy())
+    doc, key, start, count = (np.concatenate(parts[n]) for n in names)
     if not len(doc):
         return
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    order = np.lexsort((start, key, doc))
+    doc, key, start = doc[order], key[order], start[order]
     end = start + count[order] - 1 + LENGTH
-    first = np.append(True, doc[1:] != doc[:-1])
+    first = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
     # the furthest end so far in the document, by offsets that keep documents apart
     number = np.cumsum(first) - 1
     wide = int(end.max()) + 1
@@ -409,10 +515,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = first | np.append(True, start[1:] > reach[:-1])
     head = np.flatnonzero(new)
     bounds = np.stack([start[head], reach[np.append(head[1:], len(doc)) - 1]], 1)
-    owner = doc[head]
-    top = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
-    ids = owner[top[:-1]]
-    yield pa.RecordBatch.from_arrays([pa.array(ids), binary_column(bounds.reshape(-1).view(np.uint8), top * 16)], ["id", "spans"])
+    top = np.flatnonzero(first[head])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[head][top]), pa.array(key[head][top]), binary_column(bounds.reshape(-1).view(np.uint8), np.append(top, len(head)) * 16)], ["id", "k1", "spans"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,35 +535,44 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- the operator
 
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keyed documents, their texts' smallest ids, spans (id, spans) of those ids)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *text_keys(), F.encode(text_or_empty(), "UTF-8").alias("t"))
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *text_keys(), F.encode(text_or_empty(), "UTF-8").alias("t"))
+
+
+def removed_spans(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed documents, their texts' smallest ids, spans (id, k1, spans) of those)."""
+    keyed = _documents(docs)
+    narrow = tables.table(keyed.select("id", "k1", "k2", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")))
+    volume = int(narrow.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = bucket_count(docs.sparkSession, volume)
     pairs = keyed.filter(F.octet_length("t") >= LENGTH).select("k1", "t").mapInArrow(lean(lambda it: _pairs(it, buckets)), _PAIR)
-    found = pairs.repartition(parts, "bucket").mapInArrow(lean(lambda it: _find_pairs(it, buckets)), _PAIR)
-    texts = materialize(found.repartition(parts, "bucket").mapInArrow(lean(_by_text), "k1 long, hashes binary"))
-    narrow = materialize(keyed.select("id", "k1", "k2", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")))
+    found = in_buckets(pairs, volume, lambda it: _find_pairs(it, buckets), _PAIR)
+    texts = tables.table(in_buckets(found, volume, _by_text, "k1 long, hashes binary"))
     reps = narrow.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     wanted = reps.join(texts, "k1").select("k1", "k2", F.col("rep").alias("id"), "hashes")
-    held = keyed.join(wanted, ["k1", "k2", "id"]).select("id", "t", "hashes")
-    ranges = held.mapInArrow(lean(lambda it: _contexts(it, buckets)), _CONTEXT).repartition(parts, "bucket").mapInArrow(lean(lambda it: _merge(it, buckets)), _CONTEXT)
-    spans = materialize(ranges.repartition(parts, "bucket").mapInArrow(lean(_spans), "id long, spans binary"))
+    held = keyed.join(wanted, ["k1", "k2", "id"]).select("id", "k1", "t", "hashes")
+    dealt = held.mapInArrow(lean(lambda it: _contexts(it, buckets)), _CONTEXT)
+    ranges = tables.table(in_buckets(dealt, volume, lambda it: _merge(it, buckets, False), _CONTEXT))
+    if ranges.filter(F.col("h").isNotNull()).limit(1).count():
+        ranges = in_buckets(ranges, volume, lambda it: _merge(it, buckets, True), _CONTEXT)
+    spans = tables.table(in_buckets(ranges, volume, _spans, "id long, k1 long, spans binary"))
     return narrow, reps, spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    narrow, reps, spans = removed_spans(docs)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *text_keys(), F.encode(text_or_empty(), "UTF-8").alias("t"))
-    cut = reps.join(spans, reps["rep"] == spans["id"]).select("k1", "k2", "id", "spans")
-    changed = materialize(keyed.join(cut, ["k1", "k2", "id"]).select("k1", "k2", "t", "spans").mapInArrow(lean(_kept), "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string")).distinct()
-    rows = narrow.join(reps, ["k1", "k2"]).join(changed, ["k1", "k2"], "left")
-    copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
-    return rows.select(
-        F.when(F.col("id") == NULL_ID, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    with Tables(docs.sparkSession) as tables:
+        narrow, reps, spans = removed_spans(docs, tables)
+        cut = reps.join(spans, (reps["rep"] == spans["id"]) & (reps["k1"] == spans["k1"])).select(reps["k1"], "k2", "id", "spans")
+        changed = tables.table(_documents(docs).join(cut, ["k1", "k2", "id"]).select("k1", "k2", "t", "spans").mapInArrow(lean(_kept), "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string")).distinct()
+        rows = narrow.join(reps, ["k1", "k2"]).join(changed, ["k1", "k2"], "left")
+        copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
+        return tables.keep(
+            rows.select(
+                F.when(F.col("id") == NULL_ID, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
+                "n_bytes",
+                F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+                F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+                F.when(copy, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            )
+        )

@@ -60,39 +60,83 @@ def none(spark):
 
 # ------------------------------------------------------------------------- op1
 
-def test_substring_dedup(docs, corpus, none):
-    got = collections.Counter(map(tuple, substring.repeated_runs(docs).collect()))
+def gear_cuts(text):
+    """The cuts of a text, byte by byte, as the module docstring says."""
+    gear, cuts, last, n = substring.gear().tolist(), [], 0, len(text)
+    hashes, h = [], 0
+    for b in text:
+        h = ((h << 1) + gear[b]) & 0xFFFF
+        hashes.append(h)
+    top = -substring.MIN_CHUNK
+    for at in range(1, n):
+        if hashes[at - 1] >> (16 - substring.MASK_BITS) == 0 and at >= 16 and at - top >= substring.MIN_CHUNK:
+            cuts.append(at)
+            top = at
+    out = []
+    for end in [*cuts, n]:
+        while end - last > substring.MAX_CHUNK:
+            places = range(last + substring.MIN_CHUNK, min(last + substring.MAX_CHUNK + 1, end - substring.MIN_CHUNK + 1))
+            last = min(places, key=lambda p: (hashes[p - 1], p))
+            out.append(last)
+        if end < n:
+            out.append(end)
+        last = end
+    return [0, *out] if n else []
+
+
+def repeated_chunks(rows):
+    """(doc_id, start, n_bytes) by the definition: a chunk is a repeat if a smaller id has
+    it, or the same text earlier."""
     low = substring.NULL_ID
-    rows = sorted(((r[0] if r[0] is not None else low, (r[1] or "").encode()) for r in corpus), key=lambda x: x[0])
-    chunks = []
+    rows = sorted({(low if r[0] is None else r[0], (r[1] or "").encode()) for r in rows})
+    least, own, chunks = {}, {}, []
     for i, text in rows:
-        buf = np.frombuffer(text, np.uint8)
-        starts, _ = substring.chunk_edges(buf, np.array([0, len(buf)]))
-        ends = np.append(starts[1:], len(buf))[: len(starts)]
-        chunks.append([(text[a:b], int(a), int(b)) for a, b in zip(starts, ends, strict=True)])
-        assert b"".join(c[0] for c in chunks[-1]) == text
-    first = {}
-    for (i, _), cs in zip(rows, chunks, strict=True):
-        for c, a, _ in cs:
-            first[c] = min(first.get(c, (i, a)), (i, a))
+        edges = [*gear_cuts(text), len(text)]
+        chunks.append([(text[a:b], a, b) for a, b in itertools.pairwise(edges)])
+        for c, a, _ in chunks[-1]:
+            least[c] = min(least.get(c, i), i)
+            own.setdefault((i, text, c), a)
     want = collections.Counter()
-    seen = set()
     for (i, text), cs in zip(rows, chunks, strict=True):
-        if (i, text) in seen:  # repeated rows have one set of ranges
-            continue
-        seen.add((i, text))
         runs = []
         for c, a, b in cs:
-            if first[c] < (i, a):
+            if least[c] < i or own[i, text, c] < a:
                 if runs and runs[-1][1] == a:
                     runs[-1][1] = b
                 else:
                     runs.append([a, b])
-        want.update((None if i == low else i, a, b - a) for a, b in runs if b - a >= substring.MIN_RUN)
-    assert set(got) == set(want), (set(got) - set(want), set(want) - set(got))
+        want.update((None if i == low else i, a, b - a) for a, b in runs)
+    return want
+
+
+@pytest.fixture(scope="module")
+def unclear(corpus):
+    """Different texts without an id, or with one id, some of them with repeats."""
+    rng = random.Random(91)
+    p, q = prose(rng, 60), prose(rng, 40)
+    texts = [(None, f"{p} a {p}"), (None, q), (None, f"{q} {prose(rng, 9)}"), (5000, f"{p} {q}"), (5000, f"{q} {q}"), (5000, prose(rng, 50)), (5001, q), (5000, f"{q} {q}"), (None, q)]
+    texts += [(5100 + k, t) for k, t in enumerate(["=" * 900, "ab" * 300, "abc " * 200 + p, p + "-" * 300 + p, "\n".join([q[:30]] * 40), "x" * 99, "y" * 100, "z" * 101])]
+    return [(i, t, None, None, 1, "c", 1, 2, "s", 0) for i, t in texts] + corpus[:30]
+
+
+def test_substring_dedup(spark, docs, corpus, none, unclear):
+    for df, rows in ((docs, corpus), (spark.createDataFrame(unclear, SCHEMA).repartition(3), unclear)):
+        got = collections.Counter((r["doc_id"], r["start"], r["n_bytes"]) for r in substring.repeated_runs(df).collect())
+        want = repeated_chunks(rows)
+        assert got == want, (got - want, want - got)
     assert substring.repeated_runs(none).count() == 0
     kept = {r["doc_id"]: r for r in substring.remove_ranges(docs, substring.repeated_runs(docs)).collect()}
     assert kept[1]["kept_text"] == "" and kept[-7]["kept_text"] == kept[-7]["text"] and kept[2]["kept_text"] is None
+    lone = spark.createDataFrame([(None, "same words, " * 60), (None, prose(random.Random(3), 90))], "doc_id long, text string")
+    kept = {r["text"]: r["kept_text"] for r in substring.remove_ranges(lone, substring.repeated_runs(lone)).collect()}
+    assert sorted(len(t) == len(k) for t, k in kept.items()) == [False, True]
+
+
+def test_cuts_are_those_of_a_byte_by_byte_gear_hash():
+    rng = random.Random(4)
+    for _ in range(60):
+        text = rng.choice([prose(rng, rng.randint(0, 300)), "ab" * rng.randint(0, 900), prose(rng, 3) * rng.randint(1, 80)]).encode()
+        assert substring.chunk_edges(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist() == gear_cuts(text)
 
 
 def test_short_repeats_are_reported(spark):
@@ -479,29 +523,85 @@ def test_chat_snapshots(spark, sf):
 # ------------------------------------------------------------------------ op10
 
 def repeats(rows):
+    """By the definition: a window goes if a smaller id has it, or the same text earlier."""
     low = -(2**63)
     keyed = [(low if i is None else i, (t or "").encode()) for i, t in rows]
-    first = {}
+    least, own = {}, {}
     for i, b in keyed:
         for k in range(len(b) - 99):
-            first[b[k : k + 100]] = min(first.get(b[k : k + 100], (i, k)), (i, k))
+            w = b[k : k + 100]
+            least[w] = min(least.get(w, i), i)
+            own.setdefault((i, b, w), k)
     out = []
     for i, b in keyed:
         gone = bytearray(len(b))
         for k in range(len(b) - 99):
-            if first[b[k : k + 100]] < (i, k):
+            w = b[k : k + 100]
+            if least[w] < i or own[i, b, w] < k:
                 gone[k : k + 100] = b"\1" * 100
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         out.append((None if i == low else i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
 
 
-def test_repeated_strings(docs, corpus, none):
-    got = suffix.remove_repeats(docs).collect()
-    assert collections.Counter(map(tuple, got)) == collections.Counter(repeats([r[:2] for r in corpus]))
+@pytest.mark.parametrize("hot", [None, 300])
+def test_repeated_strings(spark, docs, corpus, none, unclear, hot, monkeypatch):
+    """hot: every anchor of two contexts or more is split by finer ones."""
+    if hot:
+        for name, value in (("HOT_BYTES", hot), ("CELL", 3)):
+            monkeypatch.setattr(suffix, name, value)
+    for df, rows in ((docs, corpus), (spark.createDataFrame(unclear, SCHEMA).repartition(3), unclear)):
+        got = collections.Counter(map(tuple, suffix.remove_repeats(df).collect()))
+        want = collections.Counter(repeats([r[:2] for r in rows]))
+        assert got == want, (got - want, want - got)
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_steps_in_one_process_against_brute_force(monkeypatch):
+    """Finer anchors on random texts of few letters, without Spark: the same windows under
+    the same finer anchor, at the same place."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("ab") for _ in range(400))
+    c = {k: [] for k in suffix._KINDS}
+    for j in range(40):
+        at, n = rng.randrange(0, 200), rng.randint(100, 168)
+        rel = rng.randrange(n - 100, 69)
+        text = (base[at : at + n] if rng.random() < 0.7 else "".join(rng.choice("ab") for _ in range(n))).encode()
+        for k, v in zip(suffix._KINDS, (7, j, j, 0, rel, n, None), strict=True):
+            c[k].append(np.frombuffer(text, np.uint8) if k == "data" else v)
+    c = {k: np.concatenate(v) if k == "data" else np.array(v, suffix._KINDS[k]) for k, v in c.items()}
+    def windows(c):
+        offs, out = np.append(0, np.cumsum(c["size"])), []
+        for j in range(len(c["doc"])):
+            for w in range(c["size"][j] - 99):
+                out.append((c["doc"][j], c["start"][j] + w, c["rel"][j] - w, c["data"][offs[j] + w : offs[j] + w + 100].tobytes(), c["h"][j]))
+        return out
+    fine = windows(suffix.finer(c))
+    assert sorted(x[:4] for x in fine) == sorted(x[:4] for x in windows(c))
+    by = {}
+    for _, _, o, w, h in fine:
+        assert by.setdefault((o, w), h) == h
+
+
+def test_very_long_texts_against_brute_force(spark):
+    """Texts over a kernel's size, one of a single character, one with far repeats."""
+    rng = random.Random(19)
+    pool = [prose(rng, 12) for _ in range(2000)]
+    long = " ".join(rng.choice(pool) + prose(rng, 3) for _ in range(5000))
+    rows = [(1, long[:600_000]), (2, prose(rng, 9) + long[250_000:700_000]), (3, "=" * 700_000), (4, ("0123456789" * 40 + "\n") * 900), (5, "=" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(map(tuple, suffix.remove_repeats(df).collect())) == collections.Counter(repeats(rows))
+    got = collections.Counter((r["doc_id"], r["start"], r["n_bytes"]) for r in substring.repeated_runs(df).collect())
+    assert got == repeated_chunks(rows)
+
+
+def test_periodic_text_needs_little_memory():
+    """8 MB of one character are one window and a range, not a context for each byte."""
+    text = np.frombuffer(b"=" * (8 << 20), np.uint8)
+    h, _, start, last, _, again = suffix.anchors(text, np.array([0, len(text)]))
+    assert len(h) < 20_000 and (last - start + 1)[again].sum() > (8 << 20) - 20_000
+
+
 def test_merged_transforms_group_equal_windows(monkeypatch):
     rng = random.Random(3)
     base = [bytes(rng.choice(b"ab") for _ in range(130)) for _ in range(5)]
