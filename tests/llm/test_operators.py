@@ -235,7 +235,7 @@ def test_decoding_never_contradicts():
 
 def test_ppm_costs_and_accuracy(spark, docs, none, sf):
     texts = {"a": [b"abracadabra banana", b"banana"], "b": [b"xyxyxz zyx", b"abc"]}
-    model = langid.fit_ppm(texts, 3, 10**9)
+    model = langid.fit_ppm(texts, 3)
     seen = collections.Counter(t[i - d : i] for ts in texts.values() for t in ts for d in range(1, 4) for i in range(d, len(t)))
 
     def brute(trained, data):
@@ -278,16 +278,73 @@ def test_training_counts_copies_once(spark):
     assert {x.decode() for x in got["aa"]} == {*few, copy} and len(got["bb"]) == 6
 
 
-def test_small_languages_keep_their_contexts():
+def test_forty_languages_have_all_their_contexts():
+    """Each language of many costs what it costs alone, in a table that grows with what was
+    seen only."""
     rng = random.Random(34)
-    large = ["".join(rng.choice("abcdefghijklm") for _ in range(40_000)).encode()]
-    small = [("".join(rng.choice(["nopq", "rstu", "vwxy"]) for _ in range(60))).encode()]
-    model = langid.fit_ppm({"large": large, "small": small}, max_contexts=400)
-    assert model.first[-1] + 1 <= len(model.child) // model.n_classes <= 401
-    alone = langid.fit_ppm({"small": small})
-    text = np.frombuffer(small[0], np.uint8)
-    bits = model.bits(text, np.array([0, len(text)]))[0]
-    assert bits[1] == pytest.approx(alone.bits(text, np.array([0, len(text)]))[0, 0], rel=0.02) and bits[1] < bits[0]
+    langs = {f"l{k:02}": [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 13 : k % 13 + 12]) for _ in range(rng.randint(2, 7))) for _ in range(3000)).encode()] for k in range(40)}
+    model = langid.fit_ppm(langs)
+    assert model.nbytes < 100 << 20
+    for lang in ("l00", "l17", "l39"):
+        text = np.frombuffer(langs[lang][0][:4000], np.uint8)
+        offs = np.array([0, len(text)])
+        bits, alone = model.bits(text, offs)[0], langid.fit_ppm({lang: langs[lang]}).bits(text, offs)[0, 0]
+        assert bits[model.langs.index(lang)] == pytest.approx(alone, rel=0.01)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "MODEL_BYTES", 1000)
+        with pytest.raises(ValueError, match="MODEL_BYTES"):
+            langid.identify(None_docs(), model)
+
+
+class None_docs:
+    """A frame that is never read."""
+
+    sparkSession = None
+
+
+def test_language_query_against_brute_force(spark, sf):
+    """The query's predictions from code lengths computed byte by byte in Python."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").collect()][:60]
+    rows += [(900_001, "short", "en"), (900_002, "12 34", "en"), (900_003, None, "en"), (900_004, "\ufffd\u00e9", None), (900_005, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict_documents(df).collect()}
+    train = {t.encode(): lang for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and lang}
+    langs = sorted(set(train.values()))
+    seen, follow = collections.Counter(), {lang: collections.defaultdict(collections.Counter) for lang in langs}
+    for t, lang in {(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and lang}:
+        for i, d in itertools.product(range(len(t)), range(4)):
+            if i >= d:
+                seen[t[i - d : i]] += 1
+                follow[lang][t[i - d : i]][t[i]] += 1
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        b, bits = t.encode(), []
+        for lang in langs:
+            total = 0.0
+            for at, byte in enumerate(b[:3000]):
+                d = min(3, at)
+                while d and seen[b[at - d : at]] < 2:
+                    d -= 1
+                while d >= 0 and (c := follow[lang][b[at - d : at]])[byte] == 0:
+                    total += math.log2((c.total() + len(c)) / len(c)) if c else 0
+                    d -= 1
+                total += 8 if d < 0 else -math.log2(c[byte] / (c.total() + len(c)))
+            bits.append(total)
+        if len(b) <= 3000:  # the brute force is slow; longer ones are held to kernels below
+            assert got[i]["lang_pred"] == langs[int(np.argmin(bits))]
+            assert got[i]["score"] == pytest.approx(1 / sum(2 ** -min(x - min(bits), 1000) for x in bits), abs=1e-4)
+
+
+def test_long_texts_cost_the_same_in_pieces(monkeypatch):
+    rng = random.Random(35)
+    model = langid.fit_ppm({"a": [prose(rng, 500).encode()], "b": [prose(rng, 500).upper().encode()]})
+    texts = [prose(rng, 9000).encode(), b"", prose(rng, 3).encode(), prose(rng, 4000).encode()]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = np.array([model.bits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts])
+    monkeypatch.setattr(langid, "KERNEL_BYTES", 1000)
+    assert np.allclose(model.bits(data, offs), want, rtol=1e-6)
 
 
 # ------------------------------------------------------------------------- op4
@@ -382,9 +439,83 @@ def test_shards(docs, none, spark, sf, shards):
     assert sharding.shard_documents(none, shards).count() == 0
 
 
+def kd_tree(points, shards):
+    """points: (keys of the dims, tie keys, weight) of rows; the shard of each, recursively."""
+    out = [0] * len(points)
+    dims = range(len(points[0][0])) if points else ()
+    whole = [(max(p[0][i] for p in points) - min(p[0][i] for p in points)) or 1.0 for i in dims]
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            for r in rows:
+                out[r] = first
+            return
+        wide = max(dims, key=lambda i: (max(points[r][0][i] for r in rows) - min(points[r][0][i] for r in rows)) / whole[i])
+        key = lambda r: (points[r][0][wide], *points[r][1])
+        goal, upto, left = sum(points[r][2] for r in rows) * (n // 2) / n, 0, []
+        for _, same_key in itertools.groupby(sorted(rows, key=key), key):
+            group = list(same_key)
+            before, upto = upto, upto + sum(points[r][2] for r in group)
+            if upto < goal or (before < goal and upto - goal <= goal - before):
+                left += group
+            else:
+                break
+        split(left, first, n // 2)
+        split(sorted(set(rows) - set(left)), first + n // 2, n - n // 2)
+
+    split(list(range(len(points))), 0, shards)
+    return out
+
+
+def shards_of(rows, shards=16):
+    """(doc_id, text crc, shard) of rows (doc_id, text, lang, source) by the docstring."""
+    size = lambda t: len((t or "").encode()) + 1
+    nulls_first = lambda v: (v is not None, v or "")
+    least = {}
+    for _, t, lang, source in rows:
+        a, b = least.get(t or "", (source, lang))
+        least[t or ""] = min(a, source, key=nulls_first), min(b, lang, key=nulls_first)
+    sums = [collections.Counter(), collections.Counter()]
+    for _, t, *_ in rows:
+        for s, v in zip(sums, least[t or ""], strict=True):
+            s[v] += size(t)
+    place = []
+    for s in sums:
+        upto, at = 0, {}
+        for v in sorted(s, key=nulls_first):
+            at[v] = (upto + s[v] / 2) / s.total()
+            upto += s[v]
+        place.append(at)
+    points = []
+    for i, t, *_ in rows:
+        n, low = size(t), -(2**63) if i is None else i
+        meta = [at[v] for at, v in zip(place, least[t or ""], strict=True)]
+        points.append(([*meta, math.log(n) / math.log(2), (n - 1 - len(t or "")) / n], (zlib.crc32((t or "").encode()), low >> 32, low & 0xFFFFFFFF), n))
+    return [(i, p[1][0], s) for (i, *_), p, s in zip(rows, points, kd_tree(points, shards), strict=True)]
+
+
+@pytest.mark.parametrize("shards", [16, 5])
+def test_shards_against_a_recursive_tree(spark, docs, corpus, sf, shards):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for source, rows in ((docs, [r[:4] for r in corpus]), (table, [tuple(r) for r in table.select("doc_id", "text", "lang", "source").collect()])):
+        got = sharding.shard_documents(source, shards).select("doc_id", "text_crc32", "shard").collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter(shards_of(rows, shards))
+        homes = collections.defaultdict(set)
+        for _, crc, shard in got:
+            homes[crc].add(shard)
+        assert sum(len(h) > 1 for h in homes.values()) <= shards - 1
+
+
 def test_shards_of_equal_rows(spark):
-    rows = spark.createDataFrame([(k, "same", None, None, 4, "c", 1, 2, "s", 0) for k in range(160)], SCHEMA)
-    assert sorted(r["count"] for r in sharding.shard_documents(rows).groupBy("shard").count().collect()) == [10] * 16
+    rows = [(k, "same", None, ["a", "b"][k % 2], 4, "c", 1, 2, "s", 0) for k in range(160)]
+    assert sorted(r["count"] for r in sharding.shard_documents(spark.createDataFrame(rows, SCHEMA)).groupBy("shard").count().collect()) == [10] * 16
+    few = spark.createDataFrame([(k % 7, f"text {k % 30}", None, ["a", "b"][k % 2]) for k in range(120)], "doc_id long, text string, lang string, source string")
+    homes = collections.defaultdict(set)
+    for r in sharding.shard_documents(few, 4).collect():
+        homes[r["text_crc32"]].add(r["shard"])
+    assert len(homes) == 30 and sum(len(h) > 1 for h in homes.values()) <= 3
+    bare = few.select("doc_id", "text")
+    assert sharding.shard_documents(bare, 4).count() == 120
 
 
 # ------------------------------------------------------------------------- op7
