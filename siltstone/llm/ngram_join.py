@@ -12,10 +12,16 @@ order, k of their first floor(n / 5) + k tokens. Both filters rest on that:
    shingles on, frequent tokens are indexed singly as well, and texts up to
    1.25 * SINGLES_FROM have pairs, so that any two that can link meet in either index.
 
-The index gives candidate groups, not pairs: every index entry ties its texts to one of
-them, and the connected groups are cut into blocks of at most BLOCK texts. Each pair of
-blocks of a group is verified once, by one product of token incidence matrices, and
-gives a spanning forest of its links only. Equal texts and equal sets are one throughout.
+The index gives candidate pairs: sets that share an entry and whose sizes allow a link.
+Only connected groups are asked for, so pairs inside one that is known already are no
+candidates. In each of some rounds every entry names a leader and its sets are compared with
+that one alone: pairs in proportion to the entries. Groups of copies, of whatever size,
+come together in these rounds. They end when few pairs are left between different groups
+(OPEN_PAIRS for each entry), or when a round has not halved them; then all of these are
+compared, entry by entry, entries of over SALT sets in blocks. No group is ever brought to
+one task, and no entry's pairs are listed while rounds still merge its sets. Equal texts
+and equal sets are one throughout: classes are of representatives, and rows take their
+class by membership. 64 bits stand for a word, a shingle and a set.
 
 Edge cases: a null text or one without words has no shingles and links with nothing; one
 of fewer than five words has its sequence as the only shingle; repeated rows each get
@@ -30,19 +36,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_rows, components, distinct_sorted, doc_groups, fresh, lean, materialize, mix64, shingles, shuffle_parts, text_buffer, text_or_empty, words
+from .common import Known, Tables, bucket_count, bucket_rows, components, distinct_sorted, doc_groups, fresh, in_buckets, lean, mix64, shingles, text_buffer, text_or_empty, text_volume, words
 
 WORDS = 5
 #: A token in more sets than this is frequent.
 FREQUENT = 64
 SINGLES_FROM = 80
-BLOCK = 512
+#: Rounds of leaders go on while more pairs than this, for each index entry, are open.
+OPEN_PAIRS = 2.0
+#: Sets of an entry that are compared in one block.
+SALT = 1000
 #: Keys up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 500_000
-BLOCK_BYTES = 16 << 20
 
 
 def text_keys() -> list[Column]:
@@ -75,9 +83,11 @@ _DEALT = "bucket int, doc_id long, k1 long, k2 int, n int, shared int, tokens bi
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and its extended prefix by bucket. A token that several
-    texts of the batch have counts at once, and goes on without their keys."""
+    texts of the batch have counts at once, and goes on without their keys; one that the
+    task has found so before counts at once and stays."""
+    known = Known(0)
     for batch in batches:
-        k1 = batch.column(1).to_numpy()
+        ids, k1 = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
         buf, offs = text_buffer(batch.column(3))
         n = np.zeros(len(k1), np.int64)
         tokens, keys = [], []
@@ -89,13 +99,17 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             tokens.append(values[use])
             keys.append(k1[lo:hi][doc[use]])
         t, k, much = _runs(np.concatenate([np.zeros(0, np.uint64), *tokens]), np.concatenate([np.zeros(0, np.int64), *keys]))
-        own, count = np.unique(k[much > 1], return_counts=True)
+        before = known.find(t)[0]
+        own, count = np.unique(k[(much > 1) | before], return_counts=True)
         at = np.minimum(np.searchsorted(own, k1), max(len(own) - 1, 0))
         shared = np.where(own[at] == k1, count[at], 0) if len(own) else np.zeros(len(k1), np.int64)
-        spread = (k1 % buckets).astype(np.int32)
+        # a text's rows say the same; documents are spread, whatever their texts
+        spread = (mix64(ids.view(np.uint64) ^ k1.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         none = pa.nulls(len(k1), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(spread), batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int32)), pa.array(shared.astype(np.int32)), none, none], _names(_DEALT))
         first = np.append(True, t[1:] != t[:-1]) if len(t) else np.zeros(0, bool)
+        known.add(t[first & (much > 1) & ~before])
+        first &= ~before
         # prefixes hold small hashes: mixed again, they spread over the buckets
         rows = list(bucket_rows(mix64(t[first]), buckets, t[first], np.where(much > 1, 0, k)[first]))
         if rows:
@@ -109,7 +123,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows as they come, then (k1, shared) of this partition's tokens."""
+    """Document rows as they come, then (k1, shared) of the buckets' tokens."""
     tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for batch in batches:
         blob = batch.column(6).is_valid()
@@ -133,7 +147,7 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index_entries(sets: DataFrame) -> DataFrame:
-    """(s, sig) of sets (s, n, tokens): single rare tokens and pairs of frequent ones, of
+    """(s, n, sig) of sets (s, n, tokens): single rare tokens and pairs of frequent ones, of
     the prefix extended by one token, rarest first."""
     token = sets.select("s", "n", F.explode("tokens").alias("t"))
     often = token.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
@@ -147,147 +161,115 @@ def index_entries(sets: DataFrame) -> DataFrame:
     singles = F.transform("often", lambda x: F.xxhash64(x, F.lit("single")))
     none = F.array().cast("array<bigint>")
     sigs = F.concat("rare", F.when(F.col("n") * 4 <= SINGLES_FROM * 5, pairs).otherwise(none), F.when(F.col("n") >= SINGLES_FROM * 4 // 5, singles).otherwise(none))
-    return often_p.select("s", F.explode(sigs).alias("sig"))
-
-
-def _forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """(member, root) over a symmetric matrix of links."""
-    free, out = np.ones(len(links), bool), []
-    for root in range(len(links)):
-        if not free[root]:
-            continue
-        free[root] = False
-        ahead = [root]
-        while ahead:
-            new = np.flatnonzero(links[ahead].any(0) & free)
-            free[new] = False
-            out += [(int(x), root) for x in new]
-            ahead = new.tolist()
-    return out
-
-
-def _common(parts: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by incidence matrices a few columns wide."""
-    m = len(parts)
-    values = np.concatenate(parts)
-    who = np.repeat(np.arange(m), [len(x) for x in parts])
-    _, column, much = np.unique(values, return_inverse=True, return_counts=True)
-    use = much[column] > 1
-    who, column = who[use], np.unique(column[use], return_inverse=True)[1]
-    out = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    who, column = who[order], column[order]
-    width = max(256, min(4096, (8 << 20) // (4 * m)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [at, at + width])
-        x = np.zeros((m, width), np.float32)
-        x[who[lo:hi], column[lo:hi] - at] = 1
-        out += x @ x.T
-    return out
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each (unit, i, j) of the partition, which comes sorted by them."""
-    held: list[pa.RecordBatch] = []
-
-    def links(rows: pa.Table) -> pa.RecordBatch | None:
-        names, own = rows["s"].to_numpy(), rows["b"].to_numpy()
-        column = rows["tokens"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        parts = [flat[at[k] : at[k + 1]] for k in range(len(names))]
-        size = np.array([len(x) for x in parts], np.float32)
-        both = _common(parts)
-        ok = 100 * both >= 80 * (size[:, None] + size - both)
-        if rows["i"][0].as_py() != rows["j"][0].as_py():
-            ok &= own[:, None] != own  # pairs inside a block are that block's
-        np.fill_diagonal(ok, False)
-        found = _forest(ok)
-        if not found:
-            return None
-        a, b = np.array(found).T
-        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
-
-    def ready(table: pa.Table, whole: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-        key = np.stack([table[c].to_numpy() for c in ("unit", "i", "j")])
-        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        ends = np.append(edge[1:], table.num_rows)
-        if not whole:
-            edge, ends = edge[:-1], ends[:-1]
-        out = [x for lo, hi in zip(edge, ends, strict=True) if hi - lo > 1 and (x := links(table.slice(lo, hi - lo).combine_chunks())) is not None]
-        return out, table.slice(ends[-1]) if len(ends) else table
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            done, rest = ready(pa.Table.from_batches(held), False)
-            yield from done
-            held = rest.to_batches()
-    if held:
-        yield from ready(pa.Table.from_batches(held), True)[0]
-
-
-def jaccard_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between sets (s, n, tokens) that connect all that link."""
-    spark = sets.sparkSession
-    entries = materialize(index_entries(sets))
-    leads = entries.groupBy("sig").agg(F.min("s").alias("lead"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    ties = entries.join(leads, "sig").select(F.col("s").alias("a"), F.col("lead").alias("b"))
-    units = components(ties)
-    member = sets.join(units.select(F.col("node").alias("s"), F.col("label").alias("unit")), "s")
-    blocks = units.join(sets.select(F.col("s").alias("node"), "n"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("size"))
-    blocks = blocks.select(F.col("label").alias("unit"), F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("nb"))
-    blocks = materialize(blocks)
-    volume = member.join(blocks, "unit").agg(F.sum(F.col("n").cast("double") * 8 * F.col("nb"))).first()[0] or 0.0
-    b = F.pmod(F.xxhash64("s"), F.col("nb")).cast("int")
-    dealt = member.join(blocks, "unit").select("unit", "s", "tokens", b.alias("b"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
-    dealt = dealt.select("unit", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "s", "b", "tokens")
-    parts = shuffle_parts(spark, volume, BLOCK_BYTES)
-    return dealt.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(lean(_verify), "a long, b long")
+    return often_p.select("s", "n", F.explode(sigs).alias("sig"))
+
+
+def may_link(n: str, m: str) -> Column:
+    """Whether two sets of these sizes can have an intersection of 80 % of the union."""
+    return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * 80
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of which the sets link."""
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b")
+    common = F.size(F.array_intersect("ta", "tb")).cast("long")
+    return both.filter(common * 100 >= (F.size("ta") + F.size("tb") - common) * 80).select("a", "b")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _led(entries: DataFrame, number: int) -> DataFrame:
+    """Pairs of each set with the leader of its entries, where these are of different
+    groups (entries: s, n, sig, c): the first by a hash that changes with the round."""
+    lead = F.min(F.struct(F.xxhash64("s", F.lit(number)).alias("h"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead")
+    leads = entries.groupBy("sig").agg(lead, F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
+    leads = leads.select("sig", F.col("lead.s").alias("ls"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc"))
+    return entries.join(leads, "sig").filter((F.col("c") != F.col("lc")) & may_link("n", "ln")).select(*_pair("s", "ls")).distinct()
+
+
+def _all_open(entries: DataFrame) -> DataFrame:
+    """All pairs of sets that share an entry and are of different groups, once. One side
+    of an entry of over SALT sets is dealt into blocks, the other goes to each of them."""
+    sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
+    held = entries.join(sizes.select("sig", F.ceil(F.col("m") / SALT).cast("int").alias("nb")), "sig")
+    left = held.select("sig", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int").alias("x"), "s", "n", "c")
+    right = held.select("sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    # the smaller group's sets on the left, so that a pair comes once
+    both = left.join(right, ["sig", "x"]).filter((F.col("c") < F.col("c2")) & may_link("n", "n2"))
+    return both.select(*_pair("s", "s2")).distinct()
+
+
+def jaccard_links(sets: DataFrame, tables: Tables) -> DataFrame:
+    """(node, label): the connected groups of the sets (s, n, tokens) that link."""
+    entries = index_entries(sets)
+    own = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    entries = tables.table(entries.withColumn("m", own).filter(F.col("m") > 1).drop("m"))  # an entry of one set ties nothing
+    total, number, before = entries.count(), 0, float("inf")
+    links = tables.table(entries.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
+    groups = tables.table(entries.select(F.col("s").alias("node"), F.col("s").alias("label")).limit(0))
+    while True:
+        grouped = entries.join(groups.withColumnRenamed("node", "s"), "s", "left").select("s", "n", "sig", F.coalesce("label", "s").alias("c"))
+        grouped = tables.table(grouped)
+        each = grouped.groupBy("sig", "c").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("sig").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        open_ = float(each.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0.0)
+        if not open_:
+            return groups
+        rest = open_ <= OPEN_PAIRS * total or open_ > before / 2
+        found = tables.table(verified(_all_open(grouped) if rest else _led(grouped, number), sets))
+        new = found.count()
+        if new:
+            links = tables.table(links.unionByName(found))
+            groups = components(links)
+        if rest:
+            return groups
+        number, before = number + 1, open_
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, and k1, k2, which stand for
     its text."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), text_or_empty().alias("text"))
-    dealt = keyed.select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(lambda it: _deal(it, buckets)), _DEALT)
-    counted = materialize(dealt.repartition(parts, "bucket").mapInArrow(lean(_count_shared), "doc_id long, k1 long, k2 int, n int, shared int"))
-
-    texts = counted.filter(F.col("n").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    shared = counted.groupBy("k1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
-    need = F.floor((F.floor((F.col("n") * 8 + 9) / 10) + 15) / 16)
-    alive = materialize(shared.filter((F.col("n") > 0) & (F.col("shared") >= need)).select("k1"))
-    few = alive.count() <= BROADCAST_KEYS
-    left = keyed.join(F.broadcast(alive) if few else alive, "k1", "left_semi")
-    reps = texts.join(alive, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("doc_id"))
-    # one row of each text: that of its smallest id
-    once = left.join(F.broadcast(reps) if few else reps, (left["k1"] == reps["k1"]) & (left["k2"] == reps["k2"]) & left["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
-    named = materialize(once.select("k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(_to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>"))
-    sets = materialize(named.groupBy("s", "n").agg(F.first("tokens").alias("tokens")))
-    links = components(jaccard_links(sets))
-
-    # classes of texts: by link, else by equal sets, else each text alone
-    of = named.select("k1", "k2", "s").distinct().join(links.select(F.col("node").alias("s"), "label"), "s", "left").select("k1", "k2", F.coalesce("label", "s").alias("c"))
-    of = texts.join(of, ["k1", "k2"]).select("k1", "k2", "rep", "c")
-    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    linked = of.join(least, "c").select("k1", "k2", F.col("component_id").alias("found"))
-    classes = texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class"))
-    rows = counted.filter(F.col("n").isNotNull()).select("doc_id", "k1", "k2", "n")
-    return rows.join(classes, ["k1", "k2"]).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
+    with Tables(docs.sparkSession) as tables:
+        volume = 0.6 * text_volume(docs)
+        buckets = bucket_count(docs.sparkSession, volume)
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), text_or_empty().alias("text"))
+        dealt = keyed.select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(lambda it: _deal(it, buckets)), _DEALT)
+        counted = tables.table(in_buckets(dealt, volume, _count_shared, "doc_id long, k1 long, k2 int, n int, shared int"))
+
+        texts = counted.filter(F.col("n").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+        shared = counted.groupBy("k1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
+        need = F.floor((F.floor((F.col("n") * 8 + 9) / 10) + 15) / 16)
+        alive = tables.table(shared.filter((F.col("n") > 0) & (F.col("shared") >= need)).select("k1"))
+        few = alive.count() <= BROADCAST_KEYS
+        left = keyed.join(F.broadcast(alive) if few else alive, "k1", "left_semi")
+        reps = texts.join(alive, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("doc_id"))
+        # one row of each text: that of its smallest id
+        once = left.join(F.broadcast(reps) if few else reps, (left["k1"] == reps["k1"]) & (left["k2"] == reps["k2"]) & left["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
+        named = tables.table(once.select("k1", "k2", F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(_to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>"))
+        sets = tables.table(named.groupBy("s", "n").agg(F.first("tokens").alias("tokens")))
+        groups = jaccard_links(sets, tables)
+
+        # classes of texts: by link, else by equal sets, else each text alone
+        of = named.select("k1", "k2", "s").distinct().join(groups.select(F.col("node").alias("s"), "label"), "s", "left").select("k1", "k2", F.coalesce("label", "s").alias("c"))
+        of = texts.join(of, ["k1", "k2"]).select("k1", "k2", "rep", "c")
+        least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+        linked = of.join(least, "c").select("k1", "k2", F.col("component_id").alias("found"))
+        classes = texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class"))
+        rows = counted.filter(F.col("n").isNotNull()).select("doc_id", "k1", "k2", "n")
+        return tables.keep(rows.join(classes, ["k1", "k2"]).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest id, with its own columns. Rows
     without an id go if their class has one, and else stay once for each text."""
-    found = materialize(near_duplicates(docs))
+    found = near_duplicates(docs)
+    tables = Tables(docs.sparkSession)
     gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "k1", "k2").distinct()
     again = found.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("doc_id", "k1", "k2")
 
     def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = materialize(keys)
+        keys = tables.keep(keys)
         held = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         return rows.join(held, rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (k1 == keys["k1"]) & (k2 == keys["k2"]), how)
 

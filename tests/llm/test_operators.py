@@ -604,12 +604,14 @@ def test_ngram_join(spark, docs, corpus, none):
     assert one.columns == docs.columns and sorted(k for k in kept if k is not None) == sorted({c for i, _, c in want if i is not None})
 
 
-@pytest.mark.parametrize("frequent,singles", [(2, 10**6), (2, 40)])
-def test_ngram_join_of_a_large_near_group(spark, monkeypatch, frequent, singles):
-    """Frequent tokens in pairs and singly, groups of more than one block, long chains."""
+@pytest.mark.parametrize("frequent,singles,open_pairs", [(2, 10**6, 2.0), (2, 40, 0.0), (64, 80, 10**9)])
+def test_ngram_join_of_a_large_near_group(spark, monkeypatch, frequent, singles, open_pairs):
+    """Frequent tokens in pairs and singly, entries of more than one block, long chains; all
+    rounds of leaders or none."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "SINGLES_FROM", singles)
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(ngram_join, "SALT", 8)
     rng = random.Random(8)
     rows = []
     for g in range(3):
@@ -627,6 +629,50 @@ def test_ngram_join_of_a_large_near_group(spark, monkeypatch, frequent, singles)
     assert collections.Counter(map(tuple, got)) == collections.Counter(linked(rows))
 
 
+def test_ngram_join_keeps_apart_what_polynomials_confuse(spark):
+    """Thue-Morse words of 2048 bytes have equal hashes under every polynomial mod 2^64."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, a), (4, f"{a} x y z w v"), (5, f"{b} x y z w v")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_candidates_of_shared_passages_stay_few(spark):
+    """Texts of passages that many share, two or three of them in each: hardly a link, and
+    one connected group of candidates. What is compared stays in proportion to the entries."""
+    rng = random.Random(44)
+    passages = [prose(rng, 40) for _ in range(150)]
+    rows = [(k, " ".join([*rng.sample(passages, rng.randint(2, 3)), prose(rng, 12)])) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(linked(rows))
+    from siltstone.llm.common import Tables, lean
+
+    named = df.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(ngram_join._to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>")
+    with Tables(spark) as tables:
+        sets = tables.table(named.select("s", "n", "tokens"))
+        entries = tables.table(ngram_join.index_entries(sets).withColumn("c", F.col("s")))
+        pairs = ngram_join._all_open(entries)
+        assert pairs.count() <= 8 * entries.count()
+
+
+def test_ngram_join_of_long_texts(spark):
+    """Texts over a kernel's size, copies and near copies of them."""
+    rng = random.Random(45)
+    long = prose(rng, 60_000)
+    near = long.split(" ")
+    for k in range(0, 2000):
+        near[rng.randrange(len(near))] = f"w{k}"
+    far = long.split(" ")
+    for k in range(0, 9000):
+        far[rng.randrange(len(far))] = f"w{k}"
+    rows = [(1, long), (2, " ".join(near)), (3, " ".join(far)), (4, long.upper().lower()), (5, prose(rng, 60_000))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(linked(rows))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (105, 101), (105, 103), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
