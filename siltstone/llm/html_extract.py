@@ -1,23 +1,30 @@
 """Main-text extraction from HTML by gradient-boosted trees over DOM-node features.
 
 A lenient one-pass parser turns a page into nodes (block elements, and any element whose
-id, class or role says something) in page order, with their own text. Features of a node:
-its tag, what its attributes and those of its ancestors say, depth, density of text and
-links in its subtree, shares of the parent's and page's text, and statistics of its
-siblings. Subtrees are contiguous in page order, so all sums are differences of running sums over
-a whole batch of pages.
+id, class or role says something) in page order, with their own text. It reads each
+character once and holds at most MAX_DEPTH open elements, as browsers do, so that broken
+markup costs no more than other text. Features of a node: its tag, what its attributes and
+those of its ancestors say, depth, density of text, links and form controls in its subtree,
+shares of the parent's and page's text, and statistics of its siblings. Subtrees are
+contiguous in page order, so all sums are differences of running sums over a whole batch of
+pages.
 
 The trees are fitted on the driver, by a fixed seed, on TRAIN_PAGES generated pages whose
-layout and labels are known; real pages have no labels. Decoding is the best labelling of the whole
-tree under a grammar: a node is outside, inside, or cut out; inside starts once on a
-path, what is cut out of it stays out, so no choice contradicts an ancestor's.
+layout and labels are known; real pages have no labels. Half of the generated names say
+nothing, so that the trees must go by form as well. Decoding is the best labelling of the
+whole tree under a grammar: a node is outside, inside, or cut out; inside starts once on a
+path, what is cut out of it stays out, so no choice contradicts an ancestor's. Where no
+node with text is inside, all text is main text but for that under elements whose tag or
+name marks them as something else: short and odd pages are not lost.
 
 Text: character references decoded, white space inside a block made one space, blocks in
-page order joined by a newline.
+page order joined by a newline. Never text: scripts, styles, templates, frames, drawings,
+form controls, and what stands for them where they are off.
 
 Edge cases: null or empty html gives an empty text; a page without any tag is one block
-of text; unclosed and stray tags are closed as far as nesting allows; repeated rows give
-equal rows; an empty table gives an empty result; extra columns stay out.
+of text; unclosed and stray tags are closed as far as nesting allows; what follows a tag
+that never ends is part of that tag; elements nested deeper than MAX_DEPTH are siblings;
+repeated rows give equal rows; an empty table gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -25,8 +32,11 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,39 +45,49 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-TRAIN_PAGES = 500
+TRAIN_PAGES = 800
+#: Elements open at once.
+MAX_DEPTH = 512
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 #: Log-odds that a part of the main text must have against it to be cut out.
 CUT_COST = 4.0
+#: Log-odds added for the main text: to lose some of it is worse than to keep too much.
+LEAN = 1.0
 
 # Element names by how HTML treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg textarea title select object canvas math xmp noembed noframes".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template iframe svg textarea title select noembed noframes".split())
+CONTROLS = set("input select textarea button option".split())
+MATH = set("math mi mn mo mrow ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object canvas".split()) | MATH
 # A start tag of the key closes an open element of the value, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody", "thead"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}, "body": {"head"}}
-SCOPE = set("ul ol dl table article section main div nav aside footer header form body html blockquote".split())
+SCOPE = {"", *"ul ol dl table article section main div nav aside footer header form body html blockquote".split()}
 
 #: What names in id, class and role tell. Order: the bits of a node's flags.
 TOKENS = {
-    "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager tabs toolbar sitemap",
-    "foot": "footer foot bottom copyright colophon legal contentinfo",
-    "head": "header masthead topbar banner logo branding",
-    "side": "sidebar aside side rail widget widgets complementary column right left",
-    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay message disclaimer",
-    "form": "form search login signup subscribe subscription newsletter register",
-    "comment": "comment comments commentlist reply replies respond discussion disqus feedback",
-    "more": "share sharing social related recommended recommendations trending popular tags tag author meta byline",
-    "main": "article content main post entry story text body page prose maincontent",
+    "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager tabs toolbar sitemap menue navegacion",
+    "foot": "footer foot bottom copyright colophon legal contentinfo fusszeile pied rodape impressum",
+    "head": "header masthead topbar banner logo branding kopfzeile entete cabecera",
+    "side": "sidebar aside side rail widget widgets complementary column right left seitenleiste lateral",
+    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion werbung anzeige publicite publicidad anuncio",
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay message disclaimer hinweis avis aviso",
+    "form": "form search login signup subscribe subscription newsletter register formular formulaire formulario suche recherche",
+    "comment": "comment comments commentlist reply replies respond discussion disqus feedback kommentar kommentare commentaire commentaires comentario comentarios",
+    "more": "share sharing social related recommended recommendations trending popular tags tag author meta byline teilen partager compartir",
+    "main": "article content main post entry story text body page prose maincontent artikel inhalt beitrag contenu contenido articulo",
 }
 _FLAG = {word: 1 << k for k, words in enumerate(TOKENS.values()) for word in words.split()}
 _TAG_KINDS = ["p", "h1 h2 h3 h4 h5 h6", "ul ol li dl dt dd menu", "table tr td th tbody thead caption", "article main", "div section", "nav", "header", "footer", "aside", "form button fieldset input option", "blockquote pre figure figcaption", "body html"]
 _KIND = {tag: k for k, tags in enumerate(_TAG_KINDS) for tag in tags.split()}
 _TAG_FLAG = {"nav": 1, "footer": 2, "header": 4, "aside": 8, "form": 64, "button": 64, "fieldset": 64, "article": 512, "main": 512}
 OTHER = len(_TAG_KINDS)
+#: Flags of what is not main text.
+MARKED = 511
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A comment, a declaration, or a tag. An end that is missing is the page's end; nothing is
+#: given back once read, so the pattern takes time in proportion to what it reads.
+_TOKEN = re.compile(r"""<!--(?:.*?-->|.*+\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 _ATTRS = re.compile(r"""(?:^|\s)(?:id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -85,6 +105,8 @@ class Page:
     around: list[int] = field(default_factory=lambda: [0])  # flags of the node and its ancestors
     end: list[int] = field(default_factory=lambda: [1])
     label: list[int] = field(default_factory=lambda: [0])
+    controls: list[int] = field(default_factory=lambda: [0])  # form controls right in the node
+    name: list[int] = field(default_factory=lambda: [0])  # a code of its tag and attributes
     node: list[int] = field(default_factory=list)  # of each segment
     block: list[int] = field(default_factory=list)
     link: list[bool] = field(default_factory=list)
@@ -99,34 +121,66 @@ def attribute_flags(attrs: str) -> int:
     return flags
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # (tag, node); inline elements keep the node around
+    open_: Counter[str] = Counter()
+    endless: set[str] = set()  # raw elements that end nowhere from here on
     links, block, at = 0, 0, 0
     node, hidden = 0, 0
 
-    def pop() -> None:
+    def pop(k: int) -> None:
+        """Closes the elements from place k of the stack on."""
         nonlocal links, block, node, hidden
-        tag, own = stack.pop()
-        if tag == "a":
-            links -= 1
-        if tag == "head":
-            hidden -= 1
-        if tag not in INLINE:
-            block += 1
-        node = stack[-1][1]
-        if own != node:
-            page.end[own] = len(page.kind)
+        while len(stack) > k:
+            tag, own = stack.pop()
+            open_[tag] -= 1
+            links -= tag == "a"
+            hidden -= tag == "head"
+            block += tag not in INLINE
+            node = stack[-1][1]
+            if own != node:
+                page.end[own] = len(page.kind)
 
     def text(value: str) -> None:
-        if not hidden and value and not value.isspace():
+        if hidden or not value:
+            return
+        if not value.isspace():
             page.node.append(node)
             page.block.append(block)
             page.link.append(links > 0)
             page.text.append(value)
-        elif not hidden and value and page.block and page.block[-1] == block:
+        elif page.block and page.block[-1] == block and not page.text[-1].endswith(" "):
             page.text[-1] += " "
 
+    def end(tag: str) -> None:
+        nonlocal block
+        for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
+            if stack[k][0] == tag:
+                pop(k)
+                return
+            if tag in INLINE and stack[k][0] not in INLINE:
+                return  # an inline end tag reaches no further than its block
+        block += tag not in INLINE
+
+    def shut(tags: set[str], whole: bool) -> None:
+        """Closes open elements of `tags`, the nearest or all of them, up to a container."""
+        if not any(open_[t] for t in tags):
+            return
+        k = len(stack) - 1
+        while stack[k][0] not in SCOPE and stack[k][0] not in tags:
+            k -= 1
+        while k > 0 and stack[k][0] in tags:
+            pop(k)
+            k -= 1
+            if not whole:
+                return
+
     size = len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -135,25 +189,31 @@ def parse(source: str) -> Page:
             break
         text(source[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        if m[2] is None:
             continue
-        tag, attrs = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag reaches no further than its block
-            else:
-                block += tag not in INLINE
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
+            end(tag)
             continue
+        if tag in CONTROLS:
+            page.controls[node] += 1
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at) if not attrs.endswith("/") else None
-            at = close.end() if close else (size if tag in ("script", "style") else at)
-            block += tag not in ("svg", "canvas", "math")
+            close = _raw_end(tag).search(source, at) if tag not in endless and not attrs.endswith("/") else None
+            if close:
+                at = close.end()
+            elif not attrs.endswith("/"):
+                endless.add(tag)
+                at = size if tag in ("script", "style") else at
+            block += tag != "svg"
+            continue
+        if tag == "xmp":  # its text is no markup
+            close = _raw_end(tag).search(source, at) if tag not in endless else None
+            if close is None:
+                endless.add(tag)
+            block += 1
+            text(source[at : close.start() if close else size].replace("&", "&amp;"))
+            block += 1
+            at = close.end() if close else size
             continue
         if tag in VOID:
             if tag == "br":
@@ -163,20 +223,8 @@ def parse(source: str) -> Page:
             continue
         if tag not in INLINE:
             block += 1
-            if any(t == "p" for t, _ in stack[-8:]) or any(t == "p" for t, _ in stack):
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in SCOPE for t, _ in stack[k + 1 :]):
-                    while len(stack) > k:
-                        pop()
-            shuts = CLOSES.get(tag)
-            if shuts:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in SCOPE and stack[k][0] not in shuts:
-                    k -= 1
-                while k > 0 and stack[k][0] in shuts:
-                    while len(stack) > k:
-                        pop()
-                    k -= 1
+            shut({"p"}, False)
+            shut(CLOSES.get(tag, set()), True)
         flags = (attribute_flags(attrs) if "=" in attrs else 0) | _TAG_FLAG.get(tag, 0)
         own = node
         if tag not in INLINE or flags:
@@ -189,15 +237,16 @@ def parse(source: str) -> Page:
             page.end.append(own + 1)
             marked = _LABEL.search(attrs)
             page.label.append(int(marked[1]) if marked else page.label[node])
-        if not attrs.endswith("/") or tag in INLINE:
+            page.controls.append(0)
+            names = _ATTRS.findall(attrs)
+            page.name.append(zlib.crc32(" ".join([tag, *names]).encode()) if names else 0)
+        if (not attrs.endswith("/") or tag in INLINE) and len(stack) < MAX_DEPTH:
             stack.append((tag, own))
+            open_[tag] += 1
             node = own
             links += tag == "a"
             hidden += tag == "head"
-        elif own != node:
-            page.end[own] = own + 1
-    while len(stack) > 1:
-        pop()
+    pop(1)
     page.end[0] = len(page.kind)
     return page
 
@@ -230,10 +279,11 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 
     chars, nodes = own(length), np.ones(n)
     in_links = own(length * linked)
-    bad = chars * ((around & 511) > 0)
+    bad = chars * ((around & MARKED) > 0)
     s_chars, s_words, s_marks, s_links = below(chars), below(own(words)), below(own(marks)), below(in_links)
     s_nodes, s_bad, s_p, s_heads = below(nodes), below(bad), below((kind == 0).astype(float)), below((kind == 1).astype(float))
     s_main = below((kind == 4).astype(float)) - (kind == 4)
+    s_controls = below(cat("controls").astype(float))
     page_chars, before = np.maximum(s_chars[base], 1.0), np.append(0.0, np.cumsum(chars))[np.arange(n)]
     before = before - before[base]
     root = np.arange(n) == base
@@ -250,6 +300,10 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     left[by[1:]] = np.where(first[1:], 0.0, s_chars[by[:-1]]) if len(by) else 0
     right[by[:-1]] = np.where(first[1:], 0.0, s_chars[by[1:]]) if len(by) else 0
     alike = np.bincount(parent * (OTHER + 1) + kind, minlength=n * (OTHER + 1))[parent * (OTHER + 1) + kind]
+    name = cat("name")
+    _, group, much = np.unique(np.stack([parent, name]), axis=1, return_inverse=True, return_counts=True) if n else (None, kind, kind)
+    twins = np.where(name > 0, much[group.reshape(-1)] - 1, 0)  # siblings of the same tag and names
+    below_twins = below((twins > 0).astype(float))
     ratio = lambda a, b: a / np.maximum(b, 1.0)
     columns = [(kind == k).astype(float) for k in range(OTHER + 1)]
     columns += [((flags >> b) & 1).astype(float) for b in range(len(TOKENS))]
@@ -258,6 +312,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         depth.astype(float), np.log1p(chars), np.log1p(s_chars), ratio(in_links, chars), ratio(s_links, s_chars), ratio(s_chars, s_nodes), ratio(s_chars, s_words),
         ratio(s_marks, s_words), kids.astype(float), s_p, s_heads, s_main, ratio(s_bad, s_chars), s_chars / page_chars, ratio(s_chars, s_chars[parent]),
         rank, ratio(rank, kids[parent]), alike / np.maximum(kids[parent], 1), before / page_chars, np.log1p(left), np.log1p(right), ratio(s_words, s_p + s_heads + 1),
+        s_controls, ratio(s_controls, s_nodes), (name > 0).astype(float), np.log1p(twins), ratio(below_twins, s_nodes), np.log1p(page_chars), ratio(s_words, s_nodes),
     ]
     return np.stack(columns, 1).astype(np.float32) if n else np.zeros((0, 1), np.float32), offs
 
@@ -363,11 +418,9 @@ def main_texts(sources: list[str], trees: Trees) -> list[str]:
     logit = trees.logit(x)
     out = []
     for page, lo, hi in zip(pages, offs[:-1], offs[1:], strict=True):
-        if len(page.kind) == 1:
-            out.append(render(page, np.array([True])))
-            continue
         chars = np.bincount(page.node, [len(t) for t in page.text], len(page.kind)) if page.node else np.zeros(len(page.kind))
-        out.append(render(page, decode(logit[lo:hi], page.parent, 0.3 + np.log1p(chars))))
+        text = render(page, decode(logit[lo:hi] + LEAN, page.parent, 0.3 + np.log1p(chars)))
+        out.append(text or render(page, (np.array(page.around) & MARKED) == 0))
     return out
 
 
@@ -390,14 +443,15 @@ def training_page(rng: random.Random) -> str:
             text[k] = rng.choice(["<a href='/x'>{}</a>", "<b>{}</b>", "<em>{}</em>", "<span>{}</span>"]).format(text[k])
         return " ".join(text)
 
+    plain = rng.random() < 0.5  # a page whose names say nothing
+
     def named(part: str, tags: list[str], y: int = 0) -> tuple[str, str]:
+        """A start tag with a name that tells the part, a name that tells nothing, or none."""
         tag = rng.choice(tags)
         how = rng.random()
-        name = rng.choice(TOKENS[part].split()) if part in TOKENS else rng.choice(pool)
+        name = rng.choice(TOKENS[part].split()) if part in TOKENS and not plain else rng.choice(pool)
         name = f"{rng.choice(pool)}-{name}" if rng.random() < 0.2 else name
         attr = f' class="{name}"' if how < 0.55 else f' id="{name}"' if how < 0.75 else f' class="{rng.choice(pool)} c{rng.randrange(99)}"' if how < 0.85 else ""
-        if not attr and tag in ("div", "section", "ul", "ol", "p") and part in TOKENS and part != "main":
-            attr = f' class="{name}"'
         return f"<{tag}{attr} data-y={y}>", f"</{tag}>"
 
     def links(n: int) -> str:
@@ -412,9 +466,11 @@ def training_page(rng: random.Random) -> str:
         if part == "nav":
             body = links(rng.randint(2, 12))
         elif part == "form":
-            body = f"<label>{words(2)}</label><input name=q><button>{words(1)}</button>" + (f"<p>{words(rng.randint(3, 20))}</p>" if rng.random() < 0.5 else "")
+            body = "".join(f"<label>{words(2)}</label><input name=q>" for _ in range(rng.randint(1, 4))) + f"<button>{words(1)}</button>"
+            body = (f"<p>{words(rng.randint(3, 20))}</p>" if rng.random() < 0.5 else "") + (f"<form>{body}</form>" if rng.random() < 0.5 else body)
         elif part == "comment":
-            body = f"<h3>{words(2)}</h3>" + "".join(f"<div class='{rng.choice(['reply', 'item', 'c', 'comment'])}'><b>{words(1)}</b><p>{rich(rng.randint(4, 60))}</p></div>" for _ in range(rng.randint(1, 6)))
+            item = rng.choice(pool) if plain else rng.choice(["reply", "item", "c", "comment"])
+            body = f"<h3>{words(2)}</h3>" + "".join(f"<div class='{item}'><b>{words(1)}</b><p>{rich(rng.randint(4, 60))}</p></div>" for _ in range(rng.randint(1, 6)))
         elif part == "foot":
             body = f"&copy; {words(rng.randint(2, 12))}" + (links(rng.randint(2, 8)) if rng.random() < 0.5 else "") + (loose(1) if rng.random() < 0.3 else "")
         elif part == "head":
@@ -427,34 +483,43 @@ def training_page(rng: random.Random) -> str:
 
     def article() -> str:
         bare = rng.random()
-        a, b = ("<article data-y=1>", "</article>") if bare < 0.4 else ("<main data-y=1>", "</main>") if bare < 0.5 else named("main", ["div", "div", "section", "article"], 1)
+        a, b = ("<article data-y=1>", "</article>") if bare < 0.3 else ("<main data-y=1>", "</main>") if bare < 0.4 else named("main", ["div", "div", "section", "article", "td"], 1)
         out = [f"<h1>{words(rng.randint(2, 9))}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 14])):
+        inner = rng.choice(["p", "p", "p", "p", "div", "mixed"])  # how paragraphs are marked up
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 8, 10, 14, 25])):
             kind = rng.random()
             if kind < 0.7:
-                out.append(f"<p>{rich(rng.randint(2, 110))}" + ("</p>" if rng.random() < 0.9 else ""))
+                tag = inner if inner != "mixed" else rng.choice(["p", "div"])
+                name = f' class="{rng.choice(pool)}"' if rng.random() < 0.1 else ""
+                out.append(f"<{tag}{name}>{rich(rng.randint(2, 110))}" + (f"</{tag}>" if tag == "div" or rng.random() < 0.9 else ""))
             elif kind < 0.78:
                 out.append(f"<h2>{words(rng.randint(1, 6))}</h2>")
             elif kind < 0.84:
                 out.append("<ul>" + "".join(f"<li>{rich(rng.randint(1, 25))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
-            elif kind < 0.88:
+            elif kind < 0.87:
                 out.append(f"<blockquote>{rich(rng.randint(5, 40))}</blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.90:
                 out.append("<table>" + "".join(f"<tr><td>{words(2)}</td><td>{words(2)}</td></tr>" for _ in range(rng.randint(2, 5))) + "</table>")
-            elif kind < 0.95:
-                out.append(f"<div>{rich(rng.randint(5, 80))}</div>")
+            elif kind < 0.93:
+                out.append(f"<figure><img src=x.png><figcaption>{words(rng.randint(2, 15))}</figcaption></figure>")
+            elif kind < 0.96:
+                out.append(words(rng.randint(3, 40)) + rng.choice([" ", "<br><br>"]))
             else:
                 out.append(f"<pre>{words(rng.randint(4, 30))}</pre>")
+        if rng.random() < 0.25:  # sections, or a wrapper, within the article
+            cut = rng.randint(0, len(out))
+            out = [*out[:cut], f"<{(w := rng.choice(['div', 'section']))} class='{rng.choice(pool)}'>", *out[cut:], f"</{w}>"]
         for part in ("ad", "more", "notice", "form", "comment", "side", "nav"):
             if rng.random() < (0.2 if part in ("ad", "more") else 0.08):
                 out.insert(rng.randint(0, len(out)) if part in ("ad", "notice") else len(out), boiler(part))
         return a + "".join(out) + b
 
     core = article()
-    near = [boiler(p) for p in ("ad", "side", "comment", "more", "form") if rng.random() < 0.3]
-    core = "".join(x if rng.random() < 0.5 else x for x in near[: rng.randint(0, len(near))]) + core + "".join(near[len(near) // 2 :])
+    before = [boiler(p) for p in ("ad", "side") if rng.random() < 0.2]
+    after = [boiler(p) for p in ("ad", "side", "comment", "more", "form") if rng.random() < 0.25]
+    core = "".join(before) + core + "".join(after)
     for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
-        a, b = f"<div class='{rng.choice(['wrap', 'container', 'row', 'layout', 'x1', 'page', 'content'])}' data-y=0>", "</div>"
+        a, b = f"<div class='{rng.choice(pool) if plain else rng.choice(['wrap', 'container', 'row', 'layout', 'x1', 'page', 'content'])}' data-y=0>", "</div>"
         core = a + core + b
     top = [boiler(p) for p in ("head", "nav", "notice", "ad", "form") if rng.random() < 0.55]
     tail = [boiler(p) for p in ("side", "more", "comment", "form", "notice", "ad", "foot") if rng.random() < 0.4]
