@@ -14,14 +14,16 @@ order, k of their first floor(n / 5) + k tokens. Both filters rest on that:
 
 The index gives candidate pairs: sets that share an entry and whose sizes allow a link.
 Only connected groups are asked for, so pairs inside one that is known already are no
-candidates. In each of some rounds every entry names a leader and its sets are compared with
-that one alone: pairs in proportion to the entries. Groups of copies, of whatever size,
-come together in these rounds. They end when few pairs are left between different groups
-(OPEN_PAIRS for each entry), or when a round has not halved them; then all of these are
-compared, entry by entry, entries of over SALT sets in blocks. No group is ever brought to
-one task, and no entry's pairs are listed while rounds still merge its sets. Equal texts
-and equal sets are one throughout: classes are of representatives, and rows take their
-class by membership. 64 bits stand for a word, a shingle and a set.
+candidates. First each set is compared with one leader, the first of all that share an
+entry with it: one pair a set. Groups of copies, of whatever size, mostly come together so.
+This is done again with other leaders as long as each round halves the sets that share
+an entry with another group. What is left is compared in blocks: sets with one leader are
+a family and lie together, in blocks of at most BLOCK sets, and each pair of blocks that has
+a candidate pair in some entry is compared once, by one product of token incidence
+matrices. So work follows the entries, not the connected groups of candidates, and no
+pairs are listed but those of single sets. Equal texts and equal sets are one throughout:
+classes are of representatives, and rows take their class by membership. 64 bits stand for
+a word, a shingle and a set.
 
 Edge cases: a null text or one without words has no shingles and links with nothing; one
 of fewer than five words has its sequence as the only shingle; repeated rows each get
@@ -36,21 +38,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, Tables, bucket_count, bucket_rows, components, distinct_sorted, doc_groups, fresh, in_buckets, lean, mix64, shingles, text_buffer, text_or_empty, text_volume, words
+from .common import Known, Tables, bucket_count, bucket_rows, components, distinct_sorted, doc_groups, fresh, in_buckets, lean, mix64, shingles, shuffle_parts, text_buffer, text_or_empty, text_volume, words
 
 WORDS = 5
 #: A token in more sets than this is frequent.
 FREQUENT = 64
 SINGLES_FROM = 80
-#: Rounds of leaders go on while more pairs than this, for each index entry, are open.
-OPEN_PAIRS = 2.0
-#: Sets of an entry that are compared in one block.
-SALT = 1000
+#: Sets of a family that are compared in one block.
+BLOCK = 512
 #: Keys up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 500_000
+BLOCK_BYTES = 16 << 20
 
 
 def text_keys() -> list[Column]:
@@ -164,6 +165,83 @@ def index_entries(sets: DataFrame) -> DataFrame:
     return often_p.select("s", "n", F.explode(sigs).alias("sig"))
 
 
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """(member, root) over a symmetric matrix of links."""
+    free, out = np.ones(len(links), bool), []
+    for root in range(len(links)):
+        if not free[root]:
+            continue
+        free[root] = False
+        ahead = [root]
+        while ahead:
+            new = np.flatnonzero(links[ahead].any(0) & free)
+            free[new] = False
+            out += [(int(x), root) for x in new]
+            ahead = new.tolist()
+    return out
+
+
+def _common(parts: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by incidence matrices a few columns wide."""
+    m = len(parts)
+    values = np.concatenate(parts)
+    who = np.repeat(np.arange(m), [len(x) for x in parts])
+    _, column, much = np.unique(values, return_inverse=True, return_counts=True)
+    use = much[column] > 1
+    who, column = who[use], np.unique(column[use], return_inverse=True)[1]
+    out = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    width = max(256, min(4096, (8 << 20) // (4 * m)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        x = np.zeros((m, width), np.float32)
+        x[who[lo:hi], column[lo:hi] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each pair of blocks (x, y) of the partition, which comes sorted by them."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        names, own = rows["s"].to_numpy(), rows["block"].to_numpy()
+        column = rows["tokens"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        parts = [flat[at[k] : at[k + 1]] for k in range(len(names))]
+        size = np.array([len(x) for x in parts], np.float32)
+        both = _common(parts)
+        ok = 100 * both >= 80 * (size[:, None] + size - both)
+        if rows["x"][0].as_py() != rows["y"][0].as_py():
+            ok &= own[:, None] != own  # pairs inside a block are that block's
+        np.fill_diagonal(ok, False)
+        found = _forest(ok)
+        if not found:
+            return None
+        a, b = np.array(found).T
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+    def ready(table: pa.Table, whole: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+        key = np.stack([table[c].to_numpy() for c in ("x", "y")])
+        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+        ends = np.append(edge[1:], table.num_rows)
+        if not whole:
+            edge, ends = edge[:-1], ends[:-1]
+        out = [x for lo, hi in zip(edge, ends, strict=True) if hi - lo > 1 and (x := links(table.slice(lo, hi - lo).combine_chunks())) is not None]
+        return out, table.slice(ends[-1]) if len(ends) else table
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            done, rest = ready(pa.Table.from_batches(held), False)
+            yield from done
+            held = rest.to_batches()
+    if held:
+        yield from ready(pa.Table.from_batches(held), True)[0]
+
+
 def may_link(n: str, m: str) -> Column:
     """Whether two sets of these sizes can have an intersection of 80 % of the union."""
     return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * 80
@@ -176,55 +254,83 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(common * 100 >= (F.size("ta") + F.size("tb") - common) * 80).select("a", "b")
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _led(entries: DataFrame, number: int) -> DataFrame:
-    """Pairs of each set with the leader of its entries, where these are of different
-    groups (entries: s, n, sig, c): the first by a hash that changes with the round."""
-    lead = F.min(F.struct(F.xxhash64("s", F.lit(number)).alias("h"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead")
-    leads = entries.groupBy("sig").agg(lead, F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
-    leads = leads.select("sig", F.col("lead.s").alias("ls"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc"))
-    return entries.join(leads, "sig").filter((F.col("c") != F.col("lc")) & may_link("n", "ln")).select(*_pair("s", "ls")).distinct()
-
-
-def _all_open(entries: DataFrame) -> DataFrame:
-    """All pairs of sets that share an entry and are of different groups, once. One side
-    of an entry of over SALT sets is dealt into blocks, the other goes to each of them."""
-    sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
-    held = entries.join(sizes.select("sig", F.ceil(F.col("m") / SALT).cast("int").alias("nb")), "sig")
-    left = held.select("sig", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int").alias("x"), "s", "n", "c")
-    right = held.select("sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    # the smaller group's sets on the left, so that a pair comes once
-    both = left.join(right, ["sig", "x"]).filter((F.col("c") < F.col("c2")) & may_link("n", "n2"))
-    return both.select(*_pair("s", "s2")).distinct()
+def open_entries(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The entries (s, n, sig) of sets that are of different groups, with c, the group."""
+    if groups is None:
+        grouped = entries.withColumn("c", F.col("s"))
+    else:
+        grouped = entries.join(groups.withColumnRenamed("node", "s"), "s", "left").select("s", "n", "sig", F.coalesce("label", "s").alias("c"))
+    mixed = grouped.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
+    return grouped.join(mixed.select("sig"), "sig", "left_semi")
+
+
+def homes(entries: DataFrame, number: int) -> DataFrame:
+    """(s, n, c, home, home_n, home_c): of all sets that share an entry with s, itself
+    included, the first by a hash that changes with `number`. Sets of one family, which
+    share most entries, mostly have one home."""
+    first = F.min(F.struct(F.xxhash64("s", F.lit(number)).alias("h"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead")
+    leads = entries.groupBy("sig").agg(first)
+    found = entries.join(leads, "sig").groupBy("s").agg(F.min("lead").alias("lead"), F.first("n").alias("n"), F.first("c").alias("c"))
+    return found.select("s", "n", "c", F.col("lead.s").alias("home"), F.col("lead.n").alias("home_n"), F.col("lead.c").alias("home_c"))
+
+
+def block_pairs(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(x, y) with x <= y: the pairs of blocks (s, block) that hold, one each or both, two
+    sets of different groups that share an entry and whose sizes allow a link."""
+    held = entries.join(blocks.select("s", "block"), "s").groupBy("sig", "block")
+    held = held.agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    other = held.select("sig", *[F.col(c).alias(f"{c}2") for c in held.columns if c != "sig"])
+    differ = (F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2"))
+    sizes = (F.col("most").cast("long") * 100 >= F.col("least2").cast("long") * 80) & (F.col("most2").cast("long") * 100 >= F.col("least").cast("long") * 80)
+    across = held.join(other, "sig").filter((F.col("block") < F.col("block2")) & differ & sizes).select(F.col("block").alias("x"), F.col("block2").alias("y"))
+    inside = held.filter((F.col("k") > 1) & (F.col("low") != F.col("high"))).select(F.col("block").alias("x"), F.col("block").alias("y"))
+    return across.unionByName(inside).distinct()
+
+
+def block_links(entries: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) that connect all open sets which link. The sets of a home are dealt into
+    blocks of at most about BLOCK sets and BLOCK_BYTES; each pair of blocks that has a
+    candidate pair is compared once, by one product of incidence matrices."""
+    spark = sets.sparkSession
+    at = tables.table(homes(entries, 0).select("s", "n", "home"))
+    many = at.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.col("n").cast("long") * 8) / BLOCK_BYTES)).alias("nb"))
+    blocks = tables.table(at.join(many, "home").select("s", "n", F.xxhash64("home", F.pmod(F.xxhash64("s"), F.col("nb"))).alias("block")))
+    pairs = tables.table(block_pairs(entries, blocks))
+    size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("double") * 8).alias("b"), F.first("s").alias("only"))
+    x, y = (size.select(*[F.col(c).alias(f"{k}{c}") for c in size.columns]) for k in "xy")
+    sized = tables.table(pairs.join(x, F.col("x") == F.col("xblock")).join(y, F.col("y") == F.col("yblock")))
+    lone = (F.col("xm") == 1) & (F.col("ym") == 1)
+    singles = verified(sized.filter(lone).select(F.col("xonly").alias("a"), F.col("yonly").alias("b")), sets)
+    rest = sized.filter(~lone).select("x", "y", "xb", "yb")
+    volume = rest.agg(F.sum(F.col("xb") + F.col("yb"))).first()[0] or 0.0
+    sides = rest.select("x", "y", F.col("x").alias("block")).unionByName(rest.filter("x != y").select("x", "y", F.col("y").alias("block")))
+    dealt = sides.join(blocks.select("block", "s"), "block").join(sets.select("s", "tokens"), "s").select("x", "y", "block", "s", "tokens")
+    parts = shuffle_parts(spark, volume, BLOCK_BYTES)
+    found = dealt.repartition(parts, "x", "y").sortWithinPartitions("x", "y").mapInArrow(lean(_verify), "a long, b long")
+    return found.unionByName(singles)
 
 
 def jaccard_links(sets: DataFrame, tables: Tables) -> DataFrame:
     """(node, label): the connected groups of the sets (s, n, tokens) that link."""
-    entries = index_entries(sets)
-    own = F.count(F.lit(1)).over(Window.partitionBy("sig"))
-    entries = tables.table(entries.withColumn("m", own).filter(F.col("m") > 1).drop("m"))  # an entry of one set ties nothing
-    total, number, before = entries.count(), 0, float("inf")
-    links = tables.table(entries.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
-    groups = tables.table(entries.select(F.col("s").alias("node"), F.col("s").alias("label")).limit(0))
+    entries = tables.table(index_entries(sets))
+    links, groups, before, number = None, None, float("inf"), 0
     while True:
-        grouped = entries.join(groups.withColumnRenamed("node", "s"), "s", "left").select("s", "n", "sig", F.coalesce("label", "s").alias("c"))
-        grouped = tables.table(grouped)
-        each = grouped.groupBy("sig", "c").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("sig").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        open_ = float(each.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0.0)
-        if not open_:
+        left = tables.table(open_entries(entries, groups))
+        open_ = left.select("s").distinct().count()
+        rest = open_ > before / 2
+        if not open_ and groups is not None:
             return groups
-        rest = open_ <= OPEN_PAIRS * total or open_ > before / 2
-        found = tables.table(verified(_all_open(grouped) if rest else _led(grouped, number), sets))
-        new = found.count()
-        if new:
-            links = tables.table(links.unionByName(found))
-            groups = components(links)
+        if rest:
+            found = block_links(left, sets, tables)
+        else:
+            number += 1
+            led = homes(left, number).filter((F.col("c") != F.col("home_c")) & may_link("n", "home_n"))
+            found = verified(led.select(F.least("s", "home").alias("a"), F.greatest("s", "home").alias("b")).distinct(), sets)
+        links = tables.table(found if links is None else links.unionByName(found))
+        groups = components(links)
         if rest:
             return groups
-        number, before = number + 1, open_
+        before = open_
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
