@@ -74,17 +74,29 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def _after_period(own: np.ndarray, at: np.ndarray, anchor: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows (starts `at`, in rising order) equal the window a period before them,
-    in the same document. Periods to try: distances of consecutive equal anchors."""
+    in the same document. Only windows whose anchor equals the one before are looked at,
+    with the distance of the two as period; in a periodic stretch these are all but some."""
     out = np.zeros(len(at), bool)
-    run = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    near = (anchor[run][1:] == anchor[run][:-1]) & (doc[run][1:] == doc[run][:-1])
-    for p in np.unique(np.diff(place[run])[near]).tolist():
-        if 0 < p <= LENGTH - GRAM:
-            differ = np.append(0, np.cumsum(own[p:] != own[:-p]))  # of own[i + p], own[i]
-            back = np.searchsorted(at, at - p)
-            ok = (at >= p) & (doc[np.minimum(back, len(at) - 1)] == doc) & (at[np.minimum(back, len(at) - 1)] == at - p)
-            i = np.where(ok, at - p, 0)
-            out |= ok & (differ[i + LENGTH] == differ[i])
+    run = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
+    near = np.flatnonzero((anchor[run][1:] == anchor[run][:-1]) & (doc[run][1:] == doc[run][:-1])) + 1
+    if not len(near):
+        return out
+    period = place[run[near]] - place[run[near - 1]]
+    first = np.append(True, (np.diff(near) != 1) | (np.diff(period) != 0))  # stretches of one period
+    a, b = run[near[first]], np.append(run, len(at))[near[np.append(first[1:], True)] + 1]
+    p, size = period[first], b - a + LENGTH - 1
+    ends = np.cumsum(size)
+    for lo, hi in doc_groups(np.append(0, ends), _SEGMENT):
+        n = size[lo:hi]
+        who = np.repeat(np.arange(lo, hi), n)
+        step = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+        i = at[a[who]] + step
+        differ = np.append(0, np.cumsum(own[i] != own[np.maximum(i - p[who], 0)]))
+        window = step <= n[who - lo] - LENGTH
+        k = np.flatnonzero(window)
+        mine = a[who[k]] + step[k]
+        begin = np.searchsorted(doc, doc[mine])  # the document's first window here
+        out[mine] = (differ[k + LENGTH] == differ[k]) & (at[mine] - p[who[k]] >= at[begin])
     return out
 
 
