@@ -7,7 +7,8 @@ image; difference_hash() holds whether brightness rises from one cell to the nex
 
 text_payload_images() is the lossless column form for documents: the text's UTF-8 bytes,
 padded with 0 to a positive multiple of 64, are the samples of a 64 pixel wide grey
-image: PGM, or BMP for an even number of rows. Everything else comes from the stored bytes as read back.
+image, stored as PGM or as BMP, as the caller says. Everything else comes from the stored
+bytes as read back.
 
 Edge cases: a null or empty text is one row of zeros; images that cannot be read raise
 ValueError; an empty table gives an empty result; equal texts give equal values.
@@ -141,20 +142,21 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(np.round(small[:, 1:], 6) > np.round(small[:, :-1], 6)).tobytes().hex()
 
 
-def text_image(text: bytes) -> bytes:
-    """The stored form of a text: a grey image whose samples are its padded bytes."""
+def text_image(text: bytes, form: str = "pgm") -> bytes:
+    """The stored form of a text, pgm or bmp: a grey image whose samples are its padded bytes."""
     rows = max(1, -(-len(text) // WIDTH))
     image = np.frombuffer(text.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH)
-    return encode_pgm(image) if rows % 2 else encode_bmp(image)
+    return {"pgm": encode_pgm, "bmp": encode_bmp}[form](image)
 
 
 def image_text(stored: bytes, n_bytes: int) -> bytes:
     return decode_image(stored).tobytes()[:n_bytes]
 
 
-def text_payload_images(docs: DataFrame, tiles: bool = True) -> DataFrame:
+def text_payload_images(docs: DataFrame, tiles: bool = True, form: str = "pgm") -> DataFrame:
     """doc_id, n_bytes, and of the stored image: media (its bytes) and tile (NPY) if
-    `tiles`, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, dhash."""
+    `tiles`, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, dhash. The
+    stored form is `form` for all texts."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string"
     schema += ", media binary, tile binary" if tiles else ""
 
@@ -166,7 +168,7 @@ def text_payload_images(docs: DataFrame, tiles: bool = True) -> DataFrame:
             done = 0
             for k, cell in enumerate(batch.column(1)):
                 text = cell.as_py() or b""
-                stored = text_image(text)
+                stored = text_image(text, form)
                 image = decode_image(stored)
                 payload = image.tobytes()
                 row = [len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image)]

@@ -6,16 +6,19 @@ import hashlib
 import io
 import itertools
 import math
+import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from compare import connect, same
 from pyspark.sql import functions as F
 
 from siltstone.llm import chat, decontam, html_extract, langid, media, mixing, ngram_join, sharding, substring, suffix
-from siltstone.llm.common import components, ship
+from siltstone.llm.common import components, materialize, ship
 from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, id int, t int, score string, shard int"
@@ -404,28 +407,26 @@ class None_docs:
     sparkSession = None
 
 
-def test_language_query_against_brute_force(spark, sf):
-    """The query's predictions from code lengths computed byte by byte in Python."""
-    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").collect()][:60]
-    rows += [(900_001, "short", "en"), (900_002, "12 34", "en"), (900_003, None, "en"), (900_004, "\ufffd\u00e9", None), (900_005, "", "de")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in langid.predict_documents(df).collect()}
-    train = {t.encode(): lang for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and lang}
-    langs = sorted(set(train.values()))
+def languages(rows):
+    """{doc_id: (language, score)} of rows (doc_id, text, lang), from code lengths computed
+    byte by byte; whole distinct texts of documents that are not held out are the sample."""
+    train = {(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and lang}
+    langs = sorted({lang for _, lang in train})
     seen, follow = collections.Counter(), {lang: collections.defaultdict(collections.Counter) for lang in langs}
-    for t, lang in {(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and lang}:
+    for t, lang in train:
         for i, d in itertools.product(range(len(t)), range(4)):
             if i >= d:
                 seen[t[i - d : i]] += 1
                 follow[lang][t[i - d : i]][t[i]] += 1
+    out = {}
     for i, t, _ in rows:
-        if not t or not any(c.isalpha() for c in t):
-            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+        if not t or not langs or not any(c.isalpha() for c in t):
+            out[i] = ("und", 0.0)
             continue
         b, bits = t.encode(), []
         for lang in langs:
             total = 0.0
-            for at, byte in enumerate(b[:3000]):
+            for at, byte in enumerate(b):
                 d = min(3, at)
                 while d and seen[b[at - d : at]] < 2:
                     d -= 1
@@ -434,9 +435,16 @@ def test_language_query_against_brute_force(spark, sf):
                     d -= 1
                 total += 8 if d < 0 else -math.log2(c[byte] / (c.total() + len(c)))
             bits.append(total)
-        if len(b) <= 3000:  # the brute force is slow; longer ones are held to kernels below
-            assert got[i]["lang_pred"] == langs[int(np.argmin(bits))]
-            assert got[i]["score"] == pytest.approx(1 / sum(2 ** -min(x - min(bits), 1000) for x in bits), abs=1e-4)
+        out[i] = (langs[int(np.argmin(bits))], 1 / sum(2 ** -min(x - min(bits), 1000) for x in bits))
+    return out
+
+
+def test_language_query_against_brute_force(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("octet_length(text) < 4000").select("doc_id", "text", "lang").orderBy("doc_id").collect()][:60]
+    rows += [(900_001, "short", "en"), (900_002, "12 34", "en"), (900_003, None, "en"), (900_004, "\ufffd\u00e9", None), (900_005, "", "de")]
+    want = languages(rows)
+    for r in langid.predict_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-4)
 
 
 def test_long_texts_cost_the_same_in_pieces(monkeypatch):
@@ -451,26 +459,99 @@ def test_long_texts_cost_the_same_in_pieces(monkeypatch):
 
 # ------------------------------------------------------------------------- op4
 
-def test_mixing_meets_margins_and_both_paths_agree(docs, none):
-    rng = np.random.default_rng(1)
-    codes = [rng.integers(0, n, 60) for n in (5, 3, 4)]
-    tokens = rng.random(60) * 100
-    goals = [np.bincount(c, tokens) ** 0.5 for c in codes]
-    goals = [g / g.sum() for g in goals]
-    weight = mixing.rake(tokens, codes, goals)
-    for c, g in zip(codes, goals, strict=True):
-        assert np.abs(np.bincount(c, weight, len(g)) - g).max() < 1e-6
-    p = mixing.probabilities(tokens, weight, 0.4)
-    assert (p * tokens).sum() == pytest.approx(0.4 * tokens.sum()) and p.max() <= 1
-    free = p < 1 - 1e-9
-    assert np.ptp((p * tokens / weight)[free]) < 1e-6 * (p * tokens / weight)[free].max()
-    some = docs.filter("doc_id % 3 = 0")
-    a = {tuple(r)[:5]: r["p"] for r in mixing.mix(some, targets={"lang": {"en": 0.5, "fr": 0.25, "unknown": 0.25}}).collect()}
-    b = {tuple(r)[:5]: r["p"] for r in mixing.mix(some, targets={"lang": {"en": 0.5, "fr": 0.25, "unknown": 0.25}}, local_cells=0).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
-    assert mixing.mix(none).count() == 0
+def word_bins(text):
+    """Words by hash bin, with the hash written out for one word at a time."""
+    m64, odd = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 29)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 32)
+
+    out = [0] * mixing.TERMS
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        h = mix(len(w) * odd & m64)
+        for k in range(0, len(w), 8):
+            h = mix((h ^ int.from_bytes(w[k : k + 8], "little")) * odd & m64)
+        out[mix(h if len(w) <= 256 else xxhash.xxh3_64_intdigest(w, 0)) % mixing.TERMS] += 1
+    return out
+
+
+def mixed(rows, centres, keep=0.5, flatten=0.7):
+    """{(doc_id, text): (cell, tokens, p)} of rows (doc_id, text, lang, source), by loops."""
+    cells, where = collections.Counter(), {}
+    for i, t, lang, source in rows:
+        bins = word_bins(t)
+        near = [round(sum(math.sqrt(b) * c for b, c in zip(bins, centre, strict=True)), 9) for centre in centres]
+        topic = f"topic{near.index(max(near))}" if sum(bins) else "none"
+        where[i, t] = (source or "unknown", lang or "unknown", topic), sum(bins)
+        cells[where[i, t][0]] += sum(bins)
+    total = sum(cells.values())
+    share = [collections.Counter() for _ in range(3)]
+    for cell, n in cells.items():
+        for s, v in zip(share, cell, strict=True):
+            s[v] += n / total
+    weight = {c: n * math.prod(s[v] ** (flatten - 1) if s[v] else 0 for s, v in zip(share, c, strict=True)) for c, n in cells.items()}
+    every = sum(weight.values())
+    low, high = 0.0, 1e12
+    for _ in range(300):  # the scale by bisection
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(n, middle * weight[c] / every) for c, n in cells.items()) < keep * total else (low, middle)
+    return {k: (c, n, min(1.0, high * weight[c] / every / cells[c]) if cells[c] else 0.0) for k, (c, n) in where.items()}
+
+
+def test_mixing_against_loops(spark, docs, corpus, none, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for df, rows in ((docs, [r[:4] for r in corpus]), (table, [tuple(r) for r in table.select("doc_id", "text", "lang", "source").collect()])):
+        want = mixed(rows, mixing.sampled_topics(df).centres.tolist())
+        got = mixing.mix(df).collect()
+        assert len(got) == len(rows)
+        texts = collections.defaultdict(set)
+        for i, t, *_ in rows:
+            texts[i].add(t)
+        for r in got:
+            assert any(want[r["doc_id"], t][0] == (r["source"], r["lang"], r["topic"]) and want[r["doc_id"], t][1] == r["tokens"] and want[r["doc_id"], t][2] == pytest.approx(r["p"], abs=1e-6) for t in texts[r["doc_id"]]), r
+            assert r["kept"] == (r["u"] < r["p"])
+    far = mixing.mix(docs, local_cells=0).collect()
+    near = {(r["doc_id"], r["tokens"], r["u"]): r["p"] for r in mixing.mix(docs).collect()}
+    assert len(far) == len(corpus) and all(near[r["doc_id"], r["tokens"], r["u"]] == pytest.approx(r["p"], abs=1e-7) for r in far)
+    assert mixing.mix(none).count() == 0 and mixing.mix(none, local_cells=0).count() == 0
     kept = mixing.mixed_documents(docs)
     assert kept.columns == docs.columns and kept.count() == mixing.mix(docs).filter("kept").count()
+    given = docs.withColumn("topic", F.when(F.col("doc_id") % 2 == 0, "even"))
+    assert {r["topic"] for r in mixing.mix(given).collect()} == {"even", "unknown"}
+    assert mixing.mixed_documents(given).columns == given.columns
+
+
+def test_topics_part_what_differs():
+    rng = random.Random(14)
+    kinds = [[prose(rng, 1) for _ in range(40)] for _ in range(3)]
+    counts = np.array([word_bins(" ".join(rng.choice(kinds[k % 3]) for _ in range(80))) for k in range(90)])
+    found = mixing.fit_topics(counts, 3).of(counts)
+    assert len(set(found)) == 3 and all(len(set(found[k::3])) == 1 for k in range(3))
+    assert mixing.fit_topics(counts[:0]).of(counts[:2]).tolist() == [-1, -1]
+
+
+@pytest.mark.parametrize("cells", [10**6, 0])
+def test_mixing_targets(spark, cells):
+    rng = random.Random(15)
+    rows = [(k, prose(rng, 30), rng.choice(["en", "en", "fr", "de"]), rng.choice(["s0", "s1"]), rng.choice(["x", "y"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    aim = {"lang": {"en": 0.2, "fr": 0.5, "de": 0.3}, "source": {"s0": 0.5, "s1": 0.5}, "topic": {"x": 0.6, "y": 0.4}}
+    got = mixing.mix(df, aim, keep_share=0.2, local_cells=cells).toPandas()
+    mass = (got.p * got.tokens).groupby(got.lang).sum()
+    assert got.p.max() < 1 and mass["fr"] / mass.sum() == pytest.approx(0.5, abs=1e-5) and mass.sum() == pytest.approx(0.2 * got.tokens.sum(), rel=1e-6)
+    with pytest.raises(ValueError, match="no tokens of lang xx"):
+        mixing.mix(df, {"lang": {"en": 0.2, "xx": 0.8}}, local_cells=cells)
+    if cells:
+        with pytest.warns(UserWarning, match="no tokens of lang xx"):
+            lost = mixing.mix(df, {"lang": {"en": 0.2, "xx": 0.8}}, strict=False).toPandas()
+        assert (lost[lost.lang != "en"].p == 0).all()
+        # en only in s0: its share cannot differ from that of s0
+        tied = df.withColumn("source", F.when(F.col("lang") == "en", "s0").otherwise("s1"))
+        with pytest.raises(ValueError, match="contradict"):
+            mixing.mix(tied, {"lang": {"en": 0.5, "fr": 0.25, "de": 0.25}, "source": {"s0": 0.1, "s1": 0.9}})
 
 
 # ------------------------------------------------------------------------- op5
@@ -481,27 +562,32 @@ def test_seeds_hit_every_window_with_two_words_replaced():
         assert any(all(s + j in left for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(13 - len(m) + 1)), gone
 
 
+def overlapping(rows, items):
+    """{(doc_id, item_id): most equal words} of the pairs that overlap, by all alignments."""
+    word = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    want = {}
+    for (d, text), (i, item) in itertools.product(rows, items):
+        a, b = np.array(word(text), object), np.array(word(item), object)
+        width = min(len(b), decontam.VERIFY_WORDS)
+        for line in range(-len(b), len(a)) if len(b) > 1 or len(a) == len(b) == 1 else ():
+            lo, hi = max(line, 0), min(line + len(b), len(a))
+            eq = a[lo:hi] == b[lo - line : hi - line]
+            if eq.sum() >= 0.8 * width and max((eq[k : k + width].sum() for k in range(len(eq) - width + 1)), default=0) >= 0.8 * width:
+                want[d, i] = max(want.get((d, i), 0), int(eq.sum()))
+    return want
+
+
 def test_decontamination_against_brute_force(spark, docs, corpus, none):
     rng = random.Random(5)
-    items = [prose(rng, n) for n in (4, 6, 12, 13, 30, 45, 45)]
+    items = [prose(rng, n) for n in (4, 6, 12, 13, 30, 45, 45, 1, 2, 3)]
     items[6] = items[5]
     def changed(text, every):
         return " ".join("zz" if k % every == every - 1 else w for k, w in enumerate(text.split(" ")))
-    planted = [items[4], changed(items[4], 6).replace("a", "A"), changed(items[4], 3), items[5][: len(items[5]) // 2], prose(rng, 9) + " " + items[3] + "\n" + prose(rng, 9), items[1], items[0], items[5] + " " + items[5], changed(items[2], 6)]
+    planted = [items[4], changed(items[4], 6).replace("a", "A"), changed(items[4], 3), items[5][: len(items[5]) // 2], prose(rng, 9) + " " + items[3] + "\n" + prose(rng, 9), items[1], items[0], items[5] + " " + items[5], changed(items[2], 6), items[7], "so " + items[7], f"so {items[8].upper()} on", f"{items[9]} {items[9]}", items[9].split(" ")[0]]
     rows = [*corpus[:40], *[(100 + k, t, None, None, 1, "c", 1, 2, "s", 0) for k, t in enumerate(planted)]]
-    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (19, None), (20, ""), (None, items[4])], "item_id long, text string")
     found = decontam.overlaps(spark.createDataFrame(rows, SCHEMA), bench).collect()
-    word = lambda t: [w.lower() for w in (t or "").replace("\n", " ").split(" ") if w]
-    want = {}
-    for (d, text, *_), (i, item) in itertools.product(rows, enumerate(items)):
-        a, b = word(text), word(item)
-        width = min(len(b), decontam.VERIFY_WORDS)
-        for line in range(-len(b), len(a)) if len(b) >= 5 else ():
-            lo, hi = max(line, 0), min(line + len(b), len(a))
-            eq = np.array([a[k] == b[k - line] for k in range(lo, hi)], bool)
-            seed = any(all(k + j < len(eq) and eq[k + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for k in range(len(eq)))
-            if seed and decontam.best_window(eq, width) >= 0.8 * width:
-                want[d, i] = max(want.get((d, i), 0), int(eq.sum()))
+    want = overlapping([r[:2] for r in rows], [*enumerate(items), (None, items[4])])
     assert {(r["doc_id"], r["item_id"]): r["matched"] for r in found} == want and len(want) >= 9
     assert decontam.overlaps(none, bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
     clean = decontam.clean_documents(spark.createDataFrame(rows, SCHEMA), bench)
@@ -520,12 +606,22 @@ def test_short_items_match_with_any_words_replaced(spark):
                 rows.append((len(rows), " ".join([prose(rng, 6), *words, prose(rng, 6)])))
                 if n - many >= decontam.SIMILARITY * n:
                     want[rows[-1][0], n] = n - many
-    items.append((4, "w4x0 w4x1 w4x2 w4x3"))
-    rows.append((len(rows), items[-1][1]))
+    items.append((4, "what is quantum entanglement"))
+    rows += [(len(rows), "Well, What is\tquantum Entanglement then"), (len(rows) + 1, "what is quantum")]
+    want[rows[-2][0], 4] = 4
     found = decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]): r["matched"] for r in found.collect()} == want
 
 
+def test_best_windows():
+    rng = np.random.default_rng(2)
+    size, width = rng.integers(0, 30, 200), rng.integers(1, 14, 200)
+    equal = rng.random(size.sum()) < 0.6
+    ends = np.append(0, np.cumsum(size))
+    want = [max((int(equal[a + k : a + k + w].sum()) for k in range(n - w + 1)), default=0) for a, n, w in zip(ends, size, width, strict=False)]
+    assert decontam.best_windows(equal, size, width).tolist() == want
+
+
 # ------------------------------------------------------------------------- op6
 
 @pytest.mark.parametrize("shards", [16, 5])
@@ -645,7 +741,9 @@ def test_media_formats_round_trip():
 
 
 def test_media_columns(docs, none):
-    for r in media.text_payload_images(docs.select("doc_id", "text", "k1")).collect():
+    forms = [media.text_payload_images(docs.select("doc_id", "text", "k1"), form=f) for f in ("pgm", "bmp")]
+    assert [{bytes(r["media"][:2]) for r in f.collect()} for f in forms] == [{b"P5"}, {b"BM"}]
+    for r in forms[0].unionByName(forms[1]).collect():
         stored = bytes(r["media"])
         payload = media.decode_image(stored).tobytes()
         assert len(payload) == r["payload_bytes"] and len(payload) % 64 == 0 and len(payload) >= 64
@@ -706,14 +804,12 @@ def test_ngram_join(spark, docs, corpus, none):
     assert one.columns == docs.columns and sorted(k for k in kept if k is not None) == sorted({c for i, _, c in want if i is not None})
 
 
-@pytest.mark.parametrize("frequent,singles,open_pairs", [(2, 10**6, 2.0), (2, 40, 0.0), (64, 80, 10**9)])
-def test_ngram_join_of_a_large_near_group(spark, monkeypatch, frequent, singles, open_pairs):
-    """Frequent tokens in pairs and singly, entries of more than one block, long chains; all
-    rounds of leaders or none."""
+@pytest.mark.parametrize("frequent,singles,block", [(2, 10**6, 16), (2, 40, 4), (64, 80, 512)])
+def test_ngram_join_of_a_large_near_group(spark, monkeypatch, frequent, singles, block):
+    """Frequent tokens in pairs and singly, families of more than one block, long chains."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "SINGLES_FROM", singles)
-    monkeypatch.setattr(ngram_join, "OPEN_PAIRS", open_pairs)
-    monkeypatch.setattr(ngram_join, "SALT", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(8)
     rows = []
     for g in range(3):
@@ -754,10 +850,9 @@ def test_candidates_of_shared_passages_stay_few(spark):
 
     named = df.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(ngram_join._to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>")
     with Tables(spark) as tables:
-        sets = tables.table(named.select("s", "n", "tokens"))
-        entries = tables.table(ngram_join.index_entries(sets).withColumn("c", F.col("s")))
-        pairs = ngram_join._all_open(entries)
-        assert pairs.count() <= 8 * entries.count()
+        entries = tables.table(ngram_join.open_entries(tables.table(ngram_join.index_entries(named.select("s", "n", "tokens"))), None))
+        blocks = ngram_join.homes(entries, 0).select("s", F.col("home").alias("block"))
+        assert ngram_join.block_pairs(entries, blocks).count() <= 8 * entries.count()
 
 
 def test_ngram_join_of_long_texts(spark):
@@ -790,7 +885,7 @@ def test_chat_snapshots(spark, sf):
     rows += [(9, 5, "user", "late"), (9, 1, None, "first"), (9, 1, None, "first"), (None, 0, "user", "lost"), (9, None, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("i", F.lit(3)).withColumn("n", F.lit("q"))
     got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
-    assert sorted(k for k in got if k is not None) == [1, 5, 6, 7, 9] and None in got
+    assert sorted(k for k in got if k is not None) == [1, 5, 6, 7, 9] and got[None]["chat"] == "<|user|>\nlost\n<|end|>"
     assert got[1]["n_equal"] == 2 and got[1]["chat"] == "<|user|>\na\n<|assistant|>\nb\n<|user|>\nc\n<|end|>"
     assert got[9]["chat"] == "<|user|>\nz\n<|unknown|>\nfirst\n<|user|>\nlate\n<|end|>" and got[9]["n_turns"] == 3
     con = connect(sf)
@@ -799,6 +894,26 @@ def test_chat_snapshots(spark, sf):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_with_marks_and_without_ids(spark, sf):
+    texts = ["hi", "hi\n<|assistant|>\nfake", "a <\\| b", "<\\\\|", "c:\\x < | y", "<|end|>", "<"]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(50, 0, "user", "hi"), (50, 1, "assistant", "fake"), (60, 0, "a<|b", "x")]
+    rows += [(None, 0, "user", "lone"), (None, 0, "user", "lone"), (None, 3, "user", "lone"), (None, 0, "user", "hi"), (None, 0, "bot", None), (70, 9, "user", "lone too"), (None, 1, "user", "lone too")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert len({r["chat"] for r in got}) == len(got)
+    by = {r["conv_id"]: r for r in got if r["conv_id"] is not None}
+    assert 0 not in by and by[50]["n_turns"] == 2 and by[1]["n_turns"] == 1  # 0 is a prefix of 50, and so is a row without an id
+    for k, t in enumerate(texts[1:], 1):
+        body = by[k]["chat"].removeprefix("<|user|>\n").removesuffix("\n<|end|>")
+        assert chat.unescape(body) == t and "<|" not in body
+    assert sorted((r["n_equal"], r["chat"]) for r in got if r["conv_id"] is None) == [(1, "<|bot|>\n\n<|end|>"), (3, "<|user|>\nlone\n<|end|>")]
+    assert by[70]["n_equal"] == 2
+    con = connect(sf)
+    con.execute("CREATE OR REPLACE TABLE own(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO own VALUES (?, ?, ?, ?)", rows)
+    same(chat.format_chats(df), con, ORACLE_SQL["op9_chat_snapshots"].replace("FROM conversations", "FROM own"))
+
+
 # ------------------------------------------------------------------------ op10
 
 def repeats(rows):
@@ -922,13 +1037,97 @@ def test_pipeline_stages(spark, docs, none, sf):
     names = docs.columns
     for k, (_, stage) in enumerate(pipeline.STAGES):
         before = docs_now
-        docs_now = pipeline.materialize(stage(spark, docs_now, sf))
+        docs_now = materialize(stage(spark, docs_now, sf))
         if k < len(pipeline.STAGES) - 1:
             assert docs_now.columns == names and docs_now.count() <= before.count()
     assert docs_now.count() == before.count()
-    told = {r["doc_id"]: r for r in langid.predict_documents(docs).collect()}
-    first = pipeline.STAGES[0][1](spark, docs, sf)
-    assert first.count() == sum(told[r["doc_id"]]["lang_pred"] != "und" and told[r["doc_id"]]["score"] >= pipeline.MIN_SCORE for r in docs.select("doc_id").collect())
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_against_brute_force(spark, sf, tmp_path):
+    """run() over short documents with planted copies, near copies, benchmark passages,
+    empty texts and texts of no language, against the stages written as loops."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(55)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("octet_length(text) < 2500").select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").collect()][:70]
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").orderBy("item_id").collect()][:12]
+    words = rows[3][1].split(" ")
+    near = [" ".join("new" if k in (n, n + 9) else w for k, w in enumerate(words)) for n in range(4)]
+    new = [rows[0][1], rows[0][1], rows[5][1], *near, rows[7][1] + " " + bench[0][1], bench[1][1], None, "", "12 34 !", None]
+    rows += [(10_000 + k, t, rng.choice(["en", "de", None]), rng.choice(["x", None]), len(t or "")) for k, t in enumerate(new)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    told = languages([r[:3] for r in rows])
+    kept = [r for r in rows if told[r[0]][0] != "und" and told[r[0]][1] >= pipeline.MIN_SCORE]
+    assert len(kept) < len(rows)
+    one = {c for i, _, c in linked([r[:2] for r in kept])}
+    kept, before = [r for r in kept if r[0] in one], kept
+    assert len(kept) < len(before)
+    dirty = {d for d, _ in overlapping([r[:2] for r in kept], bench)}
+    kept, before = [r for r in kept if r[0] not in dirty], kept
+    assert len(kept) < len(before)
+    now = spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long")
+    p = mixed([r[:4] for r in kept], mixing.sampled_topics(now).centres.tolist())
+    u = {r["doc_id"]: r["u"] for r in now.select("doc_id", mixing._draw().alias("u")).collect()}
+    kept = [r for r in kept if u[r[0]] < p[r[0], r[1]][2]]
+    want = collections.Counter((i, len(r[1].encode()) + 1, crc, s) for r, (i, crc, s) in zip(kept, shards_of([r[:4] for r in kept]), strict=True))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_tables_go_when_their_block_ends(spark):
+    from siltstone.llm.common import Tables, clear, shared_dir
+
+    count = lambda: len(list(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("*")))
+    materialize(spark.range(3))
+    n = count()
+    with Tables(spark) as tables:
+        assert tables.table(spark.range(5)).count() == 5
+        out = tables.keep(spark.range(7))
+        assert count() == n + 2
+    assert count() == n + 1 and out.count() == 7
+    clear(spark)
+    assert count() == 0
+
+
+def test_known_hashes_are_bounded():
+    from siltstone.llm.common import Known
+
+    known = Known(1, room=100)
+    for k in range(50):
+        known.add(np.arange(10 * k, 10 * k + 10, dtype=np.uint64), np.arange(10) + k)
+        known.find(np.arange(5, dtype=np.uint64))
+    ok, value = known.find(np.array([3, 7, 499, 420], np.uint64))
+    assert len(known.hashes) == 100 and ok.tolist() == [True, False, True, True] and value[0].tolist()[0] == 3 and value[0].tolist()[2:] == [9 + 49, 42]
+
+
+def test_buckets_are_handed_over_whole():
+    import pyarrow as pa
+
+    from siltstone.llm import common
+
+    rng = random.Random(3)
+    buckets = sorted(rng.randrange(40) for _ in range(500))
+    batches, at = [], 0
+    while at < len(buckets):
+        n = rng.randint(0, 30)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(buckets[at : at + n], pa.int32()), pa.array([b"x" * 100] * len(buckets[at : at + n]), pa.binary())], ["bucket", "data"]))
+        at += n
+    calls = []
+
+    def step(it):
+        calls.append([b for batch in it for b in batch.column(0).to_pylist()])
+        yield from ()
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "BUCKET_BYTES", 2000)
+        list(common._whole_buckets(iter(batches), step))
+    assert sum(calls, []) == buckets and len(calls) > 5 and max(len(c) for c in calls) < 120
+    assert all(a[-1] != b[0] for a, b in itertools.pairwise(calls))
