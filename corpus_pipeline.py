@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, langid, mixing, ngram_join, sharding
-from siltstone.llm.common import fresh, materialize, ship
+from siltstone.llm.common import Tables, fresh, ship
 
 #: Below this share of the probability a language is a guess between two.
 MIN_SCORE = 0.5
@@ -56,12 +56,14 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: No SQL for context trees or raking; tests hold run() against brute force.
+#: No SQL for context trees or clusters; tests/llm hold run() against brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """doc_id, size, text_crc32, shard and slot of the documents that all stages kept."""
+    with Tables(spark) as tables:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for _, stage in STAGES[:-1]:
+            docs = tables.table(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
