@@ -5,57 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ranking import small, top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class Bm25Index:
-    """postings (term, id, tf), lengths (id, seq, dl), terms (term, df, idf) and one row
-    of corpus counts (n, avgdl)."""
+    """words (id, seq, w: the tokens of each document) and one row of corpus counts (n,
+    avgdl). Postings and terms follow from the words; a search makes them for its own terms
+    only. store() and load() keep the words, so that texts are tokenised once."""
 
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
+    words: DataFrame
     corpus: DataFrame
+    okapi: bool = False
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, seq, dl, tf)."""
+        return self.postings_of(None)
+
+    def postings_of(self, wanted: DataFrame | None) -> DataFrame:
+        """Postings of the wanted terms (term): others go before anything is shuffled."""
+        rows = self.words.select("id", "seq", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+        if wanted is not None:
+            rows = rows.join(small(wanted.select("term").distinct()), "term", "left_semi")
+        return rows.groupBy("term", "id", "seq", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+    def idf(self, counts: DataFrame) -> DataFrame:
+        """(term, df, idf) of counts (term, df). okapi: negative ones are raised to EPSILON
+        times the mean over all terms, the only thing that needs them all."""
+        n, df = F.col("n").cast("double"), F.col("df").cast("double")
+        held = lambda rows: rows.crossJoin(F.broadcast(self.corpus))  # noqa: E731 one row
+        if not self.okapi:
+            return held(counts).select("term", "df", F.ln((n - df + 0.5) / (df + 0.5) + 1).alias("idf"))
+        raw = lambda rows: held(rows).select("term", "df", (F.ln(n - df + 0.5) - F.ln(df + 0.5)).alias("idf"))
+        every = self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        mean = raw(every).agg(F.avg("idf").alias("mean"))
+        return raw(counts).crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * EPSILON).otherwise(F.col("idf")).alias("idf"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.idf(self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
     def cache(self) -> Bm25Index:
-        for df in (self.postings, self.lengths, self.terms, self.corpus):
-            df.cache()
+        self.words.cache()
+        self.corpus.cache()
         return self
 
+    def store(self, path: str) -> Bm25Index:
+        self.words.write.mode("overwrite").parquet(path)
+        return load_index(self.words.sparkSession, path, self.okapi)
+
+
+def _index(words: DataFrame, okapi: bool) -> Bm25Index:
+    n = F.count(F.lit(1))
+    return Bm25Index(words, words.agg(n.alias("n"), (F.sum(F.size("w").cast("long")) / F.greatest(n, F.lit(1))).alias("avgdl")), okapi)
+
 
 def build_index(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens, okapi: bool = False) -> Bm25Index:
     """Index of docs (id, text, seq). seq is the order of ingestion. okapi: the classic
     idf, negative ones raised to EPSILON times the mean."""
-    words = docs.select("id", "seq", tokenizer(F.coalesce("text", F.lit(""))).alias("w"))
-    lengths = words.select("id", "seq", F.size("w").cast("long").alias("dl"))
-    postings = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    n, df = F.col("n").cast("double"), F.col("df").cast("double")
-    if okapi:
-        raw = counts.select("term", "df", (F.ln(n - df + 0.5) - F.ln(df + 0.5)).alias("idf"))
-        mean = raw.agg(F.avg("idf").alias("mean"))
-        terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * EPSILON).otherwise(F.col("idf")).alias("idf"))
-    else:
-        terms = counts.select("term", "df", F.ln((n - df + 0.5) / (df + 0.5) + 1).alias("idf"))
-    return Bm25Index(postings, lengths, terms, corpus)
+    return _index(docs.select("id", "seq", tokenizer(F.coalesce("text", F.lit(""))).alias("w")), okapi)
+
+
+def load_index(spark: SparkSession, path: str, okapi: bool = False) -> Bm25Index:
+    return _index(spark.read.parquet(path), okapi)
 
 
 def search(index: Bm25Index, queries: DataFrame, top_k: int = 10, later_first: bool = True, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, id, score, rank from 0) of queries (qid, text): the top_k of each, without
-    scores of 0. Only postings of the query's terms are read. Ties go to the later
-    document, or the earlier."""
+    scores of 0. Only postings of the queries' terms are grouped and shuffled. Ties go to
+    the later document, or the earlier."""
     wanted = queries.select("qid", F.explode(tokenizer(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = wanted.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.corpus))
+    postings = index.postings_of(wanted)
+    idf = index.idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    hits = postings.join(wanted.join(idf, "term"), "term").crossJoin(F.broadcast(index.corpus))
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "id", "seq").agg(F.sum(part).alias("score"))
+    scored = hits.groupBy("qid", "id", "seq").agg(F.sum(part).alias("score")).filter("score > 0")
     # equal scores must not differ by the order of summing
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("seq").desc() if later_first else F.col("seq").asc())
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter((F.col("rank") < top_k) & (F.col("score") > 0)).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return top(scored, order, top_k).select("qid", "id", "score", "rank")

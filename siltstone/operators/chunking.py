@@ -28,6 +28,8 @@ def themes(c: Column, table: dict[str, list[str]] | None = None) -> Column:
     return F.filter(F.array(*[F.when(any_contains(c, words), F.lit(name)) for name, words in table.items()]), lambda x: x.isNotNull())
 
 
+# The words and patterns of the next two rules.
+
 def detect_doc_type(text: Column, full_name: Column, target_file: Column) -> Column:
     """From the name in the metadata, else an article line near the top, else words of
     standards at the top."""

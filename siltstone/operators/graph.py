@@ -3,12 +3,15 @@ to_id, to_label, props, seq). seq is the order of ingestion."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import small, top
+
 NODE = ["id", "label", "props", "seq"]
 EDGE = ["from_id", "from_label", "rel", "to_id", "to_label", "props", "seq"]
 PROPS = "map<string,string>"
@@ -73,6 +76,13 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(nodes, "label", "node").unionByName(count(edges, "rel", "edge"))
 
 
+def delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kind, name, n, added) of two stats(): the counts after, and what came since before."""
+    old = before.select("kind", F.col("name").alias("_name"), F.col("n").alias("_n")).withColumnRenamed("kind", "_kind")
+    joined = after.join(old, (F.col("kind") == F.col("_kind")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    return joined.select("kind", "name", "n", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("added"))
+
+
 def duplicate_keys(nodes: DataFrame) -> DataFrame:
     """Violations of uniqueness: (label, id, n)."""
     return nodes.groupBy("label", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -117,7 +127,7 @@ class Graph:
         words = F.filter(F.split("text", r"[\s,，。；;、]+"), lambda x: F.length(x) >= 2)
         words = F.when(F.size(words) > 0, words).otherwise(F.array("text"))
         single = F.filter(F.split("text", ""), lambda x: x.rlike("^[一-鿿]$"))
-        held = F.broadcast(queries.select("qid", F.col("text").alias("q"), F.concat(words, single).alias("kws")))
+        held = small(queries.select("qid", F.col("text").alias("q"), F.concat(words, single).alias("kws")))
         pairs = self.nodes.crossJoin(held)  # a stated batch of queries against all nodes
 
         def field_score(f: str) -> Column:
@@ -129,7 +139,21 @@ class Graph:
 
         scored = pairs.select("qid", "id", "label", "seq", F.coalesce(*[field_score(f) for f in fields]).alias("score")).filter("score > 0")
         order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "seq", "id")
-        return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < top_k).select("qid", "id", "label", "score", "rank")
+        return top(scored, order, top_k).select("qid", "id", "label", "score", "rank")
+
+    def substrings(self, queries: DataFrame, fields: tuple[str, ...] = ("name_zh", "full_name"), article_field: str = "content", limit: int = 10) -> DataFrame:
+        """(qid, id, label, props, seq, rank from 0): substring() for queries (qid, text)."""
+        pairs = self.nodes.crossJoin(small(queries.select("qid", F.col("text").alias("q"))))
+        hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col("props")[f], F.col("q")), F.lit(False)) for f in fields])
+        hit |= (F.col("label") == "Article") & F.coalesce(F.contains(F.col("props")[article_field], F.col("q")), F.lit(False))
+        return top(pairs.filter(hit), Window.partitionBy("qid").orderBy("seq", "id"), limit).select("qid", "id", "label", "props", "seq", "rank")
+
+    def by_label(self, statement: str, limit: int = 20) -> DataFrame:
+        """Nodes of the label that a statement `(n:Label ...) RETURN n.x AS y` names, with its
+        aliases; none if it names no label as n. Conditions are not read."""
+        label = re.search(r"\(n:(\w+)", statement)
+        aliases = [F.col("props")[a].alias(b) for a, b in re.findall(r"n\.(\w+)\s+AS\s+(\w+)", statement)]
+        return self.nodes.filter(F.col("label") == (label[1] if label else "")).orderBy("seq", "id").limit(limit).select("id", "label", "props", *aliases)
 
     def substring(self, text: str, fields: tuple[str, ...] = ("name_zh", "full_name"), article_field: str = "content", limit: int = 10) -> DataFrame:
         """Nodes with the text in a name, or articles with it in their content."""

@@ -129,20 +129,30 @@ def importer_records(ext: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _union(nodes, NODE), _union(edges, EDGE)
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def _values(column: str) -> Column:
+    """A map as the inside of a statement's braces, null and empty values left out."""
+    held = F.filter(F.array_sort(F.map_entries(column)), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.array_join(F.transform(held, lambda e: F.concat(e["key"], F.lit(": "), _quoted(e["value"]))), ", ")
+
+
 def cypher_nodes(nodes: DataFrame, keys: dict[str, str]) -> DataFrame:
     """MERGE statements of nodes, null and empty properties left out."""
     key = F.coalesce(F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])[F.col("label")], F.lit("id"))
-    quote = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
-    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit(": "), quote(e["value"]))), ", ")
-    return nodes.select(F.concat(F.lit("MERGE (n:"), F.col("label"), F.lit(" {"), key, F.lit(": "), quote(F.col("id")), F.lit("}) SET n += {"), pairs, F.lit("};")).alias("statement"))
+    return nodes.select(F.concat(F.lit("MERGE (n:"), F.col("label"), F.lit(" {"), key, F.lit(": "), _quoted(F.col("id")), F.lit("}) SET n += {"), _values("props"), F.lit("};")).alias("statement"))
 
 
 def cypher_edges(edges: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """MERGE statements of edges, with their properties if they have some."""
     table = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
     key = lambda label: F.coalesce(table[F.col(label)], F.lit("id"))
-    quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    end = lambda v, label, id_: F.concat(F.lit(f"({v}:"), F.col(label), F.lit(" {"), key(label), F.lit(": "), quote(F.col(id_)), F.lit("})"))
-    return edges.select(F.concat(F.lit("MATCH "), end("a", "from_label", "from_id"), F.lit(", "), end("b", "to_label", "to_id"), F.lit(" MERGE (a)-[:"), F.col("rel"), F.lit("]->(b);")).alias("statement"))
+    end = lambda v, label, id_: F.concat(F.lit(f"({v}:"), F.col(label), F.lit(" {"), key(label), F.lit(": "), _quoted(F.col(id_)), F.lit("})"))
+    values = F.coalesce(_values("props"), F.lit(""))
+    set_ = F.when(values != "", F.concat(F.lit(" SET r += {"), values, F.lit("}"))).otherwise("")
+    return edges.select(F.concat(F.lit("MATCH "), end("a", "from_label", "from_id"), F.lit(", "), end("b", "to_label", "to_id"), F.lit(" MERGE (a)-[r:"), F.col("rel"), F.lit("]->(b)"), set_, F.lit(";")).alias("statement"))
 
 
 def constraints(keys: dict[str, str]) -> list[str]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import json_block, strip
+from .extraction import with_retries
 
 # Patterns of the intents, of the template rules and of parameters.
 INTENTS = {
@@ -18,6 +19,7 @@ INTENTS = {
     "industry_compliance": [r"(钢铁|化工|印染|造纸|火电|水泥|制药).*?(合规|标准|要求)"],
 }
 FALLBACK = "semantic_fallback"
+MATCH_ALL = "MATCH (n) RETURN n LIMIT 10"
 STD_ID = r"(?i)((?:GB|HJ|DB)\s*[\d\-—]+)"
 ARTICLE_NO = r"第([一二三四五六七八九十百千零〇0-9]+)条"
 RULES = [
@@ -98,16 +100,28 @@ def match_template(c: Column) -> Column:
     return F.coalesce(*[F.when(c.rlike("(?i)" + pattern) & (F.length(have[needs]) > 0), F.lit(name)) for name, pattern, needs in RULES])
 
 
-def text_to_query(questions: DataFrame, model=None) -> DataFrame:
-    """(qid, method, template): a template, else the model's answer, else match-all."""
+def query_prompt(question: str, schema: str) -> str:
+    """What a model is asked for a query, in this library's own words."""
+    return f"图数据库的标签与关系如下：\n{schema}\n\n把下面的问题写成一条 Cypher 查询：\n{question}\n\n只输出 JSON，形如 {{\"cypher\": 查询, \"params\": {{参数名: 值}}}}，放在 ```json 代码块里；值一律走参数；可缺的部分用 OPTIONAL MATCH；最多 20 行。"
+
+
+def text_to_query(questions: DataFrame, model=None, schema: str = "", tries: int = 1) -> DataFrame:
+    """(qid, method, template, params): a template, else the model's query for the question
+    and the schema, else match-all. The model may answer in JSON (cypher, params) or with the
+    bare query; one that fails has not answered."""
     rows = questions.withColumn("template", match_template(F.col("text")))
+    none = F.lit(None).cast("map<string,string>")
+    given = F.from_json(F.to_json(params(F.col("text"))), "map<string,string>")
     if model is None:
-        return rows.select("qid", F.when(F.col("template").isNull(), "fallback").otherwise("template").alias("method"), F.coalesce("template", F.lit("MATCH (n) RETURN n LIMIT 10")).alias("template"))
+        return rows.select("qid", F.when(F.col("template").isNull(), "fallback").otherwise("template").alias("method"), F.coalesce("template", F.lit(MATCH_ALL)).alias("template"), F.when(F.col("template").isNotNull(), given).otherwise(none).alias("params"))
+    ask = with_retries(model, tries)
     missing = rows.filter("template is null").select("qid", "text")
-    answers = missing.mapInPandas(lambda frames: (f.assign(answer=[model(t) for t in f["text"]])[["qid", "answer"]] for f in frames), "qid long, answer string")
-    joined = rows.join(answers, "qid", "left")
-    clean = F.nullif(strip(F.regexp_replace("answer", r"```(?:cypher)?", "")), F.lit(""))
-    return joined.select("qid", F.when(F.col("template").isNotNull(), "template").when(clean.isNotNull(), "model").otherwise("fallback").alias("method"), F.coalesce("template", clean, F.lit("MATCH (n) RETURN n LIMIT 10")).alias("template"))
+    answers = missing.mapInPandas(lambda frames: (f.assign(answer=[ask(query_prompt(t, schema)) for t in f["text"]])[["qid", "answer"]] for f in frames), "qid long, answer string")
+    made = F.from_json(json_block(F.col("answer")), "cypher string, params map<string,string>")
+    bare = F.nullif(strip(F.regexp_replace("answer", r"```(?:cypher|json)?", "")), F.lit(""))
+    joined = rows.join(answers, "qid", "left").withColumn("j", made).withColumn("q", F.coalesce(F.nullif(F.col("j.cypher"), F.lit("")), F.when(~F.coalesce(F.startswith(bare, F.lit("{")), F.lit(False)), bare)))
+    has = F.col("template").isNotNull()
+    return joined.select("qid", F.when(has, "template").when(F.col("q").isNotNull(), "model").otherwise("fallback").alias("method"), F.coalesce("template", "q", F.lit(MATCH_ALL)).alias("template"), F.when(has, given).when(F.col("q").isNotNull(), F.col("j.params")).otherwise(none).alias("params"))
 
 
 def mentions(c: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .ranking import top
 
 
 def p(node: str, key: str) -> Column:
@@ -38,6 +39,23 @@ def articles_about_pollutant(g: Graph, pollutant: str, limit: int = 20) -> DataF
     return g.expand(rows, "a", ["CONTAINS_ARTICLE"], "parent", direction="in", optional=True).orderBy("a.seq", "x.seq", "parent.seq").limit(limit)
 
 
+def articles_about_pollutants(g: Graph, asked: DataFrame, limit: int = 20) -> DataFrame:
+    """(qid, id, label, props, seq, rank from 0) for asked (qid, pollutant): the articles and
+    documents of articles_about_pollutant(), each once."""
+    named = asked.join(g.match("Pollutant", name="x"), F.col("x.props")["name_zh"] == F.col("pollutant"))
+    rows = g.expand(named, "x", ["STANDARD_LIMITS_POLLUTANT", "ARTICLE_REGULATES"], "a", ["Article", "Standard", "Law", "Regulation"], "in")
+    once = rows.groupBy("qid", F.col("a.id").alias("id")).agg(F.first("a").alias("a"))
+    found = once.select("qid", "id", "a.label", "a.props", "a.seq")
+    return top(found, Window.partitionBy("qid").orderBy("seq", "id"), limit)
+
+
+def article_contents(g: Graph, asked: DataFrame, limit: int = 5) -> DataFrame:
+    """The same for asked (qid, article_no, doc_keyword): the articles of article_content()."""
+    hit = (F.col("a.props")["article_no"] == F.col("article_no")) & F.contains(F.col("a.props")["parent_doc"], F.col("doc_keyword"))
+    found = asked.join(g.match("Article", name="a"), hit).select("qid", "a.id", "a.label", "a.props", "a.seq")
+    return top(found, Window.partitionBy("qid").orderBy("seq", "id"), limit)
+
+
 def similar_cases(g: Graph, case_type: str, violation: str, limit: int = 10) -> DataFrame:
     return _cases(g, has(case_type, "case_type") | has(violation, "violations"), limit)
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import cache_key
+from .ranking import small, top
 
 Encoder = Callable[[list[str]], np.ndarray]
 BATCH = 64
+#: Vectors in a block.
+BLOCK = 1024
 
 
 def hash_encoder(dim: int = 64) -> Encoder:
@@ -48,20 +54,74 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / norm(v))
 
 
+def _packed(rows: DataFrame, names: tuple[str, str], prefix: str) -> DataFrame:
+    """rows (id, seq, embedding) as blocks of at most BLOCK: lists of ids and seqs, and the
+    unit vectors in one binary value. Rows without a vector are left out; a zero vector
+    stays zero, and is like nothing."""
+    key, place = names
+    types = [rows.schema[c].dataType for c in names]
+    schema = StructType([StructField(f"{prefix}{c}", ArrayType(t)) for c, t in zip(("ids", "seqs"), types, strict=True)]).add(f"{prefix}m", "binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                m = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([m.tobytes()], pa.binary())], [f.name for f in schema])
+
+    held = rows.select(F.col(key), F.col(place), F.col("embedding")).filter(F.col("embedding").isNotNull())
+    return held.mapInArrow(pack, schema)
+
+
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """(qid, id, score, rank from 0): vectors (id, seq, embedding) by cosine to queries
-    (qid, embedding). A batch of queries is held in one broadcast array against all
-    vectors, which are read once and never shuffled before the top_k of each query."""
-    held = F.broadcast(queries.select("qid", doubles(F.col("embedding")).alias("q")).agg(F.collect_list(F.struct("qid", "q")).alias("qs")))
-    pairs = vectors.select("id", "seq", doubles(F.col("embedding")).alias("v")).crossJoin(held)  # one row on the right
-    scored = pairs.select("id", "seq", F.explode(F.transform("qs", lambda x: F.struct(x["qid"].alias("qid"), cosine(F.col("v"), x["q"]).alias("score")))).alias("s")).select("s.qid", "id", "seq", "s.score")
+    (qid, embedding). Blocks of vectors meet blocks of queries; a pair of blocks is one
+    product of matrices, and only the top_k of each query in it leave the task."""
+    left = _packed(vectors, ("id", "seq"), "v")
+    right = _packed(queries.select("qid", F.col("qid").alias("_seq"), "embedding"), ("qid", "_seq"), "q").select("qids", "qm")
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("seq", vectors.schema["seq"].dataType), StructField("score", DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, seqs, qids = (batch.column(c)[k].values for c in ("vids", "vseqs", "qids"))
+                v, q = (np.frombuffer(batch.column(c)[k].as_py()).reshape(n, -1) for c, n in (("vm", len(ids)), ("qm", len(qids))))
+                s = q @ v.T
+                place = np.argsort(np.argsort(seqs.to_numpy(zero_copy_only=False), kind="stable"))
+                order = np.lexsort((np.broadcast_to(place, s.shape), -np.round(s, 9)), axis=-1)[:, :top_k]
+                n = order.shape[1]
+                flat = pa.array(order.reshape(-1))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.repeat(np.arange(len(qids)), n))), ids.take(flat), seqs.take(flat), pa.array(np.take_along_axis(s, order, 1).reshape(-1))], ["qid", "id", "seq", "score"])
+
+    scored = left.crossJoin(small(right)).mapInArrow(score, schema)
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "seq")
-    return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < top_k).select("qid", "id", "score", "rank")
+    return top(scored, order, top_k).select("qid", "id", "score", "rank")
+
+
+def retrying(encoder: Encoder, tries: int = 10, busy: tuple[str, ...] = ("429", "1302", "1305", "1113"), pause: Callable[[float], None] = time.sleep) -> Encoder:
+    """An encoder that waits 60, 120, ... up to 300 seconds when the model is busy; other
+    errors, and too many of these, are raised."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        for n in range(tries):
+            try:
+                return encoder(texts)
+            except Exception as e:
+                if not any(b in str(e) for b in busy):
+                    raise
+                pause(min(60.0 * (n + 1), 300.0))
+        raise RuntimeError(f"no embedding after {tries} tries")
+
+    return encode
 
 
 def encode_cached(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
-    """(texts with key and embedding, new cache rows): texts (id, text) against cache
-    (k, v, seq) in which the last entry of a key counts; each missing text is encoded once."""
+    """(texts with key and embedding, new cache rows): texts (text, ...) against cache
+    (k, v, seq) in which the last entry of a key counts; each missing text is encoded once.
+    A busy model is asked again, see retrying()."""
+    encoder = retrying(encoder)
     latest = cache.groupBy("k").agg(F.max_by("v", "seq").alias("v"))
     keyed = texts.withColumn("k", cache_key(F.col("text")))
     missing = keyed.join(latest, "k", "left_anti").select("k", "text").dropDuplicates(["k"])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import chunking, extraction, graph, graph_build
+from ..operators import chunking, extraction, graph, graph_build, vector
 from ..sources import readers, sinks
 
 
@@ -18,23 +19,71 @@ def extract(spark: SparkSession, chunks: str, out: str, model, run: str) -> None
     sinks.append_records(extraction.extract(spark.read.parquet(chunks), model, done), out, run)
 
 
-def records(meta: DataFrame | None, ext: DataFrame | None, phase: str = "all", compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Raw (nodes, edges) of the phase: metadata, extraction, or all."""
+#: What extractions add comes after all metadata.
+LATER = 1 << 61
+
+
+def records(meta: DataFrame | None, ext: DataFrame | None, phase: str = "all", compat: bool = False, importer: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw (nodes, edges) of the phase: metadata, extraction, or all; importer: those of the
+    second generation."""
     parts = []
     if phase in ("metadata", "all") and meta is not None:
-        parts.append(graph_build.from_metadata(meta, compat))
+        parts.append(graph_build.from_metadata(meta, compat, importer))
     if phase in ("extraction", "all") and ext is not None:
-        parts.append(graph_build.from_extractions(ext))
+        made = graph_build.importer_records(ext) if importer else graph_build.from_extractions(ext)
+        parts.append(tuple(x.withColumn("seq", F.col("seq") + F.lit(LATER)) for x in made))
+    if not parts:
+        raise ValueError(f"nothing to build in phase {phase}")
     nodes, edges = parts[0]
     for n, e in parts[1:]:
         nodes, edges = nodes.unionByName(n), edges.unionByName(e)
     return nodes, edges
 
 
-def build_graph(meta: DataFrame | None, ext: DataFrame | None, out: str, phase: str = "all", parallel_edges: bool = True) -> DataFrame:
+def build_graph(meta: DataFrame | None, ext: DataFrame | None, out: str, phase: str = "all", parallel_edges: bool = True, importer: bool = False) -> DataFrame:
     """Upserts nodes, checks edges, stores both and returns the stored graph's counts."""
-    nodes, edges = records(meta, ext, phase)
+    nodes, edges = records(meta, ext, phase, importer=importer)
     nodes = graph.upsert_nodes(nodes)
     edges = graph.checked_edges(edges if parallel_edges else graph.distinct_edges(edges), nodes)
     sinks.write_graph(nodes, edges, out)
     return graph.stats(*readers.graph_tables(nodes.sparkSession, out))
+
+
+def add_extractions(old: graph.Graph, ext: DataFrame, out: str) -> DataFrame:
+    """A stored graph with the nodes and edges of more extractions, stored at `out`; returns
+    the counts before and after."""
+    nodes, edges = (x.withColumn("seq", F.col("seq") + F.lit(LATER)) for x in graph_build.from_extractions(ext))
+    nodes = graph.upsert_nodes(old.nodes.select(*graph.NODE).unionByName(nodes))
+    edges = old.edges.select(*graph.EDGE).unionByName(graph.checked_edges(edges, nodes))
+    sinks.write_graph(nodes, edges, out)
+    return graph.delta(graph.stats(old.nodes, old.edges), graph.stats(*readers.graph_tables(nodes.sparkSession, out)))
+
+
+def rebuild(spark: SparkSession, root: str, out: str, extractions: str | None = None) -> DataFrame:
+    """All steps from files to a stored graph, and its counts."""
+    ext = readers.extractions_jsonl(spark, extractions) if extractions and readers.table_exists(spark, extractions) else None
+    return build_graph(readers.metadata_files(spark, root), ext, out)
+
+
+def statements(meta: DataFrame | None, ext: DataFrame | None, out: str, phase: str = "all", importer: bool = True) -> DataFrame:
+    """Writes the MERGE statements of the phase (nodes before edges) and returns how many."""
+    nodes, edges = records(meta, ext, phase, importer=importer)
+    nodes, edges = graph.keep_first(nodes, ["label", "id"]), graph.keep_first(edges, ["from_id", "rel", "to_id"])
+    sinks.write_statements(graph_build.cypher_nodes(nodes, graph.NODE_KEYS), f"{out}/nodes")
+    sinks.write_statements(graph_build.cypher_edges(edges, graph.NODE_KEYS), f"{out}/edges")
+    spark = nodes.sparkSession
+    return spark.read.text([f"{out}/nodes", f"{out}/edges"]).agg(F.count(F.lit(1)).alias("statements"))
+
+
+def index_chunks(spark: SparkSession, chunks: str, out: str, encoder: vector.Encoder, cache: str | None = None) -> DataFrame:
+    """Embeds the chunks that the index at `out` lacks and appends them; returns how many
+    the index holds. With a cache, texts it has are not encoded again."""
+    rows = chunking.vector_rows(spark.read.parquet(chunks))
+    if readers.table_exists(spark, out):
+        rows = vector.not_indexed(rows, spark.read.parquet(out))
+    held = spark.createDataFrame([], "k string, v array<float>") if cache is None or not readers.table_exists(spark, cache) else readers.embedding_cache(spark, cache)
+    made, new = vector.encode_cached(rows.withColumnRenamed("document", "text"), held.withColumn("seq", F.lit(0).cast("long")), encoder)
+    sinks.add_vectors(made.drop("k").withColumnRenamed("text", "document"), out)
+    if cache is not None:
+        sinks.append_cache(new, cache)
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("vectors"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bm25, fusion, intent, templates, vector
 from ..operators.graph import Graph
+from ..operators.ranking import top
 
 
 @dataclass
@@ -51,26 +52,24 @@ def weighted(corpus: Corpus, questions: DataFrame, top_k: int = 5, case_words: l
     return fusion.fuse(rows, top_k, last_payload=True)
 
 
-def routed(corpus: Corpus, qid: int, question: str, embedding: DataFrame | None = None, top_k: int = 10) -> DataFrame:
-    """One question by its two best intents: nodes of their templates, else substring
-    hits, with vectors if an embedding is given, and BM25; unweighted fusion."""
-    spark = corpus.chunks.sparkSession
-    asked = spark.createDataFrame([(qid, question)], "qid long, text string")
+def routed(corpus: Corpus, questions: DataFrame, top_k: int = 10) -> DataFrame:
+    """(qid, key, rrf, payload, sources, rank) for questions (qid, text[, embedding]), each by
+    its two best intents: nodes of their templates, else substring hits, with vectors if the
+    questions have embeddings, and BM25; unweighted fusion. Only templates whose rows are
+    nodes give any: those of a pollutant's articles and of an article's content."""
     about = corpus.chunks.select("id", F.col("text").alias("t"), F.col("doc_id").alias("d"))
     lists = []
-    if corpus.vectors is not None and embedding is not None:
-        hits = vector.search(corpus.vectors, embedding, top_k).join(about, "id")
+    if corpus.vectors is not None and "embedding" in questions.columns:
+        hits = vector.search(corpus.vectors, questions.filter("embedding is not null"), top_k).join(about, "id")
         lists.append(fusion.as_list(hits, 0, "vector", _payload(id=F.col("id"), text=F.col("t"), doc_id=F.col("d"))))
-    nodes = None
     if corpus.graph is not None:
-        for r in intent.route(asked).filter("rank < 2").join(asked, "qid").select("intent", intent.intent_params(F.col("text"), F.col("intent")).alias("p"), "rank").orderBy("rank").collect():
-            found = _template_nodes(corpus.graph, r["intent"], r["p"], top_k)
-            nodes = found if nodes is None else nodes if found is None else nodes.unionByName(found)
-        if nodes is None or nodes.isEmpty():
-            nodes = corpus.graph.substring(question, limit=top_k).select("id", "label", "props", "seq")
-        ranked = nodes.select(F.lit(qid).alias("qid"), "id", "label", "props", (F.row_number().over(bm25.Window.partitionBy(F.lit(1)).orderBy("seq", "id")) - 1).cast("long").alias("rank"))
-        lists.append(fusion.as_list(ranked, 1, "graph", _payload(id=F.col("id"), label=F.col("label"), text=F.col("props")["content"], full_name=F.col("props")["full_name"])))
-    hits = bm25.search(corpus.index, asked, top_k).join(about, "id")
+        nodes = template_nodes(corpus.graph, questions)
+        rest = questions.join(nodes.select("qid").distinct(), "qid", "left_anti")
+        text = F.col("props")["content"]
+        found = nodes.select("qid", "id", "label", "props", "rank", F.lit("graph").alias("source"))
+        found = found.unionByName(corpus.graph.substrings(rest, limit=top_k).select("qid", "id", "label", "props", "rank", F.lit("graph_text").alias("source")))
+        lists.append(fusion.as_list(found, 1, "graph", _payload(id=F.col("id"), label=F.col("label"), text=text, full_name=F.col("props")["full_name"])).drop("source").join(found.select("qid", F.col("id").alias("key"), "source"), ["qid", "key"]))
+    hits = bm25.search(corpus.index, questions, top_k).join(about, "id")
     lists.append(fusion.as_list(hits, 2, "bm25", _payload(id=F.col("id"), text=F.col("t"), doc_id=F.col("d"))))
     rows = lists[0]
     for other in lists[1:]:
@@ -78,12 +77,16 @@ def routed(corpus: Corpus, qid: int, question: str, embedding: DataFrame | None
     return fusion.fuse(rows, top_k)
 
 
-def _template_nodes(g: Graph, name: str, p: dict | None, limit: int) -> DataFrame | None:
-    """The nodes that an intent's template gives, a few by its limit; other templates give rows, not nodes."""
-    if p is None:
-        return None
-    if name == "list_articles_about_pollutant":
-        return templates.articles_about_pollutant(g, p["pollutant"]).select("a.id", "a.label", "a.props", "a.seq").dropDuplicates(["id"]).limit(limit)
-    if name == "lookup_article_content":
-        return templates.article_content(g, p["article_no"], p["doc_keyword"]).select("a.id", "a.label", "a.props", "a.seq").limit(limit)
-    return None
+def template_nodes(g: Graph, questions: DataFrame, limit: int = 20) -> DataFrame:
+    """(qid, id, label, props, rank from 0): the nodes that the templates of a question's two
+    best intents give, in the order of the intents, each once."""
+    asked = intent.route(questions).filter("rank < 2").join(questions.select("qid", "text"), "qid")
+    asked = asked.select("qid", "intent", F.col("rank").alias("place"), intent.intent_params(F.col("text"), F.col("intent")).alias("p")).filter("p is not null")
+    by = lambda name, *keys: asked.filter(F.col("intent") == name).select("qid", "place", *[F.col("p")[k].alias(k) for k in keys])
+    first = templates.articles_about_pollutants(g, by("list_articles_about_pollutant", "pollutant").drop("place"), limit)
+    second = templates.article_contents(g, by("lookup_article_content", "article_no", "doc_keyword").drop("place"))
+    places = asked.select("qid", "intent", "place")
+    both = first.withColumn("intent", F.lit("list_articles_about_pollutant")).unionByName(second.withColumn("intent", F.lit("lookup_article_content")))
+    once = both.join(places, ["qid", "intent"]).groupBy("qid", "id").agg(F.min_by(F.struct("label", "props"), F.struct("place", "rank")).alias("n"), F.min(F.struct("place", "rank")).alias("o"))
+    order = Window.partitionBy("qid").orderBy("o.place", "o.rank", "id")
+    return top(once, order, 2 * limit).select("qid", "id", "n.label", "n.props", "rank")

@@ -123,13 +123,6 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.sections(pages, "(<(?:h[1-6]|p)>)").select("doc_id", F.col("i").cast("long").alias("i"), F.col("start").cast("long").alias("start"), F.length("piece").cast("long").alias("n"))
 
 
-@query()
-def chunk_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    """All three strategies: CJK articles, and documents by window."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(spark.createDataFrame(ARTICLES, "doc_id string, text string"))
-    return chunking.chunk_documents(docs, separator="\n", theme_table=LATIN_THEMES).select("chunk_id", "doc_id", "doc_type", "span_start", "span_end", "article_no")
-
-
 THEME_SQL = ", ".join("CASE WHEN " + " OR ".join(f"contains(text, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in LATIN_THEMES.items())
 
 
@@ -454,14 +447,6 @@ def _corpus(spark: SparkSession, sf: str) -> tuple[retrieval.Corpus, DataFrame]:
     return retrieval.Corpus(chunks, bm25.build_index(chunks.select("id", "text", "seq")), trade_graph(spark, sf), v), questions
 
 
-@query()
-def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Vector, graph and BM25 lists in weighted fusion, five hits for each question."""
-    corpus, questions = _corpus(spark, sf)
-    hits = retrieval.weighted(corpus, questions, 5, ["tion"], ["que"])
-    return hits.select("qid", "key", F.round("rrf", 8).alias("rrf"), F.array_join("sources", ",").alias("sources"), "rank")
-
-
 @query("SELECT doc_id, 'emb_' || substr(md5(text), 1, 16) AS k, doc_id IN (SELECT doc_id FROM labels) OR text IN (SELECT text FROM documents JOIN labels USING (doc_id)) AS hit FROM documents")
 def embed_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Cache keys, and whether the cache (the labelled documents) has them."""
@@ -514,7 +499,3 @@ def eval_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang, source")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_search(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,13 @@ def _folder(path: str = "path") -> F.Column:
 
 def metadata_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, folder, seq and the fields of compliance_assessment) of all metadata.json
-    files; those that are malformed or without the assessment are left out."""
+    files; those that are malformed or without the assessment are left out. seq follows the
+    order of paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").load(root)
     rows = raw.select("path", _folder().alias("folder"), F.from_json(F.decode("content", "UTF-8"), f"compliance_assessment struct<{META.replace(' ', ':').replace(',:', ', ')}>").alias("m"))
-    return rows.filter("m.compliance_assessment is not null").select("path", "folder", F.xxhash64("path").alias("seq"), "m.compliance_assessment.*")
+    held = rows.filter("m.compliance_assessment is not null").select("path", "folder", "m.compliance_assessment.*")
+    # numbers rise with the partition, and sorted partitions rise with the path
+    return held.orderBy("path").withColumn("seq", F.monotonically_increasing_id()).select("path", "folder", "seq", *held.columns[2:])
 
 
 def markdown_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -94,5 +98,23 @@ def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("k").agg(F.max_by("v", "seq").alias("v"))
 
 
+def ontology_text(spark: SparkSession, path: str, limit: int = 3000) -> str | None:
+    """The first `limit` characters of a schema file, for prompts; None if there is none."""
+    if not table_exists(spark, path):
+        return None
+    return spark.read.text(path, wholetext=True).select(F.left("value", F.lit(limit)).alias("v")).first()["v"]
+
+
+def external_rows(run: Callable[..., list[dict] | None], statement: str | None, **params) -> list[dict]:
+    """The rows that an external store's `run` gives for a statement. No statement, or a
+    store that is down, gives none."""
+    if not statement:
+        return []
+    try:
+        return [dict(r) for r in run(statement, **params) or ()]
+    except Exception:
+        return []
+
+
 def evaluation_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL).option("multiLine", True).json(path)

@@ -87,10 +87,11 @@ def test_extraction_graph_and_templates(records):
     assert templates.industry_compliance(g, "钢铁").first()["regulations"] == [] and templates.compliance_articles(g, "钢铁").count() == 0
     assert templates.articles_about_pollutant(g, "SO2").count() == 1 and templates.domain_routing(g, ["钢铁"]).count() == 1
     assert templates.pollutants_by_standard(g, "GB1").count() == 0 and templates.rule_standard_pollutants(g, "GB1").count() == 0
-    for f, arg in ((templates.tracing_cases, "超"), (templates.compliance_standards, "钢铁"), (templates.compliance_cases, "案"), (templates.fraud_cases, "案"), (templates.rule_industry_standards, "钢铁"), (templates.entity_resolution, ["SO2"])):
-        f(g, arg).collect()
-    templates.similar_cases(g, "超标", "x").collect()
-    templates.article_content(g, "第一条", "d1").collect()
+    assert [tuple(r) for r in templates.tracing_cases(g, "超").collect()] == [(None, "超标", None)]
+    assert [tuple(r) for r in templates.compliance_standards(g, "钢铁").collect()] == [(None, None)] and templates.compliance_cases(g, "案").count() == 0 and templates.fraud_cases(g, "案").count() == 0
+    assert [tuple(r) for r in templates.rule_industry_standards(g, "钢铁").collect()] == [("钢铁", [])] and [tuple(r) for r in templates.entity_resolution(g, ["SO2"]).collect()] == [("SO2", [])]
+    assert [r["articles"] for r in templates.similar_cases(g, "超标", "x").collect()] == [["第一条"]]
+    assert [r["a"]["id"] for r in templates.article_content(g, "第一条", "d1").collect()] == [nodes.filter("label = 'Article' and props['parent_doc'] = 'd1'").first()["id"]]
     assert skills.call("nope")["error"] and skills.call("tracing", g, pollutant="SO2")["skill"] == "tracing"
     hint = skills.call("nl2sql", g, "钢铁行业 SO2 与 NOx", ["钢铁"])["sql_hint"]
     assert hint["pollutants"] == ["NOx", "SO2"] and hint["schema_suggestion"]["likely_tables"] == ["dwd_钢铁_wide"]
@@ -113,6 +114,42 @@ def test_build_and_reload(spark, meta, records, tmp_path):
     assert stats["node", None] == sum(v for (k, n), v in stats.items() if k == "node" and n) and stats["edge", "ISSUED_BY"] == 4
 
 
+def test_files_to_stored_graph(spark, tmp_path, capsys):
+    """From metadata.json files to the stored graph, by the command line too; the order of
+    paths decides whose properties stand."""
+    import json
+
+    import siltstone.__main__ as cli
+
+    for k, (name, region) in enumerate([("大气法", "甲地"), ("大气法", "乙地"), ("GB 1-2020 标准", "甲地")]):
+        folder = tmp_path / "in" / f"d{k}"
+        folder.mkdir(parents=True)
+        meta = {"full_name": name, "region_name": region, "issuing_authority": ["生态环境部"], "supersedes": [{"name": "旧", "supersedes_time": "2001"}], "validity_status": True}
+        (folder / "metadata.json").write_text(json.dumps({"compliance_assessment": meta}))
+    stats = {(r["kind"], r["name"]): r["n"] for r in build.rebuild(spark, str(tmp_path / "in"), str(tmp_path / "g")).collect()}
+    assert stats["node", "Law"] == 1 and stats["node", "Region"] == 2 and stats["edge", "ISSUED_BY"] == 3 and stats["edge", "SUPERSEDES"] == 3
+    law = spark.read.parquet(str(tmp_path / "g" / "nodes")).filter("label = 'Law'").first()
+    assert law["props"]["region"] == "乙地"
+    cli.main(["graph", "--root", str(tmp_path / "in"), "--phase", "metadata", "--out", str(tmp_path / "g2")])
+    cli.main(["stats", "--graph", str(tmp_path / "g2")])
+    cli.main(["import", "--root", str(tmp_path / "in"), "--out", str(tmp_path / "st")])
+    cli.main(["skill", "--graph", str(tmp_path / "g2"), "--name", "compliance", "--params", '{"industry": "钢铁"}'])
+    assert '"skill": "compliance"' in capsys.readouterr().out
+    lines = [r["value"] for r in spark.read.text([str(tmp_path / "st" / "nodes"), str(tmp_path / "st" / "edges")]).collect()]
+    assert sum("SET r += {effective_date: '2001'}" in x for x in lines) == 2 and sum(x.startswith("MERGE (n:Law") for x in lines) == 1
+    ext = spark.createDataFrame([(1, "d1", None, "第一条", "p", (None, [], {"Pollutant": [{"name": "SO2"}]}, []))], f"seq long, doc_id string, error string, article_no string, text_preview string, extraction {EXTRACTION}")
+    delta = {(r["kind"], r["name"]): (r["n"], r["added"]) for r in build.add_extractions(Graph(*build.readers.graph_tables(spark, str(tmp_path / "g"))), ext, str(tmp_path / "g3")).collect()}
+    assert delta["node", "Pollutant"] == (1, 1) and delta["node", "Law"] == (1, 0) and delta["edge", None] == (stats["edge", None] + 1, 1)
+    with pytest.raises(ValueError, match="nothing to build"):
+        build.records(None, None)
+
+
+def test_statements_are_quoted(spark):
+    e = spark.createDataFrame([("a\\", "Law", "R", "b'", "Law", {"k": "v'\\", "n": None}, 1)], "from_id string, from_label string, rel string, to_id string, to_label string, props map<string,string>, seq long")
+    text = graph_build.cypher_edges(e, graph.NODE_KEYS).first()["statement"]
+    assert text == "MATCH (a:Law {law_id: 'a\\\\'}), (b:Law {law_id: 'b\\''}) MERGE (a)-[r:R]->(b) SET r += {k: 'v\\'\\\\'};"
+
+
 def test_search_walks_and_samples(spark):
     nodes = spark.createDataFrame([("a", "N", {"name_zh": "河北"}, 1), ("b", "N", {"full_name": "河北省标准"}, 2), ("c", "M", {"title": "别的"}, 3), ("d", "M", {"name": "河北"}, 4)], "id string, label string, props map<string,string>, seq long")
     edges = spark.createDataFrame([("a", "N", "R", "b", "N", {}, 1), ("a", "N", "R", "b", "N", {}, 2), ("b", "N", "R", "c", "M", {}, 3), ("c", "M", "R", "a", "N", {}, 4)], "from_id string, from_label string, rel string, to_id string, to_label string, props map<string,string>, seq long")

@@ -3,6 +3,7 @@
 import pytest
 from compare import connect, same
 
+from siltstone import queries_domain  # noqa: F401 registers its queries
 from siltstone.queries import ORACLE_SQL, QUERIES
 
 

@@ -99,13 +99,126 @@ def test_answers_and_retrieval(spark):
     out = skills.call("qa", corpus, q, lambda p: f"answer of {len(p)}")
     assert out["answers"].first()["answer"].startswith("answer of") and {r["key"] for r in retrieval.weighted(corpus, q).collect()} == {"c1", "graph_n1"}
     assert {r["label"] for r in out["evidence"].collect()} == {"Article", "Violation"}
-    assert {r["key"] for r in retrieval.routed(corpus, 1, "超标").collect()} == {"n1", "c1"}
+    assert {(r["qid"], r["key"]) for r in retrieval.routed(corpus, spark.createDataFrame([(1, "超标"), (2, "other")], "qid long, text string")).collect()} == {(1, "n1"), (1, "c1"), (2, "c2")}
     hits = spark.createDataFrame([(1, 1, "graph", None, "k", None, {"full_name": "法"}), (1, 2, "bm25", "t" * 600, "k2", "d9", {}), (1, 3, "bm25", "", "k3", "", {"content": "zz"})], "qid long, rank int, source string, text string, key string, doc_id string, props map<string,string>")
     assert answer.citations(hits).first()["citations"] == ["《法》", "d9", "k3"]
     text = answer.with_evidence(spark.createDataFrame([(1,), (2,)], "qid long"), hits).orderBy("qid").collect()
     assert text[0]["evidence"].startswith('[图谱节点 1] {"full_name":"法"}\n\n[bm25 片段 2] ' + "t" * 500 + "\n\n[bm25 片段 3] zz") and text[1]["evidence"] == answer.NO_EVIDENCE
 
 
+def test_routed_templates_in_batch(spark):
+    node = lambda i, label, seq, **p: (i, label, p, seq)
+    nodes = spark.createDataFrame([node("p1", "Pollutant", 1, name_zh="SO2"), node("a1", "Article", 2, article_no="第三条", content="甲", parent_doc="某法"), node("a2", "Article", 3, article_no="第三条", content="乙", parent_doc="第三条"), node("s1", "Standard", 4, full_name="SO2 限值"), node("x", "Law", 5, full_name="完全无关")], "id string, label string, props map<string,string>, seq long")
+    edge = lambda a, la, rel, b, lb: (a, la, rel, b, lb, {}, 1)
+    edges = spark.createDataFrame([edge("s1", "Standard", "STANDARD_LIMITS_POLLUTANT", "p1", "Pollutant"), edge("a1", "Article", "ARTICLE_REGULATES", "p1", "Pollutant"), edge("a1", "Article", "STANDARD_LIMITS_POLLUTANT", "p1", "Pollutant")], "from_id string, from_label string, rel string, to_id string, to_label string, props map<string,string>, seq long")
+    g = retrieval.Graph(nodes, edges)
+    asked = spark.createDataFrame([(1, "SO2"), (2, "第三条"), (3, "完全无关"), (4, "没有")], "qid long, text string")
+    assert [(r["qid"], r["id"], r["rank"]) for r in retrieval.template_nodes(g, asked).orderBy("qid", "rank").collect()] == [(1, "a1", 0), (1, "s1", 1), (2, "a2", 0)]
+    chunks = spark.createDataFrame([("c", "没有", "d", "Window", 1)], "id string, text string, doc_id string, doc_type string, seq long")
+    corpus = retrieval.Corpus(chunks, bm25.build_index(chunks.select("id", "text", "seq")), g)
+    got = [(r["qid"], r["key"], r["sources"]) for r in retrieval.routed(corpus, asked).orderBy("qid", "rank").collect()]
+    assert got == [(1, "a1", ["graph"]), (1, "s1", ["graph"]), (2, "a2", ["graph"]), (3, "x", ["graph_text"]), (4, "c", ["bm25"])]
+    out = skills.call("cited", corpus, asked, lambda p: None if "没有" in p else "ok")
+    told = {r["qid"]: r for r in out["answers"].collect()}
+    assert told[1]["answer"] == "ok" and told[3]["citations"] == ["《完全无关》"] and told[4]["answer"] == answer.NO_ANSWER and told[4]["citations"] == ["d"]
+    names = skills.call("compliance_answers", g, asked).orderBy("qid").collect()
+    assert names[0]["applicable_standards"] == ["SO2 限值"] and names[3]["applicable_standards"] == []
+    assert skills.call("tracing_answers", g, asked).filter("qid = 1").first()["pollutants"] == ["SO2"]
+    assert skills.call("fraud_answers", corpus, asked, lambda p: "x")["intent"] == "fraud"
+
+
+def test_models_that_fail(spark):
+    prompts = spark.createDataFrame([(1, "good"), (2, "bad")], "qid long, prompt string")
+
+    def model(p):
+        if p == "bad":
+            raise RuntimeError("broken")
+        return "yes"
+
+    assert {r["qid"]: r["answer"] for r in answer.answers(prompts, model, pause=lambda _: None).collect()} == {1: "yes", 2: None}
+    waits, calls = [], []
+
+    def busy(texts):
+        calls.append(1)
+        if len(calls) < 4:
+            raise RuntimeError("code 1305")
+        return np.ones((len(texts), 2))
+
+    assert vector.retrying(busy, pause=waits.append)(["a"]).shape == (1, 2) and waits == [60.0, 120.0, 180.0]
+    with pytest.raises(RuntimeError, match="broken"):
+        vector.retrying(lambda t: model("bad"), pause=waits.append)(["a"])
+    with pytest.raises(RuntimeError, match="3 tries"):
+        vector.retrying(lambda t: 1 / 0 if not t else (_ for _ in ()).throw(RuntimeError("429")), 3, pause=waits.append)(["a"])
+
+
+def test_prompts_hold_the_schema(spark):
+    text = extraction.schema_prompt()
+    assert all(x in text for x in ("Pollutant", "CASE_VIOLATES_ARTICLE", "penalty_text", "from_name")) and "EFFECTIVE_ON" not in text
+    q = spark.createDataFrame([(1, "今天"), (2, "明天")], "qid long, text string")
+    asked = intent.text_to_query(q, lambda p: '```json\n{"cypher": "MATCH (n:Law) RETURN n", "params": {"a": "b"}}\n```' if "schema here" in p and "今天" in p else "{broken", "schema here")
+    got = {r["qid"]: (r["method"], r["template"], r["params"]) for r in asked.collect()}
+    assert got == {1: ("model", "MATCH (n:Law) RETURN n", {"a": "b"}), 2: ("fallback", intent.MATCH_ALL, None)}
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(70, 5)), 1)
+    v[7] = 0
+    rows = [(f"v{k}", 100 - k, None if k == 3 else x.tolist()) for k, x in enumerate(v)] + [("twin", 500, v[0].tolist())]
+    df = spark.createDataFrame(rows, "id string, seq long, embedding array<double>").repartition(3)
+    unit = lambda x: np.asarray(x) / (np.linalg.norm(x) or 1)
+    asked = spark.createDataFrame([(k, v[k].tolist()) for k in range(9)], "qid long, embedding array<double>")
+    got = {(r["qid"], r["rank"]): r["id"] for r in vector.search(df, asked, 4).collect()}
+    for q in range(9):
+        order = sorted((r for r in rows if r[2] is not None), key=lambda r: (-round(float(unit(r[2]) @ unit(v[q])), 9), r[1]))[:4]
+        assert [got[q, k] for k in range(4)] == [r[0] for r in order]
+    assert vector.search(df, asked.limit(0)).count() == 0 and vector.search(df.limit(0), asked).count() == 0
+
+
+def test_limits_reach_the_plan_before_the_shuffle(spark):
+    """Searches keep the first rows of each question in every task."""
+    rows = spark.range(100).select(F.col("id"), F.col("id").alias("seq"), F.concat(F.lit("word "), "id").alias("text"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    q = spark.createDataFrame([(1, "word 7", [1.0, 0.0])], "qid long, text string, embedding array<double>")
+    g = retrieval.Graph(rows.select(F.col("id").cast("string").alias("id"), F.lit("L").alias("label"), F.create_map(F.lit("name_zh"), "text").alias("props"), "seq"), None)
+    for df in (vector.search(rows, q), bm25.search(bm25.build_index(rows), q), g.text_search(q), g.substrings(q)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x y", 1), (2, "x x", 2)], "id long, text string, seq long")
+    q = spark.createDataFrame([(1, "x")], "qid long, text string")
+    for okapi in (False, True):
+        index = bm25.build_index(docs, okapi=okapi)
+        again = index.store(str(tmp_path / str(okapi)))
+        assert bm25.search(again, q).collect() == bm25.search(index, q).collect()
+        assert again.terms.orderBy("term").collect() == index.terms.orderBy("term").collect()
+
+
+def test_repeated_writes(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "d", "Window", "t1"), ("c2", "d", "Window", "t1"), ("c3", "d", "Article", "t2")], "chunk_id string, doc_id string, doc_type string, text string")
+    for part in (chunks, chunks.limit(0)):
+        sinks.write_chunk_array(part.repartition(2), str(tmp_path / "array"))
+        held = json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "array"), wholetext=True).collect()))
+        assert len(held) == part.count() and {x["chunk_id"] for x in held} == {r["chunk_id"] for r in part.collect()}
+    full = chunks.withColumns({"article_no": F.lit(""), "structure_path": F.array(F.lit("N/A")), "themes": F.array(F.lit("x"))})
+    full.write.parquet(str(tmp_path / "chunks"))
+    for _ in range(2):
+        n = build.index_chunks(spark, str(tmp_path / "chunks"), str(tmp_path / "index"), vector.hash_encoder(4), str(tmp_path / "cache")).first()["vectors"]
+        assert n == 3
+    assert spark.read.parquet(str(tmp_path / "index")).select("id").distinct().count() == 3
+    assert readers.embedding_cache(spark, str(tmp_path / "cache")).count() == 2
+    sinks.append_cache(readers.embedding_cache(spark, str(tmp_path / "cache")).withColumn("v", F.array(F.lit(9.0).cast("float"))), str(tmp_path / "cache"))
+    assert [r["v"] for r in sinks.compact_cache(spark, str(tmp_path / "cache"), str(tmp_path / "compact")).collect()] == [[9.0], [9.0]]
+    assert spark.read.json(str(tmp_path / "compact")).count() == 2
+    scored = evaluate.item_scores(spark.createDataFrame([(1, "a", 1.0, 1.0), (2, "b", 0.0, 0.5)], "id long, type string, recall double, answer_score double"))
+    summary = sinks.write_report(scored, str(tmp_path / "report"))
+    assert summary["total"] == 2 and summary["kpi"] is False and set(summary["by_type"]) == {"a", "b"}
+    assert json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report" / "summary.json")).collect())) == summary
+    (tmp_path / "onto.yaml").write_text("x" * 5000)
+    assert readers.ontology_text(spark, str(tmp_path / "onto.yaml")) == "x" * 3000 and readers.ontology_text(spark, str(tmp_path / "no")) is None
+    assert readers.external_rows(lambda s, **p: [{"s": s, **p}], "Q", a=1) == [{"s": "Q", "a": 1}] and readers.external_rows(lambda s: 1 / 0, "Q") == [] and readers.external_rows(None, None) == []
+
+
 def test_scores(spark):
     rows = [(1, "a", "The Answer", ["the", "zzz"], ["Law"], ["Law", "Case"]), (2, "a", "x", [], [], []), (3, "b", "x", ["x"], [], ["Law"])]
     df = spark.createDataFrame(rows, "id long, type string, answer string, keywords array<string>, labels array<string>, expected array<string>")
