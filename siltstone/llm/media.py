@@ -132,7 +132,7 @@ def tile(image: np.ndarray, height: int = TILE, width: int = TILE) -> np.ndarray
 
 def npy_bytes(array: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, array, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(array), allow_pickle=False)
     return out.getvalue()
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, media, mixing, ngram_join, sharding, substring, suffix
+from . import chat, decontam, html_extract, langid, media, mixing, ngram_join, oracles, sharding, substring, suffix
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,6 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_gbt_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL |= {"op5_spaced_seeds": oracles.DECONTAM, "op6_kd_shards": oracles.shards_sql(), "op7_media_columns": oracles.IMAGES, "op8_ngram_join": oracles.NEAR_DUPLICATES, "op10_bwt_repeats": oracles.REPEATS}

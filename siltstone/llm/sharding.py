@@ -14,7 +14,7 @@ falls, and goes on inside it, first along the dimension and then, among equal
 values, along content hash and doc_id, which only break ties. A pass shuffles partial sums
 only, and the driver sees one bin of each node; no node is ever sorted or brought together.
 The table of points is written once: a row's node follows from the cuts found so far, which
-are few and stand in the query as constants.
+are few and joined to it.
 
 Edge cases: a null text has no bytes and size 1; a null doc_id sorts before all
 others; null sources and languages are a value of their own, before all others; a table
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, shuffle_parts, text_or_empty, utf8_crc32
 
-BINS = 4096
+BINS = 1 << 15
 #: Rows that one slot bucket holds on average.
 BUCKET_ROWS = 50_000
 #: Tables up to this number of rows are broadcast; larger ones are joined by shuffle.
@@ -70,8 +70,8 @@ class _Node:
     shards: int
     wide: int = 0
     fixed: list[float] = field(default_factory=list)  # values of the keys found so far
-    lo: float | None = None  # interval of the current key; None: not known yet
-    hi: float | None = None
+    lo: float = 0.0  # interval of the current key
+    hi: float = 0.0
     before: int = 0  # weight before the interval
     goal: float = 0.0
     right: bool = False  # whether the row at the quantile goes right
@@ -119,22 +119,21 @@ def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str
         whole = _extents(table, open_, len(dims), whole, weight)
         while pending := [n for n in open_ if not n.done]:
             _refine(table, pending, weight)
-        table = table.withColumn("_node", _split([n for n in open_ if not n.empty]))
+        if cut := [n for n in open_ if not n.empty]:
+            table = _split(table, cut)
         nodes = [x for n in nodes for x in ([n] if n.shards == 1 else [_Node(n.first, n.shards // 2), _Node(n.first + n.shards // 2, n.shards - n.shards // 2)])]
     return table.withColumnRenamed("_node", "shard").drop("_dims", *_TIES)
 
 
-def _split(nodes: list[_Node]) -> Column:
+def _split(table: DataFrame, nodes: list[_Node]) -> DataFrame:
     """The rows after their node's cut, in the order of the keys, move to its right child."""
-    node = F.col("_node")
-    to = node
-    for n in nodes:
-        keys = [F.col("_dims")[n.wide], *[F.col(c) for c in _TIES]]
-        after = F.lit(n.right)
-        for key, value in zip(reversed(keys), reversed(n.fixed), strict=True):
-            after = (key > F.lit(value)) | ((key == F.lit(value)) & after)
-        to = F.when((node == n.first) & after, F.lit(n.first + n.shards // 2)).otherwise(to)
-    return to
+    state = _state(table.sparkSession, nodes).select("_node", "_next", "_wide", "_fixed", "_right")
+    keys = _keys()
+    after = F.col("_right")
+    for k in reversed(range(KEYS)):
+        after = (keys[k] > F.col("_fixed")[k]) | ((keys[k] == F.col("_fixed")[k]) & after)
+    moved = table.join(state, "_node", "left")
+    return moved.select(*[c for c in table.columns if c != "_node"], F.when(after, F.col("_next")).otherwise(F.col("_node")).alias("_node"))
 
 
 def _extents(table: DataFrame, nodes: list[_Node], dims: int, whole: list[float] | None, weight: str) -> list[float]:
@@ -156,22 +155,18 @@ def _extents(table: DataFrame, nodes: list[_Node], dims: int, whole: list[float]
 
 
 def _refine(table: DataFrame, nodes: list[_Node], weight: str) -> None:
-    """One pass for all nodes. A node whose next key begins takes that key's extent;
-    the others narrow their interval to one bin, and fix every later key that has one
-    value there."""
+    """One pass for all nodes: each narrows its interval to one bin. A bin of one value
+    fixes that key, and every later key that has one value there; the next key goes on
+    in the extent that the pass has found. What the nodes ask for comes as a broadcast row
+    each, not as constants, so that all passes run the same code."""
     state = _state(table.sparkSession, nodes)
     keys, at = _keys(), F.col("_nfix")
     fixed = F.lit(True)
     for k in range(KEYS - 1):
         fixed &= (F.lit(k) >= at) | (keys[k] == F.col("_fixed")[k])
-    rows = (
-        table.join(state, "_node")
-        .filter(fixed)
-        .select("_node", "_lo", "_hi", "_before", "_goal", keys[at].alias("_v"), F.col(weight).alias("_w"), *_TIES)
-        .filter(F.col("_lo").isNull() | F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    )
+    rows = table.join(state, "_node").filter(fixed).select("_node", "_lo", "_hi", "_before", "_goal", keys[at].alias("_v"), F.col(weight).alias("_w"), *_TIES).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    bin_ = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1)))
+    bin_ = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1))
     extents = [f(c).alias(f"{c}{x}") for c in ("_v", *_TIES) for f, x in ((F.min, "l"), (F.max, "h"))]
     bins = rows.groupBy("_node", bin_.alias("_b")).agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_goal").alias("_goal"), *extents)
     run = F.sum("_w").over(Window.partitionBy("_node").orderBy("_b"))  # BINS rows a node at most
@@ -180,25 +175,23 @@ def _refine(table: DataFrame, nodes: list[_Node], weight: str) -> None:
     for n in nodes:
         r = found[n.first]
         n.before, n.lo, n.hi = int(r["_upto"] - r["_w"]), r["_vl"], r["_vh"]
-        if n.lo == n.hi:
+        while n.lo == n.hi and not n.done:
             n.fixed.append(n.lo)
-            for k in _TIES[len(n.fixed) - 1 :]:
-                if r[f"{k}l"] != r[f"{k}h"]:
-                    break
-                n.fixed.append(r[f"{k}l"])
-            n.lo = n.hi = None
+            if not n.done:
+                key = _TIES[len(n.fixed) - 1]
+                n.lo, n.hi = r[f"{key}l"], r[f"{key}h"]
         if n.done:  # the row at the quantile goes to the side that it unbalances less
             n.right = r["_upto"] - n.goal > n.goal - n.before
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """rows (doc_id, shard, text_crc32) with `slot`, gapless from 0 in each shard. Slots
-    are dealt by hash bucket: a small table of bucket counts gives each bucket its
-    offset, and rows are numbered inside their bucket."""
+    are dealt by hash bucket (CRC-32 of id and text checksum): a small table of bucket
+    counts gives each bucket its offset, and rows are numbered inside their bucket."""
     spark = rows.sparkSession
     total = rows.count()
     buckets = max(1, -(-total // (16 * BUCKET_ROWS))) * 4
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_crc32")), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", (utf8_crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))) % F.lit(buckets)).cast("int"))
     parts = shuffle_parts(spark, total, BUCKET_ROWS)
     rows = rows.repartition(parts, "shard", "_bucket")
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -219,7 +212,7 @@ def _with_metadata(rows: DataFrame, names: list[str], tables: Tables) -> DataFra
     aggs = [f(F.struct(n))[n].alias(f"_{k}{n}") for n in names for f, k in ((F.min, "l"), (F.max, "h"))]
     mixed = tables.table(rows.groupBy("_text").agg(*aggs).filter(differ).select("_text", F.lit(True).alias("_mixed"), *[f"_l{n}" for n in names]))
     rows = rows.join(held(mixed), "_text", "left")
-    rows = tables.table(rows.select(*[c for c in rows.columns if c not in names and c[:2] != "_l" and c != "_mixed"], *[F.when(F.col("_mixed"), F.col(f"_l{n}")).otherwise(F.col(n)).alias(n) for n in names]))
+    rows = rows.select(*[c for c in rows.columns if c not in names and c[:2] != "_l" and c != "_mixed"], *[F.when(F.col("_mixed"), F.col(f"_l{n}")).otherwise(F.col(n)).alias(n) for n in names])
     for n in names:
         at = tables.table(name_positions(rows, n).withColumnRenamed(n, "_value"))
         rows = rows.join(held(at), F.col(n).eqNullSafe(F.col("_value")), "left").drop("_value").withColumnRenamed("position", f"dim_{n}")
