@@ -97,7 +97,7 @@ def _state(spark: SparkSession, nodes: list[_Node]) -> DataFrame:
 
 
 def _keys() -> Column:
-    return F.array(F.col("_dims")[F.col("_wide")], *[F.col(c) for c in _TIES])
+    return F.array(F.get("_dims", F.coalesce("_wide", F.lit(0))), *[F.col(c) for c in _TIES])
 
 
 def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str = "size") -> DataFrame:
@@ -164,7 +164,7 @@ def _refine(table: DataFrame, nodes: list[_Node], weight: str) -> None:
     fixed = F.lit(True)
     for k in range(KEYS - 1):
         fixed &= (F.lit(k) >= at) | (keys[k] == F.col("_fixed")[k])
-    rows = table.join(state, "_node").filter(fixed).select("_node", "_lo", "_hi", "_before", "_goal", keys[at].alias("_v"), F.col(weight).alias("_w"), *_TIES).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    rows = table.join(state, "_node").filter(fixed).select("_node", "_lo", "_hi", "_before", "_goal", F.get(keys, at).alias("_v"), F.col(weight).alias("_w"), *_TIES).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     bin_ = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1))
     extents = [f(c).alias(f"{c}{x}") for c in ("_v", *_TIES) for f, x in ((F.min, "l"), (F.max, "h"))]
