@@ -254,22 +254,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(common * 100 >= (F.size("ta") + F.size("tb") - common) * 80).select("a", "b")
 
 
-def open_entries(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The entries (s, n, sig) of sets that are of different groups, with c, the group."""
+def open_entries(entries: DataFrame, groups: DataFrame | None, tables: Tables) -> DataFrame:
+    """The entries (s, n, sig) of sets that are of different groups, with c, the group. What
+    entries are joined to is a table each time: joins of two plain shuffles are what Spark
+    can split where one key is hot."""
     if groups is None:
         grouped = entries.withColumn("c", F.col("s"))
     else:
         grouped = entries.join(groups.withColumnRenamed("node", "s"), "s", "left").select("s", "n", "sig", F.coalesce("label", "s").alias("c"))
     mixed = grouped.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high"))
-    return grouped.join(mixed.select("sig"), "sig", "left_semi")
+    return grouped.join(tables.table(mixed.select("sig")), "sig", "left_semi")
 
 
-def homes(entries: DataFrame, number: int) -> DataFrame:
+def homes(entries: DataFrame, number: int, tables: Tables) -> DataFrame:
     """(s, n, c, home, home_n, home_c): of all sets that share an entry with s, itself
     included, the first by a hash that changes with `number`. Sets of one family, which
     share most entries, mostly have one home."""
     first = F.min(F.struct(F.xxhash64("s", F.lit(number)).alias("h"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("lead")
-    leads = entries.groupBy("sig").agg(first)
+    leads = tables.table(entries.groupBy("sig").agg(first))
     found = entries.join(leads, "sig").groupBy("s").agg(F.min("lead").alias("lead"), F.first("n").alias("n"), F.first("c").alias("c"))
     return found.select("s", "n", "c", F.col("lead.s").alias("home"), F.col("lead.n").alias("home_n"), F.col("lead.c").alias("home_c"))
 
@@ -292,9 +294,9 @@ def block_links(entries: DataFrame, sets: DataFrame, tables: Tables) -> DataFram
     blocks of at most about BLOCK sets and BLOCK_BYTES; each pair of blocks that has a
     candidate pair is compared once, by one product of incidence matrices."""
     spark = sets.sparkSession
-    at = tables.table(homes(entries, 0).select("s", "n", "home"))
+    at = tables.table(homes(entries, 0, tables).select("s", "n", "home"))
     many = at.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.col("n").cast("long") * 8) / BLOCK_BYTES)).alias("nb"))
-    blocks = tables.table(at.join(many, "home").select("s", "n", F.xxhash64("home", F.pmod(F.xxhash64("s"), F.col("nb"))).alias("block")))
+    blocks = tables.table(at.join(tables.table(many), "home").select("s", "n", F.xxhash64("home", F.pmod(F.xxhash64("s"), F.col("nb"))).alias("block")))
     pairs = tables.table(block_pairs(entries, blocks))
     size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("double") * 8).alias("b"), F.first("s").alias("only"))
     x, y = (size.select(*[F.col(c).alias(f"{k}{c}") for c in size.columns]) for k in "xy")
@@ -315,7 +317,7 @@ def jaccard_links(sets: DataFrame, tables: Tables) -> DataFrame:
     entries = tables.table(index_entries(sets))
     links, groups, before, number = None, None, float("inf"), 0
     while True:
-        left = tables.table(open_entries(entries, groups))
+        left = tables.table(open_entries(entries, groups, tables))
         open_ = left.select("s").distinct().count()
         rest = open_ > before / 2
         if not open_ and groups is not None:
@@ -324,7 +326,7 @@ def jaccard_links(sets: DataFrame, tables: Tables) -> DataFrame:
             found = block_links(left, sets, tables)
         else:
             number += 1
-            led = homes(left, number).filter((F.col("c") != F.col("home_c")) & may_link("n", "home_n"))
+            led = homes(left, number, tables).filter((F.col("c") != F.col("home_c")) & may_link("n", "home_n"))
             found = verified(led.select(F.least("s", "home").alias("a"), F.greatest("s", "home").alias("b")).distinct(), sets)
         links = tables.table(found if links is None else links.unionByName(found))
         groups = components(links)
@@ -361,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         of = texts.join(of, ["k1", "k2"]).select("k1", "k2", "rep", "c")
         least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
         linked = of.join(least, "c").select("k1", "k2", F.col("component_id").alias("found"))
-        classes = texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class"))
+        classes = tables.table(texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class")))  # copies of one text may be very many rows
         rows = counted.filter(F.col("n").isNotNull()).select("doc_id", "k1", "k2", "n")
         return tables.keep(rows.join(classes, ["k1", "k2"]).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id")))
 

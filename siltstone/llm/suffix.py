@@ -560,7 +560,7 @@ def removed_spans(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame
     pairs = keyed.filter(F.octet_length("t") >= LENGTH).select("k1", "t").mapInArrow(lean(lambda it: _pairs(it, buckets)), _PAIR)
     found = in_buckets(pairs, volume, lambda it: _find_pairs(it, buckets), _PAIR)
     texts = tables.table(in_buckets(found, volume, _by_text, "k1 long, hashes binary"))
-    reps = narrow.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    reps = tables.table(narrow.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     wanted = reps.join(texts, "k1").select("k1", "k2", F.col("rep").alias("id"), "hashes")
     held = keyed.join(wanted, ["k1", "k2", "id"]).select("id", "k1", "t", "hashes")
     dealt = held.mapInArrow(lean(lambda it: _contexts(it, buckets)), _CONTEXT)
@@ -577,7 +577,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         narrow, reps, spans = removed_spans(docs, tables)
         cut = reps.join(spans, (reps["rep"] == spans["id"]) & (reps["k1"] == spans["k1"])).select(reps["k1"], "k2", "id", "spans")
         changed = tables.table(_documents(docs).join(cut, ["k1", "k2", "id"]).select("k1", "k2", "t", "spans").mapInArrow(lean(_kept), "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string")).distinct()
-        rows = narrow.join(reps, ["k1", "k2"]).join(changed, ["k1", "k2"], "left")
+        whole = tables.table(reps.join(changed, ["k1", "k2"], "left"))
+        rows = narrow.join(whole, ["k1", "k2"])  # copies of one text may be very many rows: a join that Spark can split
         copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
         return tables.keep(
             rows.select(

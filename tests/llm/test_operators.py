@@ -850,8 +850,8 @@ def test_candidates_of_shared_passages_stay_few(spark):
 
     named = df.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.encode("text", "UTF-8").alias("t")).mapInArrow(lean(ngram_join._to_sets), "k1 long, k2 int, s long, n int, tokens array<bigint>")
     with Tables(spark) as tables:
-        entries = tables.table(ngram_join.open_entries(tables.table(ngram_join.index_entries(named.select("s", "n", "tokens"))), None))
-        blocks = ngram_join.homes(entries, 0).select("s", F.col("home").alias("block"))
+        entries = tables.table(ngram_join.open_entries(tables.table(ngram_join.index_entries(named.select("s", "n", "tokens"))), None, tables))
+        blocks = ngram_join.homes(entries, 0, tables).select("s", F.col("home").alias("block"))
         assert ngram_join.block_pairs(entries, blocks).count() <= 8 * entries.count()
 
 
