@@ -67,6 +67,14 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+|[一-龥])"), F.lit(1))
 
 
+def search_tokens(c: Column) -> Column:
+    """Lower-case words of a-z and 0-9, and of each run of CJK characters every two
+    neighbours: a stand-in for a word segmenter, which any tokenizer can replace."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+|[一-龥]+)"), F.lit(1))
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda x: F.when(x.rlike("^[一-龥]{2,}$"), pairs(x)).otherwise(F.array(x))))
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

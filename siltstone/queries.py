@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import cache_key, json_block, node_id, normalize_space
+from .functions.text import ARTICLE, HEADING, NUMERALS, cache_key, json_block, node_id, normalize_space
 from .operators import answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, vector
 from .operators.graph import Graph
 from .operators.templates import distinct
@@ -98,11 +98,11 @@ def chunk_window(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
 WITH d AS (SELECT * FROM {values(ARTICLES, 'doc_id, text')}),
-p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(第[一二三四五六七八九十百千零〇0-9]+条(?:第[一二三四五六七八九十百千零〇0-9]+款)?)', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '(第[一二三四五六七八九十百千零〇0-9]+条(?:第[一二三四五六七八九十百千零〇0-9]+款)?)', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
+p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '({ARTICLE})', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '({ARTICLE})', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
 a AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start FROM p),
-hp AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)(^\\s*第[一二三四五六七八九十百千零〇0-9]+(?:章|编|分编|节))', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '(?m)(^\\s*第[一二三四五六七八九十百千零〇0-9]+(?:章|编|分编|节))', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
-h AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start, trim(regexp_extract(piece, '(第[一二三四五六七八九十百千零〇0-9]+(?:章|编|分编|节))', 1)) AS chapter FROM hp)
-SELECT a.doc_id, a.start::BIGINT AS span_start, (a.start + length(a.piece))::BIGINT AS span_end, regexp_extract(a.piece, '^第[一二三四五六七八九十百千零〇0-9]+条(?:第[一二三四五六七八九十百千零〇0-9]+款)?') AS article_no,
+hp AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
+h AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start, trim(regexp_extract(piece, '({HEADING})', 1)) AS chapter FROM hp)
+SELECT a.doc_id, a.start::BIGINT AS span_start, (a.start + length(a.piece))::BIGINT AS span_end, regexp_extract(a.piece, '^{ARTICLE}') AS article_no,
   coalesce((SELECT max_by(h.chapter, h.start) FROM h WHERE h.doc_id = a.doc_id AND h.i > 1 AND h.start <= a.start), '') AS chapter, md5(regexp_replace(a.piece, '^\\s+|\\s+$', '', 'g')) AS text_md5
 FROM a WHERE i > 1 AND length(regexp_replace(a.piece, '^\\s+|\\s+$', '', 'g')) >= 20
 """
@@ -131,9 +131,10 @@ def themes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(chunking.themes(F.col("text"), LATIN_THEMES), ",").alias("themes"))
 
 
-@query(f"SELECT etype, name, CASE name WHEN '未知' THEN name ELSE coalesce((SELECT n FROM (VALUES ('Pollutant', '二氧化硫', 'SO2'), ('Pollutant', 'VOC', 'VOCs'), ('Industry', '炼钢', '钢铁'), ('Region', '省级', '省'), ('Penalty', '罚金', '罚款'), ('Violation', '数据失真', '数据造假')) AS d(e, a, n) WHERE d.e = t.etype AND d.a = t.name), replace(trim(name), '　', '')) END AS norm FROM {values(NAMES, 'etype, name')}")
+@query(f"SELECT etype, name, CASE name WHEN '未知' THEN name ELSE coalesce((SELECT n FROM (VALUES ('Pollutant', '二氧化硫', 'SO2'), ('Pollutant', 'VOC', 'VOCs'), ('Industry', '炼钢', '钢铁'), ('Region', '省级', '省'), ('Penalty', '罚金', '罚款'), ('Violation', '数据失真', '数据造假')) AS d(e, a, n) WHERE d.e = t.etype AND d.a = t.name), replace(trim(name), '　', '')) END AS norm FROM (SELECT * FROM {values(NAMES, 'etype, name')} UNION ALL SELECT 'Industry', p_name FROM part) t")
 def normalize_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.normalize_entities(spark.createDataFrame(NAMES, "etype string, name string"))
+    names = table(spark, sf, "part").select(F.lit("Industry").alias("etype"), F.col("p_name").alias("name"))
+    return extraction.normalize_entities(spark.createDataFrame(NAMES, "etype string, name string").unionByName(names))
 
 
 @query("SELECT event_id, props AS block, json_valid(props) AS valid FROM events")
@@ -321,37 +322,45 @@ def tpl_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------- questions
 
+ASKED_SQL = f"SELECT qid, text FROM {values(ASKED, 'qid, text')} UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations"
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions as they come in Chinese, and every turn of the conversations."""
+    turns = table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return spark.createDataFrame(ASKED, "qid long, text string").unionByName(turns)
+
+
 INTENT_SQL = ", ".join(f"{{'score': {' + '.join(f'''regexp_matches(text, '(?i){p}')::INT''' for p in ps)}, 'intent': '{name}'}}" for name, ps in LATIN_INTENTS.items())
 
 
 @query(
     f"""
-WITH r AS (SELECT conv_id * 1000 + turn AS qid, list_filter([{INTENT_SQL}], lambda x: x.score > 0) AS l FROM conversations WHERE role = 'user'),
+WITH r AS (SELECT conv_id * 1000 + turn AS qid, list_filter([{INTENT_SQL}], lambda x: x.score > 0) AS l FROM conversations),
 s AS (SELECT qid, unnest(CASE WHEN len(l) > 0 THEN l ELSE [{{'score': 0, 'intent': 'semantic_fallback'}}] END) AS x FROM r)
 SELECT qid, x.intent AS intent, x.score::BIGINT AS score, row_number() OVER (PARTITION BY qid ORDER BY x.score DESC, x.intent DESC) - 1 AS rank FROM s
 """
 )
 def intent_route(spark: SparkSession, sf: str) -> DataFrame:
-    asked = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    asked = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
     return intent.route(asked, LATIN_INTENTS)
 
 
 @query(
     f"""SELECT qid::BIGINT AS qid, nullif(replace(regexp_extract(text, '(?i)((?:GB|HJ|DB)\\s*[\\d\\-—]+)', 1), ' ', ''), '') AS std_id, nullif(regexp_extract(text, '(?i)(SO2|NOx|PM2\\.5|PM10|VOCs|COD|氨氮|NH3-N|危险废物|危废|总磷|总氮)', 1), '') AS pollutant,
-nullif(regexp_extract(text, '(罚款|拘留|停产|吊销|查封|责令)', 1), '') AS penalty_keyword, nullif(regexp_extract(text, '(第[一二三四五六七八九十百千零〇0-9]+条)', 1), '') AS article_no FROM {values(ASKED, 'qid, text')}"""
+nullif(regexp_extract(text, '(罚款|拘留|停产|吊销|查封|责令)', 1), '') AS penalty_keyword, nullif(regexp_extract(text, '(第[{NUMERALS}]+条)', 1), '') AS article_no FROM ({ASKED_SQL})"""
 )
 def param_extract(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.createDataFrame(ASKED, "qid long, text string")
-    return asked.select("qid", intent.params(F.col("text")).alias("p")).select("qid", "p.std_id", "p.pollutant", "p.penalty_keyword", "p.article_no")
+    return asked(spark, sf).select("qid", intent.params(F.col("text")).alias("p")).select("qid", "p.std_id", "p.pollutant", "p.penalty_keyword", "p.article_no")
 
 
 @query(
     f"""SELECT qid::BIGINT AS qid, CASE WHEN regexp_matches(text, '(?i)(GB|HJ|DB)\\s*[\\d\\-—]+') THEN 'standard_pollutants' WHEN regexp_matches(text, '(?i)(SO2|NOx|PM2\\.5|PM10|VOCs|COD|NH3-N|危废|危险废物)') THEN 'pollutant_articles'
-WHEN regexp_matches(text, '(钢铁|化工|印染|造纸|火电|水泥|制药|石化|焦化|有色|电镀|电池|畜禽)') THEN 'industry_standards' WHEN regexp_matches(text, '(案件|案例|参考|类似)') THEN 'cases' WHEN regexp_matches(text, '第[一二三四五六七八九十百千零〇0-9]+条') THEN 'article'
-WHEN regexp_matches(text, '(罚款|拘留|停产|吊销|查封|责令)') THEN 'penalty' END AS template FROM {values(ASKED, 'qid, text')}"""
+WHEN regexp_matches(text, '(钢铁|化工|印染|造纸|火电|水泥|制药|石化|焦化|有色|电镀|电池|畜禽)') THEN 'industry_standards' WHEN regexp_matches(text, '(案件|案例|参考|类似)') THEN 'cases' WHEN regexp_matches(text, '第[{NUMERALS}]+条') THEN 'article'
+WHEN regexp_matches(text, '(罚款|拘留|停产|吊销|查封|责令)') THEN 'penalty' END AS template FROM ({ASKED_SQL})"""
 )
 def template_match(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(ASKED, "qid long, text string").select("qid", intent.match_template(F.col("text")).alias("template"))
+    return asked(spark, sf).select("qid", intent.match_template(F.col("text")).alias("template"))
 
 
 @query("SELECT conv_id, turn, 1.0::DOUBLE AS vector_w, CASE WHEN c THEN 2.0 ELSE 1.5 END::DOUBLE AS graph_w, CASE WHEN c THEN 1.0 WHEN s THEN 1.8 ELSE 1.5 END::DOUBLE AS bm25_w FROM (SELECT conv_id, turn, contains(lower(text), 'tion') AS c, contains(lower(text), 'que') AS s FROM conversations)")
@@ -411,8 +420,8 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RANKED_SQL = """
-WITH a AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 50),
-b AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank FROM documents QUALIFY rank < 50),
+WITH a AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents ),
+b AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank FROM documents ),
 l AS (SELECT q, 0 AS list_no, rank, key, {wa}::DOUBLE AS w FROM a UNION ALL SELECT q, 1, rank, key, {wb}::DOUBLE FROM b),
 f AS (SELECT q AS qid, key::VARCHAR AS key, sum(w / (60 + rank + 1)) AS rrf, {pick}(list_no, row(list_no, rank))::VARCHAR AS payload, min(row(list_no, rank)) AS first FROM l GROUP BY ALL)
 SELECT qid, key, round(rrf, 8) AS rrf, payload, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, first) AS rank FROM f
@@ -424,7 +433,7 @@ def _ranked(spark: SparkSession, sf: str, wa: float, wb: float) -> DataFrame:
     rank = lambda *order: (F.row_number().over(bm25.Window.partitionBy("lang").orderBy(*order)) - 1).alias("rank")
     out = None
     for no, (w, order) in enumerate(((wa, (F.desc("n_chars"), "doc_id")), (wb, ("doc_id",)))):
-        hits = docs.select(F.col("lang").alias("qid"), F.col("doc_id").alias("id"), rank(*order)).filter("rank < 50")
+        hits = docs.select(F.col("lang").alias("qid"), F.col("doc_id").alias("id"), rank(*order))
         one = fusion.as_list(hits, no, f"list{no}", F.lit(str(no)), F.lit(w))
         out = one if out is None else out.unionByName(one)
     return out

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import ARTICLE
+from .functions.text import ARTICLE, HEADING
 from .operators import answer, chunking, graph, graph_build, templates
 from .operators.graph import Graph
 from .plans import retrieval, skills
@@ -290,6 +290,17 @@ def doc_type(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(TYPED, "name string, target string, text string").select("name", "target", "text", chunking.detect_doc_type(F.col("text"), F.col("name"), F.col("target")).alias("doc_type"))
 
 
+_CUT = f"string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest({_CUT}) AS piece, generate_subscripts({_CUT}, 1) AS i FROM {values(ARTICLES, 'doc_id, text')}),
+c AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
+SELECT doc_id, s::BIGINT AS span_start, (s + length(piece))::BIGINT AS span_end, trim(regexp_extract(piece, '{HEADING}')) || ' ' || trim(regexp_extract(piece, '^\\s*{HEADING}[ ]*([^\n]{{0,40}})', 1)) AS path, md5(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM c WHERE i > 1 AND n > 2""")
+def chunk_chapter(spark: SparkSession, sf: str) -> DataFrame:
+    docs = chunking.normalized(spark.createDataFrame(ARTICLES, "doc_id string, text string"))
+    return chunking.by_chapter(docs, min_len=10).select("doc_id", "span_start", "span_end", F.col("structure_path")[0].alias("path"), F.md5("text").alias("text_md5"))
+
+
 # -------------------------------------------------------- dispatch and retrieval
 
 def _chunks_sql() -> str:

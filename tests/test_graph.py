@@ -162,3 +162,28 @@ def test_search_walks_and_samples(spark):
     assert {r["id"]: r["depth"] for r in g.khop(g.centre("河北"), 2).collect()} == {"a": 0, "b": 1, "c": 2}
     assert g.induced(nodes.filter("label = 'N'")).count() == 2 and g.sample(8).count() == 2
     assert g.one_hop("N", "R", limit=1).count() == 1 and g.one_hop("N", "R", "M").count() == 1
+
+
+def test_stores_and_pages(spark, tmp_path, monkeypatch):
+    from siltstone.plans import render
+    from siltstone.sources import stores
+
+    nodes = spark.createDataFrame([("a", "N", {"name_zh": "甲<b>"}, 1), ("a", "M", {"x": "1"}, 2), ("b", "N", {}, 3), ("z", "N", {}, 4)], "id string, label string, props map<string,string>, seq long")
+    edges = spark.createDataFrame([("a", "N", "R", "b", "N", {}, 1), ("a", "N", "R", "nowhere", "N", {}, 2)], "from_id string, from_label string, rel string, to_id string, to_label string, props map<string,string>, seq long")
+    store = stores.graph_store(spark)
+    store.add_nodes(nodes)
+    store.add_edges(edges)
+    store.persist(str(tmp_path / "g"))
+    again = stores.graph_store(spark, "frames")
+    again.load(str(tmp_path / "g"))
+    assert {(r["kind"], r["name"]): r["n"] for r in again.stats().collect()} == {("node", None): 3, ("node", "N"): 3, ("edge", None): 1, ("edge", "R"): 1}
+    assert [r["who"] for r in again.query("MATCH (n:N) RETURN n.name_zh AS who").collect()] == ["甲<b>", None, None] and again.query("MATCH (x:N)").count() == 0
+    assert again.text_search(spark.createDataFrame([(1, "甲")], "qid long, text string")).count() == 1
+    monkeypatch.setenv(stores.BACKEND, "json")
+    assert isinstance(stores.graph_store(spark), stores.JsonStore)
+    with pytest.raises(ValueError, match="unknown graph backend"):
+        stores.graph_store(spark, "other")
+    assert render.overview(again.graph, str(tmp_path / "all")) == {"nodes": 3, "edges": 1}
+    assert render.neighbourhood(again.graph, "甲", str(tmp_path / "one")) == {"nodes": 2, "edges": 1} and render.neighbourhood(again.graph, "无", str(tmp_path / "no"))["nodes"] == 0
+    text = spark.read.text(str(tmp_path / "one"), wholetext=True).first()[0]
+    assert "甲&lt;b&gt;" in text and text.count("<circle") == 2 and "<title>R</title>" in text

@@ -219,6 +219,35 @@ def test_repeated_writes(spark, tmp_path):
     assert readers.external_rows(lambda s, **p: [{"s": s, **p}], "Q", a=1) == [{"s": "Q", "a": 1}] and readers.external_rows(lambda s: 1 / 0, "Q") == [] and readers.external_rows(None, None) == []
 
 
+def test_readers_of_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps({"chunk_id": f"c{k}", "doc_id": "d", "text": "t"}) for k in range(5)))
+    assert [r["chunk_id"] for r in readers.chunks_jsonl(spark, str(tmp_path / "c.jsonl"), 2).collect()] == ["c0", "c1"] and readers.chunks_jsonl(spark, str(tmp_path / "c.jsonl")).count() == 5
+    (tmp_path / "e.json").write_text(json.dumps([{"id": "1", "type": "t", "question": "q", "expected_evidence": ["Law"]}]))
+    assert readers.evaluation_items(spark, str(tmp_path / "e.json")).first()["expected_evidence"] == ["Law"]
+    monkeypatch.setenv(readers.DATA_ROOT, "from env")
+    assert readers.data_root() == "from env" and readers.data_root("x") == "x"
+    monkeypatch.delenv(readers.DATA_ROOT)
+    assert readers.data_root(candidates=("nowhere", str(tmp_path))) == str(tmp_path)
+    sinks.write_statements(spark.createDataFrame([("MERGE (n);",)], "statement string"), str(tmp_path / "st"))
+    assert spark.read.text(str(tmp_path / "st")).first()[0] == "MERGE (n);"
+    from siltstone.operators.chunking import source_doc_type
+
+    kinds = spark.createDataFrame([("a/案例/x", "GB 1"), ("a/b", "GB 1"), ("a/b", "")], "path string, std string").select(source_doc_type(F.col("path"), F.col("std")))
+    assert [r[0] for r in kinds.collect()] == ["Case", "Standard", "LawOrRegulation"]
+    hits = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (2, [])], "id long, sources array<string>")
+    assert {r["id"]: r["sources"] for r in evaluate.item_sources(hits).collect()} == {1: ["a", "b"], 2: []}
+
+
+def test_pairs_of_characters(spark):
+    from siltstone.functions.text import search_tokens
+
+    rows = spark.createDataFrame([("大气污染 PM10防治", 1), ("法", 2), ("", 3)], "text string, id long").withColumn("seq", F.col("id"))
+    assert [r[0] for r in rows.select(search_tokens(F.col("text"))).collect()] == [["大气", "气污", "污染", "pm10", "防治"], ["法"], []]
+    index = bm25.build_index(rows, search_tokens, okapi=True)
+    q = spark.createDataFrame([(1, "污染")], "qid long, text string")
+    assert {r["term"] for r in index.terms.collect()} == {"大气", "气污", "污染", "pm10", "防治", "法"} and bm25.search(index, q, tokenizer=search_tokens).count() == 1
+
+
 def test_scores(spark):
     rows = [(1, "a", "The Answer", ["the", "zzz"], ["Law"], ["Law", "Case"]), (2, "a", "x", [], [], []), (3, "b", "x", ["x"], [], ["Law"])]
     df = spark.createDataFrame(rows, "id long, type string, answer string, keywords array<string>, labels array<string>, expected array<string>")
