@@ -321,7 +321,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_siltstone_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="siltstone-")) / "siltstone.zip"
+    folder = tempfile.mkdtemp(prefix="siltstone-")  # the driver serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "siltstone.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))
