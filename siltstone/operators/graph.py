@@ -109,8 +109,12 @@ class Graph:
         ways = {"out": [("from_id", "to_id")], "in": [("to_id", "from_id")], "both": [("from_id", "to_id"), ("to_id", "from_id")]}[direction]
         hops = reduce(DataFrame.unionByName, [e.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("rel").alias(f"{name}_rel")) for a, b in ways])
         ends = self.nodes.filter(F.col("label").isin(labels)) if labels else self.nodes
-        hops = hops.join(ends.select(F.col("id").alias("_b"), F.struct(*NODE).alias(name)), "_b").drop("_b")
-        return rows.join(hops, F.col(f"{at}.id") == F.col("_a"), "left" if optional else "inner").drop("_a")
+        ends = ends.select(F.col("id").alias("_b"), F.struct(*NODE).alias(name))
+        if not optional:  # the rows' own edges first, then their ends
+            return rows.join(hops, F.col(f"{at}.id") == F.col("_a")).join(ends, "_b").drop("_a", "_b")
+        starts = rows.select(F.col(f"{at}.id").alias("_a")).distinct()
+        hops = hops.join(starts, "_a", "left_semi").join(ends, "_b").drop("_b")
+        return rows.join(hops, F.col(f"{at}.id") == F.col("_a"), "left").drop("_a")
 
     # --------------------------------------------------------- whole queries
 

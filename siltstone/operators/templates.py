@@ -60,12 +60,27 @@ def similar_cases(g: Graph, case_type: str, violation: str, limit: int = 10) ->
     return _cases(g, has(case_type, "case_type") | has(violation, "violations"), limit)
 
 
+def collected(g: Graph, rows: DataFrame, at: str, rel: str, label: str, key: str, name: str, direction: str = "out", upto: int | None = None) -> DataFrame:
+    """(_at, name): the distinct values of a property over what the nodes `at` of rows are
+    related to. Two such lists of one node are joined, not multiplied."""
+    hops = g.expand(rows.select(at).withColumn("_at", F.col(f"{at}.id")).dropDuplicates(["_at"]), at, [rel], "x", [label], direction)
+    return hops.groupBy("_at").agg(distinct(p("x", key), upto).alias(name))
+
+
+def with_lists(g: Graph, rows: DataFrame, at: str, lists: list[tuple], upto: int | None = None) -> DataFrame:
+    """rows with a list (empty if there is none) for each (name, relationship, label, property,
+    direction)."""
+    for name, rel, label, key, direction in lists:
+        found = collected(g, rows, at, rel, label, key, f"_{name}", direction, upto)
+        rows = rows.join(found, F.col(f"{at}.id") == F.col("_at"), "left").withColumn(name, F.coalesce(f"_{name}", F.array().cast("array<string>"))).drop("_at", f"_{name}")
+    return rows
+
+
 def _cases(g: Graph, where: Column, limit: int, upto: int | None = None) -> DataFrame:
-    rows = g.expand(g.match("Case", where, "c"), "c", ["CASE_VIOLATES_ARTICLE"], "a", ["Article"], optional=True)
-    rows = g.expand(rows, "c", ["CASE_TRIGGERS_PENALTY"], "x", ["Penalty"], optional=True)
-    cols = [F.col("c.id").alias("id"), F.col("c.seq").alias("seq"), *[p("c", k).alias(k) for k in ("title", "case_type", "summary")]]
-    out = rows.groupBy(*cols).agg(distinct(p("a", "article_no"), upto).alias("articles"), distinct(p("x", "name_zh"), upto).alias("penalties"))
-    return out.orderBy("seq", "id").limit(limit)
+    """The first cases by order, then their lists: what is not shown is not followed."""
+    rows = g.match("Case", where, "c").orderBy("c.seq", "c.id").limit(limit)
+    rows = with_lists(g, rows, "c", [("articles", "CASE_VIOLATES_ARTICLE", "Article", "article_no", "out"), ("penalties", "CASE_TRIGGERS_PENALTY", "Penalty", "name_zh", "out")], upto)
+    return rows.select(F.col("c.id").alias("id"), F.col("c.seq").alias("seq"), *[p("c", k).alias(k) for k in ("title", "case_type", "summary")], "articles", "penalties").orderBy("seq", "id")
 
 
 def article_content(g: Graph, article_no: str, doc: str, limit: int = 5) -> DataFrame:
@@ -110,9 +125,13 @@ def rule_penalty(g: Graph, keyword: str, limit: int = 20) -> DataFrame:
 
 
 def rule_violation(g: Graph, keyword: str, limit: int = 20) -> DataFrame:
-    rows = g.expand(g.match("Violation", has(keyword, "name_zh"), "v"), "v", ["ARTICLE_DEFINES_VIOLATION"], "a", ["Article"], "in", True)
-    rows = g.expand(rows, "v", ["CASE_INVOLVES_VIOLATION"], "c", ["Case"], "in", True)
-    return rows.groupBy(p("v", "name_zh").alias("violation")).agg(distinct(p("a", "article_no"), 5).alias("articles"), distinct(p("c", "title"), 5).alias("cases")).orderBy("violation").limit(limit)
+    """Names are not keys: lists of nodes of one name are one list, cut when they are."""
+    name = p("v", "name_zh").alias("violation")
+    found = g.match("Violation", has(keyword, "name_zh"), "v")
+    lists = {}
+    for column, rel, label, key in (("articles", "ARTICLE_DEFINES_VIOLATION", "Article", "article_no"), ("cases", "CASE_INVOLVES_VIOLATION", "Case", "title")):
+        lists[column] = g.expand(found, "v", [rel], "x", [label], "in", True).groupBy(name).agg(distinct(p("x", key), 5).alias(column))
+    return lists["articles"].join(lists["cases"], "violation").orderBy("violation").limit(limit)
 
 
 def domain_routing(g: Graph, domains: list[str]) -> DataFrame:
