@@ -96,8 +96,18 @@ def _state(spark: SparkSession, nodes: list[_Node]) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(_node, _next, _wide, _nfix, _fixed, _lo, _hi, _before, _goal, _right)"))
 
 
-def _keys() -> Column:
-    return F.array(F.get("_dims", F.coalesce("_wide", F.lit(0))), *[F.col(c) for c in _TIES])
+def _pick(number: str, columns: list[Column]) -> Column:
+    """The column of that number; plain columns leave no arrays behind for each row."""
+    out = F.lit(None).cast("double")
+    for k, c in enumerate(columns):
+        out = F.when(F.col(number) == k, c).otherwise(out)
+    return out
+
+
+def _keys(table: DataFrame) -> list[Column]:
+    """The keys of the order along a node's dimension."""
+    dims = [F.col(c) for c in table.columns if c.startswith("_dim")]
+    return [_pick("_wide", dims), *[F.col(c) for c in _TIES]]
 
 
 def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str = "size") -> DataFrame:
@@ -107,7 +117,7 @@ def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     table = points.select(
         *points.columns,
-        F.array(*[F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims]).alias("_dims"),
+        *[F.coalesce(F.col(d).cast("double"), F.lit(0.0)).alias(f"_dim{k}") for k, d in enumerate(dims)],
         F.col("text_crc32").cast("double").alias("_crc"),
         F.shiftright(key, 32).cast("double").alias("_hi_id"),
         key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias("_lo_id"),
@@ -122,16 +132,16 @@ def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str
         if cut := [n for n in open_ if not n.empty]:
             table = _split(table, cut)
         nodes = [x for n in nodes for x in ([n] if n.shards == 1 else [_Node(n.first, n.shards // 2), _Node(n.first + n.shards // 2, n.shards - n.shards // 2)])]
-    return table.withColumnRenamed("_node", "shard").drop("_dims", *_TIES)
+    return table.withColumnRenamed("_node", "shard").drop(*[f"_dim{k}" for k in range(len(dims))], *_TIES)
 
 
 def _split(table: DataFrame, nodes: list[_Node]) -> DataFrame:
     """The rows after their node's cut, in the order of the keys, move to its right child."""
     state = _state(table.sparkSession, nodes).select("_node", "_next", "_wide", "_fixed", "_right")
-    keys = _keys()
+    keys = _keys(table)
     after = F.col("_right")
     for k in reversed(range(KEYS)):
-        after = (keys[k] > F.col("_fixed")[k]) | ((keys[k] == F.col("_fixed")[k]) & after)
+        after = (keys[k] > F.get("_fixed", F.lit(k))) | ((keys[k] == F.get("_fixed", F.lit(k))) & after)
     moved = table.join(state, "_node", "left")
     return moved.select(*[c for c in table.columns if c != "_node"], F.when(after, F.col("_next")).otherwise(F.col("_node")).alias("_node"))
 
@@ -139,7 +149,7 @@ def _split(table: DataFrame, nodes: list[_Node]) -> DataFrame:
 def _extents(table: DataFrame, nodes: list[_Node], dims: int, whole: list[float] | None, weight: str) -> list[float]:
     """Begins the search of each node along the dimension in which it is widest,
     against the width of all rows; returns the latter."""
-    aggs = [f(F.col("_dims")[i]).alias(f"{k}{i}") for i in range(dims) for f, k in ((F.min, "l"), (F.max, "h"))]
+    aggs = [f(f"_dim{i}").alias(f"{k}{i}") for i in range(dims) for f, k in ((F.min, "l"), (F.max, "h"))]
     found = {r["_node"]: r for r in table.groupBy("_node").agg(F.sum(weight).alias("_w"), *aggs).collect()}
     if whole is None:
         whole = [(found[0][f"h{i}"] - found[0][f"l{i}"]) or 1.0 for i in range(dims)] if found else [1.0] * dims
@@ -160,11 +170,11 @@ def _refine(table: DataFrame, nodes: list[_Node], weight: str) -> None:
     in the extent that the pass has found. What the nodes ask for comes as a broadcast row
     each, not as constants, so that all passes run the same code."""
     state = _state(table.sparkSession, nodes)
-    keys, at = _keys(), F.col("_nfix")
+    keys, at = _keys(table), F.col("_nfix")
     fixed = F.lit(True)
     for k in range(KEYS - 1):
-        fixed &= (F.lit(k) >= at) | (keys[k] == F.col("_fixed")[k])
-    rows = table.join(state, "_node").filter(fixed).select("_node", "_lo", "_hi", "_before", "_goal", F.get(keys, at).alias("_v"), F.col(weight).alias("_w"), *_TIES).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        fixed &= (F.lit(k) >= at) | (keys[k] == F.get("_fixed", F.lit(k)))
+    rows = table.join(state, "_node").filter(fixed).select("_node", "_lo", "_hi", "_before", "_goal", _pick("_nfix", keys).alias("_v"), F.col(weight).alias("_w"), *_TIES).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     bin_ = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1))
     extents = [f(c).alias(f"{c}{x}") for c in ("_v", *_TIES) for f, x in ((F.min, "l"), (F.max, "h"))]
