@@ -360,8 +360,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         # classes of texts: by link, else by equal sets, else each text alone
         of = named.select("k1", "k2", "s").distinct().join(groups.select(F.col("node").alias("s"), "label"), "s", "left").select("k1", "k2", F.coalesce("label", "s").alias("c"))
-        of = texts.join(of, ["k1", "k2"]).select("k1", "k2", "rep", "c")
-        least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+        of = tables.table(texts.join(of, ["k1", "k2"]).select("k1", "k2", "rep", "c"))
+        least = tables.table(of.groupBy("c").agg(F.min("rep").alias("component_id")))  # a class may hold very many texts
         linked = of.join(least, "c").select("k1", "k2", F.col("component_id").alias("found"))
         classes = tables.table(texts.join(linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("found", "rep").alias("class")))  # copies of one text may be very many rows
         rows = counted.filter(F.col("n").isNotNull()).select("doc_id", "k1", "k2", "n")
