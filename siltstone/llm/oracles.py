@@ -143,3 +143,64 @@ SELECT doc_id, n AS n_bytes, r * {WIDTH} AS payload_bytes, sha256(unhex(p)) AS p
   (length(m) // 2)::BIGINT AS media_bytes, sha256(unhex(m)) AS media_sha256, feature, tile
 FROM stored JOIN features USING (doc_id) JOIN tiles USING (doc_id), crc
 """
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds one after another, every distance computed."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x AS z FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        square = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (x[i] - z[i]) * (x[i] - z[i])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, min(row({square}::BIGINT, c)) AS m FROM v, c{r} GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT m[2] AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) g(i) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS z FROM s{r} GROUP BY c UNION ALL SELECT c, z FROM c{r} WHERE c NOT IN (SELECT c FROM s{r}))""")
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, m[2]::INT AS cluster, m[1] AS distance, sum(m[1]) OVER (PARTITION BY m[2])::BIGINT AS cluster_inertia, sum(m[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = m[2]"""
+    )
+
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v, v q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END"
+
+
+def _levels(name: str, lists: str) -> str:
+    """All levels of trees (tree, l), from the leaves up."""
+    return f"{name} AS (SELECT tree, 0 AS lvl, l FROM {lists} UNION ALL SELECT tree, lvl + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM {name} WHERE len(l) > 1)"
+
+
+def _paths(name: str, nodes: str, levels: str) -> str:
+    step = "{'s': l[xor(p >> lvl, 1) + 1], 'left': ((p >> lvl) & 1) = 1}"
+    return f"{name} AS (SELECT n.k, list({step} ORDER BY lvl) AS path FROM {nodes} n JOIN {levels} v ON v.tree IS NOT DISTINCT FROM n.tree WHERE len(l) > 1 GROUP BY n.k)"
+
+
+def manifest_sql() -> str:
+    whole, more = (" || ".join(_field(c) for c in ("doc_id", "source", "lang", n, "text")) for n in ("n_chars", "n_chars::HUGEINT + 1"))
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, lang AS tree, sha256({whole}) AS leaf, sha256({more}) AS other, {_crc32("hex(doc_id::VARCHAR)")} AS h FROM documents, crc),
+n AS MATERIALIZED (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+trees AS (SELECT tree, list(leaf ORDER BY p) AS l FROM n GROUP BY tree),
+{_levels("v", "trees")},
+sub AS MATERIALIZED (SELECT tree, l[1] AS subroot FROM v WHERE len(l) = 1),
+crown AS MATERIALIZED (SELECT 0 AS tree, tree AS lang, subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS p, p AS k FROM sub),
+tops AS (SELECT 0 AS tree, list(subroot ORDER BY p) AS l FROM crown),
+{_levels("w", "tops")},
+{_paths("low", "n", "v")},
+{_paths("high", "crown", "w")},
+r AS (SELECT n.*, subroot, (SELECT l[1] FROM w WHERE len(l) = 1) AS root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path
+  FROM n JOIN crown ON crown.lang IS NOT DISTINCT FROM n.tree LEFT JOIN low ON low.k = n.k LEFT JOIN high ON high.k = crown.k),
+f AS (SELECT *, list_reduce(path, lambda a, b: {{'s': sha256(CASE WHEN b.s IS NULL THEN a.s WHEN b.left THEN b.s || a.s ELSE a.s || b.s END), 'left': false}}, {{'s': CASE WHEN h % 7 = 0 THEN other ELSE leaf END, 'left': false}}).s AS back FROM r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.s), ''), '')) AS proof_sha256, back AS folded_root, back = root AS verified FROM f
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, media, mixing, ngram_join, oracles, sharding, substring, suffix
+from . import ball_clusters, chat, decontam, html_extract, langid, media, merkle, mixing, ngram_join, oracles, sharding, substring, suffix, topk_search
 from .common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,4 +86,21 @@ def op2_gbt_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.cluster_documents(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all vectors."""
+    return topk_search.search_every(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL |= {"op5_spaced_seeds": oracles.DECONTAM, "op6_kd_shards": oracles.shards_sql(), "op7_media_columns": oracles.IMAGES, "op8_ngram_join": oracles.NEAR_DUPLICATES, "op10_bwt_repeats": oracles.REPEATS}
+ORACLE_SQL |= {"op11_ball_tree_clusters": oracles.clusters_sql(), "op12_tiled_top_k": oracles.TOP_K, "op13_merkle_manifest": oracles.manifest_sql()}
