@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ARTICLE, HEADING, NUMERALS, cache_key, json_block, node_id, normalize_space
-from .operators import answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, vector
+from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, vector
 from .operators.graph import Graph
 from .operators.templates import distinct
 from .plans import retrieval
+from .sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,6 +420,31 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return vector.search(v, v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), 10).withColumn("score", F.round("score", 6))
 
 
+def _cells(spark: SparkSession, sf: str) -> ann.CellIndex:
+    """A stored index of all vectors, written in two batches."""
+    v = _vectors(spark, sf)
+    index = ann.build(v.filter("id % 3 > 0"), scratch.folder(spark, "cells"), recall=None)
+    index.add(v, "second")
+    return index
+
+
+@query(ORACLE_SQL["vector_search"])
+def vector_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index with all its cells probed: the rows of vector_search."""
+    index = _cells(spark, sf)
+    asked = _vectors(spark, sf).filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    return index.search(asked, 10, len(index.centres())).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether tuned probes find nine tenths of the exact hits of queries they were not tuned on."""
+    index = _cells(spark, sf)
+    index.tune(_vectors(spark, sf).filter("id % 50 > 0").select(F.col("id").alias("qid"), "embedding"))
+    asked = _vectors(spark, sf).filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    return index.recall(asked).agg(F.count(F.lit(1)).alias("queries"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached"))
+
+
 RANKED_SQL = """
 WITH a AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents ),
 b AS (SELECT lang AS q, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank FROM documents ),
