@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -18,7 +18,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 class Bm25Index:
     """words (id, seq, w: the tokens of each document) and one row of corpus counts (n,
     avgdl). Postings and terms follow from the words; a search makes them for its own terms
-    only. store() and load() keep the words, so that texts are tokenised once."""
+    only. postings.StoredIndex keeps them."""
 
     words: DataFrame
     corpus: DataFrame
@@ -36,6 +36,14 @@ class Bm25Index:
             rows = rows.join(small(wanted.select("term").distinct()), "term", "left_semi")
         return rows.groupBy("term", "id", "seq", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
+    def counts(self) -> DataFrame:
+        """(term, df) of all terms."""
+        return self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def counts_of(self, postings: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(term, df) of the wanted terms, whose postings are given."""
+        return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
     def idf(self, counts: DataFrame) -> DataFrame:
         """(term, df, idf) of counts (term, df). okapi: negative ones are raised to EPSILON
         times the mean over all terms, the only thing that needs them all."""
@@ -44,22 +52,12 @@ class Bm25Index:
         if not self.okapi:
             return held(counts).select("term", "df", F.ln((n - df + 0.5) / (df + 0.5) + 1).alias("idf"))
         raw = lambda rows: held(rows).select("term", "df", (F.ln(n - df + 0.5) - F.ln(df + 0.5)).alias("idf"))
-        every = self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        mean = raw(every).agg(F.avg("idf").alias("mean"))
+        mean = raw(self.counts()).agg(F.avg("idf").alias("mean"))
         return raw(counts).crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("mean") * EPSILON).otherwise(F.col("idf")).alias("idf"))
 
     @property
     def terms(self) -> DataFrame:
-        return self.idf(self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-
-    def cache(self) -> Bm25Index:
-        self.words.cache()
-        self.corpus.cache()
-        return self
-
-    def store(self, path: str) -> Bm25Index:
-        self.words.write.mode("overwrite").parquet(path)
-        return load_index(self.words.sparkSession, path, self.okapi)
+        return self.idf(self.counts())
 
 
 def _index(words: DataFrame, okapi: bool) -> Bm25Index:
@@ -73,17 +71,13 @@ def build_index(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens,
     return _index(docs.select("id", "seq", tokenizer(F.coalesce("text", F.lit(""))).alias("w")), okapi)
 
 
-def load_index(spark: SparkSession, path: str, okapi: bool = False) -> Bm25Index:
-    return _index(spark.read.parquet(path), okapi)
-
-
 def search(index: Bm25Index, queries: DataFrame, top_k: int = 10, later_first: bool = True, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, id, score, rank from 0) of queries (qid, text): the top_k of each, without
     scores of 0. Only postings of the queries' terms are grouped and shuffled. Ties go to
     the later document, or the earlier."""
     wanted = queries.select("qid", F.explode(tokenizer(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
     postings = index.postings_of(wanted)
-    idf = index.idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    idf = index.idf(index.counts_of(postings, wanted))
     hits = postings.join(wanted.join(idf, "term"), "term").crossJoin(F.broadcast(index.corpus))
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

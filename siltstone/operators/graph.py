@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import small, top
+from .ranking import direct, top
+from .substrings import containing
 
 NODE = ["id", "label", "props", "seq"]
 EDGE = ["from_id", "from_label", "rel", "to_id", "to_label", "props", "seq"]
@@ -124,33 +125,67 @@ class Graph:
         out = self.expand(self.match(from_label, where), "n", [rel], "m", [to_label] if to_label else None)
         return out.orderBy("n.seq", "m.seq", "n.id", "m.id").limit(limit)
 
+    def _fields(self, fields: tuple[str, ...], article_field: str | None = None) -> DataFrame:
+        """(id, label, seq, place, value): the filled fields of each node, in order; the last
+        one, article_field, of articles only."""
+        held = [F.struct(F.lit(k).alias("place"), F.col("props")[f].alias("value")) for k, f in enumerate(fields)]
+        if article_field is not None:
+            held.append(F.struct(F.lit(len(fields)).alias("place"), F.when(F.col("label") == "Article", F.col("props")[article_field]).alias("value")))
+        rows = self.nodes.select("id", "label", "seq", F.explode(F.array(*held)).alias("f"))
+        return rows.select("id", "label", "seq", "f.place", "f.value").filter(F.length("value") > 0)
+
     def text_search(self, queries: DataFrame, top_k: int = 10, fields: tuple[str, ...] = SEARCH_FIELDS) -> DataFrame:
         """(qid, id, label, score, rank from 0) for queries (qid, text). Keywords are the
         words of two characters or more (else the whole text), and every CJK character.
-        The first field in which any keyword occurs, or that occurs in the query, scores."""
+        The first field in which any keyword occurs, or that occurs in the query, scores.
+        Questions of any number meet the values of fields in substring joins, by character
+        pairs; a few are put into the plan instead, for one pass over the nodes."""
         words = F.filter(F.split("text", r"[\s,，。；;、]+"), lambda x: F.length(x) >= 2)
         words = F.when(F.size(words) > 0, words).otherwise(F.array("text"))
         single = F.filter(F.split("text", ""), lambda x: x.rlike("^[一-鿿]$"))
-        held = small(queries.select("qid", F.col("text").alias("q"), F.concat(words, single).alias("kws")))
-        pairs = self.nodes.crossJoin(held)  # a stated batch of queries against all nodes
+        asked = queries.select("qid", F.col("text").alias("q"), F.concat(words, single).alias("kws"))
+        order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "seq", "id")
 
-        def field_score(f: str) -> Column:
-            v = F.col("props")[f]
+        def value_score(v: Column) -> Column:
             size, whole = F.length(v).cast("double"), F.greatest(F.length("q"), F.lit(1)).cast("double")
-            part = lambda kw: F.when(v.contains(kw), F.length(kw) / F.greatest(size, F.lit(1.0)) * (1 + 0.1 * F.length(kw))).when(F.col("q").contains(v) & (size >= 2), 0.5 * size / whole).otherwise(0.0)
+            part = lambda kw: F.when(v.contains(kw), F.length(kw) / size * (1 + 0.1 * F.length(kw))).when(F.col("q").contains(v) & (size >= 2), 0.5 * size / whole).otherwise(0.0)
             score = F.aggregate("kws", F.lit(0.0), lambda s, kw: s + part(kw))
             return F.when((F.length(v) > 0) & (score > 0), score)
 
-        scored = pairs.select("qid", "id", "label", "seq", F.coalesce(*[field_score(f) for f in fields]).alias("score")).filter("score > 0")
-        order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "seq", "id")
-        return top(scored, order, top_k).select("qid", "id", "label", "score", "rank")
+        if (batch := direct(asked)) is not None:
+            rows = self.nodes.select("id", "label", "seq", "props", F.explode(batch).alias("a")).select("id", "label", "seq", "props", "a.*")
+            first = rows.select("qid", "id", "label", "seq", F.coalesce(*[value_score(F.col("props")[f]) for f in fields]).alias("score")).filter("score > 0")
+            return top(first, order, top_k).select("qid", "id", "label", "score", "rank")
+        named = self._fields(fields)
+        values = named.select("value").distinct()
+        by_word = containing(asked.select(F.explode("kws").alias("word")), values.withColumnRenamed("value", "text"), "words").withColumnRenamed("text", "value")
+        by_word = asked.select("qid", F.explode(F.array_distinct("kws")).alias("word")).join(by_word, "word").select("qid", "value")
+        inside = containing(values.filter(F.length("value") >= 2).withColumnRenamed("value", "word"), asked.select(F.col("q").alias("text")), "texts")
+        by_text = asked.select("qid", F.col("q").alias("text")).join(inside, "text").select("qid", F.col("word").alias("value"))
+        pairs = by_word.unionByName(by_text).distinct().join(asked, "qid")
+
+        scored = pairs.select("qid", "value", value_score(F.col("value")).alias("score")).filter("score > 0")
+        first = scored.join(named, "value").groupBy("qid", "id", "label", "seq").agg(F.min_by("score", "place").alias("score"))
+        return top(first, order, top_k).select("qid", "id", "label", "score", "rank")
 
     def substrings(self, queries: DataFrame, fields: tuple[str, ...] = ("name_zh", "full_name"), article_field: str = "content", limit: int = 10) -> DataFrame:
-        """(qid, id, label, props, seq, rank from 0): substring() for queries (qid, text)."""
-        pairs = self.nodes.crossJoin(small(queries.select("qid", F.col("text").alias("q"))))
-        hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col("props")[f], F.col("q")), F.lit(False)) for f in fields])
-        hit |= (F.col("label") == "Article") & F.coalesce(F.contains(F.col("props")[article_field], F.col("q")), F.lit(False))
-        return top(pairs.filter(hit), Window.partitionBy("qid").orderBy("seq", "id"), limit).select("qid", "id", "label", "props", "seq", "rank")
+        """(qid, id, label, props, seq, rank from 0): substring() for queries (qid, text). The
+        empty text is in every name: it finds the first nodes that have one."""
+        order = Window.partitionBy("qid").orderBy("seq", "id")
+        if (batch := direct(queries.select("qid", F.col("text").alias("q")))) is not None:
+            rows = self.nodes.select(*NODE, F.explode(batch).alias("a")).select(*NODE, "a.*")
+            has = [F.coalesce(F.contains(F.col("props")[f], F.col("q")), F.lit(False)) for f in (*fields, article_field)]
+            hit = reduce(lambda a, b: a | b, [*has[:-1], (F.col("label") == "Article") & has[-1]])
+            return top(rows.filter(hit), order, limit).select("qid", "id", "label", "props", "seq", "rank")
+        named = self._fields(fields, article_field)
+        texts = queries.select("qid", F.col("text").alias("word"))
+        hits = texts.join(containing(texts, named.select(F.col("value").alias("text")), "words"), "word").select("qid", F.col("text").alias("value"))
+        found = top(hits.join(named, "value").select("qid", "id", "seq").distinct(), order, limit)
+        any_name = reduce(lambda a, b: a | b, [F.col("props")[f].isNotNull() for f in fields]) | ((F.col("label") == "Article") & F.col("props")[article_field].isNotNull())
+        first = self.nodes.filter(any_name).select("id", "seq").orderBy("seq", "id").limit(limit).withColumn("rank", (F.row_number().over(Window.orderBy("seq", "id")) - 1).cast("long"))
+        blank = queries.filter("text = ''").select("qid", F.explode(F.sequence(F.lit(0), F.lit(limit - 1)).cast("array<bigint>")).alias("rank"))
+        both = found.unionByName(blank.join(first, "rank").select("qid", "id", "seq", "rank"))
+        return both.join(self.nodes, ["id", "seq"]).select("qid", "id", "label", "props", "seq", "rank")
 
     def by_label(self, statement: str, limit: int = 20) -> DataFrame:
         """Nodes of the label that a statement `(n:Label ...) RETURN n.x AS y` names, with its

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ARTICLE, HEADING, NUMERALS, cache_key, json_block, node_id, normalize_space
-from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, vector
+from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, postings, vector
 from .operators.graph import Graph
 from .operators.templates import distinct
 from .plans import retrieval
@@ -406,6 +406,24 @@ def bm25_okapi(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(bm25.build_index(documents(spark, sf), okapi=True), _questions(spark), later_first=False).withColumn("score", F.round("score", 6))
 
 
+def _stored(spark: SparkSession, sf: str, okapi: bool = False) -> postings.StoredIndex:
+    """Stored postings of all documents, in two batches."""
+    docs, index = documents(spark, sf), postings.StoredIndex(spark, scratch.folder(spark, "postings"), okapi)
+    index.add(docs.filter("id % 3 > 0"), "first")
+    index.add(docs, "second")
+    return index
+
+
+@query(ORACLE_SQL["bm25_search"])
+def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.search(_stored(spark, sf), _questions(spark)).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE_SQL["bm25_okapi"])
+def bm25_stored_okapi(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.search(_stored(spark, sf, True), _questions(spark), later_first=False).withColumn("score", F.round("score", 6))
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import json_block
-from siltstone.operators import answer, bm25, evaluate, extraction, fusion, intent, vector
+from siltstone.operators import answer, bm25, evaluate, extraction, fusion, intent, postings, vector
 from siltstone.plans import build, retrieval, skills
 from siltstone.sources import readers, sinks
 from siltstone.streaming.ingest import chunk_stream
@@ -189,7 +189,8 @@ def test_stored_index(spark, tmp_path):
     q = spark.createDataFrame([(1, "x")], "qid long, text string")
     for okapi in (False, True):
         index = bm25.build_index(docs, okapi=okapi)
-        again = index.store(str(tmp_path / str(okapi)))
+        again = postings.StoredIndex(spark, str(tmp_path / str(okapi)), okapi)
+        again.add(docs, "all")
         assert bm25.search(again, q).collect() == bm25.search(index, q).collect()
         assert again.terms.orderBy("term").collect() == index.terms.orderBy("term").collect()
 
