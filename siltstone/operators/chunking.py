@@ -3,6 +3,10 @@ them. Spans are code points of the normalised text."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ THEMES = {
     "应急预案": ["突发环境事件", "应急预案"],
 }
 PARAGRAPH = r"(?U)\n\s*\n"
+#: Between the paragraphs of a chunk.
+GAP = "\n\n"
 
 
 def themes(c: Column, table: dict[str, list[str]] | None = None) -> Column:
@@ -91,38 +97,35 @@ def by_chapter(docs: DataFrame, heading: str = HEADING_MARK, min_len: int = 500,
     return _finish(rows.filter(F.length("text") >= min_len), "Chapter", theme_table)
 
 
-def window_fold(paragraphs: Column, window: int, overlap: int) -> Column:
-    """array<struct<start, text>>: paragraphs packed up to `window` characters; the next
-    chunk begins with the longest run of whole last paragraphs within `overlap`."""
-    out_type, gap = "array<struct<start:bigint,text:string>>", "\n\n"
-    start = F.struct(F.array().cast(out_type).alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).cast("bigint").alias("len"), F.lit(0).cast("bigint").alias("at"))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
-
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["len"] + F.length(p) > window) & (F.size(acc["cur"]) > 0)
-        text = F.array_join(acc["cur"], gap)
-        tail = lambda i: F.slice(acc["cur"], i, F.size(acc["cur"]))
-        first = F.array_min(F.filter(F.sequence(F.lit(1), F.size(acc["cur"]) + 1), lambda i: total(tail(i)) <= overlap))
-        kept = tail(first)
-        emitted = F.struct(
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), text.alias("text")))).cast(out_type).alias("out"),
-            F.concat(kept, F.array(p)).alias("cur"), (total(kept) + F.length(p)).cast("bigint").alias("len"),
-            (acc["at"] + F.length(text) - total(kept)).cast("bigint").alias("at"),
-        )
-        grown = F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.array(p)).alias("cur"), (acc["len"] + F.length(p)).cast("bigint").alias("len"), acc["at"].alias("at"))
-        return F.when(full, emitted).otherwise(grown)
-
-    def finish(acc: Column) -> Column:
-        last = F.array(F.struct(acc["at"].alias("start"), F.array_join(acc["cur"], gap).alias("text"))).cast(out_type)
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["out"], last)).otherwise(acc["out"])
-
-    return F.aggregate(paragraphs, start, step, finish)
+def packed_windows(paragraphs: Iterable[str], window: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(start, text): paragraphs packed up to `window` characters; the next chunk begins with
+    the longest run of whole last paragraphs within `overlap`. Each paragraph enters and
+    leaves the carried run once."""
+    run, size, at = deque(), 0, 0
+    for p in paragraphs:
+        if run and size + len(p) > window:
+            yield at, (text := GAP.join(run))
+            while size > overlap:
+                size -= len(run.popleft())
+            at += len(text) - size
+        run.append(p)
+        size += len(p)
+    if run:
+        yield at, GAP.join(run)
 
 
 def by_window(docs: DataFrame, window: int = 800, overlap: int = 150, separator: str = PARAGRAPH, theme_table: dict[str, list[str]] | None = None) -> DataFrame:
     paragraphs = F.filter(F.transform(F.split("text", separator), strip), lambda x: x != "")
-    rows = docs.select("doc_id", F.explode(window_fold(paragraphs, window, overlap)).alias("c"))
-    rows = rows.select("doc_id", F.col("c.start").alias("start"), (F.col("c.start") + F.length("c.text")).alias("end"), F.col("c.text").alias("text"), F.array(F.lit("N/A")).alias("structure_path"), F.lit(None).cast("string").alias("article_no"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, held in zip(batch.column(0), batch.column(1), strict=True):  # a document's chunks are a batch
+                chunks = list(packed_windows(held.as_py(), window, overlap))
+                columns = [[doc.as_py()] * len(chunks), [c[0] for c in chunks], [c[1] for c in chunks]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["doc_id", "start", "text"])
+
+    rows = docs.select("doc_id", paragraphs.alias("p")).mapInArrow(run, "doc_id string, start bigint, text string")
+    rows = rows.select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", F.array(F.lit("N/A")).alias("structure_path"), F.lit(None).cast("string").alias("article_no"))
     return _finish(rows, "Window", theme_table)
 
 

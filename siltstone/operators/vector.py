@@ -153,14 +153,12 @@ def retrying(encoder: Encoder, tries: int = 10, busy: tuple[str, ...] = ("429",
     return encode
 
 
-def encode_cached(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
-    """(texts with key and embedding, new cache rows): texts (text, ...) against cache
-    (k, v, seq) in which the last entry of a key counts; each missing text is encoded once.
-    A busy model is asked again, see retrying()."""
+def encode_missing(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> DataFrame:
+    """(k, v) of the distinct texts (text, ...) whose key the cache (k, ...) lacks, each
+    encoded once. What reads it more than once asks the encoder again: store it first. A busy
+    model is asked again, see retrying()."""
     encoder = retrying(encoder)
-    latest = cache.groupBy("k").agg(F.max_by("v", "seq").alias("v"))
-    keyed = texts.withColumn("k", cache_key(F.col("text")))
-    missing = keyed.join(latest, "k", "left_anti").select("k", "text").dropDuplicates(["k"])
+    missing = texts.select(cache_key(F.col("text")).alias("k"), "text").join(cache.select("k"), "k", "left_anti").dropDuplicates(["k"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -168,8 +166,12 @@ def encode_cached(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> tuple
                 part = frame.iloc[lo : lo + BATCH]
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "v": [x.tolist() for x in encoder(part["text"].tolist())]})
 
-    new = missing.mapInPandas(run, "k string, v array<float>")
-    return keyed.join(latest.select("k", "v").unionByName(new), "k").withColumnRenamed("v", "embedding"), new
+    return missing.mapInPandas(run, "k string, v array<float>")
+
+
+def with_embeddings(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """texts (text, ...) with k and embedding from the cache (k, v)."""
+    return texts.withColumn("k", cache_key(F.col("text"))).join(cache.select("k", "v"), "k").withColumnRenamed("v", "embedding")
 
 
 def not_indexed(rows: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:

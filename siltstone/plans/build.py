@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, extraction, graph, graph_build, vector
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 
 
 def chunk(spark: SparkSession, root: str, out: str) -> DataFrame:
@@ -77,13 +77,17 @@ def statements(meta: DataFrame | None, ext: DataFrame | None, out: str, phase: s
 
 def index_chunks(spark: SparkSession, chunks: str, out: str, encoder: vector.Encoder, cache: str | None = None) -> DataFrame:
     """Embeds the chunks that the index at `out` lacks and appends them; returns how many
-    the index holds. With a cache, texts it has are not encoded again."""
-    rows = chunking.vector_rows(spark.read.parquet(chunks))
+    the index holds. Each distinct text that the cache lacks is encoded once and stored in
+    the cache, from which the index then takes all; a run that was broken off finds there
+    what it has paid for. Without a cache of the caller's it is a scratch folder."""
+    rows = chunking.vector_rows(spark.read.parquet(chunks)).withColumnRenamed("document", "text")
     if readers.table_exists(spark, out):
         rows = vector.not_indexed(rows, spark.read.parquet(out))
-    held = spark.createDataFrame([], "k string, v array<float>") if cache is None or not readers.table_exists(spark, cache) else readers.embedding_cache(spark, cache)
-    made, new = vector.encode_cached(rows.withColumnRenamed("document", "text"), held.withColumn("seq", F.lit(0).cast("long")), encoder)
+    held = cache if cache is not None else scratch.folder(spark, "embeddings")
+    known = readers.embedding_cache(spark, held) if readers.table_exists(spark, held) else spark.createDataFrame([], "k string, v array<float>")
+    sinks.append_cache(vector.encode_missing(rows, known, encoder), held)
+    made = vector.with_embeddings(rows, readers.embedding_cache(spark, held))
     sinks.add_vectors(made.drop("k").withColumnRenamed("text", "document"), out)
-    if cache is not None:
-        sinks.append_cache(new, cache)
+    if cache is None:
+        scratch.remove(spark, held)
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("vectors"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from .functions.text import ARTICLE, HEADING, NUMERALS, cache_key, json_block, n
 from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, postings, vector
 from .operators.graph import Graph
 from .operators.templates import distinct
-from .plans import retrieval
+from .plans import build, retrieval
 from .sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,6 +514,23 @@ def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.vector_rows(windows(spark, sf)).select("id", F.md5("document").alias("document_md5"), "doc_id", "doc_type", "article_no", "path", "themes")
 
 
+def word_counts(texts: list[str]) -> np.ndarray:
+    """An encoder whose values SQL can give: characters, blanks and lines."""
+    return np.array([[len(t), t.count(" "), t.count("\n")] for t in texts], np.float32).reshape(-1, 3)
+
+
+@query(FOLD + "SELECT 'chunk_' || substr(md5(doc_id || '::' || span_start || '::' || span_end), 1, 12) AS id, doc_id, length(d)::BIGINT AS chars, (length(d) - length(replace(d, ' ', '')))::BIGINT AS blanks, (length(d) - length(replace(d, chr(10), '')))::BIGINT AS lines FROM (SELECT *, substr(text, 1, 1500) AS d FROM rows)")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector index of all chunks, built in two runs over one cache."""
+    path = scratch.folder(spark, "index")
+    chunks = windows(spark, sf)
+    for part in (chunks.filter("span_start = 0"), chunks):
+        part.write.mode("overwrite").parquet(f"{path}/chunks")
+        build.index_chunks(spark, f"{path}/chunks", f"{path}/vectors", word_counts, f"{path}/cache")
+    counts = [F.col("embedding")[k].cast("long").alias(c) for k, c in enumerate(("chars", "blanks", "lines"))]
+    return spark.read.parquet(f"{path}/vectors").select("id", "doc_id", *counts)
+
+
 @query("SELECT doc_id, md5('[' || (doc_id % 5 + 1) || '] 来源: bm25,graph 类型: ' || lang || ' 评分: ' || printf('%.4f', 1.0::DOUBLE / (60 + doc_id % 5 + 1)) || chr(10) || substr(text, 1, 600)) AS block_md5 FROM documents")
 def evidence_format(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id") % 5 + 1

@@ -93,13 +93,16 @@ def import_batches(statements: DataFrame, run_batch, batch: int = 200) -> DataFr
     return statements.select("statement").mapInPandas(run, "done long, failed long")
 
 
-def recall_report(scored: DataFrame, details: DataFrame, mode: str) -> str:
-    """The JSON text of a recall run: totals, by type, and details of its questions, which
-    are few; write_report() stores details of any number."""
-    rows = [r.asDict() for r in rollup(scored).collect()]
+def recall_report(scored: DataFrame, details: DataFrame, mode: str, path: str) -> str:
+    """Stores a recall run, and returns the JSON text of its totals, in all and by type: that
+    text below summary.json, and the details of all questions as JSON lines below details."""
+    details.write.mode("overwrite").json(f"{path}/details")
+    rows = [r.asDict() for r in rollup(scored).collect()]  # a row for each type
     whole = next((r for r in rows if r["type"] is None), {})
     by_type = {r["type"]: {k: r[k] for k in ("n", "recall_pass_rate", "avg_recall")} for r in rows if r["type"] is not None}
-    return json.dumps({"mode": mode, "total": whole.get("n", 0), "recall_pass_rate": whole.get("recall_pass_rate"), "avg_recall": whole.get("avg_recall"), "by_type": by_type, "details": [r.asDict(recursive=True) for r in details.collect()]}, ensure_ascii=False)
+    text = json.dumps({"mode": mode, "total": whole.get("n", 0), "recall_pass_rate": whole.get("recall_pass_rate"), "avg_recall": whole.get("avg_recall"), "by_type": by_type}, ensure_ascii=False)
+    scored.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary.json")
+    return text
 
 
 def write_report(scored: DataFrame, path: str, mode: str = "baseline") -> dict:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ def test_windows_follow_the_rule(spark):
     assert {str(k): sorted(fold(t)) for k, t in enumerate(texts) if fold(t)} == {k: sorted(v) for k, v in got.items()}
 
 
+def test_long_texts_take_linear_time():
+    text = ["p" * 9] * 1_000_000
+    began = time.perf_counter()
+    n = sum(1 for _ in chunking.packed_windows(text, 800, 150))
+    assert n > 10_000 and time.perf_counter() - began < 10
+
+
 def law(chapters, articles, size):
     parts = ["前言。"]
     n = 0

@@ -70,8 +70,10 @@ def test_cosine_cache_and_index(spark):
 
     texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, text string")
     cache = spark.createDataFrame([], "k string, v array<float>, seq long")
-    out, new = vector.encode_cached(texts, cache, encode)
-    assert out.count() == 3 and new.count() == 2 and all(r["embedding"] for r in out.collect())
+    new = vector.encode_missing(texts, cache, encode).collect()
+    assert len(new) == calls.value == 2
+    out = vector.with_embeddings(texts, spark.createDataFrame(new)).collect()
+    assert len(out) == 3 and all(r["embedding"] for r in out)
     assert vector.not_indexed(texts.withColumn("seq", F.col("id")), texts.filter("id = 1"), 1).first()["id"] == 2
 
 
@@ -203,9 +205,16 @@ def test_repeated_writes(spark, tmp_path):
         assert len(held) == part.count() and {x["chunk_id"] for x in held} == {r["chunk_id"] for r in part.collect()}
     full = chunks.withColumns({"article_no": F.lit(""), "structure_path": F.array(F.lit("N/A")), "themes": F.array(F.lit("x"))})
     full.write.parquet(str(tmp_path / "chunks"))
+    calls, base = spark.sparkContext.accumulator(0), vector.hash_encoder(4)
+
+    def encode(texts):
+        calls.add(len(texts))
+        return base(texts)
+
     for _ in range(2):
-        n = build.index_chunks(spark, str(tmp_path / "chunks"), str(tmp_path / "index"), vector.hash_encoder(4), str(tmp_path / "cache")).first()["vectors"]
-        assert n == 3
+        n = build.index_chunks(spark, str(tmp_path / "chunks"), str(tmp_path / "index"), encode, str(tmp_path / "cache")).first()["vectors"]
+        assert n == 3 and calls.value == 2  # distinct texts
+    assert build.index_chunks(spark, str(tmp_path / "chunks"), str(tmp_path / "index2"), encode).first()["vectors"] == 3 and calls.value == 4
     assert spark.read.parquet(str(tmp_path / "index")).select("id").distinct().count() == 3
     assert readers.embedding_cache(spark, str(tmp_path / "cache")).count() == 2
     sinks.append_cache(readers.embedding_cache(spark, str(tmp_path / "cache")).withColumn("v", F.array(F.lit(9.0).cast("float"))), str(tmp_path / "cache"))
@@ -249,13 +258,14 @@ def test_pairs_of_characters(spark):
     assert {r["term"] for r in index.terms.collect()} == {"大气", "气污", "污染", "pm10", "防治", "法"} and bm25.search(index, q, tokenizer=search_tokens).count() == 1
 
 
-def test_scores(spark):
+def test_scores(spark, tmp_path):
     rows = [(1, "a", "The Answer", ["the", "zzz"], ["Law"], ["Law", "Case"]), (2, "a", "x", [], [], []), (3, "b", "x", ["x"], [], ["Law"])]
     df = spark.createDataFrame(rows, "id long, type string, answer string, keywords array<string>, labels array<string>, expected array<string>")
     scored = evaluate.item_scores(df.select("id", "type", evaluate.keyword_score(F.col("answer"), F.col("keywords")).alias("answer_score"), evaluate.evidence_score(F.col("labels"), F.col("expected")).alias("recall")))
     got = {r["id"]: (r["answer_score"], r["recall"], round(r["total"], 3), r["passed"]) for r in scored.collect()}
     assert got == {1: (0.5, 0.5, 0.5, False), 2: (1.0, 1.0, 1.0, True), 3: (1.0, 0.0, 0.4, False)}
-    assert "KPI 0.85: not reached" in sinks.markdown_report(scored) and json.loads(sinks.recall_report(scored, scored.select("id"), "m"))["total"] == 3
+    assert "KPI 0.85: not reached" in sinks.markdown_report(scored) and json.loads(sinks.recall_report(scored, scored.select("id"), "m", str(tmp_path / "r")))["total"] == 3
+    assert spark.read.json(str(tmp_path / "r/details")).count() == 3
     assert [r["id"] for r in evaluate.failures(scored).orderBy("id").collect()] == [1, 3] and evaluate.reaches_kpi(evaluate.rollup(scored)).first()[0] is False
 
 
