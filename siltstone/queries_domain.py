@@ -4,23 +4,24 @@ orders articles, customers cases, suppliers violations and sources of pollution.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import ARTICLE, HEADING
-from .operators import answer, chunking, graph, graph_build, templates
+from .functions.text import ARTICLE, HEADING, NUMERALS
+from .operators import answer, chunking, graph, graph_build, intent, templates
 from .operators.graph import Graph
 from .plans import retrieval, skills
-from .queries import ARTICLES, BM25_SQL, FOLD, GRAPH_SQL, LATIN_THEMES, QUESTIONS, SEARCHES, _corpus, query, table, values
+from .queries import ARTICLES, BM25_SQL, FOLD, GRAPH_SQL, LATIN_THEMES, ORACLE_SQL, QUESTIONS, SEARCHES, _corpus, query, table, values
 
 # label, table, id, order, properties; the expressions are both Spark's and DuckDB's
 _NODES = [
     ("Standard", "part", "concat('S', p_partkey)", "p_partkey", {"std_id": "concat('GB ', p_partkey)", "full_name": "p_name"}),
-    ("Pollutant", "nation", "concat('P', n_nationkey)", "10000000000 + n_nationkey", {"name_zh": "n_name"}),
+    ("Pollutant", "nation", "concat('P', n_nationkey)", "10000000000 + n_nationkey", {"name_zh": "CASE n_nationkey WHEN 8 THEN 'SO2' WHEN 9 THEN 'COD' ELSE n_name END"}),
     ("Industry", "region", "concat('I', r_regionkey)", "20000000000 + r_regionkey", {"name_zh": "r_name"}),
-    ("Article", "orders", "concat('A', o_orderkey)", "30000000000 + o_orderkey", {"article_no": "concat('第', o_orderkey % 40, '条')", "content": "concat(o_orderstatus, ' ', o_orderpriority)", "themes": "o_orderstatus", "parent_doc": "concat('doc', o_custkey % 100)", "penalty": "o_orderpriority"}),
+    ("Article", "orders", "concat('A', o_orderkey)", "30000000000 + o_orderkey", {"article_no": "concat('第', o_orderkey % 40, '条')", "content": "concat(o_orderstatus, ' ', o_orderpriority)", "themes": "o_orderstatus", "parent_doc": "concat('doc', o_custkey % 100, CASE WHEN o_custkey % 10 = 7 THEN ' 第7条' ELSE '' END)", "penalty": "o_orderpriority"}),
     ("Case", "customer", "concat('C', c_custkey)", "40000000000 + c_custkey", {"title": "c_name", "case_type": "c_mktsegment", "summary": "concat(c_mktsegment, ' in NATION_', c_nationkey, '.')", "violations": "concat('v', c_nationkey, '.')"}),
     ("Violation", "supplier", "concat('V', s_suppkey)", "50000000000 + s_suppkey", {"name_zh": "CASE WHEN s_suppkey % 10 = 3 THEN concat('伪造', s_name) ELSE s_name END"}),
     ("Penalty", "(SELECT DISTINCT o_orderpriority FROM orders)", "concat('X', o_orderpriority)", "60000000000 + cast(substr(o_orderpriority, 1, 1) AS bigint)", {"name_zh": "o_orderpriority", "type": "substr(o_orderpriority, 1, 1)"}),
@@ -199,6 +200,76 @@ def tpl_fraud_violations(spark: SparkSession, sf: str) -> DataFrame:
     return templates.fraud_violations(law_graph(spark, sf))
 
 
+def _lists_of(*names: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: _joined(df, *names)
+
+
+def _digest(name: str, df: DataFrame) -> DataFrame:
+    return _joined(df, name).withColumn(name, F.md5(name))
+
+
+# template: the query whose SQL asks it once, what that asks, what a batch asks, and its form
+_BATCHES: dict[str, tuple[str, tuple, list[tuple], Callable[[DataFrame], DataFrame]]] = {
+    "pollutants_by_standard": ("tpl_pollutants_by_standard", ("GB17",), [("GB17",), ("GB3",), ("none",)], _lists_of("pollutants")),
+    "articles_about_pollutant": ("tpl_articles_about_pollutant", ("NATION_3",), [("NATION_3",), ("SO2",), ("none",)], lambda df: df.select("qid", F.col("a.id").alias("article"), F.col("a.label").alias("label"), F.col("parent.id").alias("parent"))),
+    "similar_cases": ("tpl_similar_cases", ("BUILD", "v3."), [("BUILD", "v3."), ("AUTO", "v11."), ("none", "none")], lambda df: _joined(df, "articles", "penalties").select("qid", "id", "title", "articles", "penalties")),
+    "article_content": ("tpl_article_content", ("第7条", "doc1"), [("第7条", "doc1"), ("第9条", "doc"), ("第7条", "none")], lambda df: df.select("qid", "a.id", F.col("a.props")["content"].alias("content"))),
+    "industry_compliance": ("tpl_industry_compliance", ("ASIA",), [("ASIA",), ("EUROPE",), ("none",)], lambda df: _digest("regulations", _joined(df, "articles")).select("qid", "id", "regulations", "articles")),
+    "rule_standard_pollutants": ("tpl_rule_standard_pollutants", ("GB17",), [("GB17",), ("GB4",), ("none",)], _lists_of("pollutants")),
+    "rule_pollutant_articles": ("tpl_rule_pollutant_articles", ("NATION_4",), [("NATION_4",), ("COD",), ("none",)], _lists_of("articles", "standards")),
+    "rule_industry_standards": ("tpl_rule_industry_standards", ("EUROPE",), [("EUROPE",), ("AFRICA",), ("none",)], lambda df: _digest("standards", df)),
+    "rule_cases": ("tpl_rule_cases", ("00012",), [("00012",), ("0007",), ("none",)], _lists_of("articles", "penalties")),
+    "rule_article": ("tpl_rule_article", ("第9条",), [("第9条",), ("第11条",), ("none",)], lambda df: df),
+    "rule_penalty": ("tpl_rule_penalty", ("H",), [("H",), ("LOW",), ("none",)], _lists_of("related_articles")),
+    "rule_violation": ("tpl_rule_violation", ("00000",), [("00000",), ("7",), ("none",)], _lists_of("articles", "cases")),
+    "tracing_sources": ("tpl_tracing_sources", ("NATION_2",), [("NATION_2",), ("SO2",), ("none",)], lambda df: df.select("qid", "source", F.col("labels")[0].alias("label"))),
+    "tracing_industries": ("tpl_tracing_industries", ("NATION_2",), [("NATION_2",), ("SO2",), ("none",)], lambda df: _digest("standards", df)),
+    "tracing_cases": ("tpl_tracing_cases", ("NATION_2.",), [("NATION_2.",), ("NATION_7.",), ("none",)], lambda df: df),
+    "compliance_standards": ("tpl_compliance_standards", ("ASIA",), [("ASIA",), ("AFRICA",), ("none",)], lambda df: df),
+    "compliance_cases": ("tpl_compliance_cases", ("NATION_5.",), [("NATION_5.",), ("NATION_6.",), ("none",)], lambda df: df),
+    "compliance_articles": ("tpl_compliance_articles", ("AMERICA",), [("AMERICA",), ("ASIA",), ("none",)], lambda df: df),
+    "fraud_cases": ("tpl_fraud_cases", ("MACHINERY in NATION_1",), [("MACHINERY in NATION_1",), ("BUILDING in NATION_2",), ("none",)], _lists_of("articles", "penalties")),
+}
+
+
+def _batch_sql(names: list[str]) -> str:
+    """The one-question SQL of each template for each question of its batch; a row as text."""
+    parts = []
+    for name in names:
+        key, once, batch, _ = _BATCHES[name]
+        for qid, given in enumerate(batch):
+            body = ORACLE_SQL[key].removeprefix(LAW_SQL)
+            for a, b in zip(once, given, strict=True):
+                body = body.replace(f"'{a}'", f"'{b}'")
+            parts.append(f"SELECT '{name}' AS template, {qid}::BIGINT AS qid, array_to_string(list_sort(list_transform(json_keys(to_json(r)), lambda k: k || '=' || coalesce(json_extract_string(to_json(r), '$.' || k), '~'))), '|') AS row_ FROM ({body}) r")
+    return LAW_SQL + " UNION ALL ".join(parts)
+
+
+def _asked_in_batch(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    g, out = law_graph(spark, sf), []
+    for name in names:
+        _, _, batch, form = _BATCHES[name]
+        params = getattr(templates, name).params
+        asked = spark.createDataFrame([(qid, *given) for qid, given in enumerate(batch)], "qid long, " + ", ".join(f"{k} string" for k in params))
+        rows = form(templates.BATCH[name](g, asked)).drop("rank")
+        text = F.array_join(F.array_sort(F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("~"))) for c in rows.columns if c != "qid"])), "|")
+        out.append(rows.select(F.lit(name).alias("template"), "qid", text.alias("row_")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _register_batches() -> None:
+    names = list(_BATCHES)
+    for k, part in enumerate((names[:5], names[5:10], names[10:14], names[14:]), 1):
+        def run(spark: SparkSession, sf: str, part: list[str] = part) -> DataFrame:
+            return _asked_in_batch(spark, sf, part)
+
+        run.__name__, run.__doc__ = f"tpl_batch_{k}", f"Over tables of questions: {', '.join(part)}."
+        query(_batch_sql(part))(run)
+
+
+_register_batches()
+
+
 @query(LAW_SQL + "SELECT id, full_name AS name FROM n WHERE label = 'Standard' ORDER BY seq LIMIT 20")
 def graph_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return law_graph(spark, sf).by_label("MATCH (n:Standard {x: $y}) RETURN n.full_name AS name").select("id", "name")
@@ -346,23 +417,35 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("qid", "key", F.round("rrf", 8).alias("rrf"), F.array_join("sources", ",").alias("sources"), "rank")
 
 
-ROUTED = [(1, "NATION_3 SO2 大气污染"), (2, "第7条怎么规定"), (3, "small"), (4, "the of and")]
+ROUTED = [(1, "NATION_3 SO2 大气污染"), (2, "第7条"), (3, "small"), (4, "the of and"), (5, "COD 参考 que")]
+_ROUTES = ", ".join("{'score': " + " + ".join("regexp_matches(text, '(?i)" + p + "')::INT" for p in ps) + ", 'intent': '" + name + "'}" for name, ps in intent.INTENTS.items())
 
 
 @query(
-    f"""{LAW_SQL.rstrip()}, {_BM25[: _BM25.index('q AS (')]}q AS (SELECT qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fa5}}]')) AS term FROM {values(ROUTED, 'qid, text')}), qf AS (SELECT qid, term, count(*) AS qf FROM q GROUP BY ALL),
+    f"""{LAW_SQL.rstrip()}, {_BM25[: _BM25.index('q AS (')]}asked AS (SELECT * FROM {values(ROUTED, 'qid, text')}),
+q AS (SELECT qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fa5}}]')) AS term FROM asked), qf AS (SELECT qid, term, count(*) AS qf FROM q GROUP BY ALL),
 idfs AS (SELECT term, ln((c.n - df + 0.5e0) / (df + 0.5e0) + 1) AS idf FROM terms, c),
 bs AS (SELECT qid, doc_id, sum(qf * idf * (tf * 2.5e0) / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score FROM qf JOIN idfs USING (term) JOIN post USING (term) JOIN lens USING (doc_id), c GROUP BY ALL),
+routes AS (SELECT qid, unnest(list_filter([{_ROUTES}], lambda x: x.score > 0)) AS x, text FROM asked),
+two AS (SELECT qid, text, x.intent AS intent, row_number() OVER (PARTITION BY qid ORDER BY x.score DESC, x.intent DESC) - 1 AS place FROM routes QUALIFY place < 2),
+found AS (
+  SELECT DISTINCT qid, place, a.id, a.seq, 20 AS most FROM two JOIN n x ON x.label = 'Pollutant' AND x.name_zh = nullif(regexp_extract(text, '{intent.INTENT_POLLUTANTS}', 1), ''){_hop("x", "STANDARD_LIMITS_POLLUTANT ARTICLE_REGULATES", "a", "in", "Article Standard Law Regulation")} WHERE intent = 'list_articles_about_pollutant'
+  UNION ALL SELECT qid, place, a.id, a.seq, 5 FROM two JOIN n a ON a.label = 'Article' AND a.article_no = regexp_extract(text, '第[{NUMERALS}]+条') AND contains(a.parent_doc, text) WHERE intent = 'lookup_article_content'
+), best AS (SELECT *, row_number() OVER (PARTITION BY qid, place ORDER BY seq, id) - 1 AS r FROM found QUALIFY r < most),
+nodes AS (SELECT qid, id, min(row(place, r)) AS o FROM best GROUP BY ALL),
+vs AS (SELECT asked.qid, v.vec_id AS id, list_cosine_similarity(v.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM asked JOIN embeddings e ON e.vec_id = qid, embeddings v),
 l AS (
-  SELECT qid, 1 AS list_no, 'graph_text' AS source, id AS key, row_number() OVER (PARTITION BY qid ORDER BY seq, id) - 1 AS rank FROM n, {values(ROUTED, 'qid, text')} WHERE contains(name_zh, text) OR contains(full_name, text) OR (label = 'Article' AND contains(content, text)) QUALIFY rank < 5
+  SELECT qid, 0 AS list_no, 'vector' AS source, id::VARCHAR AS key, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM vs QUALIFY rank < 5
+  UNION ALL SELECT qid, 1, 'graph', id, row_number() OVER (PARTITION BY qid ORDER BY o, id) - 1 AS rank FROM nodes QUALIFY rank < 40
+  UNION ALL SELECT qid, 1, 'graph_text', id, row_number() OVER (PARTITION BY qid ORDER BY seq, id) - 1 AS rank FROM n, asked WHERE qid NOT IN (SELECT qid FROM nodes) AND (contains(name_zh, text) OR contains(full_name, text) OR (label = 'Article' AND contains(content, text))) QUALIFY rank < 5
   UNION ALL SELECT qid, 2, 'bm25', doc_id::VARCHAR, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id DESC) - 1 AS rank FROM bs WHERE score > 0 QUALIFY rank < 5
-), f AS (SELECT qid, key, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(row(list_no, rank)) AS first, array_to_string(list(source ORDER BY list_no), ',') AS sources FROM l GROUP BY ALL)
+), f AS (SELECT qid, key, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(row(list_no, rank)) AS first, array_to_string(list(source ORDER BY list_no), ',') AS sources FROM l WHERE list_no <> 0 OR key IN (SELECT doc_id::VARCHAR FROM documents) GROUP BY ALL)
 SELECT qid::BIGINT AS qid, key, round(rrf, 8) AS rrf, sources, row_number() OVER v AS rank FROM f WINDOW v AS (PARTITION BY qid ORDER BY round(rrf, 12) DESC, first) QUALIFY row_number() OVER v <= 5"""
 )
 def routed_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The first generation's search for a batch of questions: substring hits where no
-    template gives nodes, and BM25."""
+    """The first generation's search for a batch of questions: nodes of the templates of a
+    question's intents, substring hits where they give none, vectors and BM25."""
     corpus, _ = _corpus(spark, sf)
     corpus.graph = law_graph(spark, sf)
-    hits = retrieval.routed(corpus, spark.createDataFrame(ROUTED, "qid long, text string"), 5)
-    return hits.select("qid", "key", F.round("rrf", 8).alias("rrf"), F.array_join("sources", ",").alias("sources"), "rank")
+    asked = spark.createDataFrame(ROUTED, "qid long, text string").join(corpus.vectors.select(F.col("id").alias("qid"), "embedding"), "qid", "left")
+    return retrieval.routed(corpus, asked, 5).select("qid", "key", F.round("rrf", 8).alias("rrf"), F.array_join("sources", ",").alias("sources"), "rank")
