@@ -4,12 +4,14 @@ to_id, to_label, props, seq). seq is the order of ingestion."""
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .ranking import direct, top
 from .substrings import containing
 
@@ -204,16 +206,36 @@ class Graph:
         hit = reduce(lambda a, b: a | b, [F.coalesce(F.col("props")[f].contains(keyword), F.lit(False)) for f in fields])
         return self.nodes.filter(hit).orderBy("seq", "id").limit(1)
 
-    def khop(self, start: DataFrame, depth: int = 2) -> DataFrame:
-        """(id, depth) within `depth` outgoing steps of start (id); each step follows the
-        new nodes only."""
-        seen = start.select("id", F.lit(0).alias("depth")).distinct()
-        front = seen
-        hops = self.edges.select(F.col("from_id").alias("id"), "to_id").distinct()
+    def hops(self, path: str) -> str:
+        """The name of a table (id, to_id) of the distinct edges, stored at path in buckets
+        of from_id: what follows edges shuffles its starts only."""
+        spark, name = self.edges.sparkSession, f"hops_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ends = self.edges.select(F.col("from_id").alias("id"), "to_id").distinct().repartition(buckets, "id")
+        ends.write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(name)
+        return name
+
+    def khop(self, start: DataFrame, depth: int = 2, hops: str | None = None) -> DataFrame:
+        """(id, depth) within `depth` outgoing steps of start (id). Each step follows the new
+        nodes only, which are a stored table, so that the plan of a step does not grow with
+        the steps before; it ends where a step finds none. hops: a table of hops(), for more
+        searches than one."""
+        spark = start.sparkSession
+        base = scratch.folder(spark, "khop")
+        name = hops or self.hops(f"{base}/hops")
+        kind = f"id {start.schema['id'].dataType.simpleString()}, depth int"
+        read = lambda: spark.read.schema(kind).option("basePath", f"{base}/seen")
+        start.select("id").distinct().write.parquet(f"{base}/seen/depth=0")
         for d in range(1, depth + 1):
-            front = front.select("id").join(hops, "id").select(F.col("to_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-            seen = seen.unionByName(front)
-        return seen
+            front, seen = read().parquet(f"{base}/seen/depth={d - 1}"), read().parquet(f"{base}/seen")
+            step = front.select("id").join(spark.table(name), "id").select(F.col("to_id").alias("id")).distinct()
+            step.join(seen.select("id"), "id", "left_anti").write.parquet(f"{base}/seen/depth={d}")
+            if not read().parquet(f"{base}/seen/depth={d}").head(1):
+                break
+        if hops is None:
+            spark.sql(f"DROP TABLE {name}")
+            scratch.remove(spark, f"{base}/hops")
+        return read().parquet(f"{base}/seen")
 
     def induced(self, ids: DataFrame) -> DataFrame:
         """Edges with both ends among ids."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, extraction, graph, graph_build, vector
-from ..sources import readers, scratch, sinks
+from ..sources import readers, scratch, sinks, stores
 
 
 def chunk(spark: SparkSession, root: str, out: str) -> DataFrame:
@@ -59,6 +59,18 @@ def add_extractions(old: graph.Graph, ext: DataFrame, out: str) -> DataFrame:
     return graph.delta(graph.stats(old.nodes, old.edges), graph.stats(*readers.graph_tables(nodes.sparkSession, out)))
 
 
+def import_extractions(store: stores.BucketStore, ext: DataFrame) -> DataFrame:
+    """Adds the nodes and edges of more extractions to a store on disk, in place; returns the
+    counts after, and what came. Only buckets that change are written."""
+    before = graph.stats(*_frames(store)).collect()  # a row for each label and relationship
+    store.add(*[x.withColumn("seq", F.col("seq") + F.lit(LATER)) for x in graph_build.from_extractions(ext)])
+    return graph.delta(store.spark.createDataFrame(before, "kind string, name string, n long"), graph.stats(*_frames(store)))
+
+
+def _frames(store: stores.BucketStore) -> tuple[DataFrame, DataFrame]:
+    return store.graph.nodes, store.graph.edges
+
+
 def rebuild(spark: SparkSession, root: str, out: str, extractions: str | None = None) -> DataFrame:
     """All steps from files to a stored graph, and its counts."""
     ext = readers.extractions_jsonl(spark, extractions) if extractions and readers.table_exists(spark, extractions) else None

@@ -14,7 +14,7 @@ from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion
 from .operators.graph import Graph
 from .operators.templates import distinct
 from .plans import build, retrieval
-from .sources import scratch
+from .sources import scratch, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,6 +254,29 @@ def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
     return g.khop(g.nodes.filter("label = 'Customer'"), 2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
+@query(ORACLE_SQL["graph_khop"].replace("depth < 2", "depth < 6").replace("label = 'Customer'", "label IN ('Customer', 'Supplier')"))
+def graph_khop_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Six steps; parts are the last to be found, and nothing follows them."""
+    g = trade_graph(spark, sf)
+    return g.khop(g.nodes.filter(F.col("label").isin("Customer", "Supplier")), 6).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query(
+    GRAPH_SQL.rstrip() + """, e AS (SELECT from_id, rel, to_id, count(DISTINCT seq) AS n FROM (SELECT *, 0 AS seq FROM edges WHERE rel <> 'SUPPLIES') GROUP BY ALL)
+SELECT 'node' AS kind, id AS a, label AS rel, name_zh AS b, seq AS n FROM nodes WHERE label <> 'Part' UNION ALL SELECT 'edge', from_id, rel, to_id, n FROM e"""
+)
+def graph_store_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A store on disk, filled by three overlapping batches; parts are not in it."""
+    g, store = trade_graph(spark, sf), stores.BucketStore(spark, scratch.folder(spark, "graph"))
+    nodes = g.nodes.filter("label <> 'Part'")
+    for part in ("label in ('Region', 'Nation')", "label <> 'Customer'", "true"):
+        store.add(nodes.filter(part), g.edges)
+    now = store.graph
+    edges = now.edges.groupBy("from_id", "rel", "to_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = now.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("rel"), F.col("props")["name_zh"].alias("b"), F.col("seq").alias("n"))
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("from_id").alias("a"), "rel", F.col("to_id").alias("b"), "n"))
+
+
 @query("SELECT rel, count(*) AS n FROM (" + GRAPH_SQL + "SELECT e.* FROM edges e WHERE e.from_label IN ('Nation', 'Region', 'Supplier') AND e.to_label IN ('Nation', 'Region', 'Supplier')) GROUP BY rel")
 def graph_induced(spark: SparkSession, sf: str) -> DataFrame:
     g = trade_graph(spark, sf)

@@ -6,10 +6,11 @@ import os
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import graph
-from . import readers, sinks
+from . import readers, scratch, sinks
 
 BACKEND = "SILTSTONE_GRAPH_BACKEND"
 
@@ -76,6 +77,69 @@ class FrameStore(GraphStore):
         self.nodes, self.edges = readers.graph_tables(self.nodes.sparkSession, path)
 
 
+class BucketStore:
+    """A graph on disk that grows by batches: nodes in folders by a hash of the id, edges by
+    a hash of from_id. A batch reads the buckets that it touches and replaces those whose
+    content it changes; others keep their files. A batch that is added again changes nothing,
+    and one that was broken off is completed by adding it again."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def _bucket(cls, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(cls.BUCKETS)).cast("int")
+
+    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        form = f"id string, label string, props {graph.PROPS}, seq long" if table == "nodes" else f"from_id string, from_label string, rel string, to_id string, to_label string, props {graph.PROPS}, seq long"
+        if not readers.table_exists(self.spark, f"{self.path}/{table}"):
+            return self.spark.createDataFrame([], f"{form}, bucket int")
+        rows = self.spark.read.schema(f"{form}, bucket int").parquet(f"{self.path}/{table}")
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+
+    @property
+    def graph(self) -> graph.Graph:
+        return graph.Graph(self._read("nodes").select(*graph.NODE), self._read("edges").select(*graph.EDGE))
+
+    def add(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
+        """Merges nodes by id, and adds edges of which both ends are there then, each once;
+        returns how many buckets of nodes and edges have changed."""
+        new = nodes.select(*graph.NODE).withColumn("bucket", self._bucket("id"))
+        touched = self._buckets(new)
+        old = self._read("nodes", touched)
+        merged = graph.upsert_nodes(old.select(*graph.NODE).unionByName(new.select(*graph.NODE))).withColumn("bucket", self._bucket("id"))
+        changed = {"nodes": self._replace("nodes", old, merged)}
+        ends = self._buckets(edges.select(F.explode(F.array(self._bucket("from_id"), self._bucket("to_id"))).alias("bucket")))
+        checked = graph.checked_edges(edges.select(*graph.EDGE), self._read("nodes", ends)).withColumn("bucket", self._bucket("from_id"))
+        old = self._read("edges", self._buckets(checked))
+        key = ("from_id", "rel", "to_id", "seq")
+        more = checked.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")
+        changed["edges"] = self._replace("edges", old, old.unionByName(more.select(*old.columns)))
+        return changed
+
+    @staticmethod
+    def _buckets(rows: DataFrame) -> list[int]:
+        return [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+
+    def _replace(self, table: str, old: DataFrame, new: DataFrame) -> int:
+        """Replaces the folders of buckets whose rows differ. The new rows are written aside
+        first: what is replaced is what they are made from."""
+        aside = scratch.folder(self.spark, table)
+        new.write.parquet(aside)
+        made = self.spark.read.schema(new.schema).parquet(aside)
+        row = F.xxhash64(*[F.map_entries(c) if c == "props" else F.col(c) for c in old.columns])
+        sums = lambda df, name: df.groupBy("bucket").agg(F.struct(F.count(F.lit(1)), F.expr("bit_xor(h)"), F.sum(F.col("h").cast("decimal(38,0)"))).alias(name))
+        both = sums(made.withColumn("h", row), "b").join(sums(old.withColumn("h", row), "a"), "bucket", "left")
+        changed = [r["bucket"] for r in both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("bucket").collect()]  # at most BUCKETS
+        if changed:
+            out = made.filter(F.col("bucket").isin(changed)).hint("rebalance", "bucket")
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{table}")
+        scratch.remove(self.spark, aside)
+        return len(changed)
+
+
 class JsonStore(FrameStore):
     """Loads from one JSON object of nodes and edges, as other tools write it."""
 
