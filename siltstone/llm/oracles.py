@@ -101,13 +101,13 @@ WITH RECURSIVE {_CRC_TABLE}, texts AS (
     CASE WHEN bool_or(lang IS NULL) OVER (PARTITION BY t) THEN NULL ELSE min(lang) OVER (PARTITION BY t) END AS lang FROM texts, crc
 ), named AS (SELECT doc_id, size, crc, source, lang, log2(size) AS log_size, (size - 1 - chars) / size AS beyond FROM sized),
 {_name_position('source')}, {_name_position('lang')}, l0 AS (
-  SELECT doc_id, size, crc, 0 AS node, [s.at, l.at, log_size, beyond] AS dims FROM named JOIN source_at s ON s.v IS NOT DISTINCT FROM source JOIN lang_at l ON l.v IS NOT DISTINCT FROM lang
+  SELECT doc_id, size, crc, row_number() OVER () AS row_, 0 AS node, [s.at, l.at, log_size, beyond] AS dims FROM named JOIN source_at s ON s.v IS NOT DISTINCT FROM source JOIN lang_at l ON l.v IS NOT DISTINCT FROM lang
 ), whole AS (SELECT [{', '.join(f'coalesce(nullif(max(dims[{k}]) - min(dims[{k}]), 0), 1)' for k in range(1, 5))}] AS whole FROM l0)"""
     for level in range(levels):
         ratios = ", ".join(f"(max(dims[{k}]) - min(dims[{k}])) / any_value(whole[{k}])" for k in range(1, 5))
         out += f""", e{level} AS (SELECT node, [{ratios}] AS r, sum(size) AS total FROM l{level}, whole GROUP BY node),
-o{level} AS (SELECT doc_id, size, crc, node, dims, total / 2 AS goal, sum(size) OVER (PARTITION BY node ORDER BY dims[list_position(r, list_max(r))], crc, doc_id) AS upto FROM l{level} JOIN e{level} USING (node)),
-l{level + 1} AS (SELECT doc_id, size, crc, dims, node + CASE WHEN upto < goal OR (upto - size < goal AND upto - goal <= goal - upto + size) THEN 0 ELSE {2 ** (levels - level - 1)} END AS node FROM o{level})"""
+o{level} AS (SELECT doc_id, size, crc, row_, node, dims, total / 2 AS goal, sum(size) OVER (PARTITION BY node ORDER BY dims[list_position(r, list_max(r))], crc, doc_id, row_) AS upto FROM l{level} JOIN e{level} USING (node)),
+l{level + 1} AS (SELECT doc_id, size, crc, row_, dims, node + CASE WHEN upto < goal OR (upto - size < goal AND upto - goal <= goal - upto + size) THEN 0 ELSE {2 ** (levels - level - 1)} END AS node FROM o{level})"""
     return out + f""", dealt AS (SELECT doc_id, size, crc AS text_crc32, node, {_crc32("hex(encode(doc_id || ':' || l.crc))")} % 4 AS bucket FROM l{levels} l, crc)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, node AS shard, (row_number() OVER (PARTITION BY node ORDER BY bucket, doc_id, text_crc32) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt
 """

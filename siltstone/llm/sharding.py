@@ -11,15 +11,16 @@ its stretch when all values are laid side by side in alphabetical order.
 The quantile is found by histogram refinement: every pass counts the node's bytes
 in BINS equal bins of the current interval, keeps the bin in which the quantile
 falls, and goes on inside it, first along the dimension and then, among equal
-values, along content hash and doc_id, which only break ties. A pass shuffles partial sums
+values, along content hash, doc_id and the row's place in the table of points, which only
+break ties. A pass shuffles partial sums
 only, and the driver sees one bin of each node; no node is ever sorted or brought together.
 The table of points is written once: a row's node follows from the cuts found so far, which
 are few and joined to it.
 
 Edge cases: a null text has no bytes and size 1; a null doc_id sorts before all
 others; null sources and languages are a value of their own, before all others; a table
-without these columns has one value for all; identical rows go to the same side; an empty
-table gives an empty result with the same columns; columns of the input other than
+without these columns has one value for all; identical rows are divided like others, by
+their places; an empty table gives an empty result with the same columns; columns of the input other than
 those asked for are ignored, so their names cannot clash.
 """
 
@@ -37,7 +38,7 @@ BINS = 1 << 15
 BUCKET_ROWS = 50_000
 #: Tables up to this number of rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
-_TIES = ("_crc", "_hi_id", "_lo_id")
+_TIES = ("_crc", "_hi_id", "_lo_id", "_hi_at", "_lo_at")
 
 
 def text_dims() -> dict[str, Column]:
@@ -113,7 +114,9 @@ def _keys(table: DataFrame) -> list[Column]:
 def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str = "size") -> DataFrame:
     """points (doc_id, weight, text_crc32 and the dims; a table that is read often) with
     `shard` added. All of `shards` leaves get near equal sums of weight. Of the groups of
-    rows that are equal in all dims and in text_crc32 each cut divides at most one."""
+    rows that are equal in all dims and in text_crc32 each cut divides at most one. A column
+    `_at`, a number for each row, lets it divide rows that are equal in all else."""
+    at = F.col("_at") if "_at" in points.columns else F.lit(0).cast("long")
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     table = points.select(
         *points.columns,
@@ -121,6 +124,8 @@ def kd_shards(points: DataFrame, dims: list[str], shards: int = 16, weight: str
         F.col("text_crc32").cast("double").alias("_crc"),
         F.shiftright(key, 32).cast("double").alias("_hi_id"),
         key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias("_lo_id"),
+        F.shiftright(at, 32).cast("double").alias("_hi_at"),
+        at.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias("_lo_at"),
         F.lit(0).alias("_node"),
     )
     nodes, whole = [_Node(0, shards)], None
@@ -245,6 +250,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, dims: dict[str, Column] |
     )
     with Tables(docs.sparkSession) as tables:
         rows = tables.table(rows)
-        points = tables.table((_with_metadata(rows, names, tables) if names else rows).drop("_text"))
+        points = tables.table((_with_metadata(rows, names, tables) if names else rows).drop("_text").withColumn("_at", F.monotonically_increasing_id()))
         placed = kd_shards(points, [f"dim_{k}" for k in [*names, *dims]], shards)
         return with_slots(tables.keep(placed.select("doc_id", "size", "text_crc32", "shard")))

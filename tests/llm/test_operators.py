@@ -685,10 +685,10 @@ def shards_of(rows, shards=16):
             upto += s[v]
         place.append(at)
     points = []
-    for i, t, *_ in rows:
+    for row, (i, t, *_) in enumerate(rows):
         n, low = size(t), -(2**63) if i is None else i
         meta = [at[v] for at, v in zip(place, least[t or ""], strict=True)]
-        points.append(([*meta, math.log(n) / math.log(2), (n - 1 - len(t or "")) / n], (zlib.crc32((t or "").encode()), low >> 32, low & 0xFFFFFFFF), n))
+        points.append(([*meta, math.log(n) / math.log(2), (n - 1 - len(t or "")) / n], (zlib.crc32((t or "").encode()), low >> 32, low & 0xFFFFFFFF, row), n))
     return [(i, p[1][0], s) for (i, *_), p, s in zip(rows, points, kd_tree(points, shards), strict=True)]
 
 
@@ -712,6 +712,11 @@ def test_shards_of_equal_rows(spark):
     for r in sharding.shard_documents(few, 4).collect():
         homes[r["text_crc32"]].add(r["shard"])
     assert len(homes) == 30 and sum(len(h) > 1 for h in homes.values()) <= 3
+    repeated = [(5, "one text " * 40, "en", "a")] * 400 + [(k, f"text {k} " * (k % 9), ["en", None][k % 2], ["a", "b"][k % 3 % 2]) for k in range(60)]
+    got = sharding.shard_documents(spark.createDataFrame(repeated, "doc_id long, text string, lang string, source string").repartition(3))
+    sums = [r[1] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sums) == 16 and max(sums) - min(sums) <= 2 * 362  # no cut leaves the sides more than a row apart
+    assert collections.Counter(map(tuple, got.select("doc_id", "text_crc32", "shard").collect())) == collections.Counter(shards_of(repeated))
     bare = few.select("doc_id", "text")
     assert sharding.shard_documents(bare, 4).count() == 120
 
