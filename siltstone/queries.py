@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import segment
 from .functions.text import ARTICLE, HEADING, NUMERALS, cache_key, json_block, node_id, normalize_space
 from .operators import ann, answer, bm25, chunking, evaluate, extraction, fusion, graph, intent, postings, vector
 from .operators.graph import Graph
@@ -448,6 +449,32 @@ def bm25_stored_okapi(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(_stored(spark, sf, True), _questions(spark), later_first=False).withColumn("score", F.round("score", 6))
 
 
+# A small dictionary, and sentences that the documents' ids and sources put together from pieces.
+WORDS = {"大气": 8, "大气污染": 5, "污染": 9, "污染物": 4, "物": 3, "排放": 7, "排放标准": 3, "标准": 6, "防治": 4, "防治法": 2, "污染防治": 2, "气污": 1, "排": 2, "放标": 1}
+PIECES = ["大气污染", "物排放", "标准", "防治法", "气污", "放标准", "GB3095 ", "排水"]
+_PIECE = "CASE {0} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(PIECES)) + " END"
+SENTENCE = "concat(" + ", ".join(_PIECE.format(f"({e}) % {len(PIECES)}") for e in ("doc_id", "doc_id % 1000000 * 7 + 3", "n_chars", "length(coalesce(source, '')) + doc_id")) + ")"
+_FREQ = sum(WORDS.values())
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, lower({SENTENCE}) AS t FROM documents), w AS (SELECT word, ln(f) - ln({_FREQ}) AS s FROM {values(list(WORDS.items()), 'word, f')}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fa5}}]+')) AS run, generate_subscripts(regexp_extract_all(t, '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fa5}}]+'), 1) AS no FROM d),
+texts AS (SELECT DISTINCT run FROM runs), chars AS (SELECT DISTINCT unnest(string_split(run, '')) AS word FROM texts),
+steps AS (SELECT word, s FROM w UNION ALL SELECT word, -ln({_FREQ}) FROM chars WHERE word NOT IN (SELECT word FROM w)), ways AS ( -- every way to cut a run into words and single characters
+  SELECT run, 0 AS pos, 0.0::DOUBLE AS score, []::VARCHAR[] AS path FROM texts WHERE run >= '一'
+  UNION ALL SELECT run, pos + length(word), score + s, list_append(path, word) FROM ways JOIN steps ON starts_with(substr(run, pos + 1), word)
+), best AS (SELECT run, path FROM ways WHERE pos = length(run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY round(score, 9) DESC, list_transform(path, lambda x: length(x)) DESC) = 1
+UNION ALL SELECT run, [run] FROM texts WHERE run < '一'),
+inner_ AS (SELECT run, list_transform(path, lambda x: list_append(list_filter(list_concat(CASE WHEN length(x) > 2 AND x >= '一' THEN list_transform(range(1, length(x)), lambda k: substr(x, k, 2)) ELSE [] END, CASE WHEN length(x) > 3 AND x >= '一' THEN list_transform(range(1, length(x) - 1), lambda k: substr(x, k, 3)) ELSE [] END), lambda y: list_contains({list(WORDS)}, y)), x)) AS l FROM best)
+SELECT doc_id, array_to_string(flatten(list(flatten(l) ORDER BY no)), '|') AS words FROM runs JOIN inner_ USING (run) GROUP BY doc_id"""
+)
+def segment_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search-mode words of sentences made from all documents' ids, lengths and sources."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.array_join(segment.tokenizer(WORDS)(F.expr(SENTENCE)), "|").alias("words"))
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding")
 
