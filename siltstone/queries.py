@@ -29,6 +29,11 @@ ARTICLES = [
     ("d1", "序言文字。\n第一章 总则\n第一条 为了保护和改善环境，防治污染和其他公害，制定本法。\n第二条 本法所称环境，是指影响人类生存和发展的各种因素的总体。\n第二章 监督\n第三条 超标排放的，处罚款，并责令改正，情节严重的停产整治。\n第四条第一款 依照第三条的规定，排污许可证由主管部门核发管理。"),
     ("d2", "第一条 短。\n第二条 监测数据应当真实有效，不得伪造或者篡改监测数据记录。"),
 ]
+# Laws made of the documents: chapters and articles around their texts, on one line each.
+_LINE = "regexp_replace(left(coalesce(text, ''), {}), '[^A-Za-z]+', ' '{})"
+_LAW = "concat('序言。', chr(10), '第一章 总则 ', lang, chr(10), '第', doc_id + 1, '条 ', {a}, chr(10), '第', doc_id + 2, '条第一款 依照第3条的规定，', {a}, chr(10), '第二章 ', coalesce(source, ''), chr(10), '第七条 ', {b})"
+LAW_SPARK, LAW_DUCK = (_LAW.format(a=_LINE.format(150, end), b=_LINE.format(1200, end)) for end in ("", ", 'g'"))
+LAW_DUCK = f"regexp_replace({LAW_DUCK}, ' +', ' ', 'g')"
 ASKED = [(1, "GB 3095-2012 标准的排放限值是多少"), (2, "PM2.5 超标怎么处罚"), (3, "钢铁行业合规要求"), (4, "类似案例参考"), (5, "第三十条怎么规定"), (6, "今天天气"), (7, "违法排污罚款流程如何"), (8, "大气污染防治 SO2 和 COD")]
 NAMES = [("Pollutant", "二氧化硫"), ("Pollutant", "VOC"), ("Pollutant", " 未知　物 "), ("Industry", "炼钢"), ("Region", "省级"), ("Penalty", "罚金"), ("Other", "二氧化硫"), ("Violation", "数据失真")]
 
@@ -89,6 +94,12 @@ WITH ps AS (
 """
 
 
+def laws(spark: SparkSession, sf: str) -> DataFrame:
+    """Two texts as laws are written, and one made of each document."""
+    made = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.expr(LAW_SPARK).alias("text"))
+    return spark.createDataFrame(ARTICLES, "doc_id string, text string").unionByName(made)
+
+
 def windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.by_window(chunking.normalized(table(spark, sf, "documents")), separator="\n", theme_table=LATIN_THEMES)
 
@@ -100,7 +111,7 @@ def chunk_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""
-WITH d AS (SELECT * FROM {values(ARTICLES, 'doc_id, text')}),
+WITH d AS (SELECT * FROM {values(ARTICLES, 'doc_id, text')} UNION ALL SELECT doc_id::VARCHAR, {LAW_DUCK} FROM documents),
 p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '({ARTICLE})', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '({ARTICLE})', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
 a AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS start FROM p),
 hp AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM d),
@@ -111,8 +122,7 @@ FROM a WHERE i > 1 AND length(regexp_replace(a.piece, '^\\s+|\\s+$', '', 'g')) >
 """
 )
 def chunk_article_cjk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = chunking.normalized(spark.createDataFrame(ARTICLES, "doc_id string, text string"))
-    return chunking.by_article(docs).select("doc_id", "span_start", "span_end", "article_no", F.col("structure_path")[0].alias("chapter"), md5_text())
+    return chunking.by_article(chunking.normalized(laws(spark, sf))).select("doc_id", "span_start", "span_end", "article_no", F.col("structure_path")[0].alias("chapter"), md5_text())
 
 
 @query(

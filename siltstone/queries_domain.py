@@ -14,7 +14,7 @@ from .functions.text import ARTICLE, HEADING, NUMERALS
 from .operators import answer, chunking, graph, graph_build, intent, templates
 from .operators.graph import Graph
 from .plans import retrieval, skills
-from .queries import ARTICLES, BM25_SQL, FOLD, GRAPH_SQL, LATIN_THEMES, ORACLE_SQL, QUESTIONS, SEARCHES, _corpus, query, table, values
+from .queries import ARTICLES, BM25_SQL, FOLD, GRAPH_SQL, LATIN_THEMES, LAW_DUCK, ORACLE_SQL, QUESTIONS, SEARCHES, _corpus, laws, query, table, values
 
 # label, table, id, order, properties; the expressions are both Spark's and DuckDB's
 _NODES = [
@@ -326,12 +326,17 @@ META = [
     (2, "大气污染防治法", "", "", "", "全国人大", ""), (3, " 某市环保条例 ", "", "地方", "某市", "", ""), (4, "HJ 1-2020", "", "", "", "", ""),
     (5, "会议纪要", "", "", "", "x", ""), (6, "固废管理办法", "", "", "", "生态环境部", "旧办法"), (7, "大气污染防治法", "", "", "某市", "某省厅| ", ""),
 ]
+# and one for each supplier: name, standard_id, region_type, region, authorities, what it supersedes
+_META = [
+    "1000 + s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN concat('GB ', s_suppkey, ' x') WHEN 1 THEN concat(s_name, '条例') WHEN 2 THEN concat(' ', s_name, '法') ELSE s_name END", "CASE WHEN s_suppkey % 8 = 4 THEN concat('GB ', s_suppkey) ELSE '' END",
+    "CASE WHEN s_suppkey % 3 = 0 THEN '地方' ELSE '全国' END", "CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('region ', s_nationkey) END", "CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('org ', s_nationkey, '|office ', s_suppkey % 7) END", "CASE WHEN s_suppkey % 9 = 1 THEN concat('old ', s_suppkey % 11) ELSE '' END",
+]
 _NAME = "regexp_replace({0}, '[^\\w一-龥]', '_', 'g')"
 _ID = f"{{0}} || '_' || substr({_NAME.format('{1}')}, 1, 30) || '_' || substr(md5({{0}} || '::' || {{1}}), 1, 8)"
 
 
 @query(
-    f"""WITH r AS (SELECT seq, trim(name) AS name, std, region_type, region, orgs, old FROM {values(META, 'seq, name, std, region_type, region, orgs, old')}),
+    f"""WITH r AS (SELECT seq, trim(name) AS name, std, region_type, region, orgs, old FROM (SELECT * FROM {values(META, 'seq, name, std, region_type, region, orgs, old')} UNION ALL SELECT {', '.join(_META)} FROM supplier)),
 c AS (SELECT *, CASE WHEN std <> '' OR starts_with(name, 'GB ') OR starts_with(name, 'HJ ') OR starts_with(name, 'DB ') THEN 'Standard' WHEN contains(name, '条例') OR ends_with(name, '法') OR contains(name, '办法') THEN CASE WHEN region_type = '地方' THEN 'Regulation' ELSE 'Law' END END AS label FROM r),
 m AS (SELECT *, CASE WHEN label = 'Standard' THEN 'std_' || substr({_NAME.format("CASE WHEN std <> '' THEN std ELSE name END")}, 1, 50) ELSE {_ID.format('label', 'name')} END AS own FROM c WHERE label IS NOT NULL),
 o AS (SELECT seq, own, trim(unnest(string_split(orgs, '|'))) AS o FROM m)
@@ -346,7 +351,14 @@ UNION ALL SELECT 'edge', 'SUPERSEDES', own, {_ID.format("'Document'", 'old')} FR
 def graph_from_metadata(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(s, n, None, d, None, True, None, t, r, None, o.split("|") if o else None, [(x, None)] if x else None) for s, n, d, t, r, o, x in META]
     meta = spark.createDataFrame(rows, "seq long, full_name string, target_file string, standard_id string, standard_type string, validity_status boolean, effective_date string, region_type string, region_name string, summary string, issuing_authority array<string>, supersedes array<struct<name:string,supersedes_time:string>>")
-    nodes, edges = graph_build.from_metadata(meta)
+    full = F.nullif(F.lit(""), F.lit(""))
+    made = table(spark, sf, "supplier").select(*[F.expr(e).alias(c) for e, c in zip(_META, ("seq", "name", "std", "kind", "region", "orgs", "old"), strict=True)])
+    some = made.select(
+        F.col("seq").cast("long").alias("seq"), F.col("name").alias("full_name"), full.alias("target_file"), F.col("std").alias("standard_id"), full.alias("standard_type"), F.lit(True).alias("validity_status"), full.alias("effective_date"),
+        F.col("kind").alias("region_type"), F.col("region").alias("region_name"), full.alias("summary"), F.when(F.col("orgs") != "", F.split("orgs", r"\|")).alias("issuing_authority"),
+        F.when(F.col("old") != "", F.array(F.struct(F.col("old").alias("name"), full.alias("supersedes_time")))).alias("supersedes"),
+    )
+    nodes, edges = graph_build.from_metadata(meta.unionByName(some))
     nodes = graph.upsert_nodes(nodes)
     edges = graph.checked_edges(edges, nodes)
     return nodes.select(F.lit("node").alias("kind"), F.col("label").alias("name"), F.col("id").alias("a"), F.lit("").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("rel").alias("name"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
@@ -356,20 +368,28 @@ _TOP = r"(?m)^[^\n]*第[一二三四五六七八九十]+条[^\n]{0,3}$"
 TYPED = [("某市环保条例", "", "x"), ("某法", "", "x"), ("GB 1-1", "", "x"), ("", "HJ 2 说明", "x"), ("", "", "总则 第三条 。\n正文"), ("", "", "限值 10 mg/m³"), ("", "", "普通文字"), ("通知", "某法", "标准"), ("", "", "第三条 本条很长的文字在此继续下去")]
 
 
-@query(f"SELECT name, target, text, CASE WHEN contains(f, '条例') OR ends_with(f, '法') THEN 'LawOrRegulation' WHEN starts_with(f, 'GB ') OR starts_with(f, 'HJ ') OR starts_with(f, 'DB ') THEN 'Standard' WHEN regexp_matches(substr(text, 1, 3000), '{_TOP}') THEN 'LawOrRegulation' WHEN regexp_matches(substr(text, 1, 200), '标准|限值|mg/m³') THEN 'Standard' ELSE 'Other' END AS doc_type FROM (SELECT *, CASE WHEN name <> '' THEN name ELSE target END AS f FROM {values(TYPED, 'name, target, text')})")
+_TYPED = [
+    "CASE doc_id % 7 WHEN 0 THEN concat(lang, '条例') WHEN 1 THEN concat(lang, '法') WHEN 2 THEN concat('GB ', doc_id) ELSE '' END",
+    "CASE doc_id % 7 WHEN 3 THEN concat('HJ ', doc_id) ELSE '' END",
+    "CASE doc_id % 7 WHEN 4 THEN concat(lang, ' 第三条', chr(10), text) WHEN 5 THEN concat('限值 ', text) ELSE coalesce(text, '') END",
+]
+
+
+@query(f"SELECT name, target, md5(text) AS text_md5, CASE WHEN contains(f, '条例') OR ends_with(f, '法') THEN 'LawOrRegulation' WHEN starts_with(f, 'GB ') OR starts_with(f, 'HJ ') OR starts_with(f, 'DB ') THEN 'Standard' WHEN regexp_matches(substr(text, 1, 3000), '{_TOP}') THEN 'LawOrRegulation' WHEN regexp_matches(substr(text, 1, 200), '标准|限值|mg/m³') THEN 'Standard' ELSE 'Other' END AS doc_type FROM (SELECT *, CASE WHEN name <> '' THEN name ELSE target END AS f FROM (SELECT * FROM {values(TYPED, 'name, target, text')} UNION ALL SELECT {', '.join(_TYPED)} FROM documents))")
 def doc_type(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(TYPED, "name string, target string, text string").select("name", "target", "text", chunking.detect_doc_type(F.col("text"), F.col("name"), F.col("target")).alias("doc_type"))
+    made = table(spark, sf, "documents").select(*[F.expr(e).alias(c) for e, c in zip(_TYPED, ("name", "target", "text"), strict=True)])
+    rows = spark.createDataFrame(TYPED, "name string, target string, text string").unionByName(made)
+    return rows.select("name", "target", F.md5("text").alias("text_md5"), chunking.detect_doc_type(F.col("text"), F.col("name"), F.col("target")).alias("doc_type"))
 
 
 _CUT = f"string_split(regexp_replace(text, '(?m)(^\\s*{HEADING})', chr(1) || '\\1', 'g'), chr(1))"
 
 
-@query(f"""WITH p AS (SELECT doc_id, unnest({_CUT}) AS piece, generate_subscripts({_CUT}, 1) AS i FROM {values(ARTICLES, 'doc_id, text')}),
+@query(f"""WITH p AS (SELECT doc_id, unnest({_CUT}) AS piece, generate_subscripts({_CUT}, 1) AS i FROM (SELECT * FROM {values(ARTICLES, 'doc_id, text')} UNION ALL SELECT doc_id::VARCHAR, {LAW_DUCK} FROM documents)),
 c AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
-SELECT doc_id, s::BIGINT AS span_start, (s + length(piece))::BIGINT AS span_end, trim(regexp_extract(piece, '{HEADING}')) || ' ' || trim(regexp_extract(piece, '^\\s*{HEADING}[ ]*([^\n]{{0,40}})', 1)) AS path, md5(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM c WHERE i > 1 AND n > 2""")
+SELECT doc_id, s::BIGINT AS span_start, (s + length(piece))::BIGINT AS span_end, trim(regexp_extract(piece, '{HEADING}')) || ' ' || trim(regexp_extract(piece, '^\\s*{HEADING}[ ]*([^\n]{{0,40}})', 1)) AS path, md5(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM c WHERE i > 1 AND n > 2 AND length(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) >= 500""")
 def chunk_chapter(spark: SparkSession, sf: str) -> DataFrame:
-    docs = chunking.normalized(spark.createDataFrame(ARTICLES, "doc_id string, text string"))
-    return chunking.by_chapter(docs, min_len=10).select("doc_id", "span_start", "span_end", F.col("structure_path")[0].alias("path"), F.md5("text").alias("text_md5"))
+    return chunking.by_chapter(chunking.normalized(laws(spark, sf))).select("doc_id", "span_start", "span_end", F.col("structure_path")[0].alias("path"), F.md5("text").alias("text_md5"))
 
 
 # -------------------------------------------------------- dispatch and retrieval
