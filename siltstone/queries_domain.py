@@ -14,6 +14,7 @@ from .functions.text import ARTICLE, HEADING, NUMERALS
 from .operators import answer, chunking, graph, graph_build, intent, templates
 from .operators.graph import Graph
 from .plans import retrieval, skills
+from .sources import scratch
 from .queries import ARTICLES, BM25_SQL, FOLD, GRAPH_SQL, LATIN_THEMES, LAW_DUCK, ORACLE_SQL, QUESTIONS, SEARCHES, _corpus, laws, query, table, values
 
 # label, table, id, order, properties; the expressions are both Spark's and DuckDB's
@@ -358,7 +359,9 @@ def graph_from_metadata(spark: SparkSession, sf: str) -> DataFrame:
         F.col("kind").alias("region_type"), F.col("region").alias("region_name"), full.alias("summary"), F.when(F.col("orgs") != "", F.split("orgs", r"\|")).alias("issuing_authority"),
         F.when(F.col("old") != "", F.array(F.struct(F.col("old").alias("name"), full.alias("supersedes_time")))).alias("supersedes"),
     )
-    nodes, edges = graph_build.from_metadata(meta.unionByName(some))
+    path = scratch.folder(spark, "metadata")
+    meta.unionByName(some).write.parquet(path)
+    nodes, edges = graph_build.from_metadata(spark.read.schema(meta.schema).parquet(path))
     nodes = graph.upsert_nodes(nodes)
     edges = graph.checked_edges(edges, nodes)
     return nodes.select(F.lit("node").alias("kind"), F.col("label").alias("name"), F.col("id").alias("a"), F.lit("").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("rel").alias("name"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
