@@ -24,6 +24,8 @@ THEMES = {
     "应急预案": ["突发环境事件", "应急预案"],
 }
 PARAGRAPH = r"(?U)\n\s*\n"
+#: Chunks that leave a task in one batch, or those of one document.
+OUT_ROWS = 1000
 #: Between the paragraphs of a chunk.
 GAP = "\n\n"
 
@@ -118,11 +120,16 @@ def by_window(docs: DataFrame, window: int = 800, overlap: int = 150, separator:
     paragraphs = F.filter(F.transform(F.split("text", separator), strip), lambda x: x != "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"doc_id": pa.string(), "start": pa.int64(), "text": pa.string()}
         for batch in batches:
-            for doc, held in zip(batch.column(0), batch.column(1), strict=True):  # a document's chunks are a batch
-                chunks = list(packed_windows(held.as_py(), window, overlap))
-                columns = [[doc.as_py()] * len(chunks), [c[0] for c in chunks], [c[1] for c in chunks]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["doc_id", "start", "text"])
+            out: list[tuple[str, int, str]] = []
+            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out += [(doc, *c) for c in packed_windows(held.as_py(), window, overlap)]
+                if len(out) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
     rows = docs.select("doc_id", paragraphs.alias("p")).mapInArrow(run, "doc_id string, start bigint, text string")
     rows = rows.select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", F.array(F.lit("N/A")).alias("structure_path"), F.lit(None).cast("string").alias("article_no"))
