@@ -192,9 +192,9 @@ def test_html_held_out_pages_and_forms(spark, trees):
     wrong = total = 0
     for _ in range(60):
         page = html_extract.parse(html_extract.training_page(rng))
-        x, _ = html_extract.features([page])
-        chars = np.bincount(page.node, [len(t) for t in page.text], len(page.kind))
-        inside = html_extract.decode(trees.logit(x) + html_extract.LEAN, page.parent, 0.3 + np.log1p(chars))
+        x, _ = html_extract.features([page], trees.odds)
+        chars = np.bincount(page.node, [len(t) for t in page.text], len(page.kind)) if page.node else np.zeros(len(page.kind))
+        inside = html_extract.chosen(page, trees.logit(x))
         wrong += chars[inside != (np.array(page.label) == 1)].sum()
         total += chars.sum()
     assert wrong / total < 0.04
@@ -301,6 +301,80 @@ def test_html_loses_no_article(trees):
     assert dict(zip(cases, html_extract.main_texts(list(cases), trees), strict=True)) == cases
 
 
+def weblog_page(rng, opening, closing, body=""):
+    """(html, main text): a plain page as blog software writes it, in sentences of English words."""
+    pool = "the a of to and in city council voted new plan report said people house water year school market river found work after before under over many small old first last while where price road team game".split()
+    sent = lambda lo, hi: " ".join(rng.choice(pool) for _ in range(rng.randint(lo, hi))).capitalize() + "."
+    title = sent(4, 8)[:-1]
+    main = [title, *(" ".join(sent(5, 18) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(3, 9)))]
+    nav = "<nav><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in rng.sample(pool, 5)) + "</ul></nav>"
+    story = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in main[1:])
+    return f"<!doctype html><html><head><title>{title}</title></head><body{body}><header><a href='/'>Site {rng.choice(pool)}</a></header>{nav}{opening}{story}{closing}<footer><p>&copy; 2024 {rng.choice(pool)}. All rights reserved. <a href='/p'>Privacy</a></p></footer></body></html>", "\n".join(main)
+
+
+WEBLOG = {
+    "article": ("<article>", "</article>", ""),
+    "id": ("<div id=content>", "</div>", ""),
+    "classes": ("<article class='post type-post hentry category-news'>", "</article>", ""),
+    "tag": ("<article class='post type-post hentry category-news tag-politics'>", "</article>", ""),
+    "body": ("<article>", "</article>", " class='home menu-open'"),
+    "column": ("<div class='col-right'>", "</div>", ""),
+    "author": ("<div class='author-post'>", "</div>", ""),
+    "around": ("<div class='has-sidebar header-fixed'><article>", "</article></div>", ""),
+    "silent": ("<div class=xq77>", "</div>", ""),
+    "bare": ("", "", ""),
+}
+
+
+@pytest.mark.parametrize("make", WEBLOG)
+def test_html_names_do_not_empty_a_page(trees, make):
+    rng = random.Random(len(make) + 40)
+    pages = [weblog_page(rng, *WEBLOG[make]) for _ in range(100)]
+    kept, extra = [], 0
+    for (_, text), out in zip(pages, html_extract.main_texts([p for p, _ in pages], trees), strict=True):
+        a, b = collections.Counter(out.split("\n")), collections.Counter(text.split("\n"))
+        kept.append(sum(len(k) * v for k, v in (a & b).items()) / sum(len(k) * v for k, v in b.items()))
+        extra += sum(len(k) * v for k, v in (a - b).items()) / len(text)
+    assert np.mean(kept) >= 0.95 and extra / len(pages) < 0.05, (np.mean(kept), extra)
+
+
+def test_html_short_paragraphs_and_pages_without_an_article(trees):
+    story = " ".join(["The council met in the old hall and spoke of the new plan for hours."] * 4)
+    talk = lambda n, item: "".join(item.format(k) for k in range(n))
+    cases = {
+        f"<article><h1>T</h1><p>{story}</p><p>Why?</p><p>{story}</p><p>* * *</p><p>{story}</p></article>": f"T\n{story}\nWhy?\n{story}\n* * *\n{story}",
+        f"<html><body><main><p>{story}</p><pre>x = 1; y = 2</pre></main></body></html>": f"{story}\nx = 1; y = 2",
+        f"<html><body><nav><a href=/>Home</a></nav><article><p>Short.</p><p>{story}</p><p>{story}</p></article></body></html>": f"Short.\n{story}\n{story}",
+        f"<html><body><article><h1>Title of it</h1><p><a href=/1>{story}</a></p><p><a href=/2>{story}</a></p></article></body></html>": f"Title of it\n{story}\n{story}",
+        f"<html><body><ul>{talk(8, '<li><a href=/{0}>Link {0}</a></li>')}</ul><div>Copyright 2024 Us</div><a href=/p>Privacy</a> <a href=/t>Terms</a></body></html>": "",
+        "<html><body><div><p>We use cookies to improve your experience on this site.</p><button>Accept</button><button>Reject all</button></div></body></html>": "",
+        "<html><body><div><form><label>User</label><input name=u><label>Password</label><input name=p><button>Sign in</button></form><a href=/f>Forgot password?</a></div></body></html>": "",
+        f"<html><body><div class=k1><h1>Title here</h1><p>{story}</p><p>{story}</p></div><div class=k2><h3>3 opinions</h3>{talk(4, '<div class=k3><b>Ann{0}</b> 3.4.2021<p>I think this was a nice read, thanks.</p><a href=#>Reply</a></div>')}</div></body></html>": f"Title here\n{story}\n{story}",
+        f"<html><body><div class=k1><h1>Title here</h1><p>{story}</p><p>{story}</p></div><div class=k2>{talk(5, '<div class=k3><span>Ann{0}</span><p>I think this was a nice read, thanks.</p></div>')}</div></body></html>": f"Title here\n{story}\n{story}",
+    }
+    assert dict(zip(cases, html_extract.main_texts(list(cases), trees), strict=True)) == cases
+
+
+def test_runs_between_chosen_siblings_are_closed():
+    page = html_extract.parse("<p>a</p><p>b<i class=x>c</i></p><p>d</p><p>e</p><div>f</div><p>g</p>")
+    inside = np.array([False, True, False, False, True, False, False, True])
+    assert html_extract.close_runs(inside, page).tolist() == [False, True, True, True, True, False, False, True]
+
+
+def test_decoding_takes_no_barred_node():
+    barred = [False, True, True]
+    assert html_extract.decode(np.array([-9.0, 9.0, 9.0]), [0, 0, 1], np.ones(3), None, barred).tolist() == [False] * 3
+    assert html_extract.decode(np.array([9.0, 9.0, 9.0]), [0, 0, 1], np.ones(3), None, barred).tolist() == [True, False, False]
+    assert html_extract.decode(np.array([9.0, 9.0, 9.0]), [0, 0, 1], np.ones(3)).tolist() == [True] * 3
+
+
+def test_decoding_cuts_no_solid_node():
+    logit, weight = np.array([5.0, -9.0, -9.0]), np.ones(3)
+    assert html_extract.decode(logit, [0, 0, 0], weight).tolist() == [True, False, False]
+    assert html_extract.decode(logit, [0, 0, 0], weight, [False, True, False]).tolist() != [True, False, True]
+    assert html_extract.decode(np.array([9.0, -5.0, -5.0]), [0, 0, 0], weight, [False, True, False]).tolist() == [True, True, False]
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<div>", "<p><b>", "<svg>", "</x>", "<a b=\"", "<!", "<li><option>", "x <b> </b>", "=", "<", "<!--", "<x></y>", "<xmp>", "<i class=\"", "<td>", "&amp", "<a b='c\" "])
 def test_broken_markup_takes_linear_time(trees, unit):
     import time
