@@ -118,7 +118,8 @@ def register(name: str) -> Callable[[Skill], Skill]:
 
 
 def call(name: str, *args, **params) -> dict:
-    """A skill by name; an unknown name or a failure gives a dict with `error`."""
+    """A skill by name; an unknown name or a failure gives a dict with `error`. What a skill
+    gives is not evaluated here: failures of a model or of data come when its rows are read."""
     if name not in REGISTRY:
         return {"error": f"unknown skill: {name}; registered: {sorted(REGISTRY)}"}
     try:

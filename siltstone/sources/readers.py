@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ CHUNK = f"chunk_id string, doc_id string, doc_type string, span_start bigint, sp
 RECORD = f"doc_id string, doc_path string, doc_meta struct<{META.replace(' ', ':').replace(',:', ', ')}>, raw_text_preview string, error string, article_no string, text_preview string, extraction {EXTRACTION}"
 EVAL = "id string, type string, difficulty string, question string, expected_answer_keywords array<string>, expected_evidence array<string>"
 DATA_ROOT = "SILTSTONE_DATA_ROOT"
+log = logging.getLogger(__name__)
 
 
 def data_root(given: str | None = None, candidates: tuple[str, ...] = ("data", "../data")) -> str:
@@ -107,12 +109,13 @@ def ontology_text(spark: SparkSession, path: str, limit: int = 3000) -> str | No
 
 def external_rows(run: Callable[..., list[dict] | None], statement: str | None, **params) -> list[dict]:
     """The rows that an external store's `run` gives for a statement. No statement, or a
-    store that is down, gives none."""
+    store that is down, gives none; the failure is logged."""
     if not statement:
         return []
     try:
         return [dict(r) for r in run(statement, **params) or ()]
     except Exception:
+        log.warning("the external store gave no rows for %r", statement, exc_info=True)
         return []
 
 

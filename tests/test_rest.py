@@ -303,3 +303,9 @@ def test_stream_of_documents(spark, tmp_path):
     for _ in range(2):
         chunk_stream(spark.readStream.schema("doc_id string, text string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_failing_store_is_logged(caplog):
+    with caplog.at_level("WARNING"):
+        assert readers.external_rows(lambda s: 1 / 0, "MATCH x") == []
+    assert "MATCH x" in caplog.text and "ZeroDivisionError" in caplog.text
