@@ -598,6 +598,18 @@ def test_mixing_against_loops(spark, docs, corpus, none, sf):
     assert mixing.mixed_documents(given).columns == given.columns
 
 
+@pytest.mark.parametrize("cells", [10**6, 0])
+def test_raking_makes_the_default_mix(spark, docs, monkeypatch, cells):
+    p = lambda: {(r["doc_id"], r["tokens"], r["u"]): r["p"] for r in mixing.mix(docs, local_cells=cells).collect()}
+    raked = p()
+    monkeypatch.setattr(mixing, "SWEEPS", 0)
+    plain = p()
+    assert {round(x, 9) for k, x in plain.items() if k[1]} == {mixing.KEEP_SHARE}
+    assert any(abs(x - plain[k]) > 1e-3 for k, x in raked.items())
+    monkeypatch.setattr(mixing, "SWEEPS", 1)  # too few: the flatter mix itself
+    assert all(x == pytest.approx(raked[k], abs=1e-7) for k, x in p().items())
+
+
 def test_topics_part_what_differs():
     rng = random.Random(14)
     kinds = [[prose(rng, 1) for _ in range(40)] for _ in range(3)]
