@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import scratch
 from ..sources.readers import table_exists
 from .bm25 import Bm25Index
 
@@ -27,6 +28,16 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def term_counts(words: DataFrame) -> DataFrame:
+    """(term, id, seq, dl, tf) of words (id, seq, w: a document's tokens): runs of its sorted
+    tokens. A document is counted within its row, whatever a task holds of them."""
+    rows = words.select("id", "seq", F.sort_array("w").alias("w"), F.size("w").alias("dl"))
+    begins = F.filter(F.sequence(F.lit(0), F.col("dl")), lambda i: (i == 0) | (i == F.col("dl")) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = rows.withColumn("b", begins)  # of the runs, and where the last one ends
+    runs = F.transform(F.slice("b", F.lit(1), F.size("b") - 1), lambda i, k: F.struct(F.get("w", i).alias("term"), (F.get("b", k + 1) - i).cast("long").alias("tf")))
+    return rows.select("id", "seq", F.col("dl").cast("long").alias("dl"), F.explode(runs).alias("r")).select("r.term", "id", "seq", "dl", "r.tf")
+
+
 class StoredIndex(Bm25Index):
     """What bm25.search() takes, over stored postings."""
 
@@ -36,16 +47,31 @@ class StoredIndex(Bm25Index):
     # ------------------------------------------------------------------ writing
 
     def add(self, docs: DataFrame, batch: str) -> None:
-        """Adds docs (id, text, seq) whose id the index lacks, each id once."""
-        new, name = docs.dropDuplicates(["id"]), f"b_{batch}"  # never read as a number
+        """Adds docs (id, text, seq) whose id the index lacks, each id once: of several rows of
+        an id that of the least seq. Who is added is found without the texts, which are
+        shuffled, once, only if some of them are not."""
+        name = f"b_{batch}"  # never read as a number
+        split = self.tokenizer(F.coalesce("text", F.lit("")))
+        key = F.struct("id", "seq", F.xxhash64("text").alias("h"))
+        aside = scratch.folder(self.spark, "lengths")
+        rows = docs.select(key.alias("k"), F.size(split).cast("long").alias("dl")).groupBy("k.id").agg(F.min(F.struct("k.seq", "k.h", "dl")).alias("r"), F.count(F.lit(1)).alias("n"))
+        rows = rows.select("id", "r.seq", "r.h", "r.dl", "n")
         if table_exists(self.spark, f"{self.path}/docs"):
-            new = new.join(self.docs().filter(F.col("batch") != name).select("id"), "id", "left_anti")
-        words = new.select("id", "seq", self.tokenizer(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w").cast("long"))
-        counted = words.select("id", "seq", "dl", F.explode("w").alias("term")).groupBy("term", "id", "seq", "dl").agg(F.count(F.lit(1)).alias("tf"))
+            held = self.docs().filter(F.col("batch") != name).select("id", F.lit(True).alias("held")).distinct()
+            rows = rows.join(held, "id", "left")
+        else:
+            rows = rows.withColumn("held", F.lit(None).cast("boolean"))
+        rows.write.parquet(aside)
+        all_ = self.spark.read.schema(rows.schema).parquet(aside)
+        new, texts = all_.filter("held is null"), docs.select("id", "seq", "text")
+        if not all_.filter("held or n > 1").isEmpty():
+            texts = docs.select(key.alias("k"), "id", "seq", "text").join(new.select(F.struct("id", "seq", "h").alias("k")), "k", "left_semi").dropDuplicates(["k"])
+        counted = term_counts(texts.select("id", "seq", split.alias("w")))
         self._write(counted.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "seq"), "postings", name, "bucket")
         own = self._read("postings").filter(F.col("batch") == name)
         self._write(own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "terms", name, "bucket")
-        self._write(words.select("id", "seq", "dl"), "docs", name)  # this makes the batch count
+        self._write(new.select("id", "seq", "dl"), "docs", name)  # this makes the batch count
+        scratch.remove(self.spark, aside)
 
     def _write(self, rows: DataFrame, table: str, batch: str, *by: str) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(f"{self.path}/{table}")

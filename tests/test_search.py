@@ -84,3 +84,21 @@ def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path, capsys):
     index.postings_of(spark.createDataFrame([("w7",)], "term string")).explain("formatted")
     plan = capsys.readouterr().out
     assert "bucket" in plan.split("PartitionFilters: [", 1)[1].split("\n")[0] and "EqualTo(term,w7)" in plan or "In(term, [w7])" in plan
+
+
+def test_terms_are_counted_within_a_row(spark):
+    """Without any aggregate: what a task holds does not grow with its rows."""
+    docs = [(1, 10, ["b", "a", "b"]), (2, 20, []), (3, 30, ["x"] * 5), (4, 40, ["", "z", ""])]
+    got = postings.term_counts(spark.createDataFrame(docs, "id long, seq long, w array<string>"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, got.collect())) == [("", 4, 40, 3, 2), ("a", 1, 10, 3, 1), ("b", 1, 10, 3, 2), ("x", 3, 30, 5, 5), ("z", 4, 40, 3, 1)]
+
+
+def test_stored_index_takes_the_least_seq_of_an_id(spark, tmp_path):
+    index = postings.StoredIndex(spark, str(tmp_path / "index"))
+    form = "id long, text string, seq long"
+    index.add(spark.createDataFrame([(1, f"w{k} same", 99 - k) for k in range(60)] + [(1, "w59 same", 40), (None, "null id", 1), (2, None, 2), (3, "", 3)], form), "a")
+    index.add(spark.createDataFrame([(1, "late", 0), (4, "new new", 4)], form), "b")
+    assert sorted((r["term"], r["id"] or 0, r["seq"], r["dl"], r["tf"]) for r in index.postings.collect()) == [("id", 0, 1, 2, 1), ("new", 4, 4, 2, 2), ("null", 0, 1, 2, 1), ("same", 1, 40, 2, 1), ("w59", 1, 40, 2, 1)]
+    assert sorted((r["id"] or 0, r["seq"], r["dl"]) for r in index.docs().collect()) == [(0, 1, 2), (1, 40, 2), (2, 2, 0), (3, 3, 0), (4, 4, 2)]
