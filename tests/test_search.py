@@ -102,3 +102,20 @@ def test_stored_index_takes_the_least_seq_of_an_id(spark, tmp_path):
     index.add(spark.createDataFrame([(1, "late", 0), (4, "new new", 4)], form), "b")
     assert sorted((r["term"], r["id"] or 0, r["seq"], r["dl"], r["tf"]) for r in index.postings.collect()) == [("id", 0, 1, 2, 1), ("new", 4, 4, 2, 2), ("null", 0, 1, 2, 1), ("same", 1, 40, 2, 1), ("w59", 1, 40, 2, 1)]
     assert sorted((r["id"] or 0, r["seq"], r["dl"]) for r in index.docs().collect()) == [(0, 1, 2), (1, 40, 2), (2, 2, 0), (3, 3, 0), (4, 4, 2)]
+
+
+def test_stored_index_shuffles_new_texts_once(spark, tmp_path):
+    import random
+    import time
+
+    def shuffled():
+        time.sleep(1)  # figures of tasks come in late
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    rng = random.Random(3)
+    docs = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)), k) for k in range(150)]
+    rows = spark.createDataFrame(docs, "id long, text string, seq long")
+    began = shuffled()
+    postings.StoredIndex(spark, str(tmp_path / "once")).add(rows, "a")
+    # a term is a whole text here: postings once, terms twice
+    assert shuffled() - began < 3.5 * sum(len(t) for _, t, _ in docs)
