@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from . import vector
 #: Vectors that cells are fitted on, for each cell, and cells at most: centres are held by
 #: the driver and every task, whatever the input.
 SAMPLE_PER_CELL, MAX_CELLS, ROUNDS = 64, 4096, 8
+#: Scores of rows and centres that a task holds at once.
+SCORES = 1 << 20
 #: Queries that recall is measured on, and the share of the exact hits that probes must find.
 TUNE_QUERIES, RECALL = 200, 0.95
 
@@ -59,8 +60,12 @@ def assign(rows: DataFrame, centres: np.ndarray, n: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(names.index("embedding"))
-            m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, centres.shape[1]))
-            near = np.argsort(-np.round(m @ centres.T, 12), axis=1, kind="stable")[:, :n].astype(np.int32)
+            near = np.zeros((batch.num_rows, n), np.int32)
+            step = max(1, SCORES // len(centres))  # rows at a time, whatever the batch and the cells
+            for lo in range(0, batch.num_rows, step):
+                part = lists.slice(lo, step)
+                score = np.round(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1) @ centres.T, 12)
+                near[lo : lo + len(part)] = score.argmax(1)[:, None] if n == 1 else np.argsort(-score, axis=1, kind="stable")[:, :n]
             cell = pa.array(near[:, 0] if n == 1 else list(near), pa.int32() if n == 1 else pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, cell], [*names, "cell"])
 
@@ -130,13 +135,16 @@ class CellIndex:
         """(id, seq, embedding) of all vectors."""
         kinds = self.blocks().schema
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for ids, seqs, raw in zip(f["vids"], f["vseqs"], f["vm"], strict=True):
-                    yield pd.DataFrame({"id": ids, "seq": seqs, "embedding": list(np.frombuffer(raw).reshape(len(ids), -1))})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):  # views: a block's values are not copied
+                    ids, seqs = batch.column(0)[k].values, batch.column(1)[k].values
+                    flat = np.frombuffer(batch.column(2)[k].as_buffer())
+                    edges = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (len(flat) // len(ids)))
+                    yield pa.RecordBatch.from_arrays([ids, seqs, pa.ListArray.from_arrays(edges, pa.array(flat))], ["id", "seq", "embedding"])
 
         key, place = (kinds[c].dataType.elementType.simpleString() for c in ("vids", "vseqs"))
-        return self.blocks().select("vids", "vseqs", "vm").mapInPandas(run, f"id {key}, seq {place}, embedding array<double>")
+        return self.blocks().select("vids", "vseqs", "vm").mapInArrow(run, f"id {key}, seq {place}, embedding array<double>")
 
     def exact(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(qid, wanted, least): how many hits an exact search finds, and the last one's score."""

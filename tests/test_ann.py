@@ -72,3 +72,25 @@ def test_many_queries_are_dealt_out(spark, clustered, monkeypatch):
 
 def test_scratch_folders(spark):
     assert scratch.folder(spark, "a") != scratch.folder(spark, "a")
+
+
+def test_assigning_holds_few_scores_at_once():
+    """Whatever the batch and the number of cells; ties still go to the smaller number."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    m, centres = rng.integers(-2, 3, (6000, 4)).astype(np.float64), rng.integers(-2, 3, (1500, 4)).astype(np.float64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(m))), pa.array(list(m.astype(np.float32)))], ["id", "embedding"])
+    rows = SimpleNamespace(columns=batch.schema.names, schema=[], filter=lambda _: SimpleNamespace(mapInArrow=lambda run, _: run))
+    want = np.argsort(-(m @ centres.T), axis=1, kind="stable")
+    for n in (1, 5):
+        run = ann.assign(rows, centres, n)
+        tracemalloc.start()
+        got = [c for b in run(iter([batch])) for c in b.column(2).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == (want[:, 0].tolist() if n == 1 else want[:, :n].tolist())
+        assert peak < 60e6
