@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import extraction
 from siltstone.sources import readers
@@ -52,3 +53,26 @@ def test_kill_and_resume(spark, tmp_path, monkeypatch):
     run()
     records = spark.read.parquet(str(tmp_path / "out/records"))
     assert calls.value == 25 and records.count() == 25 and records.filter("error is not null").count() == 1
+
+
+def test_prompts_are_made_one_at_a_time(spark, monkeypatch):
+    """A task holds no strings of a batch's prompts; what they begin with is not in its rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    held, frame = {}, type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, run, _: held.update(run=run, rows=self, pandas=True))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, _: held.update(run=run, rows=self, pandas=False))
+    meta = F.from_json(F.lit(None).cast("string"), readers.META).alias("doc_metadata")
+    chunks = spark.range(300).select(F.col("id").cast("string").alias("chunk_id"), F.repeat(F.lit("x"), 10_000).alias("text"), meta)
+    seen = []
+    extraction.asked(chunks, lambda p: seen.append((len(p), p.startswith(extraction.schema_prompt()))) or "a")
+    rows = held["rows"].collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in (0, 1)], held["rows"].columns)
+    tracemalloc.start()
+    out = list(held["run"](iter([batch.to_pandas() if held["pandas"] else batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) == 300 and len(set(seen)) == 1 and seen[0][1] and len(out[0]["answer"]) == 300
+    assert seen[0][0] > len(rows[0][1]) + 100 and peak < 1_500_000
