@@ -18,6 +18,7 @@ from ..functions.text import tokens
 from ..sources import scratch
 from ..sources.readers import table_exists
 from .bm25 import Bm25Index
+from .membership import among
 
 BUCKETS = 64
 #: Up to so many terms are named in the filter of a scan; more are joined.
@@ -48,8 +49,8 @@ class StoredIndex(Bm25Index):
 
     def add(self, docs: DataFrame, batch: str) -> None:
         """Adds docs (id, text, seq) whose id the index lacks, each id once: of several rows of
-        an id that of the least seq. Who is added is found without the texts, which are
-        shuffled, once, only if some of them are not."""
+        an id that of the least seq. Who is added is found without the texts; those that are
+        added are shuffled, once, only if others are not."""
         name = f"b_{batch}"  # never read as a number
         split = self.tokenizer(F.coalesce("text", F.lit("")))
         key = F.struct("id", "seq", F.xxhash64("text").alias("h"))
@@ -65,7 +66,7 @@ class StoredIndex(Bm25Index):
         all_ = self.spark.read.schema(rows.schema).parquet(aside)
         new, texts = all_.filter("held is null"), docs.select("id", "seq", "text")
         if not all_.filter("held or n > 1").isEmpty():
-            texts = docs.select(key.alias("k"), "id", "seq", "text").join(new.select(F.struct("id", "seq", "h").alias("k")), "k", "left_semi").dropDuplicates(["k"])
+            texts = among(docs.select(key.alias("k"), "id", "seq", "text"), new.select(F.struct("id", "seq", "h").alias("k")), ["k"]).dropDuplicates(["k"])
         counted = term_counts(texts.select("id", "seq", split.alias("w")))
         self._write(counted.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "seq"), "postings", name, "bucket")
         own = self._read("postings").filter(F.col("batch") == name)

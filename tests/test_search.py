@@ -119,3 +119,29 @@ def test_stored_index_shuffles_new_texts_once(spark, tmp_path):
     postings.StoredIndex(spark, str(tmp_path / "once")).add(rows, "a")
     # a term is a whole text here: postings once, terms twice
     assert shuffled() - began < 3.5 * sum(len(t) for _, t, _ in docs)
+
+
+def test_stored_index_shuffles_no_texts_that_it_holds(spark, tmp_path):
+    """Where no table is small enough to be sent to every task."""
+    import random
+    import time
+
+    def shuffled():
+        time.sleep(1)  # figures of tasks come in late
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    rng = random.Random(4)
+    docs = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)), k) for k in range(200)]
+    rows = spark.createDataFrame(docs, "id long, text string, seq long")
+    index = postings.StoredIndex(spark, str(tmp_path / "held"))
+    index.add(rows.filter("id >= 20"), "a")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = shuffled()
+        index.add(rows, "b")
+        used = shuffled() - began
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert index.docs().count() == 200 and index.postings.count() == 200
+    assert used < 5 * 20 * 20_000 + 400_000  # the new texts, their postings, twice their terms
