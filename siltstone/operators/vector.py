@@ -157,8 +157,13 @@ def encode_missing(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> Data
     """(k, v) of the distinct texts (text, ...) whose key the cache (k, ...) lacks, each
     encoded once. What reads it more than once asks the encoder again: store it first. A busy
     model is asked again, see retrying()."""
-    encoder = retrying(encoder)
     missing = texts.select(cache_key(F.col("text")).alias("k"), "text").join(cache.select("k"), "k", "left_anti").dropDuplicates(["k"])
+    return encode(missing, encoder)
+
+
+def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
+    """(k, v) of texts (k, text), each row encoded. A busy model is asked again."""
+    encoder = retrying(encoder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -166,7 +171,7 @@ def encode_missing(texts: DataFrame, cache: DataFrame, encoder: Encoder) -> Data
                 part = frame.iloc[lo : lo + BATCH]
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "v": [x.tolist() for x in encoder(part["text"].tolist())]})
 
-    return missing.mapInPandas(run, "k string, v array<float>")
+    return texts.select("k", "text").mapInPandas(run, "k string, v array<float>")
 
 
 def with_embeddings(texts: DataFrame, cache: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import cache_key
 from ..operators import chunking, extraction, graph, graph_build, vector
+from ..operators.membership import among, likely
 from ..sources import readers, scratch, sinks, stores
 
 
@@ -88,18 +90,28 @@ def statements(meta: DataFrame | None, ext: DataFrame | None, out: str, phase: s
 
 
 def index_chunks(spark: SparkSession, chunks: str, out: str, encoder: vector.Encoder, cache: str | None = None) -> DataFrame:
-    """Embeds the chunks that the index at `out` lacks and appends them; returns how many
-    the index holds. Each distinct text that the cache lacks is encoded once and stored in
-    the cache, from which the index then takes all; a run that was broken off finds there
-    what it has paid for. Without a cache of the caller's it is a scratch folder."""
-    rows = chunking.vector_rows(spark.read.parquet(chunks)).withColumnRenamed("document", "text")
+    """Embeds the chunks that the index at `out` lacks and appends them, each id once; returns
+    how many the index holds. Each distinct text that the cache lacks is encoded once and
+    stored in the cache, from which the index then takes all; a run that was broken off finds
+    there what it has paid for. Without a cache of the caller's it is a scratch folder. What is
+    new is found from ids and keys; a new text is shuffled to be encoded, and to its vector."""
+    rows = chunking.vector_rows(spark.read.parquet(chunks)).withColumn("k", cache_key(F.col("document")))
+    keys = rows.filter("k is not null").groupBy("id").agg(F.min("k").alias("k"))  # no text, no vector
     if readers.table_exists(spark, out):
-        rows = vector.not_indexed(rows, spark.read.parquet(out))
+        keys = vector.not_indexed(keys, spark.read.parquet(out))
+    aside = scratch.folder(spark, "new")
+    keys.write.parquet(aside)
+    new = spark.read.schema(keys.schema).parquet(aside)
     held = cache if cache is not None else scratch.folder(spark, "embeddings")
     known = readers.embedding_cache(spark, held) if readers.table_exists(spark, held) else spark.createDataFrame([], "k string, v array<float>")
-    sinks.append_cache(vector.encode_missing(rows, known, encoder), held)
-    made = vector.with_embeddings(rows, readers.embedding_cache(spark, held))
-    sinks.add_vectors(made.drop("k").withColumnRenamed("text", "document"), out)
-    if cache is None:
-        scratch.remove(spark, held)
+    one = F.struct("id", "k").alias("one")  # equal with a null id, too
+    first = new.join(known.select("k"), "k", "left_anti").groupBy("k").agg(F.min("id").alias("id")).select(one)
+    texts = among(rows.select(one, "k", F.col("document").alias("text")), first, ["one"]).dropDuplicates(["one"])
+    sinks.append_cache(vector.encode(texts, encoder), held)
+    made = new.join(readers.embedding_cache(spark, held), "k").select(one, F.col("v").alias("embedding"))
+    rows = rows.select(one, *[c for c in rows.columns if c != "k"])
+    rows = likely(rows, made, ["one"]) if readers.table_exists(spark, out) else rows
+    rows.join(made, "one").dropDuplicates(["one"]).drop("one").write.mode("append").parquet(out)
+    for path in (aside, *([held] if cache is None else [])):
+        scratch.remove(spark, path)
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("vectors"))

@@ -58,15 +58,6 @@ def compact_cache(spark: SparkSession, path: str, out: str) -> DataFrame:
     return readers.embedding_cache(spark, out)
 
 
-def add_vectors(rows: DataFrame, path: str) -> None:
-    """Appends the vectors whose id the index lacks, each id once: a run that is repeated
-    adds nothing."""
-    rows = rows.dropDuplicates(["id"])
-    if readers.table_exists(rows.sparkSession, path):
-        rows = rows.join(rows.sparkSession.read.parquet(path).select("id"), "id", "left_anti")
-    rows.write.mode("append").parquet(path)
-
-
 def write_statements(statements: DataFrame, path: str) -> None:
     statements.select("statement").write.mode("overwrite").text(path)
 

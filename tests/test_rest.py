@@ -309,3 +309,41 @@ def test_a_failing_store_is_logged(caplog):
     with caplog.at_level("WARNING"):
         assert readers.external_rows(lambda s: 1 / 0, "MATCH x") == []
     assert "MATCH x" in caplog.text and "ZeroDivisionError" in caplog.text
+
+
+def test_index_shuffles_a_new_text_twice(spark, tmp_path):
+    """Where no table is small enough to be sent to every task."""
+    import random
+    import time
+
+    def shuffled():
+        time.sleep(1)  # figures of tasks come in late
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    rng = random.Random(5)
+    texts = [(f"c{k}", "d", "Window", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1500))) for k in range(3000)]
+    texts += [("c0", "d", "Window", texts[0][3]), (None, "d", "Window", "no id"), ("same", "d", "Window", texts[1][3]), ("null", "d", "Window", None)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, doc_id string, doc_type string, text string").withColumns({"article_no": F.lit(""), "structure_path": F.array(F.lit("N/A")), "themes": F.array(F.lit("x"))})
+    calls, base = spark.sparkContext.accumulator(0), vector.hash_encoder(4)
+
+    def encode(texts):
+        calls.add(len(texts))
+        return base(texts)
+
+    at, threshold = [str(tmp_path / x) for x in ("chunks", "index", "cache")], "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for part, n in ((chunks.filter("chunk_id < 'c2'"), 1112), (chunks, 3002)):
+            part.write.mode("overwrite").parquet(at[0])
+            began, before = shuffled(), calls.value
+            held = build.index_chunks(spark, at[0], at[1], encode, at[2]).first()["vectors"]
+            used = shuffled() - began
+            assert held == n
+            assert used < 3.5 * 1500 * (calls.value - before)
+    finally:
+        spark.conf.set(threshold, old)
+    assert calls.value == 3001  # distinct texts
+    rows = spark.read.parquet(at[1])
+    assert {r["id"] for r in rows.collect()} == {c for c, *_, t in texts if t is not None}
+    assert rows.filter("document is null or embedding is null").isEmpty()
