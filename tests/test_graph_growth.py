@@ -3,6 +3,7 @@
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import graph
 from siltstone.operators.graph import Graph
@@ -82,3 +83,29 @@ def test_extractions_are_imported_in_place(spark, tmp_path):
     again = {(r["kind"], r["name"]): (r["n"], r["added"]) for r in build.import_extractions(store, rows).collect()}
     assert first["node", None][0] == first["node", None][1] >= 2 and first["edge", None] == (1, 1)
     assert again == {k: (n, 0) for k, (n, _) in first.items()}
+
+
+def test_store_does_not_shuffle_edges_without_ends(spark, tmp_path):
+    """Where no table is small enough to be sent to every task."""
+    import time
+
+    def shuffled():
+        time.sleep(1)  # figures of tasks come in late
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    nodes = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("A").alias("label"), graph.no_props().alias("props"), F.col("id").alias("seq"))
+    far = F.concat_ws("", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(8)])
+    end = lambda to: F.when(F.col("id") < 50, to.cast("string")).otherwise(far)
+    edges = spark.range(20_000).select(end(F.col("id")).alias("from_id"), F.lit("A").alias("from_label"), F.lit("R").alias("rel"), end(F.col("id") + 50).alias("to_id"), F.lit("A").alias("to_label"), graph.no_props().alias("props"), F.col("id").alias("seq"))
+    store, threshold = stores.BucketStore(spark, str(tmp_path / "store")), "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        began = shuffled()
+        store.add(nodes, edges)
+        used = shuffled() - began
+        assert store.graph.nodes.count() == 100 and store.graph.edges.count() == 50
+        assert set(store.add(nodes, edges).values()) == {0}
+    finally:
+        spark.conf.set(threshold, old)
+    assert used < 1_000_000  # of edges of 10 MB
