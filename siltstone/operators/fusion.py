@@ -36,6 +36,6 @@ def fuse(lists: DataFrame, top_k: int | None = None, k: int = K, last_payload: b
     return ranked.select("qid", "key", "rrf", "payload", F.transform("s", lambda x: x["source"]).alias("sources"), "rank")
 
 
-def as_list(hits: DataFrame, list_no: int, source: str, payload: Column, weight: Column | None = None) -> DataFrame:
+def as_list(hits: DataFrame, list_no: int, source: str | Column, payload: Column, weight: Column | None = None) -> DataFrame:
     """Ranked hits (qid, id, rank) as one of the lists that fuse() takes."""
     return hits.select("qid", F.lit(list_no).alias("list_no"), F.lit(source).alias("source"), "rank", F.col("id").cast("string").alias("key"), payload.alias("payload"), (weight if weight is not None else F.lit(1.0)).alias("weight"))

@@ -113,5 +113,9 @@ class StoredIndex(Bm25Index):
     def counts_of(self, postings: DataFrame, wanted: DataFrame) -> DataFrame:
         return self._summed(self._named(self._complete("terms"), wanted))
 
+    def searched(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        postings = self.postings_of(wanted)
+        return postings, self.counts_of(postings, wanted), self.corpus
+
     def _summed(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("term").agg(F.sum("df").alias("df"))

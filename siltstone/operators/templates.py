@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .graph import Graph
 from .ranking import direct, top
 from .substrings import containing
@@ -138,10 +139,12 @@ def articles_about_pollutant(g: Graph, asked: DataFrame, limit: int = 20) -> Dat
 
 def articles_about_pollutants(g: Graph, asked: DataFrame, limit: int = 20) -> DataFrame:
     """(qid, id, label, props, seq, rank from 0) for asked (qid, pollutant): the articles and
-    documents of articles_about_pollutant(), each once."""
+    documents of articles_about_pollutant(), each once. Ids are ranked, and only what is
+    among the first is looked up."""
     rows = g.expand(equal(g, asked, "Pollutant", "x", "pollutant", "name_zh"), "x", *_ABOUT)
-    once = rows.groupBy("qid", F.col("a.id").alias("id")).agg(F.first("a").alias("a"))
-    return first(once.select("qid", "id", "a.label", "a.props", "a.seq"), limit, "seq", "id")
+    once = rows.select("qid", F.col("a.id").alias("id"), F.col("a.seq").alias("seq")).groupBy("qid", "id").agg(F.min("seq").alias("seq"))
+    found = scratch.stored(first(once, limit, "seq", "id"), "found")
+    return g.with_nodes(found, _ABOUT[2]).select("qid", "id", "label", "props", "seq", "rank")
 
 
 def article_contents(g: Graph, asked: DataFrame, limit: int = 5) -> DataFrame:

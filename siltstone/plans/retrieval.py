@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, fusion, intent, templates, vector
 from ..operators.graph import Graph
 from ..operators.ranking import top
+from ..sources import scratch
 
 
 @dataclass
@@ -56,19 +57,21 @@ def routed(corpus: Corpus, questions: DataFrame, top_k: int = 10) -> DataFrame:
     """(qid, key, rrf, payload, sources, rank) for questions (qid, text[, embedding]), each by
     its two best intents: nodes of their templates, else substring hits, with vectors if the
     questions have embeddings, and BM25; unweighted fusion. Only templates whose rows are
-    nodes give any: those of a pollutant's articles and of an article's content."""
+    nodes give any: those of a pollutant's articles and of an article's content. Questions and
+    nodes of templates are stored, as all lists read them."""
+    questions = scratch.stored(questions, "questions")
     about = corpus.chunks.select("id", F.col("text").alias("t"), F.col("doc_id").alias("d"))
     lists = []
     if corpus.vectors is not None and "embedding" in questions.columns:
         hits = vector.search(corpus.vectors, questions.filter("embedding is not null"), top_k).join(about, "id")
         lists.append(fusion.as_list(hits, 0, "vector", _payload(id=F.col("id"), text=F.col("t"), doc_id=F.col("d"))))
     if corpus.graph is not None:
-        nodes = template_nodes(corpus.graph, questions)
+        nodes = scratch.stored(template_nodes(corpus.graph, questions), "nodes")
         rest = questions.join(nodes.select("qid").distinct(), "qid", "left_anti")
         text = F.col("props")["content"]
         found = nodes.select("qid", "id", "label", "props", "rank", F.lit("graph").alias("source"))
         found = found.unionByName(corpus.graph.substrings(rest, limit=top_k).select("qid", "id", "label", "props", "rank", F.lit("graph_text").alias("source")))
-        lists.append(fusion.as_list(found, 1, "graph", _payload(id=F.col("id"), label=F.col("label"), text=text, full_name=F.col("props")["full_name"])).drop("source").join(found.select("qid", F.col("id").alias("key"), "source"), ["qid", "key"]))
+        lists.append(fusion.as_list(found, 1, F.col("source"), _payload(id=F.col("id"), label=F.col("label"), text=text, full_name=F.col("props")["full_name"])))
     hits = bm25.search(corpus.index, questions, top_k).join(about, "id")
     lists.append(fusion.as_list(hits, 2, "bm25", _payload(id=F.col("id"), text=F.col("t"), doc_id=F.col("d"))))
     rows = lists[0]

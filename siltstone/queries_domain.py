@@ -470,5 +470,7 @@ def routed_search(spark: SparkSession, sf: str) -> DataFrame:
     question's intents, substring hits where they give none, vectors and BM25."""
     corpus, _ = _corpus(spark, sf)
     corpus.graph = law_graph(spark, sf)
-    asked = spark.createDataFrame(ROUTED, "qid long, text string").join(corpus.vectors.select(F.col("id").alias("qid"), "embedding"), "qid", "left")
+    asked = spark.createDataFrame(ROUTED, "qid long, text string")
+    own = corpus.vectors.select(F.col("id").alias("qid"), "embedding").join(F.broadcast(asked.select("qid")), "qid", "left_semi")
+    asked = asked.join(own, "qid", "left")
     return retrieval.routed(corpus, asked, 5).select("qid", "key", F.round("rrf", 8).alias("rrf"), F.array_join("sources", ",").alias("sources"), "rank")

@@ -145,3 +145,21 @@ def test_stored_index_shuffles_no_texts_that_it_holds(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert index.docs().count() == 200 and index.postings.count() == 200
     assert used < 5 * 20 * 20_000 + 400_000  # the new texts, their postings, twice their terms
+
+
+def test_a_search_cuts_texts_into_words_once(spark, monkeypatch):
+    """Not once for each of lengths, postings and counts; many terms give the same by joins."""
+    cuts = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        cuts.add(text.startswith("doc"))
+        return text.split()
+
+    docs = spark.createDataFrame([(k, f"doc w{k % 7} w{k % 3} w{k % 3}", k) for k in range(50)] + [(50, "", 50)], "id long, text string, seq long")
+    q = spark.createDataFrame([(1, "w1 w1 w5"), (2, "none"), (3, "w2")], "qid long, text string")
+    tokenizer = F.udf(cut, "array<string>")
+    index = bm25.build_index(docs, tokenizer)
+    got = sorted(bm25.search(index, q, tokenizer=tokenizer).collect())
+    assert cuts.value == 50 and len(got) == 20
+    monkeypatch.setattr(bm25, "NAMED_TERMS", 0)
+    assert sorted(bm25.search(index, q, tokenizer=tokenizer).collect()) == got
