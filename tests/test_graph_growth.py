@@ -5,6 +5,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import queries
 from siltstone.operators import graph
 from siltstone.operators.graph import Graph
 from siltstone.plans import build
@@ -109,3 +110,12 @@ def test_store_does_not_shuffle_edges_without_ends(spark, tmp_path):
     finally:
         spark.conf.set(threshold, old)
     assert used < 1_000_000  # of edges of 10 MB
+
+
+def test_store_of_the_batches_holds_parts_and_line_items(spark, sf):
+    """The whole trade graph, not only its small tables."""
+    rows = queries.graph_store_batches(spark, sf).groupBy("kind", "rel").count().collect()
+    got = {(r["kind"], r["rel"]): r["count"] for r in rows}
+    read = lambda t: queries.table(spark, sf, t)
+    assert got["node", "Part"] == read("part").count() and got["node", "Supplier"] == read("supplier").count()
+    assert got["edge", "SUPPLIES"] == read("lineitem").select("l_suppkey", "l_partkey").distinct().count()
