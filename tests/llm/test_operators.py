@@ -619,6 +619,30 @@ def test_topics_part_what_differs():
     assert mixing.fit_topics(counts[:0]).of(counts[:2]).tolist() == [-1, -1]
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,600 short texts of five kinds, of which every tenth is there twice."""
+    rng = random.Random(16)
+    kinds = [[prose(rng, 1) for _ in range(30)] for _ in range(5)]
+    rows = [(k, " ".join(rng.choice(kinds[k * k % 5]) for _ in range(12)), rng.choice(["en", "en", "fr"]), rng.choice(["s0", "s1"])) for k in range(4600)]
+    rows += [(10_000 + k, *r[1:]) for k, r in enumerate(rows[::10])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+
+
+def counted(df):
+    """Term counts of each distinct text, in the order of hashes."""
+    texts = [r["text"].encode() for r in df.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h").collect()]
+    return mixing.term_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+
+def test_topics_are_fitted_on_every_text(many):
+    counts = counted(many[1])
+    assert len(counts) > 4000
+    want = mixing.fit_topics(counts).centres
+    for parts in (1, 7):
+        assert mixing.sampled_topics(many[1].repartition(parts)).centres == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("cells", [10**6, 0])
 def test_mixing_targets(spark, cells):
     rng = random.Random(15)
